@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
-from . import language_id, quality, toxicity, url_filter
+from . import decontaminate, language_id, merkle, quality, simhash, toxicity, url_filter
 
 QUERIES = {
+    "op2_decontamination": decontaminate.op2_decontamination,
     "op3_language_id": language_id.op3_language_id,
+    "op4_simhash": simhash.op4_simhash,
     "op5_quality": quality.op5_quality,
     "op7_toxicity": toxicity.op7_toxicity,
+    "op9_fingerprints": merkle.op9_fingerprints,
     "op10_url_filter": url_filter.op10_url_filter,
 }
 
-ORACLE_SQL = {"op10_url_filter": url_filter.ORACLE_SQL}
+ORACLE_SQL = {
+    "op2_decontamination": decontaminate.ORACLE_SQL,
+    "op9_fingerprints": merkle.ORACLE_SQL,
+    "op10_url_filter": url_filter.ORACLE_SQL,
+}
