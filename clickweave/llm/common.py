@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -19,14 +20,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """`df` cut from its lineage, in the folder of ``spark.checkpoint.dir`` (shared by all executors).
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; only a session without that setting, as in local tests, gets its own."""
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return sc._jsc.sc().getCheckpointDir().get()
 
-    Only a session without that setting, as in local tests, gets a folder of its own.
-    """
-    sc = df.sparkSession.sparkContext
-    if not sc.getConf().get("spark.checkpoint.dir") and sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, for a written table."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """`df` cut from its lineage, in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -69,6 +78,18 @@ def in_blocks(score: Callable[[list], pd.DataFrame], batches: Iterator[pd.Series
         yield pd.concat(parts, ignore_index=True) if parts else score([])
 
 
+#: Rows up to which a side is broadcast; beyond, the larger side's keys are salted.
+BROADCAST_ROWS, SALTS = 200_000, 16
+
+
+def join_small(rows: DataFrame, small: DataFrame, keys: list[str], spread: str) -> DataFrame:
+    """`rows` left joined with `small`, which has each key once and is checkpointed; `spread` is a column that salts hot keys."""
+    if small.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(small), keys, "left")
+    salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).join(salted, [*keys, "_salt"], "left").drop("_salt")
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """`df` without columns that clash with `names` (case ignored, as Spark resolves names)."""
     taken = {n.lower() for n in names}

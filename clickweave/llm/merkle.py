@@ -6,7 +6,7 @@ their children's digests, joined by one mark for each level. So equal roots mean
 root and, for each section, its digest, then its paragraphs', then their leaves', shortened:
 ``root|section/paragraph.leaf.leaf/paragraph.leaf|section...``. Branches that differ locate an edit to a piece of a paragraph.
 
-Likeness of two fingerprints is 1 for equal roots, else the share of their leaves that both have, repeats counted (Dice).
+Likeness of two fingerprints is 1 for equal roots, else the share of their distinct leaves that both have (Dice).
 It can be had from the fingerprint strings alone (`likeness_of_strings`).
 
 All of it is DataFrame functions. The next document in id order is found with one shuffle of the texts: ids fall into
@@ -30,45 +30,61 @@ SHORT = 16
 PIECES = r"\s*+(?:\S++\s*+){1,%d}+|\s++" % PIECE
 
 
-def cut(text: Column) -> Column:
-    """Sections of paragraphs of leaf digests."""
-    return F.transform(F.split(text, "\n\n", -1), lambda s: F.transform(F.split(s, "\n", -1), lambda p: F.transform(F.regexp_extract_all(p, F.lit(PIECES), F.lit(0)), lambda x: F.sha2(x, 256))))
+def let(value: Column, body) -> Column:
+    """`body` of `value`, which is worked out once however often `body` uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def tree(leaves: Column) -> Column:
-    """From `cut`: struct of root, fingerprint and flat short leaves."""
-    node = lambda children, mark: F.sha2(F.array_join(children, mark), 256)
-    short = lambda c: F.substring(c, 1, SHORT)
-    paragraphs = F.transform(leaves, lambda s: F.transform(s, lambda p: F.struct(node(p, ".").alias("h"), F.transform(p, short).alias("l"))))
-    sections = F.transform(paragraphs, lambda s: F.struct(node(F.transform(s, lambda p: p["h"]), "/").alias("h"), s.alias("p")))
-    root = node(F.transform(sections, lambda s: s["h"]), "|")
-    shown = F.array_join(F.transform(sections, lambda s: F.concat(short(s["h"]), F.array_join(F.transform(s["p"], lambda p: F.concat(F.lit("/"), short(p["h"]), F.when(F.size(p["l"]) > 0, F.concat(F.lit("."), F.array_join(p["l"], "."))).otherwise(""))), ""))), "|")
-    return F.struct(root.alias("root"), F.concat(root, F.lit("|"), shown).alias("fingerprint"), numbered(F.flatten(F.flatten(F.transform(sections, lambda s: F.transform(s["p"], lambda p: p["l"]))))).alias("leaves"))
+def node(children: Column, mark: str) -> Column:
+    return F.sha2(F.array_join(children, mark), 256)
 
 
-def numbered(leaves: Column) -> Column:
-    """Each leaf with the number of its occurrence, so that sets of these count repeats; linear after one sort."""
-    ordered = F.array_sort(leaves)
-    new = F.filter(F.transform(ordered, lambda x, i: F.when((i == 0) | (x != F.get(ordered, i - 1)), i)), lambda i: i.isNotNull())
-    runs = F.transform(new, lambda s, i: F.struct(s.alias("s"), (F.coalesce(F.get(new, i + 1), F.size(ordered)) - s).alias("n")))
-    return F.flatten(F.transform(runs, lambda r: F.transform(F.sequence(F.lit(1), r["n"]), lambda k: F.xxhash64(F.get(ordered, r["s"]), k))))
+def short(digest: Column) -> Column:
+    return F.substring(digest, 1, SHORT)
+
+
+def of_paragraph(text: Column) -> Column:
+    leaves = F.transform(F.regexp_extract_all(text, F.lit(PIECES), F.lit(0)), lambda x: F.sha2(x, 256))
+    return let(leaves, lambda l: F.struct(node(l, ".").alias("h"), F.transform(l, short).alias("l")))
+
+
+def of_section(text: Column) -> Column:
+    return let(F.transform(F.split(text, "\n", -1), of_paragraph), lambda p: F.struct(node(F.transform(p, lambda x: x["h"]), "/").alias("h"), p.alias("p")))
+
+
+def shown_paragraph(p: Column) -> Column:
+    return F.concat(F.lit("/"), short(p["h"]), F.when(F.size(p["l"]) > 0, F.concat(F.lit("."), F.array_join(p["l"], "."))).otherwise(""))
+
+
+def tree(text: Column) -> Column:
+    """Struct of root, fingerprint and the distinct short leaves."""
+
+    def made(s: Column) -> Column:
+        shown = F.array_join(F.transform(s, lambda x: F.concat(short(x["h"]), F.array_join(F.transform(x["p"], shown_paragraph), ""))), "|")
+        leaves = F.array_distinct(F.flatten(F.transform(s, lambda x: F.flatten(F.transform(x["p"], lambda p: p["l"])))))
+        return let(node(F.transform(s, lambda x: x["h"]), "|"), lambda root: F.struct(root.alias("root"), F.concat(root, F.lit("|"), shown).alias("fingerprint"), leaves.alias("leaves")))
+
+    return let(F.transform(F.split(text, "\n\n", -1), of_section), made)
+
+
+def dice(same: Column, a: Column, b: Column) -> Column:
+    total = F.size(a) + F.size(b)
+    return F.when(same, 1.0).when(total == 0, 0.0).otherwise(2.0 * F.size(F.array_intersect(a, b)) / total)
 
 
 def likeness(a: Column, b: Column) -> Column:
     """Of two trees, 0 to 1."""
-    both, total = F.size(F.array_intersect(a["leaves"], b["leaves"])), F.size(a["leaves"]) + F.size(b["leaves"])
-    return F.when(a["root"] == b["root"], 1.0).when(total == 0, 0.0).otherwise(2.0 * both / total)
+    return dice(a["root"] == b["root"], a["leaves"], b["leaves"])
 
 
 def likeness_of_strings(a: Column, b: Column) -> Column:
     """The same from two fingerprint strings."""
-    leaves = lambda c: numbered(F.regexp_extract_all(c, F.lit(r"\.([0-9a-f]+)"), F.lit(1)))
-    both, total = F.size(F.array_intersect(leaves(a), leaves(b))), F.size(leaves(a)) + F.size(leaves(b))
-    return F.when(F.substring(a, 1, 64) == F.substring(b, 1, 64), 1.0).when(total == 0, 0.0).otherwise(2.0 * both / total)
+    leaves = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit(r"\.([0-9a-f]+)"), F.lit(1)))
+    return dice(F.substring(a, 1, 64) == F.substring(b, 1, 64), leaves(a), leaves(b))
 
 
 def fingerprint(text: Column) -> Column:
-    return tree(cut(F.coalesce(text, F.lit(""))))["fingerprint"]
+    return tree(F.coalesce(text, F.lit("")))["fingerprint"]
 
 
 def with_next(docs: DataFrame, key: str, value: str) -> DataFrame:
@@ -98,7 +114,7 @@ def edits(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
 
 def fingerprint_edits(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     rows = edits(docs, key, text)
-    trees = rows.select(key, F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), *[tree(cut(F.col(c))).alias(f"{c}_tree") for c in ("text", "edited", "next")])
+    trees = rows.select(key, F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), *[tree(F.col(c)).alias(f"{c}_tree") for c in ("text", "edited", "next")])
     a = F.col("text_tree")
     return trees.select(key, "n_chars", "edited_sha256", a["fingerprint"].alias("fingerprint"), F.col("edited_tree.fingerprint").alias("edited_fingerprint"), likeness(a, F.col("edited_tree")).alias("near_edited"), likeness(a, F.col("next_tree")).alias("near_next"))
 
@@ -120,11 +136,11 @@ trees AS (
   SELECT doc_id, kind, sha256(array_to_string(list_transform(s, lambda x: x.h), '|')) AS root,
     array_to_string(list_transform(s, lambda x: substr(x.h, 1, 16) || array_to_string(list_transform(x.p, lambda p: '/' || substr(p.h, 1, 16) || CASE WHEN len(p.l) > 0 THEN '.' || array_to_string(p.l, '.') ELSE '' END), '')), '|') AS shown,
     flatten(list_transform(s, lambda x: flatten(list_transform(x.p, lambda p: p.l)))) AS leaf FROM sections),
-counted AS (SELECT doc_id, kind, x, count(*) AS c FROM (SELECT doc_id, kind, unnest(leaf) AS x FROM trees) GROUP BY ALL),
-both AS (SELECT a.doc_id, b.kind, sum(least(a.c, b.c)) AS n FROM counted a JOIN counted b ON a.doc_id = b.doc_id AND a.x = b.x AND a.kind = 'text' GROUP BY ALL),
+counted AS (SELECT DISTINCT doc_id, kind, x FROM (SELECT doc_id, kind, unnest(leaf) AS x FROM trees)),
+shared AS (SELECT a.doc_id, b.kind, count(*) AS n FROM counted a JOIN counted b ON a.doc_id = b.doc_id AND a.x = b.x AND a.kind = 'text' GROUP BY ALL),
 likely AS (
-  SELECT a.doc_id, b.kind, CASE WHEN a.root = b.root THEN 1.0::DOUBLE WHEN len(a.leaf) + len(b.leaf) = 0 THEN 0.0::DOUBLE ELSE 2.0::DOUBLE * coalesce(n, 0)::DOUBLE / (len(a.leaf) + len(b.leaf)) END AS near, b.root || '|' || b.shown AS fp
-  FROM trees a JOIN trees b ON a.doc_id = b.doc_id AND a.kind = 'text' LEFT JOIN both ON both.doc_id = b.doc_id AND both.kind = b.kind)
+  SELECT a.doc_id, b.kind, CASE WHEN a.root = b.root THEN 1.0::DOUBLE WHEN len(list_distinct(a.leaf)) + len(list_distinct(b.leaf)) = 0 THEN 0.0::DOUBLE ELSE 2.0::DOUBLE * coalesce(n, 0)::DOUBLE / (len(list_distinct(a.leaf)) + len(list_distinct(b.leaf))) END AS near, b.root || '|' || b.shown AS fp
+  FROM trees a JOIN trees b ON a.doc_id = b.doc_id AND a.kind = 'text' LEFT JOIN shared ON shared.doc_id = b.doc_id AND shared.kind = b.kind)
 SELECT e.doc_id, e.n AS n_chars, sha256(e.edited) AS edited_sha256, t.fp AS fingerprint, d.fp AS edited_fingerprint, d.near AS near_edited, x.near AS near_next
 FROM edits e JOIN likely t ON t.doc_id = e.doc_id AND t.kind = 'text' JOIN likely d ON d.doc_id = e.doc_id AND d.kind = 'edited' JOIN likely x ON x.doc_id = e.doc_id AND x.kind = 'next'
 """

@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language_id, merkle, quality, simhash, toxicity, url_filter
+from clickweave.shipping import shipped
+
+from . import chat, decontaminate, html_wrapper, language_id, merkle, mixing, quality, simhash, toxicity, url_filter
 
 QUERIES = {
-    "op2_decontamination": decontaminate.op2_decontamination,
-    "op3_language_id": language_id.op3_language_id,
-    "op4_simhash": simhash.op4_simhash,
-    "op5_quality": quality.op5_quality,
-    "op7_toxicity": toxicity.op7_toxicity,
-    "op9_fingerprints": merkle.op9_fingerprints,
-    "op10_url_filter": url_filter.op10_url_filter,
+    f.__name__: shipped(f)
+    for f in (
+        chat.op1_chat_format,
+        decontaminate.op2_decontamination,
+        language_id.op3_language_id,
+        simhash.op4_simhash,
+        quality.op5_quality,
+        html_wrapper.op6_html_extraction,
+        toxicity.op7_toxicity,
+        mixing.op8_mixing,
+        merkle.op9_fingerprints,
+        url_filter.op10_url_filter,
+    )
 }
 
 ORACLE_SQL = {
