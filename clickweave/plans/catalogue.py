@@ -1,4 +1,118 @@
-"""All registered queries and their SQL twins."""
+"""All registered queries over the star-schema tables, and their SQL twins."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from clickweave.operators import items, overview, properties, sessions, tree, users
+from clickweave.sources import tables
+from clickweave.sources.tables import category_tree, events, item_properties, purchases
+
+from .oracle import ORACLE_SQL as ORACLE_SQL  # noqa: PLC0414
+
+#: Digits to which derived doubles are rounded, as summation order isn't fixed.
+DIGITS = 6
+
+
+def rounded(df: DataFrame) -> DataFrame:
+    return df.select(*[F.round(F.col(f"`{c}`"), DIGITS).alias(c) if t == "double" else F.col(f"`{c}`") for c, t in df.dtypes])
+
+
+def mapping(spark: SparkSession, d: str) -> DataFrame:
+    return properties.category_mapping(item_properties(spark, d))
+
+
+def marked(spark: SparkSession, d: str, gap: float = sessions.GAP_MINUTES) -> DataFrame:
+    return sessions.sessionized(events(spark, d), gap)
+
+
+def session_rows(spark: SparkSession, d: str, sequences: bool = False, gap: float = sessions.GAP_MINUTES) -> DataFrame:
+    return sessions.sessions(marked(spark, d, gap), sequences)
+
+
+def preference(spark: SparkSession, d: str) -> DataFrame:
+    return users.category_preference(events(spark, d), mapping(spark, d))
+
+
+def features(spark: SparkSession, d: str) -> DataFrame:
+    return items.item_features(events(spark, d), mapping(spark, d))
+
+
+def dated_pivot(spark: SparkSession, d: str) -> DataFrame:
+    return users.event_pivot(overview.enrich(events(spark, d)), "visitorid", "date")
+
+
+def flagged(spark: SparkSession, d: str) -> DataFrame:
+    return users.anomalies(users.activity(purchases(spark, d)))
+
+
+def shapes(spark: SparkSession, d: str) -> DataFrame:
+    found = [overview.dataset_shape(f(spark, d), n) for n, f in (("events", events), ("item_properties", item_properties), ("category_tree", category_tree))]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+def line_views(spark: SparkSession, d: str) -> DataFrame:
+    """Order lines as views of parts."""
+    return tables.table(spark, d, "lineitem").select(F.lit("view").alias("event"), F.col("l_partkey").alias("itemid"))
+
+
+def event_sequences(spark: SparkSession, d: str) -> DataFrame:
+    """Sessions with their sequences as text, which any engine prints alike."""
+    found = session_rows(spark, d, True, 120)
+    return found.withColumns({"item_sequence": F.array_join(F.transform("item_sequence", lambda x: x.cast("string")), ","), "event_sequence": F.array_join("event_sequence", ",")})
+
+
+PLANS = {
+    "dataset_shapes": shapes,
+    "events_sample": lambda s, d: events(s, d).orderBy("event_id").limit(5),
+    "null_percentages": lambda s, d: overview.null_percentages(events(s, d)),
+    "event_type_counts": lambda s, d: overview.value_counts(events(s, d), "event"),
+    "conversion_funnel": lambda s, d: overview.conversion_funnel(events(s, d)),
+    "event_time_span": lambda s, d: overview.time_span(events(s, d)),
+    "daily_event_counts": lambda s, d: overview.per_period(events(s, d), "date"),
+    "daily_event_average": lambda s, d: overview.daily_average(events(s, d)),
+    "hourly_event_counts": lambda s, d: overview.per_period(events(s, d), "hour"),
+    "weekday_event_counts": lambda s, d: overview.per_period(events(s, d), "dayofweek", "day_name").withColumnRenamed("dayofweek", "weekday"),
+    "visitor_item_summary": lambda s, d: overview.visitor_item_summary(events(s, d)),
+    "top_items": lambda s, d: overview.value_counts(events(s, d), "itemid", 20),
+    "longtail_concentration": lambda s, d: overview.concentration(line_views(s, d)),
+    "item_popularity_histogram": lambda s, d: overview.popularity_histogram(line_views(s, d)),
+    "property_counts": lambda s, d: overview.value_counts(item_properties(s, d), "property"),
+    "category_item_counts": lambda s, d: overview.value_counts(mapping(s, d), "categoryid"),
+    "category_mapping_summary": lambda s, d: properties.mapping_summary(mapping(s, d)),
+    "availability_ratio": lambda s, d: properties.availability(item_properties(s, d)),
+    "events_with_category": lambda s, d: properties.with_category(events(s, d), mapping(s, d)).select("event_id", "visitorid", "itemid", "event", "categoryid"),
+    "category_event_counts": lambda s, d: properties.category_event_counts(events(s, d), mapping(s, d)),
+    "top_categories": lambda s, d: properties.category_event_counts(events(s, d), mapping(s, d)).orderBy(F.desc("n"), "categoryid").limit(20),
+    "tree_summary": lambda s, d: tree.tree_summary(category_tree(s, d)),
+    "tree_root_depths": lambda s, d: tree.root_depths(category_tree(s, d)),
+    "tree_children_counts": lambda s, d: tree.children_counts(category_tree(s, d), 10),
+    "graph_degrees": lambda s, d: tree.degrees(category_tree(s, d)),
+    "graph_trimmed_edges": lambda s, d: tree.trimmed_edges(category_tree(s, d), 50, 20),
+    "user_event_pivot": lambda s, d: users.with_type(users.event_pivot(events(s, d))),
+    "user_type_distribution": lambda s, d: users.type_distribution(users.event_pivot(events(s, d))),
+    "user_day_type_distribution": lambda s, d: users.type_distribution(dated_pivot(s, d)),
+    "user_category_preference": preference,
+    "user_top_category": lambda s, d: users.top_category(preference(s, d)),
+    "users_with_category_preference": lambda s, d: users.users_with_preference(preference(s, d)),
+    "item_features": features,
+    "item_features_summary": lambda s, d: items.features_summary(features(s, d)),
+    "top_items_by_popularity": lambda s, d: items.top_by_popularity(features(s, d)),
+    "category_item_stats": lambda s, d: items.category_stats(features(s, d)),
+    "top_category_item_stats": lambda s, d: items.category_stats(features(s, d), 10),
+    "sessions": event_sequences,
+    "session_summary": lambda s, d: sessions.summary(session_rows(s, d)),
+    "session_pattern_distribution": lambda s, d: sessions.pattern_distribution(session_rows(s, d)),
+    "session_length_distribution": lambda s, d: sessions.length_distribution(session_rows(s, d)),
+    "session_length_distribution_720": lambda s, d: sessions.length_distribution(session_rows(s, d, False, 720)),
+    "conversion_by_session_length": lambda s, d: sessions.conversion_by_length(session_rows(s, d, False, 720)),
+    "item_transitions": lambda s, d: sessions.transitions(marked(s, d, 720), None),
+    "item_transitions_top": lambda s, d: sessions.transitions(marked(s, d)),
+    "user_activity_stats": lambda s, d: users.activity(events(s, d)),
+    "user_anomalies": flagged,
+    "anomaly_summary": lambda s, d: users.anomaly_summary(flagged(s, d)),
+    "top_anomalies": lambda s, d: users.top_anomalies(flagged(s, d)),
+}
+
+QUERIES = {name: (lambda s, d, f=f: rounded(f(s, d))) for name, f in PLANS.items()}
