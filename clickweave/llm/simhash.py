@@ -4,10 +4,12 @@ A fingerprint's 64 bits are cut into `tau + 1` segments on a ring. If two finger
 some segment on every run of l consecutive segments differs in at most l - 1 bits (the pigeonring principle): the
 first is equal and the second differs in one bit or none. So each distinct fingerprint is indexed under (start, first
 segment, second segment) and probes each key with the second segment as it is and with each of its bits
-flipped: rows grow with the fingerprints, and a key has 26 bits. A match must hold the budgets of the longer runs, be
-the pair's first such start, and pass the full Hamming check, so each pair comes out once.
+flipped: rows grow with the fingerprints, and a key has 26 bits. A match must hold the budgets of the longer runs, start
+with the pair's first such segment, and pass the full Hamming check.
 
 Copies count once: fingerprints are grouped before the search, which works on distinct fingerprints, and members are joined back.
+A group of near copies isn't searched for all its pairs: fingerprints are first linked to a few representatives of each key, and
+the search then looks only for links between the components that these links leave.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ from .common import checkpointed, table
 SHINGLE, TAU, SEED = 4, 4, 42
 #: Copies of the smaller side of a join whose key may be hot.
 SALTS = 16
+#: Representatives of each key; distinct fingerprints above which a component counts as big.
+STARS, BIG = 3, 64
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -80,22 +84,50 @@ def first_start(xor: Column, tau: int) -> Column:
     return cases
 
 
-def linked_pairs(prints: DataFrame, tau: int = TAU) -> DataFrame:
-    """Pairs (a, b) of ids whose distinct fingerprints differ in at most tau bits, each once. `prints`: id, fp."""
+def ring_key(fp: Column, i: int, tau: int) -> Column:
+    """Start segment, its bits, and the bits of the next segment, as one number."""
     parts = segments(tau)
-    m = len(parts)
-    fp, span = F.col("fp"), max(w for _, w in parts)
-    exact, flipped = [], []
-    for i in range(m):
-        nxt = parts[(i + 1) % m]
-        head = F.shiftleft(F.lit(i).cast("long") * (1 << span) + cut(fp, *parts[i]), span)
-        exact.append(head + cut(fp, *nxt))
-        flipped += [head + cut(fp, *nxt), *(head + cut(fp, *nxt).bitwiseXOR(F.lit(1 << b)) for b in range(nxt[1]))]
-    index = prints.select(F.explode(F.array(*exact)).alias("key"), F.col("fp").alias("fp_b"), F.col("id").alias("b"))
-    probe = prints.select(F.explode(F.array(*flipped)).alias("key"), F.col("fp").alias("fp_a"), F.col("id").alias("a"))
-    xor = F.col("fp_a").bitwiseXOR(F.col("fp_b"))
-    near = (F.col("fp_a") < F.col("fp_b")) & (F.bit_count(xor) <= tau) & (first_start(xor, tau) == F.shiftright(probe["key"], 2 * span))
-    return probe.join(index, (probe["key"] == index["key"]) & near).select("a", "b")
+    span = max(w for _, w in parts)
+    return F.shiftleft(F.lit(i).cast("long") * (1 << span) + cut(fp, *parts[i]), span) + cut(fp, *parts[(i + 1) % len(parts)])
+
+
+def indexed(prints: DataFrame, tau: int) -> DataFrame:
+    return prints.select("*", F.explode(F.array(*[ring_key(F.col("fp"), i, tau) for i in range(tau + 1)])).alias("key"))
+
+
+def star_links(prints: DataFrame, tau: int = TAU) -> DataFrame:
+    """Links (a, b) of each fingerprint to a few that stand for its keys, if they are near; linear in the fingerprints."""
+    keyed = indexed(prints, tau)
+    chosen = [F.min(F.struct(F.xxhash64("fp", F.lit(seed)).alias("h"), "fp", "id")) for seed in range(STARS)]
+    marks = keyed.groupBy("key").agg(F.count("*").alias("n"), F.array_distinct(F.array(*chosen)).alias("marks")).filter("n > 1").select("key", F.explode("marks").alias("mark"))
+    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("mark.fp"))) <= tau
+    return keyed.join(marks, "key").filter(near & (F.col("id") != F.col("mark.id"))).select(F.col("id").alias("a"), F.col("mark.id").alias("b"))
+
+
+def cross_links(labelled: DataFrame, tau: int = TAU) -> DataFrame:
+    """Pairs (a, b) of components that a link between fingerprints joins. `labelled`: id, fp, component, big.
+
+    Fingerprints of one component never meet: a probe enters a key's big and small sides only if they hold other components, and
+    of two fingerprints in a small and a big component the small one's probes.
+    """
+    parts = segments(tau)
+    span = max(w for _, w in parts)
+    fp, xor = F.col("fp"), F.col("fp").bitwiseXOR(F.col("fp_b"))
+    index = indexed(labelled, tau)
+    large, small = F.when(F.col("big"), F.col("component")), F.when(~F.col("big"), F.col("component"))
+    held = index.groupBy("key").agg(F.min(large).alias("l0"), F.max(large).alias("l1"), F.min(small).alias("s0"), F.max(small).alias("s1"))
+    flips = [ring_key(fp, i, tau) for i in range(tau + 1)]
+    flips += [k.bitwiseXOR(F.lit(1 << b)) for i, k in enumerate(flips) for b in range(parts[(i + 1) % len(parts)][1])]
+    mine = F.col("component")
+    others = lambda low, high: low.isNotNull() & ((low != mine) | (high != mine))
+    into_big, into_small = others(F.col("l0"), F.col("l1")), ~F.col("big") & others(F.col("s0"), F.col("s1"))
+    probes = labelled.select("*", F.explode(F.array(*flips)).alias("key")).join(held, "key").filter(into_big | into_small)
+    probes = probes.select("key", "fp", "component", "big", F.explode(F.filter(F.array(F.when(into_big, F.lit(True)), F.when(into_small, F.lit(False))), lambda x: x.isNotNull())).alias("side"))
+    entries = index.select("key", F.col("big").alias("side"), F.col("fp").alias("fp_b"), F.col("component").alias("other"))
+    chain = first_start(xor, tau) == F.shiftright("key", 2 * span)
+    once = (F.col("big") != F.col("side")) | (F.col("fp") < F.col("fp_b"))
+    found = probes.join(entries, ["key", "side"]).filter((mine != F.col("other")) & once & chain & (F.bit_count(xor) <= tau))
+    return found.select(F.least(mine, "other").alias("a"), F.greatest(mine, "other").alias("b")).distinct()
 
 
 def components(edges: DataFrame, most: int = 100) -> DataFrame:
@@ -117,8 +149,22 @@ def components(edges: DataFrame, most: int = 100) -> DataFrame:
     raise RuntimeError(f"labels still move after {most} rounds")
 
 
+def linked_components(prints: DataFrame, tau: int = TAU) -> DataFrame:
+    """(id, component) of every fingerprint that links to another. `prints`: id, fp, both distinct, checkpointed.
+
+    First, fingerprints are linked to a few representatives of their keys; then only links between different components
+    are looked for, so the links inside a group of near copies are never listed.
+    """
+    stars = components(star_links(prints, tau))
+    sizes = stars.groupBy("component").agg(F.count("*").alias("size")).filter(F.col("size") > BIG).select("component", F.lit(True).alias("big"))
+    labelled = prints.join(stars, "id", "left").select("id", "fp", F.coalesce("component", "id").alias("component")).join(sizes, "component", "left").select("id", "fp", "component", F.coalesce("big", F.lit(False)).alias("big"))
+    joined = components(cross_links(checkpointed(labelled), tau)).select(F.col("id").alias("component"), F.col("component").alias("lowest"))
+    ends = stars.unionByName(joined.select(F.col("component").alias("id"), "component")).groupBy("id").agg(F.min("component").alias("component"))
+    return ends.join(joined, "component", "left").select("id", F.coalesce("lowest", "component").alias("component"))
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", tau: int = TAU) -> DataFrame:
-    """doc_id, fingerprint, component_id and links (distinct fingerprints it links to) of every row.
+    """doc_id, fingerprint and component_id of every row.
 
     Defined results: a text without words has fingerprint zero and links like any other; a null id takes part in no
     link, and gets the smallest id that has its fingerprint, if any; repeated rows give repeated rows.
@@ -127,14 +173,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", ta
         raise ValueError(f"{key} must be an integer")
     prints = checkpointed(docs.select(F.col(key).cast("long").alias("doc_id"), fingerprints(F.col(text)).alias("fp")))
     groups = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("id"), F.count("*").alias("n")))
-    pairs = checkpointed(linked_pairs(groups.filter("id IS NOT NULL").select("id", "fp"), tau))
-    degrees = pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("links"))
-    linked = components(pairs).join(degrees, "id")
+    linked = linked_components(groups.filter("id IS NOT NULL").select("id", "fp"), tau)
     # only fingerprints with several rows or with links differ from "its own component"
-    shared = groups.join(linked, "id", "left").filter("n > 1 OR component IS NOT NULL").select("fp", F.coalesce("component", "id").alias("component"), "links")
+    shared = groups.join(linked, "id", "left").filter("n > 1 OR component IS NOT NULL").select("fp", F.coalesce("component", "id").alias("component"))
     salted = shared.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     rows = prints.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    return rows.join(salted, ["fp", "salt"], "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("links", F.lit(0)).alias("links"))
+    return rows.join(salted, ["fp", "salt"], "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
