@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows that a kernel turns into one dense block; bounds a Python worker's memory.
@@ -78,6 +78,11 @@ def in_blocks(score: Callable[[list], pd.DataFrame], batches: Iterator[pd.Series
         yield pd.concat(parts, ignore_index=True) if parts else score([])
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of `value`, which is worked out once a row however often `body` uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 #: Rows up to which a side is broadcast; beyond, the larger side's keys are salted.
 BROADCAST_ROWS, SALTS = 200_000, 16
 

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, table
+from .common import BROADCAST_ROWS, checkpointed, let, table
 
 WORDS, THRESHOLD = 5, 0.8
 #: Sketch values up to which they are broadcast (16 bytes each); beyond, the join is left to Spark.
@@ -32,24 +32,27 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def shingles(word: Column, width: Column, join) -> Column:
-    """`join` of every run of `width` words."""
-    return F.when(F.size(word) >= width, F.transform(F.sequence(F.lit(1), F.size(word) - width + 1), lambda i: join(F.slice(word, i, width)))).otherwise(F.array().cast("array<string>") if join is spaced else F.array().cast("array<bigint>"))
+def runs(text: Column, width: int | Column, most: int, made) -> Column:
+    """`made` of every run of `width` words (`most` at most), in order; empty for fewer words. The words are cut once."""
+    return let(words(text), lambda w: F.when(F.size(w) >= width, F.transform(F.sequence(F.lit(0), F.size(w) - width), lambda i: made(w, i, width, most))))
 
 
-def spaced(part: Column) -> Column:
-    return F.array_join(part, " ")
+def spaced(w: Column, i: Column, size: int | Column, most: int) -> Column:
+    return F.array_join(F.slice(w, i + 1, F.lit(size) if isinstance(size, int) else size), " ")
 
 
-def hashed(part: Column) -> Column:
-    return F.xxhash64(part)
+def hashed(w: Column, i: Column, size: int | Column, most: int) -> Column:
+    """A hash of the words of the run; nulls beyond `size` leave it as it is."""
+    if isinstance(size, int):
+        return F.xxhash64(*[F.get(w, i + k) for k in range(size)])
+    return F.xxhash64(*[F.when(F.lit(k) < size, F.get(w, i + k)) for k in range(most)])
 
 
 def sketched(items: DataFrame, key: str, text: str, width: int, threshold: float) -> DataFrame:
     """item_id, width, need, shingles (distinct texts) and sketch (hashes) of every item that has words."""
-    base = items.select(F.col(key).alias("item_id"), words(F.col(text)).alias("w")).filter("size(w) > 0 AND item_id IS NOT NULL")
-    base = base.withColumn("width", F.least(F.lit(width), F.size("w")))
-    base = base.select("item_id", "width", F.array_distinct(shingles(F.col("w"), F.col("width"), spaced)).alias("shingles"), F.array_distinct(shingles(F.col("w"), F.col("width"), hashed)).alias("hashes")).distinct()
+    base = items.select(F.col(key).alias("item_id"), F.col(text).alias("t"), F.size(words(F.col(text))).alias("n")).filter("n > 0 AND item_id IS NOT NULL")
+    base = base.select("item_id", F.least(F.lit(width), F.col("n")).alias("width"), "t")
+    base = base.select("item_id", "width", F.array_distinct(runs(F.col("t"), F.col("width"), width, spaced)).alias("shingles"), F.array_distinct(runs(F.col("t"), F.col("width"), width, hashed)).alias("hashes")).distinct()
     q = F.size("shingles")
     need = F.ceil(F.round(q * F.lit(threshold), 9)).cast("int")
     # the partition's largest size is 2^j >= q; what may be missing there, plus one
@@ -58,26 +61,28 @@ def sketched(items: DataFrame, key: str, text: str, width: int, threshold: float
     return base.select("item_id", "width", need.alias("need"), "shingles", F.slice(F.array_sort("hashes"), F.lit(1), F.greatest(length, F.lit(1))).alias("sketch"))
 
 
-def candidates(docs: DataFrame, key: str, text: str, sketches: DataFrame) -> DataFrame:
+def candidates(docs: DataFrame, key: str, text: str, sketches: DataFrame, width: int) -> DataFrame:
     """Distinct (key, item_id) that share a sketch value and whose sizes allow the item. `sketches` is checkpointed."""
-    widths = [r[0] for r in sketches.select("width").distinct().collect()]  # five values at most
+    widths = [r[0] for r in sketches.select("width").distinct().collect()]  # `width` values at most
     if not widths:
         return docs.select(key).crossJoin(sketches.select("item_id")).limit(0)
     values = sketches.select(F.explode("sketch").alias("hash"), "item_id", "need", "width")
     if values.count() <= BROADCAST_VALUES:
         values = F.broadcast(values)
-    word = docs.select(key, words(F.col(text)).alias("w"))
-    parts = [word.select(key, F.lit(n).alias("width"), F.size("w").alias("n_words"), F.explode(F.array_distinct(shingles(F.col("w"), F.lit(n), hashed))).alias("hash")) for n in sorted(widths)]
+    parts = [docs.select(key, F.lit(n).alias("width"), runs(F.col(text), n, width, hashed).alias("h")).select(key, "width", F.size("h").alias("n_runs"), F.explode("h").alias("hash")) for n in sorted(widths)]
     found = parts[0]
     for p in parts[1:]:
         found = found.unionByName(p)
-    return found.join(values, ["hash", "width"]).filter(F.col("n_words") - F.col("width") + 1 >= F.col("need")).select(key, "item_id").distinct()
+    return found.join(values, ["hash", "width"]).filter(F.col("n_runs") >= F.col("need")).select(key, "item_id").distinct()
 
 
-def verified(docs: DataFrame, key: str, text: str, pairs: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
-    """The pairs whose exact containment reaches the threshold, with the counts."""
+def verified(docs: DataFrame, key: str, text: str, pairs: DataFrame, sketches: DataFrame, threshold: float, width: int) -> DataFrame:
+    """The pairs whose exact containment reaches the threshold, with the counts. `pairs` is checkpointed."""
+    few = pairs.count() <= BROADCAST_ROWS
+    items = sketches.select("item_id", "width", "shingles")
     full = docs.select(F.col(key).alias("_k"), F.col(text).alias("_t"))
-    near = pairs.join(sketches.select("item_id", "width", "shingles"), "item_id").join(full, F.col(key) == F.col("_k")).select(key, "item_id", "shingles", F.array_intersect("shingles", shingles(words(F.col("_t")), F.col("width"), spaced)).alias("both"))
+    near = full.join(F.broadcast(pairs) if few else pairs, F.col("_k") == F.col(key)).join(items, "item_id")
+    near = near.select(key, "item_id", "shingles", F.array_intersect("shingles", runs(F.col("_t"), F.col("width"), width, spaced)).alias("both"))
     q = F.size("shingles")
     return near.select(key, "item_id", q.alias("n_shingles"), F.size("both").alias("n_shared"), (F.size("both") / q).alias("containment")).filter(F.col("n_shared") >= F.round(q * F.lit(threshold), 9)).distinct()
 
@@ -86,16 +91,16 @@ def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
     """Every document and item that it contains: key, item_id, n_shingles, n_shared, containment."""
     sketches = checkpointed(sketched(items, item_key, item_text, width, threshold))
     docs = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).filter("_key IS NOT NULL")
-    pairs = checkpointed(candidates(docs, "_key", "_text", sketches))
-    return verified(docs, "_key", "_text", pairs, sketches, threshold).withColumnRenamed("_key", key)
+    pairs = checkpointed(candidates(docs, "_key", "_text", sketches, width))
+    return verified(docs, "_key", "_text", pairs, sketches, threshold, width).withColumnRenamed("_key", key)
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", width: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
     """`docs` without those that contain an item; the same text always gets the same verdict."""
     named = docs.select(F.sha2(F.col(text), 256).alias("_key"), F.col(text).alias("_text")).filter("_key IS NOT NULL")
     sketches = checkpointed(sketched(items, item_key, item_text, width, threshold))
-    pairs = checkpointed(candidates(named, "_key", "_text", sketches))
-    leaks = verified(named, "_key", "_text", pairs, sketches, threshold).select(F.col("_key").alias("_leak")).distinct()
+    pairs = checkpointed(candidates(named, "_key", "_text", sketches, width))
+    leaks = verified(named, "_key", "_text", pairs, sketches, threshold, width).select(F.col("_key").alias("_leak")).distinct()
     return docs.join(checkpointed(leaks), F.sha2(F.col(text), 256) == F.col("_leak"), "left_anti")
 
 

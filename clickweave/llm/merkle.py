@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import let, table
 
 PIECE, RANGE = 8, 4096
 SHORT = 16
@@ -30,11 +30,6 @@ SHORT = 16
 PIECES = r"\s*+(?:\S++\s*+){1,%d}+|\s++" % PIECE
 
 
-def let(value: Column, body) -> Column:
-    """`body` of `value`, which is worked out once however often `body` uses it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def node(children: Column, mark: str) -> Column:
     return F.sha2(F.array_join(children, mark), 256)
 
