@@ -88,13 +88,13 @@ def fit(sample: pd.DataFrame, text: str, label: str, landmarks: int = LANDMARKS,
     """The classifier of a bounded sample; repeated texts count once."""
     sample = sample.dropna(subset=[label]).drop_duplicates([text, label])
     sample = sample.assign(_grams=[grams(t) for t in sample[text]])
-    sample = sample[sample._grams.str.len() > 0].sort_values([label, text], kind="stable")
+    sample = sample[sample._grams.map(len) > 0].sort_values([label, text], kind="stable")
     languages = sorted(sample[label].unique())
     if not languages:
         return Kernel(np.zeros(1, np.int64), np.zeros((1, 1), np.float32), np.ones(1), np.zeros((1, 0)), [])
     each = max(1, landmarks // len(languages))
     # spread over the text lengths, so that short texts have landmarks of their kind
-    marks = [g for _, part in sample.groupby(label, sort=True) for g in part.assign(n=part._grams.str.len()).sort_values("n", kind="stable")._grams.iloc[np.unique(np.linspace(0, len(part) - 1, each).astype(int))]]
+    marks = [g for _, part in sample.groupby(label, sort=True) for g in part.assign(n=part._grams.map(len)).sort_values("n", kind="stable")._grams.iloc[np.unique(np.linspace(0, len(part) - 1, each).astype(int))]]
     vocabulary = np.unique(np.concatenate(marks))
     presence = np.zeros((len(marks), len(vocabulary)), np.float32)
     for row, g in zip(presence, marks, strict=True):
