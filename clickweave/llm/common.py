@@ -83,13 +83,20 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-#: Rows up to which a side is broadcast; beyond, the larger side's keys are salted.
-BROADCAST_ROWS, SALTS = 200_000, 16
+#: Rows, and bytes of text, up to which a side is broadcast; beyond either, the larger side's keys are salted.
+BROADCAST_ROWS, BROADCAST_BYTES, SALTS = 200_000, 32 << 20, 16
+
+
+def broadcastable(small: DataFrame) -> bool:
+    """Whether the rows and the texts of `small`, which is checkpointed, are within the bounds."""
+    texts = [F.coalesce(F.octet_length(c), F.lit(0)).cast("long") for c, kind in small.dtypes if kind == "string"]
+    rows, size = small.agg(F.count("*"), F.coalesce(F.sum(sum(texts, F.lit(0).cast("long"))), F.lit(0))).first()
+    return rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES
 
 
 def join_small(rows: DataFrame, small: DataFrame, keys: list[str], spread: str) -> DataFrame:
     """`rows` left joined with `small`, which has each key once and is checkpointed; `spread` is a column that salts hot keys."""
-    if small.count() <= BROADCAST_ROWS:
+    if broadcastable(small):
         return rows.join(F.broadcast(small), keys, "left")
     salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).join(salted, [*keys, "_salt"], "left").drop("_salt")

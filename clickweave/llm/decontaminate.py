@@ -65,7 +65,7 @@ def candidates(docs: DataFrame, key: str, text: str, sketches: DataFrame, width:
     """Distinct (key, item_id) that share a sketch value and whose sizes allow the item. `sketches` is checkpointed."""
     widths = [r[0] for r in sketches.select("width").distinct().collect()]  # `width` values at most
     if not widths:
-        return docs.select(key).crossJoin(sketches.select("item_id")).limit(0)
+        return docs.select(key, F.lit(None).cast(sketches.schema["item_id"].dataType).alias("item_id")).limit(0)
     values = sketches.select(F.explode("sketch").alias("hash"), "item_id", "need", "width")
     if values.count() <= BROADCAST_VALUES:
         values = F.broadcast(values)
