@@ -29,6 +29,7 @@ from html import unescape
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from xxhash import xxh64_hexdigest
 
 from .common import checkpointed, join_small, table, without
 from .url_filter import split_url
@@ -48,27 +49,29 @@ NOISE_ROLES = set("banner complementary contentinfo navigation search form alert
 MAIN = {"article", "main"}
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][\w:.-]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][\w:.-]*)([^>]*)>""", re.S | re.I)
-ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
 
 @lru_cache(4096)
 def opened(name: str, attributes: str) -> tuple[str, bool]:
-    """Key of an opening tag, and whether it encloses noise."""
+    """Key of an opening tag, which tells its noise and all of its class and id; and whether it encloses noise."""
     words: list[str] = []
     noise, shown = name in NOISE, ""
     for a, *values in ATTRIBUTE.findall(attributes):
         value = next((v for v in values if v), "")
-        if a.lower() == "role":
+        if (a := a.lower()) == "role":
             noise |= value.lower() in NOISE_ROLES
-        elif a.lower() == "hidden":
+        elif a == "hidden":
             noise |= not value or value.lower() == "hidden"
-        else:
+        elif a in ("class", "id"):
             words += [w.lower() for w in WORD.findall(value)]
-            shown += ("." if a.lower() == "class" else "#") + re.sub(r"\d+", "9", value)
+            shown += ("." if a == "class" else "#") + re.sub(r"\d+", "9", value)
     if name not in ("html", "body", "main"):
         noise |= bool(NOISE_WORDS & set(words))
-    return name + shown[:80], noise
+    if len(shown) > 80:
+        shown = f"{shown[:64]}~{xxh64_hexdigest(shown.encode('utf-8', 'surrogatepass'))}"
+    return name + "!" * noise + shown, noise
 
 
 def events(html: str) -> list[tuple[str, str, str]]:
@@ -121,27 +124,38 @@ class Regions:
         return 0 if self.noise else 2 if self.main else 1
 
 
-# A node of a wrapper is [key, noise, optional, body, texts]: key is an opening tag's, `/` and a closing tag's name, `#` for a text slot,
-# or `+` and the first key of a repeated group; body are the nodes of a group; texts are the numbers of a page's texts at a slot.
+# A node of a wrapper is [key, optional, body, texts]: key is an opening tag's, `/` and a closing tag's name, `#` and the label of a text
+# slot, or `+` and the first key of a repeated group; body are the nodes of a group; texts are the numbers of a page's texts at a slot.
+# As a slot's key has its label, texts that noise encloses on one page never share a slot with main text of another.
+
+
+def node(key: str, texts: Iterable[int] = ()) -> list:
+    return [key, False, None, list(texts)]
 
 
-def node(key: str, texts: Iterable[int] = (), noise: bool = False) -> list:
-    return [key, noise, False, None, list(texts)]
+KEY, OPTIONAL, BODY, TEXTS = range(4)
 
 
-KEY, BAD, OPTIONAL, BODY, TEXTS = range(5)
+def own_labels(found: list[tuple[str, str, str]]) -> tuple[list[int], bool]:
+    """The label of every text by the page's own tags (-1 for tags), and whether there is an article."""
+    regions, own = Regions(), []
+    for kind, x, attributes in found:
+        if kind == "<":
+            regions.open(x, opened(x, attributes)[1])
+        elif kind == ">":
+            regions.close(x)
+        own.append(regions.label() if kind == "#" else -1)
+    return own, regions.any_main
 
 
-def stream(found: list[tuple[str, str, str]]) -> list[list]:
+def stream(found: list[tuple[str, str, str]], own: list[int]) -> list[list]:
     out = []
     for i, (kind, x, attributes) in enumerate(found):
         if kind == "#":
             if x.strip():
-                out.append(node("#", [i]))
-        elif kind == "<":
-            out.append(node(*((k := opened(x, attributes))[:1]), noise=k[1]))
+                out.append(node(f"#{own[i]}", [i]))
         else:
-            out.append(node("/" + x))
+            out.append(node(opened(x, attributes)[0] if kind == "<" else "/" + x))
     return out
 
 
@@ -160,12 +174,12 @@ def align(a: list[list], b: list[list]) -> list[list]:
         if kind == "equal":
             out += [merged(x, y) for x, y in zip(a[i:j], b[k:l], strict=True)]
         else:
-            out += [[n[KEY], n[BAD], True, n[BODY], n[TEXTS]] for n in a[i:j] + b[k:l]]
+            out += [[n[KEY], True, n[BODY], n[TEXTS]] for n in a[i:j] + b[k:l]]
     return out
 
 
 def merged(x: list, y: list) -> list:
-    return [x[KEY], x[BAD] or y[BAD], x[OPTIONAL] or y[OPTIONAL], align(x[BODY], y[BODY]) if x[BODY] is not None else None, x[TEXTS] + y[TEXTS]]
+    return [x[KEY], x[OPTIONAL] or y[OPTIONAL], align(x[BODY], y[BODY]) if x[BODY] is not None else None, x[TEXTS] + y[TEXTS]]
 
 
 def alike(a: list[list], b: list[list]) -> bool:
@@ -175,7 +189,7 @@ def alike(a: list[list], b: list[list]) -> bool:
 
 
 def group(body: list[list]) -> list:
-    return ["+" + body[0][KEY], False, False, body, []]
+    return ["+" + body[0][KEY], False, body, []]
 
 
 def covers(body: list[list], nodes: list[list], at: int) -> int:
@@ -237,26 +251,16 @@ def fold(nodes: list[list]) -> list[list]:
 
 def bare(nodes: list[list]) -> list[list]:
     """Without the numbers of a page's texts."""
-    return [[k, bad, opt, None if body is None else bare(body), []] for k, bad, opt, body, _ in nodes]
+    return [[k, opt, None if body is None else bare(body), []] for k, opt, body, _ in nodes]
 
 
 def labelled(nodes: list[list]) -> list[list]:
-    """`nodes`, each slot's texts replaced by [label]; and whether there is an article."""
-    regions, slots = Regions(), []
-
-    def walk(part: list[list]) -> None:
-        for n in part:
-            if n[BODY] is not None:
-                walk(n[BODY])
-            elif n[KEY] == "#":
-                n[TEXTS] = [("label", regions.label())]
-                slots.append(n)
-            elif n[KEY][0] == "/":
-                regions.close(n[KEY][1:])
-            else:
-                regions.open(re.split(r"[.#]", n[KEY], maxsplit=1)[0], n[BAD])
-
-    walk(nodes)
+    """`nodes`, each slot's texts replaced by its label."""
+    for n in nodes:
+        if n[BODY] is not None:
+            labelled(n[BODY])
+        elif n[KEY][0] == "#":
+            n[TEXTS] = [("label", int(n[KEY][1:]))]
     return nodes
 
 
@@ -280,19 +284,13 @@ def wrapper_of(text: str) -> list[list]:
 def main_text(html: str | None, wrapper: str | None) -> str:
     """The main text of a page by its host's wrapper."""
     found = events(html or "")
-    regions, own = Regions(), []
-    for kind, x, attributes in found:
-        if kind == "<":
-            regions.open(x, opened(x, attributes)[1])
-        elif kind == ">":
-            regions.close(x)
-        own.append(regions.label() if kind == "#" else -1)
+    own, any_main = own_labels(found)
     labels: dict[int, int] = {}
-    if wrapper and regions.any_main:
-        folded = fold(stream(found))
+    if wrapper and any_main:
+        folded = fold(stream(found, own))
         if len(folded) <= LONGEST:
             labels = slot_labels(align(wrapper_of(wrapper), folded), {})
-    wanted = 2 if regions.any_main else 1
+    wanted = 2 if any_main else 1
     blocks: list[list[str]] = [[]]
     for i, (kind, x, _) in enumerate(found):
         if kind == "#":
@@ -311,7 +309,8 @@ def induce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     seen: set = set()
     for pdf in batches:
         for host, html in zip(pdf["host"], pdf["html"], strict=True):
-            nodes = fold(stream(events(html or "")))
+            found = events(html or "")
+            nodes = fold(stream(found, own_labels(found)[0]))
             if not nodes or len(nodes) > LONGEST:
                 continue
             shape = (host, json.dumps(bare(nodes)))

@@ -240,6 +240,15 @@ def test_wrappers_fold_repeats_and_make_the_rest_optional(spark):
     assert '"+li"' in wrapper and '"+p"' in wrapper
 
 
+
+def test_noise_of_one_page_spares_its_host(spark):
+    long = "c" * 90
+    pages = ["<article><p>one</p><p>two</p></article>", "<article><p hidden>gone</p><p>three</p></article>", "<article><div>four</div></article>", '<article><div role="alert">gone</div>five</article>']
+    pages += [f'<article><div class="{long}">six</div></article>', f'<article><div class="{long} promo">gone</div></article>', '<article><p style="overflow:hidden" data-id="ad">seven</p></article>']
+    rows = spark.createDataFrame([(i, f"http://h.org/{i}", h) for i, h in enumerate(pages)], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html_wrapper.extract(rows).collect()} == dict(enumerate(["one\ntwo", "three", "four", "five", "six", "", "seven"]))
+
+
 # mixing
 
 
