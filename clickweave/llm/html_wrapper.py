@@ -2,14 +2,16 @@
 
 A page is a stream of tags and texts. Repeated stretches of the stream are folded into repeated groups; then the folded streams of a host's
 pages are aligned one after the other, and what only some of them have becomes optional. The result is a union-free
-regular expression of tags, text slots, optional nodes and repeated groups: the host's wrapper. Its slots are labelled by
-what encloses them: main text inside the article, noise inside menus, headers, footers, sidebars, notices,
-adverts, forms and comments. A page's texts get the labels of the slots that they align with.
+regular expression of tags, text slots, optional nodes and repeated groups: the host's wrapper. A slot's key has the label of
+what encloses it: main text inside the article, noise inside menus, headers, footers, sidebars, notices,
+adverts, forms and comments. Whatever its label, a slot that has one and the same text on `LEAST_PAGES` different pages or more, and no
+other text on any page, is template: a block of a page is left out if all its texts align with such slots.
 
 All pages take part. A task merges the pages that it reads into one wrapper for each host, these are merged in two levels, so a hot
-host is never one task's. A page whose folded stream is longer than `LONGEST` nodes forms no wrapper; its texts, like those
-that align with no slot, get labels from the page's own tags by the same rules. A page without article or main
-element has main text wherever no noise encloses it.
+host is never one task's. Streams are aligned by blocks of `LONGEST` nodes. Texts that align with no template slot have the label
+that the page's own tags give. A page without article or main element has main text wherever no noise encloses it and the wrapper
+finds no template. Near copies of one page don't make its text template: pages count as different for a text only if their two
+longest other texts outside noise differ.
 
 Defined results: null or empty html gives an empty text; character references are decoded, white space in a block becomes one
 blank, blocks are joined by a line break in page order; tags may be left open or closed in the wrong order; repeated
@@ -25,17 +27,20 @@ from collections.abc import Iterable, Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
 from html import unescape
+from itertools import zip_longest
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from xxhash import xxh64_hexdigest
+from xxhash import xxh64_hexdigest, xxh64_intdigest
 
 from .common import checkpointed, join_small, table, without
 from .url_filter import split_url
 
-#: Longest repeated stretch that is folded; longest folded stream that is merged; hosts that a task holds at once.
-PERIOD, LONGEST, HELD = 24, 4096, 10_000
+#: Longest repeated stretch that is folded; nodes of a folded stream that are aligned at once; nodes that a task holds at once.
+PERIOD, LONGEST, HELD = 24, 4096, 400_000
+#: Different pages that a text must be on to be template.
+LEAST_PAGES = 4
 SALTS = 64
 
 #: Element names and words of class or id.
@@ -125,7 +130,8 @@ class Regions:
 
 
 # A node of a wrapper is [key, optional, body, texts]: key is an opening tag's, `/` and a closing tag's name, `#` and the label of a text
-# slot, or `+` and the first key of a repeated group; body are the nodes of a group; texts are the numbers of a page's texts at a slot.
+# slot, or `+` and the first key of a repeated group; body are the nodes of a group; texts are the numbers of a page's texts at a slot,
+# in a host's wrapper [[hash of its one text or null, hashes that tell LEAST_PAGES of its pages apart]], and [template or not] when it is used.
 # As a slot's key has its label, texts that noise encloses on one page never share a slot with main text of another.
 
 
@@ -179,7 +185,15 @@ def align(a: list[list], b: list[list]) -> list[list]:
 
 
 def merged(x: list, y: list) -> list:
-    return [x[KEY], x[OPTIONAL] or y[OPTIONAL], align(x[BODY], y[BODY]) if x[BODY] is not None else None, x[TEXTS] + y[TEXTS]]
+    return [x[KEY], x[OPTIONAL] or y[OPTIONAL], align(x[BODY], y[BODY]) if x[BODY] is not None else None, united(x[TEXTS], y[TEXTS])]
+
+
+def united(x: list, y: list) -> list:
+    """The texts of a merged slot: a page's numbers together, and two slots' evidence as one."""
+    if not (x and y and isinstance(x[0], list) and isinstance(y[0], list)):
+        return x + y
+    (one, pages), (other, more) = x[0], y[0]
+    return [[one, sorted({*pages, *more})[:LEAST_PAGES]]] if one == other and one is not None else [[None, []]]
 
 
 def alike(a: list[list], b: list[list]) -> bool:
@@ -249,78 +263,125 @@ def fold(nodes: list[list]) -> list[list]:
     return out
 
 
-def bare(nodes: list[list]) -> list[list]:
-    """Without the numbers of a page's texts."""
-    return [[k, opt, None if body is None else bare(body), []] for k, opt, body, _ in nodes]
+def digest(text: str) -> int:
+    return xxh64_intdigest(text.encode("utf-8", "surrogatepass"))
+
+
+def witnessed(nodes: list[list], found: list[tuple[str, str, str]], own: list[int]) -> list[list]:
+    """A page's nodes with evidence in place of the numbers of its texts."""
+    shown = {i: " ".join(x.split()) for i, (kind, x, _) in enumerate(found) if kind == "#"}
+    longest = sorted({x for i, x in shown.items() if own[i]}, key=lambda x: (-len(x), x))[:3]
+
+    def evidence(texts: list[int]) -> list:
+        if len(kinds := {shown[i] for i in texts}) > 1:
+            return [[None, []]]
+        (one,) = kinds
+        return [[digest(one), [digest("\n".join([x for x in longest if x != one][:2]))]]]
+
+    def walk(part: list[list]) -> list[list]:
+        return [[k, opt, None if body is None else walk(body), evidence(texts) if texts else []] for k, opt, body, texts in part]
+
+    return walk(nodes)
+
+
+def shape(nodes: list[list]) -> tuple:
+    return tuple((k, opt, None if body is None else shape(body)) for k, opt, body, _ in nodes)
 
 
-def labelled(nodes: list[list]) -> list[list]:
-    """`nodes`, each slot's texts replaced by its label."""
+def size(nodes: list[list]) -> int:
+    return sum(1 if n[BODY] is None else 1 + size(n[BODY]) for n in nodes)
+
+
+def judged(nodes: list[list]) -> list[list]:
+    """`nodes`, each slot's evidence replaced by whether it is template."""
     for n in nodes:
         if n[BODY] is not None:
-            labelled(n[BODY])
-        elif n[KEY][0] == "#":
-            n[TEXTS] = [("label", int(n[KEY][1:]))]
+            judged(n[BODY])
+        elif n[TEXTS]:
+            one, pages = n[TEXTS][0]
+            n[TEXTS] = [one is not None and len(pages) >= LEAST_PAGES]
     return nodes
 
 
-def slot_labels(nodes: list[list], into: dict[int, int]) -> dict[int, int]:
-    """The labels that a page's texts have after alignment with a labelled wrapper."""
+def template_texts(nodes: list[list], into: set[int]) -> set[int]:
+    """The numbers of a page's texts that align with the template slots of a judged wrapper."""
     for n in nodes:
         if n[BODY] is not None:
-            slot_labels(n[BODY], into)
-        else:
-            known = next((x[1] for x in n[TEXTS] if isinstance(x, tuple)), None)
-            if known is not None:
-                into.update({x: known for x in n[TEXTS] if not isinstance(x, tuple)})
+            template_texts(n[BODY], into)
+        elif any(x is True for x in n[TEXTS]):
+            into.update(x for x in n[TEXTS] if x is not True)
     return into
 
 
+def blocks_of(nodes: list[list]) -> list[list[list]]:
+    return [nodes[i : i + LONGEST] for i in range(0, len(nodes), LONGEST)]
+
+
+def align_blocks(a: list[list[list]], b: list[list[list]]) -> list[list[list]]:
+    return [align(x, y) if x and y else x or y for x, y in zip_longest(a, b, fillvalue=[])]
+
+
 @lru_cache(256)
 def wrapper_of(text: str) -> list[list]:
-    return labelled(json.loads(text))
+    return [judged(x) for x in json.loads(text)]
 
 
 def main_text(html: str | None, wrapper: str | None) -> str:
     """The main text of a page by its host's wrapper."""
     found = events(html or "")
     own, any_main = own_labels(found)
-    labels: dict[int, int] = {}
-    if wrapper and any_main:
-        folded = fold(stream(found, own))
-        if len(folded) <= LONGEST:
-            labels = slot_labels(align(wrapper_of(wrapper), folded), {})
+    template: set[int] = set()
+    if wrapper:
+        for known, mine in zip(wrapper_of(wrapper), blocks_of(fold(stream(found, own))), strict=False):
+            template_texts(align(known, mine), template)
     wanted = 2 if any_main else 1
     blocks: list[list[str]] = [[]]
+    varied = [False]  # whether a block has a text of its own
     for i, (kind, x, _) in enumerate(found):
         if kind == "#":
-            if labels.get(i, own[i]) >= wanted:
+            if own[i] >= wanted:
                 blocks[-1].append(x)
+                varied[-1] |= i not in template and not x.isspace()
         elif x in BLOCKS:
             blocks.append([])
+            varied.append(False)
         elif x == "br":
             blocks[-1].append(" ")
-    return "\n".join(t for b in blocks if b and (t := " ".join(unescape("".join(b)).split())))
+    return "\n".join(t for b, own_text in zip(blocks, varied, strict=True) if own_text and (t := " ".join(unescape("".join(b)).split())))
 
 
 def induce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """One wrapper for each host among a task's pages."""
-    made: dict[str, list[list]] = {}
-    seen: set = set()
+    made: dict[str, dict[tuple, list[list]]] = {}
+    held = 0
+
+    def flush() -> pd.DataFrame:
+        rows = []
+        for host, pages in made.items():
+            whole: list[list[list]] = []
+            for nodes in pages.values():
+                whole = align_blocks(whole, blocks_of(nodes))
+            rows.append((host, json.dumps(whole)))
+        made.clear()
+        return pd.DataFrame(rows, columns=["host", "wrapper"])
+
     for pdf in batches:
         for host, html in zip(pdf["host"], pdf["html"], strict=True):
             found = events(html or "")
-            nodes = fold(stream(found, own_labels(found)[0]))
-            if not nodes or len(nodes) > LONGEST:
+            own, _ = own_labels(found)
+            if not (nodes := fold(stream(found, own))):
                 continue
-            shape = (host, json.dumps(bare(nodes)))
-            if shape not in seen:
-                seen.add(shape)
-                made[host] = align(made[host], json.loads(shape[1])) if host in made else json.loads(shape[1])
-            if len(made) > HELD or len(seen) > 4 * HELD:
-                yield pd.DataFrame([(h, json.dumps(w)) for h, w in made.items()], columns=["host", "wrapper"])
-                made, seen = {}, set()
-    yield pd.DataFrame([(h, json.dumps(w)) for h, w in made.items()], columns=["host", "wrapper"])
+            nodes = witnessed(nodes, found, own)
+            shapes, kind = made.setdefault(host, {}), shape(nodes)
+            if kind in shapes:
+                shapes[kind] = align(shapes[kind], nodes)
+            else:
+                shapes[kind] = nodes
+                held += size(nodes)
+            if held > HELD:
+                yield flush()
+                held = 0
+    yield flush()
 
 
 def joined(wrappers: pd.Series) -> pd.Series:
@@ -328,7 +389,7 @@ def joined(wrappers: pd.Series) -> pd.Series:
     for given in wrappers:
         whole, *rest = [json.loads(w) for w in given]
         for w in rest:
-            whole = align(whole, w)
+            whole = align_blocks(whole, w)
         out.append(json.dumps(whole))
     return pd.Series(out)
 

@@ -249,6 +249,19 @@ def test_noise_of_one_page_spares_its_host(spark):
     assert {r.page_id: r.text for r in html_wrapper.extract(rows).collect()} == dict(enumerate(["one\ntwo", "three", "four", "five", "six", "", "seven"]))
 
 
+
+@pytest.mark.parametrize("extra", ["", "".join(f"<i class='{a}{b}{c}'></i>" for a, b, c in itertools.product("cdefghijklmnop", repeat=3))])
+def test_wrappers_tell_template_from_content_without_articles(spark, extra):
+    said = lambda i: f"story {i} begins with news of day {i} and goes on for long"
+    page = lambda i: f"<body><div>All rights of this site</div>{extra}<div class=x><h1>title {i}</h1><span>told by <b>us</b> for {i}</span></div><div><i>Made in the north</i></div>"
+    rows = [(i, f"http://h.org/{i}", page(i) + f"<p>{said(i)}</p>") for i in range(8)]
+    rows += [(10 + i, f"http://copy.org/{i}", page(1) + f"<p>{said(1)}</p><p>{i}</p>") for i in range(8)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = {r.page_id: r.text for r in html_wrapper.extract(pages).collect()}
+    assert all(found[i] == f"title {i}\ntold by us for {i}\n{said(i)}" for i in range(8))
+    assert all("title 1" in found[10 + i] and said(1) in found[10 + i] for i in range(8))
+
+
 # mixing
 
 
