@@ -5,6 +5,11 @@ blanks) that both have, over the geometric mean of their own numbers. Landmarks
 Nyström features are its kernel row to the landmarks times the landmarks' own kernel to the power -1/2. One ridge
 regression for each language is solved in closed form. Executors score a block of texts by two matrix products.
 
+A text of a language that wasn't learned has no margin near -1 or 1 by right, only by its few common n-grams: its best two margins lie
+close together, or its Nyström features are short. `identify` can reject such texts: a language claims a text if the lead of
+its margin and the length of the features are at least `SLACK` times what all but `LOST` of its own training rows have, each row's
+lead taken with the row left out of the fit, its length only if it is no landmark.
+
 Defined results: `und` and score 0 for a null text or one without a letter; ties go to the first language in name order; a
 training sample without any language gives `und` for all. Fitting takes about `PER_LANGUAGE` rows of each language
 (see `sampled`), whole texts; scoring takes every row and whole texts.
@@ -28,6 +33,8 @@ from .common import code_points, in_blocks, sampled, table
 #: Bounds of the fit: training rows of each language, and landmarks of all.
 PER_LANGUAGE, LANDMARKS = 700, 192
 RIDGE, SPECTRUM = 1e-3, 3
+#: Share of a language's training rows that its least lead and length leave out, and what part of these a text must have.
+LOST, SLACK = 0.002, 0.75
 UNKNOWN = "und"
 
 
@@ -55,13 +62,19 @@ def grams(text: str | None) -> np.ndarray:
 
 @dataclass
 class Kernel:
-    """Landmark n-grams, landmark presence rows, their norms, and the matrix from kernel rows to language margins."""
+    """Landmark n-grams, landmark presence rows, their norms, and the matrix from kernel rows to language margins.
+
+    `whiten` leads from kernel rows to Nyström features; `leads` and `lengths` are the least of each language's own texts.
+    """
 
     vocabulary: np.ndarray
     presence: np.ndarray
     norms: np.ndarray
     weights: np.ndarray
     languages: list[str]
+    whiten: np.ndarray | None = None
+    leads: np.ndarray | None = None
+    lengths: np.ndarray | None = None
 
     def rows(self, texts: list[np.ndarray]) -> np.ndarray:
         """Kernel of each text to each landmark."""
@@ -73,28 +86,40 @@ class Kernel:
         sizes = np.array([max(1, len(g)) for g in texts])
         return (phi @ self.presence.T) / np.sqrt(np.outer(sizes, self.norms))
 
-    def score(self, texts: list) -> pd.DataFrame:
+    def score(self, texts: list, reject: bool = False) -> pd.DataFrame:
         found = [grams(t) for t in texts]
         if not found or not self.languages:
             return pd.DataFrame({"lang": [UNKNOWN] * len(found), "score": np.zeros(len(found))})
-        margins = self.rows(found) @ self.weights
+        rows = self.rows(found)
+        margins = rows @ self.weights
         lettered = np.array([len(g) > 0 for g in found])
         best = margins.argmax(1)
+        if reject:
+            lettered &= (lead(margins) >= self.leads[best]) & (np.linalg.norm(rows @ self.whiten, axis=1) >= self.lengths[best])
         score = np.clip((margins[np.arange(len(found)), best] + 1) / 2, 0, 1)
         return pd.DataFrame({"lang": np.where(lettered, np.array(self.languages, object)[best], UNKNOWN), "score": np.where(lettered, score, 0.0)})
 
 
+def lead(margins: np.ndarray) -> np.ndarray:
+    """How far the best margin is above the second; of a single language, its margin."""
+    if margins.shape[1] == 1:
+        return margins[:, 0]
+    two = np.partition(margins, -2, axis=1)
+    return two[:, -1] - two[:, -2]
+
+
 def fit(sample: pd.DataFrame, text: str, label: str, landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Kernel:
     """The classifier of a bounded sample; repeated texts count once."""
     sample = sample.dropna(subset=[label]).drop_duplicates([text, label])
     sample = sample.assign(_grams=[grams(t) for t in sample[text]])
-    sample = sample[sample._grams.map(len) > 0].sort_values([label, text], kind="stable")
+    sample = sample[sample._grams.map(len) > 0].sort_values([label, text], kind="stable").reset_index(drop=True)
     languages = sorted(sample[label].unique())
     if not languages:
         return Kernel(np.zeros(1, np.int64), np.zeros((1, 1), np.float32), np.ones(1), np.zeros((1, 0)), [])
     each = max(1, landmarks // len(languages))
     # spread over the text lengths, so that short texts have landmarks of their kind
-    marks = [g for _, part in sample.groupby(label, sort=True) for g in part.assign(n=part._grams.map(len)).sort_values("n", kind="stable")._grams.iloc[np.unique(np.linspace(0, len(part) - 1, each).astype(int))]]
+    chosen = pd.concat([part.assign(n=part._grams.map(len)).sort_values("n", kind="stable")._grams.iloc[np.unique(np.linspace(0, len(part) - 1, each).astype(int))] for _, part in sample.groupby(label, sort=True)])
+    marks = chosen.tolist()
     vocabulary = np.unique(np.concatenate(marks))
     presence = np.zeros((len(marks), len(vocabulary)), np.float32)
     for row, g in zip(presence, marks, strict=True):
@@ -108,8 +133,15 @@ def fit(sample: pd.DataFrame, text: str, label: str, landmarks: int = LANDMARKS,
     given = sample[label].to_numpy()
     sides = np.stack([np.where(given == x, 1.0, -1.0) for x in languages], 1)
     weight = np.array([1 / (given == x).sum() for x in given])[:, None] * len(given) / len(languages)  # each language weighs the same
-    solved = np.linalg.solve(z.T @ (z * weight) + ridge * len(z) * np.eye(z.shape[1]), z.T @ (sides * weight))
+    normal = z.T @ (z * weight) + ridge * len(z) * np.eye(z.shape[1])
+    solved = np.linalg.solve(normal, z.T @ (sides * weight))
     kernel.weights = whiten @ solved
+    kernel.whiten = whiten
+    own = np.clip(weight[:, 0] * np.einsum("ij,ji->i", z, np.linalg.solve(normal, z.T)), 0, 1 - 1e-9)[:, None]  # a row's share in its own margins
+    leads, lengths, free = lead((z @ solved - own * sides) / (1 - own)), np.linalg.norm(z, axis=1), ~sample.index.isin(chosen.index)
+    least = lambda values: SLACK * np.quantile(values, LOST) if len(values) else 0.0
+    kernel.leads = np.array([least(leads[given == x]) for x in languages])
+    kernel.lengths = np.array([least(lengths[(given == x) & free]) for x in languages])
     return kernel
 
 
@@ -120,13 +152,16 @@ def train(docs: DataFrame, text: str = "text", label: str = "lang", key: str = "
     return fit(drawn.select("_text", "_label").toPandas(), "_text", "_label")
 
 
-def identify(docs: DataFrame, kernel: Kernel, text: str = "text") -> DataFrame:
-    """`docs` with lang_pred and score; input columns of these names are replaced."""
+def identify(docs: DataFrame, kernel: Kernel, text: str = "text", reject: bool = False) -> DataFrame:
+    """`docs` with lang_pred and score; input columns of these names are replaced.
+
+    With `reject`, texts that no language claims get `und` and score 0 too.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(kernel)
 
     @F.pandas_udf("lang string, score double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        return in_blocks(shared.value.score, batches)
+        return in_blocks(lambda texts: shared.value.score(texts, reject), batches)
 
     out = docs.withColumn("_scored", scored(F.col(text)))
     return out.select(*[f"`{c}`" for c in docs.columns if c.lower() not in ("lang_pred", "score")], F.col("_scored.lang").alias("lang_pred"), F.col("_scored.score").alias("score"))

@@ -60,3 +60,20 @@ def test_the_pipeline_keeps_what_each_stage_should(spark, sql):
     assert decontaminate.find_leaks(docs, spark.read.parquet(f"{DIR}/benchmark.parquet")).count() == 0
     mixed = corpus_pipeline.STAGES[-1][1](spark, docs, DIR)
     assert 0.2 * kept[-1] < mixed.count() < kept[-1]
+
+
+def test_the_language_stage_rejects_what_was_not_learned(spark):
+    unknown = [
+        "Правительство приняло решение о новых мерах поддержки населения и бизнеса в регионах страны",
+        "政府今天宣布了新的经济政策以支持企业和居民",
+        "Η κυβέρνηση ανακοίνωσε σήμερα νέα μέτρα για την οικονομία",
+        "Hallitus päätti tänään uusista toimista kansalaisten ja yritysten tukemiseksi koko maassa",
+        "Rząd przyjął dziś nowe rozwiązania wspierające mieszkańców i przedsiębiorstwa w kraju",
+        "qxzkjv wypbgq zzxkjq vwqypb gkxzjq bvwkqx pyzxgj kqvwzx",
+    ]
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    strange = spark.createDataFrame([(-1 - i, t) for i, t in enumerate(unknown)], "doc_id long, text string")
+    kept = corpus_pipeline.known_language(spark, docs.unionByName(strange, allowMissingColumns=True), DIR).select("doc_id").toPandas().doc_id
+    assert not (kept < 0).any()
+    clean = docs.filter("text RLIKE '[a-z]{2}'").select("doc_id").toPandas().doc_id
+    assert clean.isin(kept).mean() > 0.98
