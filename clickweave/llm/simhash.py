@@ -181,18 +181,51 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", ta
     return rows.join(salted, ["fp", "salt"], "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def lost_rows(prints: DataFrame, tau: int = TAU) -> DataFrame:
+    """The distinct (doc_id, fp) of `prints`, which is checkpointed, whose component holds one that stays.
+
+    Fingerprints are the nodes, so rows with one id or none stand each for their own text. Of a component the smallest id stays,
+    with its smallest fingerprint; a row without an id only if no row of the component has one.
+    """
+    groups = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
+    linked = linked_components(groups.select(F.col("fp").alias("id"), "fp"), tau).withColumnRenamed("id", "fp")
+    shared = groups.join(linked, "fp", "left").filter("n > 1 OR component IS NOT NULL").select("fp", F.coalesce("component", "fp").alias("component"), F.struct(F.col("least").isNull().alias("none"), F.col("least").alias("id"), "fp").alias("first"))
+    shared = checkpointed(shared)
+    copies = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    stays = shared.groupBy("component").agg(F.min("first").alias("stays")).withColumn("salt", copies)
+    known = shared.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int")).join(stays, ["component", "salt"]).select("fp", "stays").withColumn("salt", copies)
+    pairs = prints.distinct().withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(known, ["fp", "salt"])
+    return pairs.filter(~(F.col("doc_id").eqNullSafe(F.col("stays.id")) & (F.col("fp") == F.col("stays.fp")))).select("doc_id", "fp")
+
+
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """`docs` with the smallest id of every group of near-duplicates.
+    """`docs` with one row, that of the smallest id, of every group of near-duplicates.
 
-    Of repeated rows with one id, one stays; a row without an id stays if no other row has its fingerprint or a link to it.
+    Rows are told apart by id and fingerprint: of repeated rows one stays, rows that share an id but not their text stay unless their
+    own text is a near-duplicate; a row without an id stays if no other row has its fingerprint or a link to it, and of a group of
+    such rows only one stays.
     """
-    found = near_duplicates(docs, text, key)
-    losers = found.filter("component_id IS NOT NULL AND NOT doc_id <=> component_id").select(F.col("doc_id").alias("_lost")).distinct()
-    twice = checkpointed(found.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("_lost")))
-    kept = docs.join(losers, F.col(key).eqNullSafe(F.col("_lost")), "left_anti")
-    if twice.isEmpty():
+    if docs.schema[key].dataType.typeName() not in ("long", "integer", "short", "byte"):
+        raise ValueError(f"{key} must be an integer")
+    prints = checkpointed(docs.select(F.col(key).cast("long").alias("doc_id"), fingerprints(F.col(text)).alias("fp")))
+    lost = checkpointed(lost_rows(prints))
+    # an id on several rows, or none, doesn't tell a row: only for these is the fingerprint made again
+    twice = checkpointed(prints.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("_twice")))
+    several, nameless = not twice.isEmpty(), not prints.filter("doc_id IS NULL").isEmpty()
+    losers = lost.filter("doc_id IS NOT NULL").withColumnRenamed("doc_id", "_lost")
+    if several:
+        losers = losers.join(twice, losers["_lost"] == twice["_twice"], "left_anti")
+    kept = docs.join(losers, docs[key] == losers["_lost"], "left_anti")
+    if not several and not nameless:
         return kept
-    return kept.join(twice, kept[key] == twice["_lost"], "left_anti").unionByName(kept.join(twice, kept[key] == twice["_lost"], "left_semi").dropDuplicates([key]))
+    odd = docs.filter(F.col(key).isNull())
+    if several:
+        odd = odd.unionByName(docs.join(twice, docs[key] == twice["_twice"], "left_semi"))
+        kept = kept.join(twice, kept[key] == twice["_twice"], "left_anti")
+    gone = lost.select(F.col("doc_id").alias("_gone"), F.col("fp").alias("_gone_fp"))
+    odd = odd.withColumn("_fp", fingerprints(F.col(text))).dropDuplicates([key, "_fp"])
+    odd = odd.join(gone, (F.col("_fp") == F.col("_gone_fp")) & F.col(key).eqNullSafe(F.col("_gone")), "left_anti").drop("_fp")
+    return kept.filter(F.col(key).isNotNull()).unionByName(odd)
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -207,6 +207,16 @@ def test_copies_share_a_component_and_one_stays(spark):
     assert simhash.near_duplicates(docs(spark, [])).count() == 0
     assert simhash.near_duplicates(docs(spark)).count() == 6
 
+def test_one_stays_by_its_own_text(spark):
+    text = [" ".join(f"{c}{i}" for i in range(200)) for c in "abcdefgh"]
+    near = text[6].replace("g7 ", "x7 ")
+    rows = [(1, text[0]), (None, text[0]), (None, text[1]), (None, text[2]), (None, text[2]), (7, text[3]), (7, text[0]), (7, text[4]), (7, text[4]), (9, text[5]), (8, text[6]), (None, near)]
+    kept = sorted(((r.doc_id or 0), r.text) for r in simhash.keep_one(docs(spark, rows)).collect())
+    linked = bin((simhash.fingerprint(text[6]) ^ simhash.fingerprint(near)) & (2**64 - 1)).count("1") <= simhash.TAU
+    assert linked
+    assert kept == sorted([(1, text[0]), (0, text[1]), (0, text[2]), (7, text[3]), (7, text[4]), (9, text[5]), (8, text[6])])
+    assert simhash.keep_one(docs(spark, [])).count() == 0
+
 
 # HTML
 
