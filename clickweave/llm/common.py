@@ -39,6 +39,30 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """`df` as a table that is written to the shared folder and read again.
+
+    For tables that go on from round to round: unlike a checkpoint's, its plan has its true size and carries no constraints on, which
+    would grow with every round and slow the optimizer down.
+    """
+    folder = scratch(df.sparkSession, "table")
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the files of a `stored` table that is no longer needed."""
+    jvm = df.sparkSession.sparkContext._jvm
+    for file in df.inputFiles()[:1]:
+        folder = jvm.org.apache.hadoop.fs.Path(file).getParent()
+        folder.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """`df` dealt over as many partitions as shuffles have, for rows that are few now and multiply next."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def sampled(df: DataFrame, stratum: str, key: str, each: int, most: int = 1000) -> tuple[DataFrame, dict]:
     """About `each` rows of every value of `stratum`, chosen by a hash of `key`, and the values' row counts.
 

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_digest
 
-from .common import checkpointed, table
+from .common import checkpointed, discard, join_small, spread, stored, table
 
 SHINGLE, TAU, SEED = 4, 4, 42
 #: Copies of the smaller side of a join whose key may be hot.
@@ -130,23 +130,46 @@ def cross_links(labelled: DataFrame, tau: int = TAU) -> DataFrame:
     return found.select(F.least(mine, "other").alias("a"), F.greatest(mine, "other").alias("b")).distinct()
 
 
-def components(edges: DataFrame, most: int = 100) -> DataFrame:
+def moved_to(edges: DataFrame, turn: int) -> DataFrame:
+    """(id, to) of every node that goes over to another: two steps along the pointers to the first of itself and its neighbours.
+
+    First is the smallest id in even turns, the smallest hash of id and turn in odd ones.
+    """
+    rank = lambda c: F.col(c) if turn % 2 == 0 else F.xxhash64(c, F.lit(turn))
+    both = edges.select("a", "b").union(edges.select("b", "a"))
+    best = both.groupBy("a").agg(F.min(F.struct(rank("b").alias("rank"), F.col("b").alias("id"))).alias("m"))
+    own = F.struct(rank("a").alias("rank"), F.col("a").alias("id"))
+    step = best.filter(F.col("m") < own).select(F.col("a").alias("id"), F.col("m.id").alias("to"))
+    then = step.select(F.col("id").alias("to"), F.col("to").alias("then"))
+    return stored(step.join(then, "to", "left").select("id", F.coalesce("then", "to").alias("to")))
+
+
+def components(edges: DataFrame) -> DataFrame:
     """(id, component): the smallest id reachable over `edges` (a, b), for every id that has one.
 
-    Each round takes the least label among a node's neighbours, then that label's own label, so paths shorten
-    by about half a round; every round is checkpointed.
+    Contraction: in each round nodes go over to others of their component, and only edges between different remaining nodes are kept.
+    A round by hashes leaves at most three quarters of the nodes that have edges in expectation, whatever the graph, so the number of rounds
+    grows with the logarithm of the nodes and the tables of all rounds together with the nodes; a round by ids folds a star at once.
     """
-    both = checkpointed(edges.select("a", "b").union(edges.select("b", "a")).filter("a <> b").distinct())
-    labels = checkpointed(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("component")))
-    for _ in range(most):
-        seen = both.join(labels, both["b"] == labels["id"]).groupBy("a").agg(F.min("component").alias("m"))
-        lower = labels.join(seen, labels["id"] == seen["a"]).select("id", "component", F.least("component", "m").alias("low"))
-        far = labels.select(F.col("id").alias("low"), F.col("component").alias("far"))
-        moved = checkpointed(lower.join(far, "low").select("id", F.least("low", "far").alias("component"), (F.least("low", "far") < F.col("component")).alias("moved")))
-        labels = moved.select("id", "component")
-        if moved.filter("moved").isEmpty():
-            return labels
-    raise RuntimeError(f"labels still move after {most} rounds")
+    ordered = lambda e: e.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    left, steps = stored(ordered(edges)), []
+    while not left.isEmpty():
+        steps.append(step := moved_to(left, len(steps)))
+        ends = left
+        for end in ("a", "b"):
+            ends = ends.join(step.withColumnRenamed("id", end), end, "left").withColumn(end, F.coalesce("to", end)).drop("to")
+        done, left = left, stored(ordered(ends))
+        discard(done)
+    if not steps:
+        return left.select(F.col("a").alias("id"), F.col("b").alias("component"))
+    found = steps.pop()
+    while steps:  # a later round's move of a node that moved before is that of others that had come to it
+        step, later = steps.pop(), found.select(F.col("id").alias("to"), F.col("to").alias("last"))
+        whole = step.join(later, "to", "left").select("id", F.coalesce("last", "to").alias("to")).unionByName(found.join(step, "id", "left_anti"))
+        done, found = found, stored(whole)
+        discard(done), discard(step)
+    lowest = stored(found.groupBy("to").agg(F.min("id").alias("low")).select("to", F.least("to", "low").alias("component")))
+    return join_small(found.join(lowest, found["id"] == lowest["to"], "left_anti"), lowest, ["to"], "id").select("id", "component").unionByName(lowest.select(F.col("to").alias("id"), "component"))
 
 
 def linked_components(prints: DataFrame, tau: int = TAU) -> DataFrame:
@@ -158,7 +181,7 @@ def linked_components(prints: DataFrame, tau: int = TAU) -> DataFrame:
     stars = components(star_links(prints, tau))
     sizes = stars.groupBy("component").agg(F.count("*").alias("size")).filter(F.col("size") > BIG).select("component", F.lit(True).alias("big"))
     labelled = prints.join(stars, "id", "left").select("id", "fp", F.coalesce("component", "id").alias("component")).join(sizes, "component", "left").select("id", "fp", "component", F.coalesce("big", F.lit(False)).alias("big"))
-    joined = components(cross_links(checkpointed(labelled), tau)).select(F.col("id").alias("component"), F.col("component").alias("lowest"))
+    joined = components(cross_links(checkpointed(spread(labelled, "id")), tau)).select(F.col("id").alias("component"), F.col("component").alias("lowest"))
     ends = stars.unionByName(joined.select(F.col("component").alias("id"), "component")).groupBy("id").agg(F.min("component").alias("component"))
     return ends.join(joined, "component", "left").select("id", F.coalesce("lowest", "component").alias("component"))
 
