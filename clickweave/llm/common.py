@@ -63,6 +63,39 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
+class Rows:
+    """A table under column names of its own (c0, c1, ...), so that no column of a caller's meets one that an operator uses inside."""
+
+    def __init__(self, df: DataFrame):
+        self.names = df.columns
+        self.df = df.toDF(*[f"c{i}" for i in range(len(self.names))])
+
+    def name(self, given: str) -> str:
+        """The own name of a given column (case ignored, as Spark resolves names)."""
+        at = [i for i, n in enumerate(self.names) if n.lower() == given.lower()]
+        if len(at) != 1:
+            raise ValueError(f"{len(at)} columns are named {given}")
+        return f"c{at[0]}"
+
+    def col(self, given: str) -> Column:
+        return F.col(self.name(given))
+
+    def restored(self, found: DataFrame, **new: Column) -> DataFrame:
+        """`found` under the given names, with `new` columns in place of given ones of their names."""
+        taken = {n.lower() for n in new}
+        kept = [i for i, n in enumerate(self.names) if n.lower() not in taken]
+        return found.select(*[f"c{i}" for i in kept], *[c.alias(f"n{j}") for j, c in enumerate(new.values())]).toDF(*[self.names[i] for i in kept], *new)
+
+
+#: Bytes of text that a fit takes to the driver at most; texts longer than a 64th of it aren't learned from.
+SAMPLE_BYTES = 48 << 20
+
+
+def draw(key: Column, seed: str) -> Column:
+    """A number from 0 to 1 that depends on the key and the seed alone."""
+    return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+
+
 def sampled(df: DataFrame, stratum: str, key: str, each: int, most: int = 1000) -> tuple[DataFrame, dict]:
     """About `each` rows of every value of `stratum`, chosen by a hash of `key`, and the values' row counts.
 
@@ -73,19 +106,26 @@ def sampled(df: DataFrame, stratum: str, key: str, each: int, most: int = 1000)
     if not counts:
         return df.limit(0), counts
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, each / n))])
-    draw = F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return df.filter(draw < F.coalesce(F.try_element_at(share, F.col(stratum)), F.lit(0.0))), counts
+    return df.filter(draw(F.col(key), "sample") < F.coalesce(F.try_element_at(share, F.col(stratum)), F.lit(0.0))), counts
+
+
+def within_bytes(sample: DataFrame, text: str, key: str, most: int = SAMPLE_BYTES) -> DataFrame:
+    """`sample`, thinned by a hash of `key` to about `most` bytes of text; texts longer than a 64th of that are left out."""
+    fitting = sample.filter(F.octet_length(text) <= most // 64)
+    size = fitting.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    return fitting if size <= most else fitting.filter(draw(F.col(key), "bytes") < most / size)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, text: str, label: str, key: str, each: int) -> tuple[pd.DataFrame, np.ndarray]:
     """Texts and 0/1 labels of about `each` rows of each label, and weights that stand for all labelled rows.
 
-    Labels are drawn first; what is broadcast to find their texts is as bounded as the sample.
+    Labels are drawn first; what is broadcast to find their texts is as bounded as the sample, in rows and in bytes.
     """
-    rows = labels.filter(F.col(label).isin(0, 1)).select(key, F.col(label).cast("int").alias("_label"))
-    drawn, counts = sampled(rows, "_label", key, each)
-    sample = docs.select(key, F.col(text).alias("_text")).join(F.broadcast(drawn), key).select("_text", "_label").toPandas()
-    weight = np.array([counts[k] / max(1, (sample["_label"] == k).sum()) for k in sample["_label"]])
+    rows = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label")).filter("label IN (0, 1)")
+    drawn, counts = sampled(rows, "label", "key", each)
+    found = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(drawn), "key")
+    sample = within_bytes(found, "text", "key").select("text", "label").toPandas()
+    weight = np.array([counts[k] / max(1, (sample["label"] == k).sum()) for k in sample["label"]])
     return sample, weight / weight.mean() if len(weight) else weight
 
 
@@ -122,11 +162,5 @@ def join_small(rows: DataFrame, small: DataFrame, keys: list[str], spread: str)
     """`rows` left joined with `small`, which has each key once and is checkpointed; `spread` is a column that salts hot keys."""
     if broadcastable(small):
         return rows.join(F.broadcast(small), keys, "left")
-    salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).join(salted, [*keys, "_salt"], "left").drop("_salt")
-
-
-def without(df: DataFrame, *names: str) -> DataFrame:
-    """`df` without columns that clash with `names` (case ignored, as Spark resolves names)."""
-    taken = {n.lower() for n in names}
-    return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
+    salted = small.withColumn("join_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("join_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).join(salted, [*keys, "join_salt"], "left").drop("join_salt")

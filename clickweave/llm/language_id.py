@@ -11,8 +11,9 @@ its margin and the length of the features are at least `SLACK` times what all bu
 lead taken with the row left out of the fit, its length only if it is no landmark.
 
 Defined results: `und` and score 0 for a null text or one without a letter; ties go to the first language in name order; a
-training sample without any language gives `und` for all. Fitting takes about `PER_LANGUAGE` rows of each language
-(see `sampled`), whole texts; scoring takes every row and whole texts.
+training sample without any language gives `und` for all; repeated rows give repeated rows; columns of any other names pass. Fitting
+takes about `PER_LANGUAGE` rows of each language and `SAMPLE_BYTES` of text (see `sampled`, `within_bytes`); scoring takes every row and
+whole texts.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import code_points, in_blocks, sampled, table
+from .common import Rows, code_points, in_blocks, sampled, table, within_bytes
 
 #: Bounds of the fit: training rows of each language, and landmarks of all.
 PER_LANGUAGE, LANDMARKS = 700, 192
@@ -39,17 +40,17 @@ UNKNOWN = "und"
 
 
 @cache
-def letters() -> np.ndarray:
-    """Whether each code point is a letter or a mark that belongs to one."""
-    return np.array([unicodedata.category(chr(c))[0] in "LM" for c in range(sys.maxunicode + 1)])
+def letters(kinds: str = "LM") -> np.ndarray:
+    """Whether each code point is of the kinds: L letters, M marks that belong to one."""
+    return np.array([unicodedata.category(chr(c))[0] in kinds for c in range(sys.maxunicode + 1)])
 
 
 def grams(text: str | None) -> np.ndarray:
     """The distinct n-grams of a text as numbers: up to three code points of 21 bits; empty without letters."""
     points = code_points((text or "").lower())
-    is_letter = letters()[points]
-    if not is_letter.any():
+    if not letters("L")[points].any():
         return np.zeros(0, np.int64)
+    is_letter = letters()[points]
     points = np.concatenate([[32], np.where(is_letter, points, 32), [32]]).astype(np.int64)
     blank = points == 32
     points = points[np.concatenate([[True], ~(blank[1:] & blank[:-1])])]
@@ -147,9 +148,19 @@ def fit(sample: pd.DataFrame, text: str, label: str, landmarks: int = LANDMARKS,
 
 def train(docs: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id", each: int = PER_LANGUAGE) -> Kernel:
     """Fits on about `each` rows of every language of `docs`; `key` only draws the sample."""
-    labelled = docs.filter(F.col(label).isNotNull() & F.col(text).isNotNull()).select(key, F.col(text).alias("_text"), F.col(label).alias("_label"))
-    drawn, _ = sampled(labelled, "_label", key, each)
-    return fit(drawn.select("_text", "_label").toPandas(), "_text", "_label")
+    labelled = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(label).alias("label")).filter("label IS NOT NULL AND text IS NOT NULL")
+    drawn, _ = sampled(labelled, "label", "key", each)
+    return fit(within_bytes(drawn, "text", "key").select("text", "label").toPandas(), "text", "label")
+
+
+def scorer(docs: DataFrame, kernel: Kernel, reject: bool):
+    shared = docs.sparkSession.sparkContext.broadcast(kernel)
+
+    @F.pandas_udf("lang string, score double")
+    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        return in_blocks(lambda texts: shared.value.score(texts, reject), batches)
+
+    return scored
 
 
 def identify(docs: DataFrame, kernel: Kernel, text: str = "text", reject: bool = False) -> DataFrame:
@@ -157,17 +168,18 @@ def identify(docs: DataFrame, kernel: Kernel, text: str = "text", reject: bool =
 
     With `reject`, texts that no language claims get `und` and score 0 too.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(kernel)
+    rows = Rows(docs)
+    return rows.restored(rows.df.withColumn("scored", scorer(docs, kernel, reject)(rows.col(text))), lang_pred=F.col("scored.lang"), score=F.col("scored.score"))
 
-    @F.pandas_udf("lang string, score double")
-    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        return in_blocks(lambda texts: shared.value.score(texts, reject), batches)
 
-    out = docs.withColumn("_scored", scored(F.col(text)))
-    return out.select(*[f"`{c}`" for c in docs.columns if c.lower() not in ("lang_pred", "score")], F.col("_scored.lang").alias("lang_pred"), F.col("_scored.score").alias("score"))
+def keep_known(docs: DataFrame, kernel: Kernel, least: float, text: str = "text") -> DataFrame:
+    """`docs` without texts that no language claims or whose score is below `least`; all columns stay as they are."""
+    rows = Rows(docs)
+    found = rows.df.withColumn("scored", scorer(docs, kernel, True)(rows.col(text)))
+    return rows.restored(found.filter((F.col("scored.lang") != UNKNOWN) & (F.col("scored.score") >= least)))
 
 
-#: Rows of this remainder are held out from the fit.
+#: Rows of this remainder are held out from the fit; rows without an id are neither learned from nor held out.
 HELD_OUT = "pmod(crc32(cast(doc_id AS string)), 4) = 2"
 
 
@@ -179,4 +191,4 @@ def trained(spark: SparkSession, sf_dir: str) -> Kernel:
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = identify(docs, trained(spark, sf_dir))
-    return found.select("doc_id", F.expr(HELD_OUT).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", F.expr(f"coalesce({HELD_OUT}, false)").alias("held_out"), "lang_pred", "score")

@@ -7,9 +7,9 @@ Labels are known for whole documents only, so the fit starts with the document's
 the lines of bad documents that look good to the first model be good and fits again; last, a logistic curve maps quality to the label's
 probability.
 
-Defined results: a document without text is one empty line; every text gets a score, of 0 to 1. Fitting takes about
-`PER_CLASS` rows of each label; scoring takes every row and whole texts. Without both labels, all
-get the smoothed rate of the label.
+Defined results: a document without text is one empty line; every text gets a score, of 0 to 1; repeated rows give repeated rows; an
+empty table gives an empty table; columns of any other names pass. Fitting takes about `PER_CLASS` rows of each label and `SAMPLE_BYTES`
+of text; scoring takes every row and whole texts. Without both labels, all get the smoothed rate of the label.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import code_points, in_blocks, labelled_sample, table
+from .common import Rows, code_points, in_blocks, labelled_sample, table
 from .language_id import letters
 from .toxicity import sigmoid
 
@@ -190,7 +190,7 @@ def fit(texts: list, labels: np.ndarray, weight: np.ndarray) -> Chain:
 
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "quality", key: str = "doc_id", each: int = PER_CLASS) -> Chain:
     sample, weight = labelled_sample(docs, labels, text, label, key, each)
-    return fit(sample["_text"].tolist(), sample["_label"].to_numpy(float), weight)
+    return fit(sample["text"].tolist(), sample["label"].to_numpy(float), weight)
 
 
 def score_quality(docs: DataFrame, chain: Chain, text: str = "text", into: str = "score") -> DataFrame:
@@ -201,11 +201,11 @@ def score_quality(docs: DataFrame, chain: Chain, text: str = "text", into: str =
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         return in_blocks(shared.value.score, batches)
 
-    kept = [f"`{c}`" for c in docs.columns if c.lower() not in (into.lower(), "line_quality")]
-    return docs.withColumn("_scored", scored(F.col(text))).select(*kept, F.col("_scored.score").alias(into), F.col("_scored.quality").alias("line_quality"))
+    rows = Rows(docs)
+    return rows.restored(rows.df.withColumn("scored", scored(rows.col(text))), **{into: F.col("scored.score"), "line_quality": F.col("scored.quality")})
 
 
-#: Rows of this remainder are held out from the fit.
+#: Rows of this remainder are held out from the fit; rows without an id are neither learned from nor held out.
 HELD_OUT = "pmod(crc32(cast(doc_id AS string)), 3) = 1"
 
 
@@ -213,4 +213,4 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     chain = train(docs, table(spark, sf_dir, "labels").filter(f"NOT {HELD_OUT}"))
     found = score_quality(docs, chain)
-    return found.select("doc_id", F.expr(HELD_OUT).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return found.select("doc_id", F.expr(f"coalesce({HELD_OUT}, false)").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

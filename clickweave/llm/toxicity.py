@@ -6,8 +6,8 @@ learns a weight and a factor vector for each by logistic loss, so that two terms
 group) can weigh more or less than each alone.
 
 Defined results: an empty or null text has no term and gets the model's base rate; every text gets a score, of 0 to 1.
-Fitting takes about `PER_CLASS` rows of each label; scoring takes every row and whole texts. With no labelled row, or
-labels all alike, the score is that label's smoothed rate for all.
+Repeated rows give repeated rows, an empty table an empty table; columns of any other names pass. Fitting takes about `PER_CLASS` rows of
+each label and `SAMPLE_BYTES` of text; scoring takes every row and whole texts. With no labelled row, or labels all alike, the score is that label's smoothed rate for all.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import code_points, in_blocks, labelled_sample, table
+from .common import Rows, code_points, in_blocks, labelled_sample, table
 from .language_id import letters
 
 #: Bounds of the fit: rows of each label; slots of the hash; slots kept; factors of each.
@@ -128,22 +128,32 @@ def fit(texts: list, labels: np.ndarray, weight: np.ndarray, features: int = FEA
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", each: int = PER_CLASS) -> Machine:
     """Fits on the texts of about `each` rows of every label (0 or 1)."""
     sample, weight = labelled_sample(docs, labels, text, label, key, each)
-    return fit(sample["_text"].tolist(), sample["_label"].to_numpy(float), weight)
+    return fit(sample["text"].tolist(), sample["label"].to_numpy(float), weight)
 
 
-def score_toxicity(docs: DataFrame, machine: Machine, text: str = "text", into: str = "score") -> DataFrame:
-    """`docs` with a score; an input column of that name is replaced."""
+def scorer(docs: DataFrame, machine: Machine):
     shared = docs.sparkSession.sparkContext.broadcast(machine)
 
     @F.pandas_udf("score double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         return in_blocks(shared.value.score, batches)
 
-    kept = [f"`{c}`" for c in docs.columns if c.lower() != into.lower()]
-    return docs.withColumn("_scored", scored(F.col(text))).select(*kept, F.col("_scored.score").alias(into))
+    return scored
+
+
+def score_toxicity(docs: DataFrame, machine: Machine, text: str = "text", into: str = "score") -> DataFrame:
+    """`docs` with a score; an input column of that name is replaced."""
+    rows = Rows(docs)
+    return rows.restored(rows.df.withColumn("scored", scorer(docs, machine)(rows.col(text))), **{into: F.col("scored.score")})
+
+
+def keep_clean(docs: DataFrame, machine: Machine, below: float = 0.5, text: str = "text") -> DataFrame:
+    """`docs` whose score is below `below`; all columns stay as they are."""
+    rows = Rows(docs)
+    return rows.restored(rows.df.withColumn("scored", scorer(docs, machine)(rows.col(text))).filter(F.col("scored.score") < below))
 
 
-#: Rows of this remainder are held out from the fit.
+#: Rows of this remainder are held out from the fit; rows without an id are neither learned from nor held out.
 HELD_OUT = "pmod(crc32(cast(doc_id AS string)), 5) = 0"
 
 
@@ -154,4 +164,4 @@ def trained(spark: SparkSession, sf_dir: str) -> Machine:
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = score_toxicity(docs, trained(spark, sf_dir))
-    return found.select("doc_id", F.expr(HELD_OUT).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return found.select("doc_id", F.expr(f"coalesce({HELD_OUT}, false)").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
