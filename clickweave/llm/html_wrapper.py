@@ -2,20 +2,27 @@
 
 A page is a stream of tags and texts. Repeated stretches of the stream are folded into repeated groups; then the folded streams of a host's
 pages are aligned one after the other, and what only some of them have becomes optional. The result is a union-free
-regular expression of tags, text slots, optional nodes and repeated groups: the host's wrapper. A slot's key has the label of
-what encloses it: main text inside the article, noise inside menus, headers, footers, sidebars, notices,
-adverts, forms and comments. Whatever its label, a slot that has one and the same text on `LEAST_PAGES` different pages or more, and no
-other text on any page, is template: a block of a page is left out if all its texts align with such slots.
+regular expression of tags, text slots, optional nodes and repeated groups: the host's wrapper. The wrapper decides in two ways:
+
+- A slot that has one and the same text on `LEAST_PAGES` different pages or more, and no other text on any page, is template, in an article
+  or not: a block of a page is left out if all its texts align with such slots. Near copies of one page don't make its text template:
+  pages count as different for a text only if their two longest other texts outside noise differ.
+- Slots gather the characters outside links that they have on all pages, template apart. The innermost container of the wrapper, outside
+  repeated groups, that holds `SHARE` of these is the host's main part. On a page without article or main element, texts that align with slots outside
+  of it are left out, however its classes are named: menus, lists of links, side columns and footers that change from page to page.
+  Varying titles (h1) count as inside.
+
+A slot's key has the label of what encloses it on the page: main text inside the article, noise inside menus, headers, footers, sidebars,
+notices, adverts, forms and comments, by element, role, or a class or id that names such a thing. A name does so by its head word:
+`reader-comments` and `comment-list` do; `notice-period` and `share-prices` don't, nor do names of a state such as `no-sidebar`.
 
 All pages take part. A task merges the pages that it reads into one wrapper for each host, these are merged in two levels, so a hot
-host is never one task's. Streams are aligned by blocks of `LONGEST` nodes. Texts that align with no template slot have the label
-that the page's own tags give. A page without article or main element has main text wherever no noise encloses it and the wrapper
-finds no template. Near copies of one page don't make its text template: pages count as different for a text only if their two
-longest other texts outside noise differ.
+host is never one task's. Streams are aligned by blocks of `LONGEST` nodes; stretches of over `PERIOD` nodes aren't folded, which makes a wrapper
+longer and loses no text. Texts that align with no slot of the wrapper have the label that the page's own tags give.
 
 Defined results: null or empty html gives an empty text; character references are decoded, white space in a block becomes one
 blank, blocks are joined by a line break in page order; tags may be left open or closed in the wrong order; repeated
-rows give repeated rows; pages without a host share a wrapper.
+rows give repeated rows; an empty table gives an empty table; columns of any other names pass; pages without a host share a wrapper.
 """
 
 from __future__ import annotations
@@ -27,18 +34,20 @@ from collections.abc import Iterable, Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
 from html import unescape
-from itertools import zip_longest
+from itertools import accumulate, zip_longest
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_hexdigest, xxh64_intdigest
 
-from .common import checkpointed, join_small, table, without
+from .common import Rows, join_small, stored, table
 from .url_filter import split_url
 
 #: Longest repeated stretch that is folded; nodes of a folded stream that are aligned at once; nodes that a task holds at once.
-PERIOD, LONGEST, HELD = 24, 4096, 400_000
+PERIOD, LONGEST, HELD = 64, 4096, 400_000
+#: Share of a host's characters outside links that its main part has.
+SHARE = 0.85
 #: Different pages that a text must be on to be template.
 LEAST_PAGES = 4
 SALTS = 64
@@ -50,18 +59,34 @@ NOISE = set("aside button dialog footer form head header iframe menu nav noscrip
 NOISE_WORDS = set(
     "ad ads adv advert advertisement advertising adverts alert banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer form gdpr header login masthead menu modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo promoted promotion related replies reply search share sharing sidebar signup social sponsor sponsored subscribe toolbar topbar widget".split()
 )
+#: Words of a name that say only which part of a thing an element is.
+PARTS = set("a area articles author bar body bottom box btn button buttons center col column container content count date entry group heading icon icons image inner item items label left link links list main menu meta outer panel posts right row section slot stories text thread title top wrap wrapper".split())
+#: Words that make a name a state or a subject, not a thing.
+STATES = set("active category closed enabled disabled format has hide is no non not off on open show status tag tags topic with without".split())
 NOISE_ROLES = set("banner complementary contentinfo navigation search form alert dialog".split())
 MAIN = {"article", "main"}
+CONTAINERS = set("body center div main section td".split())
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][\w:.-]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][\w:.-]*)([^>]*)>""", re.S | re.I)
 ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
-WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
+WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+NAME = re.compile(r"[^!.#]+")
+
+
+def names_noise(name: str) -> bool:
+    """Whether a class or id names something that isn't main text."""
+    words = [w.lower() for w in WORD.findall(name)]
+    if STATES & set(words):
+        return False
+    while len(words) > 1 and words[-1] in PARTS:
+        words.pop()
+    return bool(words) and words[-1] in NOISE_WORDS
 
 
 @lru_cache(4096)
 def opened(name: str, attributes: str) -> tuple[str, bool]:
     """Key of an opening tag, which tells its noise and all of its class and id; and whether it encloses noise."""
-    words: list[str] = []
+    named: list[str] = []
     noise, shown = name in NOISE, ""
     for a, *values in ATTRIBUTE.findall(attributes):
         value = next((v for v in values if v), "")
@@ -70,10 +95,10 @@ def opened(name: str, attributes: str) -> tuple[str, bool]:
         elif a == "hidden":
             noise |= not value or value.lower() == "hidden"
         elif a in ("class", "id"):
-            words += [w.lower() for w in WORD.findall(value)]
+            named += value.split()
             shown += ("." if a == "class" else "#") + re.sub(r"\d+", "9", value)
     if name not in ("html", "body", "main"):
-        noise |= bool(NOISE_WORDS & set(words))
+        noise |= any(map(names_noise, named))
     if len(shown) > 80:
         shown = f"{shown[:64]}~{xxh64_hexdigest(shown.encode('utf-8', 'surrogatepass'))}"
     return name + "!" * noise + shown, noise
@@ -131,7 +156,8 @@ class Regions:
 
 # A node of a wrapper is [key, optional, body, texts]: key is an opening tag's, `/` and a closing tag's name, `#` and the label of a text
 # slot, or `+` and the first key of a repeated group; body are the nodes of a group; texts are the numbers of a page's texts at a slot,
-# in a host's wrapper [[hash of its one text or null, hashes that tell LEAST_PAGES of its pages apart]], and [template or not] when it is used.
+# in a host's wrapper [[hash of its one text or null, hashes that tell LEAST_PAGES of its pages apart, characters outside links]], and a
+# (template, outside the main part) pair when it is used.
 # As a slot's key has its label, texts that noise encloses on one page never share a slot with main text of another.
 
 
@@ -142,16 +168,18 @@ def node(key: str, texts: Iterable[int] = ()) -> list:
 KEY, OPTIONAL, BODY, TEXTS = range(4)
 
 
-def own_labels(found: list[tuple[str, str, str]]) -> tuple[list[int], bool]:
-    """The label of every text by the page's own tags (-1 for tags), and whether there is an article."""
-    regions, own = Regions(), []
-    for kind, x, attributes in found:
+def own_labels(found: list[tuple[str, str, str]]) -> tuple[list[int], bool, set[int]]:
+    """The label of every text by the page's own tags (-1 for tags), whether there is an article, and the texts of links."""
+    regions, own, linked = Regions(), [], set()
+    for i, (kind, x, attributes) in enumerate(found):
         if kind == "<":
             regions.open(x, opened(x, attributes)[1])
         elif kind == ">":
             regions.close(x)
+        elif regions.names["a"]:
+            linked.add(i)
         own.append(regions.label() if kind == "#" else -1)
-    return own, regions.any_main
+    return own, regions.any_main, linked
 
 
 def stream(found: list[tuple[str, str, str]], own: list[int]) -> list[list]:
@@ -192,8 +220,8 @@ def united(x: list, y: list) -> list:
     """The texts of a merged slot: a page's numbers together, and two slots' evidence as one."""
     if not (x and y and isinstance(x[0], list) and isinstance(y[0], list)):
         return x + y
-    (one, pages), (other, more) = x[0], y[0]
-    return [[one, sorted({*pages, *more})[:LEAST_PAGES]]] if one == other and one is not None else [[None, []]]
+    (one, pages, mass), (other, more, added) = x[0], y[0]
+    return [[one, sorted({*pages, *more})[:LEAST_PAGES], mass + added]] if one == other and one is not None else [[None, [], mass + added]]
 
 
 def alike(a: list[list], b: list[list]) -> bool:
@@ -267,16 +295,17 @@ def digest(text: str) -> int:
     return xxh64_intdigest(text.encode("utf-8", "surrogatepass"))
 
 
-def witnessed(nodes: list[list], found: list[tuple[str, str, str]], own: list[int]) -> list[list]:
+def witnessed(nodes: list[list], found: list[tuple[str, str, str]], own: list[int], linked: set[int]) -> list[list]:
     """A page's nodes with evidence in place of the numbers of its texts."""
     shown = {i: " ".join(x.split()) for i, (kind, x, _) in enumerate(found) if kind == "#"}
     longest = sorted({x for i, x in shown.items() if own[i]}, key=lambda x: (-len(x), x))[:3]
 
     def evidence(texts: list[int]) -> list:
+        mass = sum(len(shown[i]) for i in texts if own[i] and i not in linked)
         if len(kinds := {shown[i] for i in texts}) > 1:
-            return [[None, []]]
+            return [[None, [], mass]]
         (one,) = kinds
-        return [[digest(one), [digest("\n".join([x for x in longest if x != one][:2]))]]]
+        return [[digest(one), [digest("\n".join([x for x in longest if x != one][:2]))], mass]]
 
     def walk(part: list[list]) -> list[list]:
         return [[k, opt, None if body is None else walk(body), evidence(texts) if texts else []] for k, opt, body, texts in part]
@@ -292,25 +321,74 @@ def size(nodes: list[list]) -> int:
     return sum(1 if n[BODY] is None else 1 + size(n[BODY]) for n in nodes)
 
 
-def judged(nodes: list[list]) -> list[list]:
-    """`nodes`, each slot's evidence replaced by whether it is template."""
-    for n in nodes:
+def is_template(n: list) -> bool:
+    return bool(n[TEXTS]) and n[TEXTS][0][0] is not None and len(n[TEXTS][0][1]) >= LEAST_PAGES
+
+
+def mass_of(n: list) -> int:
+    """Characters outside links, template apart, of a node."""
+    if n[BODY] is not None:
+        return sum(map(mass_of, n[BODY]))
+    return n[TEXTS][0][2] if n[TEXTS] and not is_template(n) else 0
+
+
+def main_part(nodes: list[list]) -> tuple[int, int]:
+    """Where the innermost container with `SHARE` of all characters starts and ends; everything if there are none."""
+    masses = [mass_of(n) for n in nodes]
+    before = list(accumulate(masses, initial=0))
+    best, stack = (0, len(nodes)), []
+
+    def closed(start: int, end: int) -> None:
+        nonlocal best
+        if before[end] - before[start] >= SHARE * before[-1] and end - start < best[1] - best[0]:
+            best = (start, end)
+
+    for i, n in enumerate(nodes):
+        if n[KEY][0] == "/":
+            name = n[KEY][1:]
+            if any(x == name for x, _ in stack):
+                while True:
+                    x, start = stack.pop()
+                    if x in CONTAINERS:
+                        closed(start, i)
+                    if x == name:
+                        break
+        elif n[KEY][0] not in "#+" and (name := NAME.match(n[KEY])[0]) not in VOID:
+            stack.append((name, i))
+    for x, start in reversed(stack):
+        if x in CONTAINERS:
+            closed(start, len(nodes))
+    return best if before[-1] else (0, len(nodes))
+
+
+def judged(blocks: list[list[list]]) -> list[list[list]]:
+    """A host's wrapper, each slot's evidence replaced by whether it is template, and whether it is outside of the main part."""
+    nodes = [n for b in blocks for n in b]
+    start, end = main_part(nodes)
+    title = 0
+
+    def judge(n: list, outside: bool) -> None:
         if n[BODY] is not None:
-            judged(n[BODY])
+            for x in n[BODY]:
+                judge(x, outside)
         elif n[TEXTS]:
-            one, pages = n[TEXTS][0]
-            n[TEXTS] = [one is not None and len(pages) >= LEAST_PAGES]
-    return nodes
+            n[TEXTS] = [(is_template(n), outside)]
+
+    for i, n in enumerate(nodes):
+        title = max(0, title + (n[KEY] == "h1" or n[KEY].startswith(("h1.", "h1#"))) - (n[KEY] == "/h1"))
+        judge(n, not start <= i < end and not title)
+    return blocks
 
 
-def template_texts(nodes: list[list], into: set[int]) -> set[int]:
-    """The numbers of a page's texts that align with the template slots of a judged wrapper."""
+def decided(nodes: list[list], template: set[int], outside: set[int]) -> None:
+    """Adds the numbers of a page's texts that align with slots of a judged wrapper that are template, or outside of the main part."""
     for n in nodes:
         if n[BODY] is not None:
-            template_texts(n[BODY], into)
-        elif any(x is True for x in n[TEXTS]):
-            into.update(x for x in n[TEXTS] if x is not True)
-    return into
+            decided(n[BODY], template, outside)
+        elif n[TEXTS] and isinstance(n[TEXTS][0], tuple):
+            texts = [x for x in n[TEXTS] if not isinstance(x, tuple)]
+            template.update(texts if n[TEXTS][0][0] else ())
+            outside.update(texts if n[TEXTS][0][1] else ())
 
 
 def blocks_of(nodes: list[list]) -> list[list[list]]:
@@ -322,26 +400,27 @@ def align_blocks(a: list[list[list]], b: list[list[list]]) -> list[list[list]]:
 
 
 @lru_cache(256)
-def wrapper_of(text: str) -> list[list]:
-    return [judged(x) for x in json.loads(text)]
+def wrapper_of(text: str) -> list[list[list]]:
+    return judged(json.loads(text))
 
 
 def main_text(html: str | None, wrapper: str | None) -> str:
     """The main text of a page by its host's wrapper."""
     found = events(html or "")
-    own, any_main = own_labels(found)
+    own, any_main, _ = own_labels(found)
     template: set[int] = set()
+    outside: set[int] = set()
     if wrapper:
         for known, mine in zip(wrapper_of(wrapper), blocks_of(fold(stream(found, own))), strict=False):
-            template_texts(align(known, mine), template)
-    wanted = 2 if any_main else 1
+            decided(align(known, mine), template, outside)
+    wanted, left_out = (2, template) if any_main else (1, template | outside)
     blocks: list[list[str]] = [[]]
     varied = [False]  # whether a block has a text of its own
     for i, (kind, x, _) in enumerate(found):
         if kind == "#":
             if own[i] >= wanted:
                 blocks[-1].append(x)
-                varied[-1] |= i not in template and not x.isspace()
+                varied[-1] |= i not in left_out and not x.isspace()
         elif x in BLOCKS:
             blocks.append([])
             varied.append(False)
@@ -368,10 +447,10 @@ def induce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         for host, html in zip(pdf["host"], pdf["html"], strict=True):
             found = events(html or "")
-            own, _ = own_labels(found)
+            own, _, linked = own_labels(found)
             if not (nodes := fold(stream(found, own))):
                 continue
-            nodes = witnessed(nodes, found, own)
+            nodes = witnessed(nodes, found, own, linked)
             shapes, kind = made.setdefault(host, {}), shape(nodes)
             if kind in shapes:
                 shapes[kind] = align(shapes[kind], nodes)
@@ -394,26 +473,31 @@ def joined(wrappers: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
+def host(url: Column) -> Column:
+    return F.coalesce(split_url(url)[0], F.lit(""))
+
+
 def wrappers(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """host and wrapper (JSON) of every host."""
-    given = pages.select(F.coalesce(split_url(F.col(url))[0], F.lit("")).alias("host"), F.col(html).alias("html"))
+    given = pages.select(host(F.col(url)).alias("host"), F.col(html).alias("html"))
     join = F.pandas_udf(joined, "string")
     parts = given.mapInPandas(induce, "host string, wrapper string").withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(SALTS)))
-    some = parts.groupBy("host", "salt").agg(F.sort_array(F.collect_set("wrapper")).alias("w")).select("host", join("w").alias("wrapper"))
-    return some.groupBy("host").agg(F.sort_array(F.collect_set("wrapper")).alias("w")).select("host", join("w").alias("wrapper"))
+    some = parts.groupBy("host", "salt").agg(F.sort_array(F.collect_list("wrapper")).alias("w")).select("host", join("w").alias("wrapper"))
+    return some.groupBy("host").agg(F.sort_array(F.collect_list("wrapper")).alias("w")).select("host", join("w").alias("wrapper"))
 
 
 def extract(pages: DataFrame, url: str = "url", html: str = "html", into: str = "text") -> DataFrame:
     """`pages` with the main text of each; an input column of that name is replaced."""
-    known = checkpointed(wrappers(pages, url, html).withColumnRenamed("host", "_host"))
+    rows = Rows(pages)
+    known = stored(wrappers(rows.df, rows.name(url), rows.name(html)))
 
     @F.pandas_udf("string")
     def extracted(htmls: pd.Series, given: pd.Series) -> pd.Series:
         return pd.Series([main_text(h, w) for h, w in zip(htmls, given, strict=True)], dtype=object)
 
-    rows = pages.withColumns({"_host": F.coalesce(split_url(F.col(url))[0], F.lit("")), "_spread": F.xxhash64(F.col(html), F.col(url))})
-    found = join_small(rows, known, ["_host"], "_spread").withColumn("_main", extracted(F.col(html), F.col("wrapper")))
-    return found.select(*[f"`{c}`" for c in without(pages, into).columns], F.col("_main").alias(into))
+    hosted = rows.df.withColumns({"host": host(rows.col(url)), "spread": F.xxhash64(rows.col(html), rows.col(url))})
+    found = join_small(hosted, known, ["host"], "spread").withColumn("main", extracted(rows.col(html), F.col("wrapper")))
+    return rows.restored(found, **{into: F.col("main")})
 
 
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
