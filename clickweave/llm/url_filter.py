@@ -7,14 +7,18 @@ of an Arrow batch in one vectorised binary search; a hit counts only if the stor
 colliding digests can't decide.
 
 Defined results: a null URL or one without ``://`` has an empty host and path; the longest rule wins, and of two
-equal rules the block; a URL that no rule fits gets `default`, since the array doesn't list it.
+equal rules the block; a URL that no rule fits gets `default`, since the array doesn't list it; repeated rows give repeated rows, an empty table
+an empty table; columns of any other names pass. The number of rules isn't limited: Spark sorts them, the driver writes the files as they
+stream by, and executors map them, so memory holds only the parts that are probed; each executor's disk holds them once.
 """
 
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 from collections.abc import Iterable, Iterator
+from contextlib import ExitStack
 from functools import cache
 
 import numpy as np
@@ -24,10 +28,7 @@ from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import without
-
-#: The rule list is held once by each Python worker, so it has a proven bound; larger lists must be split by host.
-MAX_RULES = 20_000_000
+from .common import Rows
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -44,28 +45,39 @@ def digest(key: str) -> int:
 
 
 class DigestArray:
-    """Files of sorted digests, verdicts and key strings, shared with the executors by ``addFile``."""
-
-    def __init__(self, spark: SparkSession, rules: Iterable[tuple[str, str, str]], max_rules: int = MAX_RULES):
-        kept: dict[str, tuple[bool, int]] = {}
-        for verdict, host, path in rules:
-            if verdict not in ("allow", "block"):
-                raise ValueError(f"verdict must be allow or block, not {verdict!r}")
-            host = host.translate({c: c + 32 for c in range(65, 91)})
-            kept[host + path] = (kept.get(host + path, (False, 0))[0] or verdict == "block", len(host))
-        if len(kept) > max_rules:
-            raise ValueError(f"{len(kept)} rules; a digest array takes {max_rules}")
-        rows = sorted((digest(k), k, block) for k, (block, _) in kept.items())
-        self.lengths = sorted({len(k) - n for k, (_, n) in kept.items()})
-        self.labels = max((k[: n].count(".") + 1 for k, (_, n) in kept.items()), default=0)
-        texts = [k.encode("utf-8", "surrogatepass") for _, k, _ in rows]
+    """A file of sorted digests, verdicts and key strings, shared with the executors by ``addFile``."""
+
+    def __init__(self, spark: SparkSession, rules: DataFrame | Iterable[tuple[str, str, str]]):
+        given = rules if isinstance(rules, DataFrame) else spark.createDataFrame(list(rules), "verdict string, host string, path string")
+        host = F.translate(F.coalesce("host", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+        path = F.coalesce("path", F.lit(""))
+        keyed = given.select("verdict", F.concat(host, path).alias("key"), F.char_length(path).alias("length"), F.size(F.split(host, r"\.")).alias("labels"))
+        known = F.coalesce(F.col("verdict").isin("allow", "block"), F.lit(False))
+        self.labels, self.lengths, wrong = keyed.agg(F.coalesce(F.max("labels"), F.lit(0)), F.sort_array(F.collect_set("length")), F.min(F.when(~known, F.coalesce("verdict", F.lit("null"))))).first()
+        if wrong is not None:
+            raise ValueError(f"verdict must be allow or block, not {wrong!r}")
+        # Spark's xxhash64 of one string is the XXH64 of its UTF-8 bytes with seed 42; unsigned order is that of the number with its sign turned
+        rows = keyed.groupBy("key").agg(F.bool_or(F.col("verdict") == "block").alias("block")).withColumn("digest", F.xxhash64("key"))
         folder = tempfile.mkdtemp(prefix="digest-array-")
         self.name = os.path.basename(folder)
-        head = np.array([len(rows)], "<u8").tobytes()
-        ends = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype("<u8")
-        with open(os.path.join(folder, self.name), "wb") as f:
-            f.write(head + np.array([r[0] for r in rows], "<u8").tobytes() + ends.tobytes())
-            f.write(np.array([r[2] for r in rows], "u1").tobytes() + b"".join(texts) + b"\0")
+        parts = [os.path.join(folder, f"part-{x}") for x in ("digests", "ends", "blocks", "texts")]
+        with ExitStack() as stack:
+            digests, ends, blocks, texts = (stack.enter_context(open(p, "wb")) for p in parts)
+            n = end = 0
+            ends.write(end.to_bytes(8, "little"))
+            for key, block, digest in rows.orderBy(F.col("digest").bitwiseXOR(F.lit(-(1 << 63))), "key").toLocalIterator():
+                text = key.encode()
+                n, end = n + 1, end + len(text)
+                digests.write((digest & (1 << 64) - 1).to_bytes(8, "little"))
+                ends.write(end.to_bytes(8, "little"))
+                blocks.write(bytes([block]))
+                texts.write(text)
+        with open(os.path.join(folder, self.name), "wb") as whole:
+            whole.write(n.to_bytes(8, "little"))
+            for p in parts:
+                with open(p, "rb") as part:
+                    shutil.copyfileobj(part, whole)
+            whole.write(b"\0")
         spark.sparkContext.addFile(os.path.join(folder, self.name))
 
 
@@ -104,8 +116,11 @@ def probe(name: str, lengths: list[int], labels: int, hosts: list[str], paths: l
     return pd.DataFrame([best.get(i, none)[1:] for i in range(len(hosts))], columns=["rule", "verdict"])
 
 
-def judge_urls(pages: DataFrame, rules: Iterable[tuple[str, str, str]], url: str = "url", default: str = "allow") -> DataFrame:
-    """`pages` with host, path, rule and verdict of its URLs; input columns of these names are replaced."""
+def judge_urls(pages: DataFrame, rules: DataFrame | Iterable[tuple[str, str, str]], url: str = "url", default: str = "allow") -> DataFrame:
+    """`pages` with host, path, rule and verdict of its URLs; input columns of these names are replaced.
+
+    `rules` are (verdict, host, path) tuples, or a table with these columns.
+    """
     array = DigestArray(pages.sparkSession, rules)
     name, lengths, labels = array.name, array.lengths, array.labels
 
@@ -114,12 +129,10 @@ def judge_urls(pages: DataFrame, rules: Iterable[tuple[str, str, str]], url: str
         for hosts, paths in batches:
             yield probe(name, lengths, labels, hosts.tolist(), paths.tolist())
 
-    host, path = split_url(F.col(url))
-    kept = without(pages, "host", "path", "rule", "verdict")
-    if url.lower() in ("host", "path", "rule", "verdict"):
-        raise ValueError("the URL column can't have the name of a result")
-    found = kept.withColumns({"host": host, "path": path}).withColumn("_found", judged("host", "path"))
-    return found.select(*kept.columns, "host", "path", F.col("_found.rule").alias("rule"), F.coalesce("_found.verdict", F.lit(default)).alias("verdict"))
+    rows = Rows(pages)
+    host, path = split_url(rows.col(url))
+    found = rows.df.withColumns({"host": host, "path": path}).withColumn("found", judged("host", "path"))
+    return rows.restored(found, host=F.col("host"), path=F.col("path"), rule=F.col("found.rule"), verdict=F.coalesce("found.verdict", F.lit(default)))
 
 
 #: The rules of the registered query, in the form (verdict, host, path).
