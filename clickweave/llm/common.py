@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -80,9 +80,9 @@ class Rows:
     def col(self, given: str) -> Column:
         return F.col(self.name(given))
 
-    def restored(self, found: DataFrame, **new: Column) -> DataFrame:
+    def restored(self, found: DataFrame, leave_out: Iterable[str] = (), **new: Column) -> DataFrame:
         """`found` under the given names, with `new` columns in place of given ones of their names."""
-        taken = {n.lower() for n in new}
+        taken = {n.lower() for n in (*leave_out, *new)}
         kept = [i for i, n in enumerate(self.names) if n.lower() not in taken]
         return found.select(*[f"c{i}" for i in kept], *[c.alias(f"n{j}") for j, c in enumerate(new.values())]).toDF(*[self.names[i] for i in kept], *new)
 
