@@ -9,12 +9,13 @@ root and, for each section, its digest, then its paragraphs', then their leaves'
 Likeness of two fingerprints is 1 for equal roots, else the share of their distinct leaves that both have (Dice).
 It can be had from the fingerprint strings alone (`likeness_of_strings`).
 
-All of it is DataFrame functions. The next document in id order is found with one shuffle of the texts: ids fall into
-ranges of `RANGE` ids, so that a task orders at most as many documents with distinct ids; a range's last document takes the first of
-the next range that has one, found by two levels of ranges over their first ids.
+All of it is DataFrame functions. The next document in id order is found with one shuffle of the texts: a narrow table of ids and text
+hashes is range-partitioned, which gives the bounds of ranges that hold about the same number of rows whatever the ids are; each row finds its range by binary
+search in these, and a window orders each range. A range's last document takes the first of the next range. Rows with one id, or none, are ordered by a
+hash of their text and then by place, so that they too are dealt over ranges.
 
-Defined results: a null text is empty; the only document follows itself; of rows with one id, or without (they come first),
-the smaller text comes first; no row, no result.
+Defined results: a null text is empty; the only document follows itself; rows with one id, or without (they come first), follow each other in
+the order of their texts' hashes, copies side by side; an empty table gives an empty table; columns of other names take no part.
 """
 
 from __future__ import annotations
@@ -22,9 +23,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import let, table
+from .common import Rows, let, stored, table
 
-PIECE, RANGE = 8, 4096
+PIECE = 8
 SHORT = 16
 #: One piece: white space, then up to PIECE words with the white space after them; the rest of a paragraph is its last piece.
 PIECES = r"\s*+(?:\S++\s*+){1,%d}+|\s++" % PIECE
@@ -62,6 +63,12 @@ def tree(text: Column) -> Column:
     return let(F.transform(F.split(text, "\n\n", -1), of_section), made)
 
 
+def leaves(text: Column) -> Column:
+    """The distinct short leaves alone."""
+    pieces = F.flatten(F.transform(F.split(text, "\n", -1), lambda p: F.regexp_extract_all(p, F.lit(PIECES), F.lit(0))))
+    return F.array_distinct(F.transform(pieces, lambda x: short(F.sha2(x, 256))))
+
+
 def dice(same: Column, a: Column, b: Column) -> Column:
     total = F.size(a) + F.size(b)
     return F.when(same, 1.0).when(total == 0, 0.0).otherwise(2.0 * F.size(F.array_intersect(a, b)) / total)
@@ -82,36 +89,56 @@ def fingerprint(text: Column) -> Column:
     return tree(F.coalesce(text, F.lit("")))["fingerprint"]
 
 
+#: Ranges for each shuffle partition.
+RANGES = 4
+
+
+def range_of(at: Column, bounds: Column, most: int) -> Column:
+    """How many of the sorted `bounds` (`most` at most) are `at` or before it, by binary search."""
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(most.bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda n, step: F.when((n + step <= F.size(bounds)) & (F.get(bounds, n + step - 1) <= at), n + step).otherwise(n))
+
+
 def with_next(docs: DataFrame, key: str, value: str) -> DataFrame:
-    """`docs` (key, value) with next_value: that of the next row by key and value; after the last, the first."""
-    ranged = docs.select(F.floor(F.coalesce(key, F.lit(-(1 << 62))) / F.lit(RANGE)).cast("long").alias("r"), key, value)
-    in_range = Window.partitionBy("r").orderBy(F.asc_nulls_first(key), value)
-    linked = ranged.select("r", key, value, F.lead(value).over(in_range).alias("after"), F.lead("r").over(in_range).isNull().alias("last"))
-    heads = ranged.select("r", key, value, F.row_number().over(in_range).alias("i")).filter("i = 1").select(F.col("r").alias("next_r"), F.col(value).alias("head"))
-    # the next range with a row, over ranges of ranges, then over those
-    upper = heads.select("next_r", F.floor(F.col("next_r") / F.lit(RANGE)).cast("long").alias("u"))
-    inner = upper.select("next_r", "u", F.lead("next_r").over(Window.partitionBy("u").orderBy("next_r")).alias("then"))
-    tops = upper.groupBy("u").agg(F.min("next_r").alias("first"))
-    every = Window.orderBy("u")
-    tops = tops.select("u", F.coalesce(F.lead("first").over(every), F.min("first").over(Window.partitionBy(F.lit(1)))).alias("over"))
-    follow = inner.join(tops, "u").select(F.col("next_r").alias("r"), F.coalesce("then", "over").alias("next_r")).join(heads, "next_r").select("r", "head")
-    return linked.join(follow, "r").select(key, value, F.when(F.col("last"), F.col("head")).otherwise(F.col("after")).alias("next_value"))
+    """`docs` (key, value) with next_value: that of the next row by key and value's hash; after the last, the first."""
+    rows = docs.select(F.col(key).alias("id"), F.col(value).alias("value")).withColumns({"h": F.xxhash64("value"), "place": F.monotonically_increasing_id()})
+    at = F.struct("id", "h", "place")
+    narrow = stored(rows.select(at.alias("at")))
+    dealt = narrow.repartitionByRange(RANGES * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "at").select(F.spark_partition_id().alias("p"), "at")
+    bounds = stored(dealt.groupBy("p").agg(F.min("at").alias("at")).agg(F.array_sort(F.collect_list("at")).alias("bounds")))
+    n = bounds.select(F.size("bounds")).first()[0]
+    if not n:
+        return docs.select(key, value, F.col(value).alias("next_value")).limit(0)
+    ranged = rows.join(F.broadcast(bounds), F.lit(True)).select("id", "value", "h", "place", range_of(at, F.col("bounds"), n).alias("r"))  # one row
+    order = Window.partitionBy("r").orderBy(F.asc_nulls_first("id"), "h", "place")
+    linked = ranged.select("r", "id", "value", F.lead("value").over(order).alias("after"), F.lead("r").over(order).isNull().alias("last"))
+    firsts = bounds.select(F.posexplode("bounds").alias("i", "at")).select((F.col("i") + 1).alias("r"), F.col("at.id").alias("first_id"), F.col("at.h").alias("first_h"))
+    heads = ranged.join(F.broadcast(firsts), "r").filter(F.col("id").eqNullSafe(F.col("first_id")) & (F.col("h") == F.col("first_h"))).groupBy("r").agg(F.min("value").alias("head"))
+    follow = heads.select((F.pmod(F.col("r") - 2, F.lit(n)) + 1).alias("r"), "head")
+    return linked.join(follow, "r").select(F.col("id").alias(key), F.col("value").alias(value), F.when(F.col("last"), F.col("head")).otherwise(F.col("after")).alias("next_value"))
 
 
 def edits(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Every document's text, its edited text and the next document's text."""
-    rows = with_next(docs.select(F.col(key).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text")), "_id", "_text")
-    n = F.char_length("_text")
+    """Every document's id, text, edited text and the next document's text."""
+    given = Rows(docs)
+    rows = with_next(given.df.select(given.col(key).alias("id"), F.coalesce(given.col(text), F.lit("")).alias("text")), "id", "text")
+    n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
-    edited = F.concat(F.substring(F.col("_text"), F.lit(1), n - half), F.substring(F.col("next_value"), F.lit(1), half))
-    return rows.select(F.col("_id").alias(key), F.col("_text").alias("text"), edited.alias("edited"), F.col("next_value").alias("next"))
+    edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_value"), F.lit(1), half))
+    return rows.select("id", "text", edited.alias("edited"), F.col("next_value").alias("next"))
 
 
 def fingerprint_edits(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Fingerprints of every text and its edited text, and the text's likeness to the edited and to the next text.
+
+    Of the next text only the leaves are made: its root equals the text's if and only if the texts are equal.
+    """
     rows = edits(docs, key, text)
-    trees = rows.select(key, F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), *[tree(F.col(c)).alias(f"{c}_tree") for c in ("text", "edited", "next")])
-    a = F.col("text_tree")
-    return trees.select(key, "n_chars", "edited_sha256", a["fingerprint"].alias("fingerprint"), F.col("edited_tree.fingerprint").alias("edited_fingerprint"), likeness(a, F.col("edited_tree")).alias("near_edited"), likeness(a, F.col("next_tree")).alias("near_next"))
+    made = rows.select("id", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), tree(F.col("text")).alias("a"), tree(F.col("edited")).alias("b"), leaves(F.col("next")).alias("c"), (F.col("text") == F.col("next")).alias("same"))
+    return made.select(
+        F.col("id").alias(key), "n_chars", "edited_sha256", F.col("a.fingerprint").alias("fingerprint"), F.col("b.fingerprint").alias("edited_fingerprint"),
+        likeness(F.col("a"), F.col("b")).alias("near_edited"), dice(F.col("same"), F.col("a.leaves"), F.col("c")).alias("near_next"),
+    )
 
 
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
