@@ -5,15 +5,17 @@ Each given turn is kept or relabelled, and starts a message, joins the message b
 inserted to make it legal; the sum of the costs is the least possible. The step from one turn to the next is a
 (min, +) matrix over the automaton's states, and these products are associative: a long conversation is cut into
 blocks of `BLOCK` turn numbers, each block becomes one small matrix, the blocks' first and last states are found from
-the matrices, and each block is then traced back by itself. So no task holds more text than one block.
+the matrices, and each block is then traced back by itself. A block with more than `BLOCK` turns (of equal numbers) or `BLOCK_BYTES` of text
+is cut further, by turn, role and, in their order, by ranges of text hashes, so that no task holds more text than one block or one turn.
 
 Result: one row for each given turn and each inserted message, with its part of the rendered conversation. The parts of a
 conversation, joined in the order of (turn, step), are the rendering; a part closes the message before it.
 
 Defined results: a null or unknown role can become any role for `RELABEL`; a null text is empty; turns with the same
-number are ordered by role and text, exact repeats count once; rows without a
+number are ordered by role and a hash of their text, exact repeats count once; rows without a
 conversation or a turn number have no place, so they come back with action `unplaced` and nothing rendered; marks of
-the format inside a text are broken up by a blank, so that they can't open or close a message.
+the format inside a text are broken up by a blank, so that they can't open or close a message; an empty table gives an empty table; columns
+of other names take no part.
 """
 
 from __future__ import annotations
@@ -25,9 +27,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import Rows, join_small, stored, table
 
-BLOCK = 1024
+BLOCK, BLOCK_BYTES = 1024, 8 << 20
 MERGE, INSERT, RELABEL = 1, 2, 4
 ROLES = ("system", "user", "assistant")
 START, FAR = 0, 1 << 30
@@ -131,12 +133,12 @@ def matrices(roles: pd.Series) -> pd.Series:
     return pd.Series([matrix([ROLES.index(x) + 1 if x in ROLES else 0 for x in r]) for r in roles])
 
 
-def bounds(blocks: pd.Series) -> pd.Series:
+def bounds(conversations: pd.Series) -> pd.Series:
+    """The first and last state of every block of a conversation, and whether it is the last block."""
     out = []
-    for given in blocks:
-        given = [dict(b) if isinstance(b, dict) else b.asDict() for b in given]
-        _, path = join_blocks([[int(x) for x in b["m"]] for b in given])
-        out.append([{"block": b["block"], "first": f, "last": t, "final": i == len(path) - 1} for i, (b, (f, t)) in enumerate(zip(given, path, strict=True))])
+    for given in conversations:
+        _, path = join_blocks([[int(x) for x in m] for m in given])
+        out.append([{"first": f, "last": t, "final": i == len(path) - 1} for i, (f, t) in enumerate(path)])
     return pd.Series(out)
 
 
@@ -148,21 +150,37 @@ def parts(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]])
         yield pd.Series([list(fragments([dict(x) if isinstance(x, dict) else x.asDict() for x in t], int(f), int(z), bool(e))) for t, f, z, e in zip(turns, first, last, final, strict=True)])
 
 
+def in_blocks(placed: DataFrame) -> DataFrame:
+    """`placed` (conv, turn, role, text, mark) with `at`, the block of each turn; blocks of a conversation are in the order of `at`."""
+    placed = placed.withColumn("block", F.floor(F.col("turn") / BLOCK).cast("bigint"))
+    loads = placed.groupBy("conv", "block").agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes"))
+    crowded = stored(loads.filter((F.col("n") > BLOCK) | (F.col("bytes") > BLOCK_BYTES)).select("conv", "block", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("bigint").alias("ranges")))
+    if crowded.isEmpty():
+        return placed.withColumn("at", F.struct("block"))
+    placed = join_small(placed, crowded, ["conv", "block"], "mark")
+    bucket = F.floor((F.col("mark") / F.lit(2.0**64) + 0.5) * F.col("ranges"))  # keeps the order of the marks
+    cut = F.col("ranges").isNotNull()
+    return placed.withColumn("at", F.struct("block", F.when(cut, F.col("turn")).alias("turn"), F.when(cut, F.col("role")).alias("role"), F.when(cut, bucket).alias("bucket")))
+
+
 def repair(chats: DataFrame, conversation: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """The repaired parts of every conversation; other columns of `chats` take no part."""
-    to_matrix, to_bounds = F.pandas_udf(matrices, "array<int>"), F.pandas_udf(bounds, "array<struct<block:bigint,first:int,last:int,final:boolean>>")
+    to_matrix, to_bounds = F.pandas_udf(matrices, "array<int>"), F.pandas_udf(bounds, "array<struct<first:int,last:int,final:boolean>>")
     to_parts = F.pandas_udf(parts, f"array<struct<{PART}>>")
-    clean: Column = F.lower(F.trim(F.col(role)))
-    rows = chats.select(F.col(conversation).alias("conv"), F.col(turn).cast("bigint").alias("turn"), clean.alias("role"), F.col(text).alias("text"))
-    placed = rows.filter("conv IS NOT NULL AND turn IS NOT NULL").withColumn("block", F.floor(F.col("turn") / BLOCK).cast("bigint"))
-    mark = F.xxhash64(F.coalesce("text", F.lit("")))
-    place = [F.col("turn"), F.coalesce("role", F.lit("")).alias("role")]
+    given = Rows(chats)
+    clean: Column = F.lower(F.trim(given.col(role)))
+    rows = given.df.select(given.col(conversation).alias("conv"), given.col(turn).cast("bigint").alias("turn"), clean.alias("role"), given.col(text).alias("text"))
+    known = rows.filter("conv IS NOT NULL AND turn IS NOT NULL").select("conv", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    placed = in_blocks(known.withColumn("mark", F.xxhash64("text")))
     # sets fold copies before the shuffle; the narrow set has a text's hash, so both hold the same turns in one order
-    narrow = placed.groupBy("conv", "block").agg(F.sort_array(F.collect_set(F.struct(*place, mark.alias("mark")))).alias("t"))
-    states = narrow.select("conv", "block", to_matrix(F.transform("t", lambda x: x["role"])).alias("m"))
-    paths = states.groupBy("conv").agg(F.sort_array(F.collect_list(F.struct("block", "m"))).alias("blocks")).select("conv", F.explode(to_bounds("blocks")).alias("b")).select("conv", "b.*")
-    wide = placed.groupBy("conv", "block").agg(F.sort_array(F.collect_set(F.struct(*place, mark.alias("mark"), F.coalesce("text", F.lit("")).alias("text")))).alias("t"))
-    made = wide.join(paths, ["conv", "block"]).select("conv", F.explode(to_parts(F.transform("t", lambda x: F.struct(x["turn"], x["role"], x["text"])), "first", "last", "final")).alias("p")).select(F.col("conv").alias(conversation), "p.*")
+    narrow = placed.groupBy("conv", "at").agg(F.sort_array(F.collect_set(F.struct("turn", "role", "mark"))).alias("t"))
+    states = narrow.select("conv", "at", to_matrix(F.transform("t", lambda x: x["role"])).alias("m"))
+    whole = states.groupBy("conv").agg(F.sort_array(F.collect_list(F.struct("at", "m"))).alias("blocks"))
+    paths = whole.select("conv", "blocks", to_bounds(F.transform("blocks", lambda x: x["m"])).alias("path"))
+    paths = paths.select("conv", F.explode(F.transform("blocks", lambda x, i: F.struct(x["at"].alias("at"), F.get("path", i).alias("b")))).alias("x")).select("conv", "x.at", "x.b.*")
+    wide = placed.groupBy("conv", "at").agg(F.sort_array(F.collect_set(F.struct("turn", "role", "mark", "text"))).alias("t"))
+    turns = F.transform("t", lambda x: F.struct(x["turn"], x["role"], x["text"]))
+    made = wide.join(paths, ["conv", "at"]).select("conv", F.explode(to_parts(turns, "first", "last", "final")).alias("p")).select(F.col("conv").alias(conversation), "p.*")
     unplaced = rows.filter("conv IS NULL OR turn IS NULL").select(F.col("conv").alias(conversation), "turn", F.lit(0).alias("step"), F.col("role").alias("given_role"), F.lit(None).cast("string").alias("role"), F.lit("unplaced").alias("action"), F.lit(0).alias("cost"), F.lit(None).cast("string").alias("rendered"))
     return made.unionByName(unplaced)
 

@@ -80,6 +80,10 @@ class Rows:
     def col(self, given: str) -> Column:
         return F.col(self.name(given))
 
+    def must_be_integer(self, given: str) -> None:
+        if self.df.schema[self.name(given)].dataType.typeName() not in ("long", "integer", "short", "byte"):
+            raise ValueError(f"{given} must be an integer")
+
     def restored(self, found: DataFrame, leave_out: Iterable[str] = (), **new: Column) -> DataFrame:
         """`found` under the given names, with `new` columns in place of given ones of their names."""
         taken = {n.lower() for n in (*leave_out, *new)}

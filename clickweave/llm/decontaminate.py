@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, checkpointed, let, table
+from .common import BROADCAST_ROWS, Rows, checkpointed, let, table
 
 WORDS, THRESHOLD = 5, 0.8
 #: Sketch values up to which they are broadcast (16 bytes each); beyond, the join is left to Spark.
@@ -50,7 +50,8 @@ def hashed(w: Column, i: Column, size: int | Column, most: int) -> Column:
 
 def sketched(items: DataFrame, key: str, text: str, width: int, threshold: float) -> DataFrame:
     """item_id, width, need, shingles (distinct texts) and sketch (hashes) of every item that has words."""
-    base = items.select(F.col(key).alias("item_id"), F.col(text).alias("t"), F.size(words(F.col(text))).alias("n")).filter("n > 0 AND item_id IS NOT NULL")
+    given = Rows(items)
+    base = given.df.select(given.col(key).alias("item_id"), given.col(text).alias("t"), F.size(words(given.col(text))).alias("n")).filter("n > 0 AND item_id IS NOT NULL")
     base = base.select("item_id", F.least(F.lit(width), F.col("n")).alias("width"), "t")
     base = base.select("item_id", "width", F.array_distinct(runs(F.col("t"), F.col("width"), width, spaced)).alias("shingles"), F.array_distinct(runs(F.col("t"), F.col("width"), width, hashed)).alias("hashes")).distinct()
     q = F.size("shingles")
@@ -90,18 +91,21 @@ def verified(docs: DataFrame, key: str, text: str, pairs: DataFrame, sketches: D
 def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", width: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
     """Every document and item that it contains: key, item_id, n_shingles, n_shared, containment."""
     sketches = checkpointed(sketched(items, item_key, item_text, width, threshold))
-    docs = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).filter("_key IS NOT NULL")
+    rows = Rows(docs)
+    docs = rows.df.select(rows.col(key).alias("_key"), rows.col(text).alias("_text")).filter("_key IS NOT NULL")
     pairs = checkpointed(candidates(docs, "_key", "_text", sketches, width))
     return verified(docs, "_key", "_text", pairs, sketches, threshold, width).withColumnRenamed("_key", key)
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", width: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
-    """`docs` without those that contain an item; the same text always gets the same verdict."""
-    named = docs.select(F.sha2(F.col(text), 256).alias("_key"), F.col(text).alias("_text")).filter("_key IS NOT NULL")
+    """`docs` without those that contain an item; the same text always gets the same verdict, and columns of any names pass."""
+    rows = Rows(docs)
+    given = rows.df.withColumn("digest", F.sha2(rows.col(text), 256))
+    named = given.select(F.col("digest").alias("_key"), rows.col(text).alias("_text")).filter("_key IS NOT NULL")
     sketches = checkpointed(sketched(items, item_key, item_text, width, threshold))
     pairs = checkpointed(candidates(named, "_key", "_text", sketches, width))
-    leaks = verified(named, "_key", "_text", pairs, sketches, threshold, width).select(F.col("_key").alias("_leak")).distinct()
-    return docs.join(checkpointed(leaks), F.sha2(F.col(text), 256) == F.col("_leak"), "left_anti")
+    leaks = checkpointed(verified(named, "_key", "_text", pairs, sketches, threshold, width).select(F.col("_key").alias("digest")).distinct())
+    return rows.restored(given.join(leaks, "digest", "left_anti"))
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

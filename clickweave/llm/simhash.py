@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_digest
 
-from .common import checkpointed, discard, join_small, spread, stored, table
+from .common import Rows, checkpointed, discard, join_small, spread, stored, table
 
 SHINGLE, TAU, SEED = 4, 4, 42
 #: Copies of the smaller side of a join whose key may be hot.
@@ -192,16 +192,16 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", ta
     Defined results: a text without words has fingerprint zero and links like any other; a null id takes part in no
     link, and gets the smallest id that has its fingerprint, if any; repeated rows give repeated rows.
     """
-    if docs.schema[key].dataType.typeName() not in ("long", "integer", "short", "byte"):
-        raise ValueError(f"{key} must be an integer")
-    prints = checkpointed(docs.select(F.col(key).cast("long").alias("doc_id"), fingerprints(F.col(text)).alias("fp")))
+    rows = Rows(docs)
+    rows.must_be_integer(key)
+    prints = checkpointed(rows.df.select(rows.col(key).cast("long").alias("doc_id"), fingerprints(rows.col(text)).alias("fp")))
     groups = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("id"), F.count("*").alias("n")))
     linked = linked_components(groups.filter("id IS NOT NULL").select("id", "fp"), tau)
     # only fingerprints with several rows or with links differ from "its own component"
     shared = groups.join(linked, "id", "left").filter("n > 1 OR component IS NOT NULL").select("fp", F.coalesce("component", "id").alias("component"))
     salted = shared.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = prints.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    return rows.join(salted, ["fp", "salt"], "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.coalesce("component", "doc_id").alias("component_id"))
+    salted_rows = prints.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    return salted_rows.join(salted, ["fp", "salt"], "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def lost_rows(prints: DataFrame, tau: int = TAU) -> DataFrame:
@@ -222,33 +222,34 @@ def lost_rows(prints: DataFrame, tau: int = TAU) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """`docs` with one row, that of the smallest id, of every group of near-duplicates.
+    """`docs` with one row, that of the smallest id, of every group of near-duplicates; columns of any names pass.
 
     Rows are told apart by id and fingerprint: of repeated rows one stays, rows that share an id but not their text stay unless their
     own text is a near-duplicate; a row without an id stays if no other row has its fingerprint or a link to it, and of a group of
     such rows only one stays.
     """
-    if docs.schema[key].dataType.typeName() not in ("long", "integer", "short", "byte"):
-        raise ValueError(f"{key} must be an integer")
-    prints = checkpointed(docs.select(F.col(key).cast("long").alias("doc_id"), fingerprints(F.col(text)).alias("fp")))
+    rows = Rows(docs)
+    rows.must_be_integer(key)
+    given, own = rows.df, rows.name(key)
+    prints = checkpointed(given.select(F.col(own).cast("long").alias("doc_id"), fingerprints(rows.col(text)).alias("fp")))
     lost = checkpointed(lost_rows(prints))
     # an id on several rows, or none, doesn't tell a row: only for these is the fingerprint made again
-    twice = checkpointed(prints.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("_twice")))
+    twice = checkpointed(prints.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("twice")))
     several, nameless = not twice.isEmpty(), not prints.filter("doc_id IS NULL").isEmpty()
-    losers = lost.filter("doc_id IS NOT NULL").withColumnRenamed("doc_id", "_lost")
+    losers = lost.filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("lost"))
     if several:
-        losers = losers.join(twice, losers["_lost"] == twice["_twice"], "left_anti")
-    kept = docs.join(losers, docs[key] == losers["_lost"], "left_anti")
+        losers = losers.join(twice, losers["lost"] == twice["twice"], "left_anti")
+    kept = given.join(losers, given[own] == losers["lost"], "left_anti")
     if not several and not nameless:
-        return kept
-    odd = docs.filter(F.col(key).isNull())
+        return rows.restored(kept)
+    odd = given.filter(F.col(own).isNull())
     if several:
-        odd = odd.unionByName(docs.join(twice, docs[key] == twice["_twice"], "left_semi"))
-        kept = kept.join(twice, kept[key] == twice["_twice"], "left_anti")
-    gone = lost.select(F.col("doc_id").alias("_gone"), F.col("fp").alias("_gone_fp"))
-    odd = odd.withColumn("_fp", fingerprints(F.col(text))).dropDuplicates([key, "_fp"])
-    odd = odd.join(gone, (F.col("_fp") == F.col("_gone_fp")) & F.col(key).eqNullSafe(F.col("_gone")), "left_anti").drop("_fp")
-    return kept.filter(F.col(key).isNotNull()).unionByName(odd)
+        odd = odd.unionByName(given.join(twice, given[own] == twice["twice"], "left_semi"))
+        kept = kept.join(twice, kept[own] == twice["twice"], "left_anti")
+    gone = lost.select(F.col("doc_id").alias("gone"), F.col("fp").alias("gone_fp"))
+    odd = odd.withColumn("fp", fingerprints(rows.col(text))).dropDuplicates([own, "fp"])
+    odd = odd.join(gone, (F.col("fp") == F.col("gone_fp")) & F.col(own).eqNullSafe(F.col("gone")), "left_anti").drop("fp")
+    return rows.restored(kept.filter(F.col(own).isNotNull()).unionByName(odd))
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
