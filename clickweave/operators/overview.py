@@ -13,6 +13,11 @@ def enrich(events: DataFrame) -> DataFrame:
     return events.withColumns({"date": F.to_date("ts"), "hour": F.hour("ts"), "dayofweek": F.weekday("ts"), "day_name": F.date_format("ts", "EEEE")})
 
 
+def footprint(df: DataFrame) -> float:
+    """Megabytes, to two digits, that the optimizer takes the table to have; no job runs. It depends on format and session."""
+    return round(int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) / 1e6, 2)
+
+
 def dataset_shape(df: DataFrame, name: str) -> DataFrame:
     """dataset, n_rows, n_columns and column_names."""
     return df.agg(F.count("*").alias("n_rows")).select(F.lit(name).alias("dataset"), "n_rows", F.lit(len(df.columns)).alias("n_columns"), F.lit(",".join(df.columns)).alias("column_names"))
@@ -63,13 +68,15 @@ def concentration(events: DataFrame, fraction: float = 0.01) -> DataFrame:
     """
     items = events.filter("event = 'view' AND itemid IS NOT NULL").groupBy("itemid").agg(F.count("*").alias("c"))
     bins = items.groupBy("c").agg(F.count("*").alias("k"))
-    whole = bins.agg(F.coalesce(F.sum("k"), F.lit(0)).alias("n_items"), F.coalesce(F.sum(F.col("c") * F.col("k")), F.lit(0)).alias("views"))
-    whole = whole.withColumn("n_top_items", F.floor(F.col("n_items") * F.lit(float(fraction))).cast("bigint"))
+    # bins are few: with n events, no more than the root of 2n
+    every = Window.partitionBy()
     before = F.coalesce(F.sum("k").over(Window.orderBy(F.desc("c")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = bins.withColumn("before", before)
-    taken = F.greatest(F.lit(0), F.least(F.col("k"), F.col("n_top_items") - F.col("before")))
-    top = whole.join(F.broadcast(ranked), F.lit(True), "left").groupBy("n_items", "n_top_items", "views").agg(F.coalesce(F.sum(F.col("c") * taken), F.lit(0)).alias("top_views"))
-    return top.select("n_items", "n_top_items", F.try_divide(F.col("top_views") * 100.0, F.col("views")).alias("concentration_ratio"))
+    ranked = bins.select("c", "k", before.alias("before"), F.sum("k").over(every).alias("n"))
+    top = F.floor(F.col("n") * F.lit(float(fraction))).cast("bigint")
+    taken = F.greatest(F.lit(0), F.least(F.col("k"), top - F.col("before")))
+    zero = lambda x: F.coalesce(x, F.lit(0)).cast("bigint")
+    found = ranked.agg(zero(F.max("n")).alias("n_items"), zero(F.max(top)).alias("n_top_items"), F.sum(F.col("c") * taken).alias("top_views"), F.sum(F.col("c") * F.col("k")).alias("views"))
+    return found.select("n_items", "n_top_items", F.try_divide(F.col("top_views") * 100.0, F.col("views")).alias("concentration_ratio"))
 
 
 def popularity_histogram(events: DataFrame, width: float = 0.1) -> DataFrame:

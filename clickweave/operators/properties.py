@@ -22,6 +22,12 @@ def mapping_summary(mapping: DataFrame) -> DataFrame:
     return mapping.agg(F.count("*").alias("n_rows"), F.count_distinct("itemid").alias("unique_items"), F.count_distinct("categoryid").alias("unique_categories"))
 
 
+def unparsed_values(properties: DataFrame) -> DataFrame:
+    """property and n: values of `categoryid` and `available` rows that are no number, which the analyses take as null."""
+    typed = properties.filter(F.col("property").isin("categoryid", "available"))
+    return typed.groupBy("property").agg(F.count_if(F.col("value").isNotNull() & F.col("value").try_cast("bigint").isNull()).alias("n"))
+
+
 def availability(properties: DataFrame) -> DataFrame:
     """Per cent of `available` rows whose value is 1; null if there are none."""
     return properties.filter("property = 'available'").agg((F.avg((F.col("value").try_cast("int") == 1).cast("int")) * 100).alias("available_pct"))

@@ -15,31 +15,47 @@ GAP_MINUTES = 30.0
 
 
 def sessionized(events: DataFrame, gap_minutes: float = GAP_MINUTES) -> DataFrame:
-    """Events with session_id (from 1 for each visitor), is_start, and prev_item, the item before it in the session.
+    """Events with session_id (from 1 for each visitor), is_start, prev_item, the item before it in the session, and its position there (from 1).
 
     A session ends at a gap of more than `gap_minutes`. Equal times are ordered by event_id.
     """
     gap = F.lit(int(gap_minutes * MICROS_PER_MINUTE))
     dated = events.filter("visitorid IS NOT NULL AND ts IS NOT NULL").withColumn("day", F.to_date("ts"))
     day = Window.partitionBy("visitorid", "day").orderBy("ts", "event_id")
-    inner = dated.withColumns({"_before": F.lag("ts").over(day), "_item": F.lag("itemid").over(day)})
+    so_far = day.rowsBetween(Window.unboundedPreceding, 0)
+    inner = dated.withColumns({"_before": F.lag("ts").over(day), "_item": F.lag("itemid").over(day), "_row": F.row_number().over(day)})
     inner = inner.withColumn("_new", F.when(F.col("_before").isNotNull(), micros(F.col("_before"), F.col("ts")) > gap).otherwise(False))
-    inner = inner.withColumn("_n", F.sum(F.col("_new").cast("int")).over(day.rowsBetween(Window.unboundedPreceding, 0)))
+    inner = inner.withColumns({"_n": F.sum(F.col("_new").cast("int")).over(so_far), "_at": F.max(F.when(F.col("_new"), F.col("_row"))).over(so_far)})
     # one row for each visitor and day; the day's first event is a start if the last event before it is too long ago
     last = F.struct("ts", "event_id", "itemid")
-    days = inner.groupBy("visitorid", "day").agg(F.min("ts").alias("first"), F.max(last).alias("last"), F.sum(F.col("_new").cast("int")).alias("starts"))
+    days = inner.groupBy("visitorid", "day").agg(F.min("ts").alias("first"), F.max(last).alias("last"), F.sum(F.col("_new").cast("int")).alias("starts"), F.count("*").cast("bigint").alias("rows"), F.max("_at").alias("at"))
     order = Window.partitionBy("visitorid").orderBy("day")
     days = days.withColumn("prior", F.lag("last").over(order))
     days = days.withColumn("opens", F.col("prior").isNull() | (micros(F.col("prior.ts"), F.col("first")) > gap))
-    days = days.withColumn("offset", F.sum(F.col("starts") + F.col("opens").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("starts"))
-    joined = inner.join(days.select("visitorid", "day", F.col("prior.itemid").alias("_prior_item"), "opens", "offset"), ["visitorid", "day"])
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    days = days.withColumns({"offset": F.sum(F.col("starts") + F.col("opens").cast("int")).over(upto) - F.col("starts"), "earlier": F.sum("rows").over(upto) - F.col("rows")})
+    # the number, among all of the visitor's events, of the event that starts the session which goes on into the day
+    begun = F.max(F.col("earlier") + F.coalesce("at", F.when(F.col("opens"), F.lit(1)))).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    days = days.withColumn("origin", F.when(F.col("opens"), F.col("earlier") + 1).otherwise(begun))
+    joined = inner.join(days.select("visitorid", "day", F.col("prior.itemid").alias("_prior_item"), "opens", "offset", "earlier", "origin"), ["visitorid", "day"])
     first = F.col("_before").isNull()
     start = F.when(first, F.col("opens")).otherwise(F.col("_new"))
-    return joined.select(*events.columns, (F.col("offset") + F.col("_n")).cast("bigint").alias("session_id"), start.alias("is_start"), F.when(~start, F.when(first, F.col("_prior_item")).otherwise(F.col("_item"))).alias("prev_item"))
+    position = F.col("earlier") + F.col("_row") + 1 - F.coalesce(F.col("earlier") + F.col("_at"), "origin")
+    return joined.select(*events.columns, (F.col("offset") + F.col("_n")).cast("bigint").alias("session_id"), start.alias("is_start"), F.when(~start, F.when(first, F.col("_prior_item")).otherwise(F.col("_item"))).alias("prev_item"), position.cast("bigint").alias("position"))
+
+
+def sequence_blocks(marked: DataFrame, size: int = 1000) -> DataFrame:
+    """The items and events of sessions in order, in arrays of `size` at most: visitorid, session_id, block (from 0), items, events.
+
+    However long a session is, no row holds more of it than a block.
+    """
+    step = F.struct("position", "itemid", "event")
+    found = marked.groupBy("visitorid", "session_id", F.floor((F.col("position") - 1) / F.lit(size)).cast("bigint").alias("block")).agg(F.array_sort(F.collect_list(step)).alias("steps"))
+    return found.select("visitorid", "session_id", "block", F.transform("steps", lambda x: x["itemid"]).alias("items"), F.transform("steps", lambda x: x["event"]).alias("events"))
 
 
 def sessions(marked: DataFrame, sequences: bool = True) -> DataFrame:
-    """One row a session; `sequences` adds its items and events in order."""
+    """One row a session; `sequences` adds its items and events in order (whole; see `sequence_blocks` where sessions can be very long)."""
     lists = F.array_sort(F.collect_list(F.struct("ts", "event_id", "itemid", "event")))
     found = marked.groupBy("visitorid", "session_id").agg(
         F.min("ts").alias("session_start"), F.max("ts").alias("session_end"), F.count("ts").alias("event_count"), F.count_distinct("itemid").alias("unique_items"),

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clickweave.shared import stored
+
 
 def roots(tree: DataFrame) -> DataFrame:
     return tree.filter("parentid IS NULL").select(F.col("categoryid").alias("root"))
@@ -13,20 +17,48 @@ def roots(tree: DataFrame) -> DataFrame:
 def root_depths(tree: DataFrame) -> DataFrame:
     """root and depth: the longest way down from each root; a leaf root has 0.
 
-    Levels are walked by a recursive query. A node that repeats on its own path counts with its level and isn't walked on.
+    A node that repeats on its own path counts with its level and isn't walked on. Neither the depth nor the number of nodes is limited.
+    """
+    rows = stored(tree.filter("categoryid IS NOT NULL").select("categoryid", "parentid").distinct())
+    one_parent = rows.groupBy("categoryid").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
+    return depths_by_doubling(rows) if one_parent else depths_by_levels(rows)
+
+
+def depths_by_doubling(rows: DataFrame) -> DataFrame:
+    """For a forest, where each node has one row: in each round a node's pointer leaps over that of the node it points to.
+
+    The rounds are the logarithm of the depth. Nodes that no root reaches, below a missing node or around a cycle, drop out.
     """
-    return tree.sparkSession.sql(
-        """
-        WITH RECURSIVE edges AS (SELECT parentid, categoryid FROM {tree} WHERE parentid IS NOT NULL),
-        walk(root, node, depth, path, again) AS (
-          SELECT categoryid, categoryid, 0, array(categoryid), false FROM {tree} WHERE parentid IS NULL
-          UNION ALL
-          SELECT w.root, e.categoryid, w.depth + 1, array_append(w.path, e.categoryid), array_contains(w.path, e.categoryid)
-          FROM walk w JOIN edges e ON w.node = e.parentid WHERE NOT w.again)
-        SELECT root, max(depth) AS depth FROM walk GROUP BY root
-        """,
-        tree=tree,
-    )
+    found = rows.filter("parentid IS NULL").select(F.col("categoryid").alias("node"), F.col("categoryid").alias("root"), F.lit(0).alias("depth"))
+    below = stored(rows.filter("parentid IS NOT NULL").select(F.col("categoryid").alias("node"), F.col("parentid").alias("up"), F.lit(1).alias("steps")))
+    reached, waiting = [found], below.count()
+    done = found
+    while waiting:
+        above = done.select(F.col("node").alias("up"), "root", F.col("depth").alias("more"))
+        done = stored(below.join(above, "up").select("node", "root", (F.col("steps") + F.col("more")).alias("depth")))
+        reached.append(done)
+        leap = below.select(F.col("node").alias("up"), F.col("up").alias("next"), F.col("steps").alias("more"))
+        below = stored(below.join(leap, "up").select("node", F.col("next").alias("up"), (F.col("steps") + F.col("more")).alias("steps")))
+        left = below.count()
+        if left == waiting:  # only cycles don't get fewer
+            break
+        waiting = left
+        done = reduce(DataFrame.unionByName, reached)
+    return reduce(DataFrame.unionByName, reached).groupBy("root").agg(F.max("depth").alias("depth"))
+
+
+def depths_by_levels(rows: DataFrame) -> DataFrame:
+    """For any graph: level by level, each way with the nodes on its path; a round for each level."""
+    edges = rows.filter("parentid IS NOT NULL").select(F.col("parentid").alias("node"), F.col("categoryid").alias("child"))
+    level = stored(rows.filter("parentid IS NULL").select(F.col("categoryid").alias("root"), F.col("categoryid").alias("node"), F.array("categoryid").alias("path")))
+    depths, depth = [], 0
+    while not level.isEmpty():
+        depths.append(level.select("root", F.lit(depth).alias("depth")).distinct())
+        again = F.array_contains("path", F.col("child"))
+        path = F.when(~again, F.array_append("path", F.col("child")))
+        level, depth = stored(level.filter("path IS NOT NULL").join(edges, "node").select("root", F.col("child").alias("node"), path.alias("path"))), depth + 1
+    found = reduce(DataFrame.unionByName, depths) if depths else rows.select(F.col("categoryid").alias("root"), F.lit(0).alias("depth")).limit(0)
+    return found.groupBy("root").agg(F.max("depth").alias("depth"))
 
 
 def tree_summary(tree: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from clickweave.functions.columns import MICROS_PER_DAY, count_event, is_outlier, micros, user_type
 
+from .quantiles import exact_quantiles
+
 METRICS = ("total_events", "unique_items", "daily_avg_events")
 
 
@@ -54,8 +56,8 @@ def anomalies(stats: DataFrame, k: float = 1.5) -> DataFrame:
 
     Quartiles interpolate linearly over all users; they are one row.
     """
-    quartiles = stats.agg(*[F.percentile(m, F.lit(q)).alias(f"{m}_q{n}") for m in METRICS for n, q in ((1, 0.25), (3, 0.75))])
-    flagged = stats.join(F.broadcast(quartiles), F.lit(True)).withColumns({f"{m}_outlier": F.coalesce(is_outlier(F.col(m), F.col(f"{m}_q1"), F.col(f"{m}_q3"), k), F.lit(False)) for m in METRICS})
+    quartiles = exact_quantiles(stats, METRICS, (0.25, 0.75))
+    flagged = stats.join(F.broadcast(quartiles), F.lit(True)).withColumns({f"{m}_outlier": F.coalesce(is_outlier(F.col(m), F.col(f"{m}_0"), F.col(f"{m}_1"), k), F.lit(False)) for m in METRICS})
     score = sum((F.col(f"{m}_outlier").cast("int") for m in METRICS[1:]), F.col(f"{METRICS[0]}_outlier").cast("int"))
     return flagged.select(*stats.columns, *[f"{m}_outlier" for m in METRICS], score.alias("anomaly_score"))
 

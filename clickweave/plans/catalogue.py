@@ -57,13 +57,52 @@ def line_views(spark: SparkSession, d: str) -> DataFrame:
     return tables.table(spark, d, "lineitem").select(F.lit("view").alias("event"), F.col("l_partkey").alias("itemid"))
 
 
-def event_sequences(spark: SparkSession, d: str) -> DataFrame:
+def event_sequences(spark: SparkSession, d: str, gap: float = sessions.GAP_MINUTES) -> DataFrame:
     """Sessions with their sequences as text, which any engine prints alike."""
-    found = session_rows(spark, d, True, 120)
+    found = session_rows(spark, d, True, gap)
     return found.withColumns({"item_sequence": F.array_join(F.transform("item_sequence", lambda x: x.cast("string")), ","), "event_sequence": F.array_join("event_sequence", ",")})
 
 
+def csv_events(spark: SparkSession, d: str) -> DataFrame:
+    """Events by way of CSV files in another order of columns and with one more, as milliseconds."""
+    rows = events(spark, d).select("itemid", F.lit("x").alias("transactionid"), "event", "visitorid", (F.unix_micros(F.col("ts").cast("timestamp")) / 1000).cast("bigint").alias("timestamp"))
+    return tables.csv_events(spark, tables.csv_copy(rows)).drop("event_id")
+
+
+def csv_sessions(spark: SparkSession, d: str) -> DataFrame:
+    """Sessions of events by way of CSV files."""
+    rows = events(spark, d).select((F.unix_micros(F.col("ts").cast("timestamp")) / 1000).cast("bigint").alias("timestamp"), "visitorid", "event", "itemid")
+    return sessions.length_distribution(sessions.sessions(sessions.sessionized(tables.csv_events(spark, tables.csv_copy(rows))), False))
+
+
+def csv_properties(spark: SparkSession, d: str) -> DataFrame:
+    """Item properties by way of two CSV tables with other columns around theirs."""
+    rows = item_properties(spark, d).select(F.lit(0).alias("timestamp"), "value", "itemid", "property")
+    halves = [tables.csv_copy(rows.filter(F.col("itemid") % 2 == k)) for k in (0, 1)]
+    return tables.csv_item_properties(spark, *halves)
+
+
+def csv_unparsed(spark: SparkSession, d: str) -> DataFrame:
+    """Fields of a CSV file of parts that are no whole numbers."""
+    rows = tables.table(spark, d, "part").select(F.col("p_partkey").alias("itemid"), F.lit("categoryid").alias("property"), F.col("p_brand").alias("value"))
+    return tables.unparsed(spark, "itemid BIGINT, value BIGINT", tables.csv_copy(rows))
+
+
+def latest_mapping(spark: SparkSession, d: str) -> DataFrame:
+    """Of each item's categories, that of its last row; here the larger id is the later row."""
+    rows = item_properties(spark, d).withColumn("timestamp", F.length("value"))
+    return properties.category_mapping(rows, "timestamp")
+
+
 PLANS = {
+    "csv_events": csv_events,
+    "csv_session_lengths": csv_sessions,
+    "csv_item_properties": csv_properties,
+    "csv_category_tree": lambda s, d: tables.csv_category_tree(s, tables.csv_copy(category_tree(s, d).select("parentid", "categoryid"))),
+    "csv_unparsed_fields": csv_unparsed,
+    "unparsed_values": lambda s, d: properties.unparsed_values(item_properties(s, d)),
+    "latest_category_mapping": latest_mapping,
+    "session_sequence_blocks": lambda s, d: sessions.sequence_blocks(marked(s, d, 720), 4).select("visitorid", "session_id", "block", F.array_join(F.transform("items", lambda x: x.cast("string")), ",").alias("items"), F.array_join("events", ",").alias("events")),
     "dataset_shapes": shapes,
     "events_sample": lambda s, d: events(s, d).orderBy("event_id").limit(5),
     "null_percentages": lambda s, d: overview.null_percentages(events(s, d)),
@@ -89,7 +128,8 @@ PLANS = {
     "tree_root_depths": lambda s, d: tree.root_depths(category_tree(s, d)),
     "tree_children_counts": lambda s, d: tree.children_counts(category_tree(s, d), 10),
     "graph_degrees": lambda s, d: tree.degrees(category_tree(s, d)),
-    "graph_trimmed_edges": lambda s, d: tree.trimmed_edges(category_tree(s, d), 50, 20),
+    "graph_trimmed_edges": lambda s, d: tree.trimmed_edges(category_tree(s, d)),
+    "graph_trimmed_edges_50_20": lambda s, d: tree.trimmed_edges(category_tree(s, d), 50, 20),
     "user_event_pivot": lambda s, d: users.with_type(users.event_pivot(events(s, d))),
     "user_type_distribution": lambda s, d: users.type_distribution(users.event_pivot(events(s, d))),
     "user_day_type_distribution": lambda s, d: users.type_distribution(dated_pivot(s, d)),
@@ -102,12 +142,15 @@ PLANS = {
     "category_item_stats": lambda s, d: items.category_stats(features(s, d)),
     "top_category_item_stats": lambda s, d: items.category_stats(features(s, d), 10),
     "sessions": event_sequences,
+    "sessions_120": lambda s, d: event_sequences(s, d, 120),
     "session_summary": lambda s, d: sessions.summary(session_rows(s, d)),
     "session_pattern_distribution": lambda s, d: sessions.pattern_distribution(session_rows(s, d)),
     "session_length_distribution": lambda s, d: sessions.length_distribution(session_rows(s, d)),
     "session_length_distribution_720": lambda s, d: sessions.length_distribution(session_rows(s, d, False, 720)),
-    "conversion_by_session_length": lambda s, d: sessions.conversion_by_length(session_rows(s, d, False, 720)),
-    "item_transitions": lambda s, d: sessions.transitions(marked(s, d, 720), None),
+    "conversion_by_session_length": lambda s, d: sessions.conversion_by_length(session_rows(s, d)),
+    "conversion_by_session_length_720": lambda s, d: sessions.conversion_by_length(session_rows(s, d, False, 720)),
+    "item_transitions": lambda s, d: sessions.transitions(marked(s, d), None),
+    "item_transitions_720": lambda s, d: sessions.transitions(marked(s, d, 720), None),
     "item_transitions_top": lambda s, d: sessions.transitions(marked(s, d)),
     "user_activity_stats": lambda s, d: users.activity(events(s, d)),
     "user_anomalies": flagged,

@@ -71,6 +71,14 @@ FROM ft WHERE categoryid IS NOT NULL GROUP BY categoryid"""
 RATE = "CASE WHEN {1} > 0 THEN round({0} * 100.0::DOUBLE / {1}, 6) ELSE 0.0::DOUBLE END AS {2}"
 
 ORACLE_SQL = {
+    "csv_events": f"WITH {EVENTS} SELECT date_trunc('millisecond', ts) AS ts, visitorid, event, itemid FROM ev",
+    "csv_session_lengths": f"WITH {EVENTS}, {marks(30)} SELECT event_count, count(*) AS n FROM ss GROUP BY 1".replace("SELECT event_id, ts,", "SELECT event_id, date_trunc('millisecond', ts) AS ts,"),
+    "csv_item_properties": f"WITH {PROPERTIES} SELECT itemid, property, value FROM pr",
+    "csv_category_tree": f"WITH {TREE} SELECT categoryid, parentid FROM tr",
+    "csv_unparsed_fields": "SELECT 'itemid' AS column_name, count(*) FILTER (try_cast(CAST(p_partkey AS VARCHAR) AS BIGINT) IS NULL) AS n FROM part UNION ALL SELECT 'value', count(*) FILTER (try_cast(p_brand AS BIGINT) IS NULL) FROM part",
+    "unparsed_values": f"WITH {PROPERTIES} SELECT property, count(*) FILTER (value IS NOT NULL AND try_cast(value AS BIGINT) IS NULL) AS n FROM pr WHERE property IN ('categoryid', 'available') GROUP BY 1",
+    "latest_category_mapping": f"WITH {PROPERTIES} SELECT itemid, arg_max(CAST(value AS BIGINT), length(value) * 1000000 + CAST(value AS BIGINT)) AS categoryid FROM pr WHERE property = 'categoryid' GROUP BY 1",
+    "session_sequence_blocks": f"WITH {EVENTS}, {marks(720)}, ps AS (SELECT *, (row_number() OVER (PARTITION BY visitorid, session_id ORDER BY ts, event_id) - 1) // 4 AS block FROM mk) SELECT visitorid, session_id, block, string_agg(CAST(itemid AS VARCHAR), ',' ORDER BY ts, event_id) AS items, string_agg(event, ',' ORDER BY ts, event_id) AS events FROM ps GROUP BY 1, 2, 3",
     "dataset_shapes": f"WITH {EVENTS}, {PROPERTIES}, {TREE} SELECT 'events' AS dataset, count(*) AS n_rows, 5::INTEGER AS n_columns, 'event_id,ts,visitorid,event,itemid' AS column_names FROM ev UNION ALL SELECT 'item_properties', count(*), 3, 'itemid,property,value' FROM pr UNION ALL SELECT 'category_tree', count(*), 2, 'categoryid,parentid' FROM tr",
     "events_sample": f"WITH {EVENTS} SELECT * FROM ev ORDER BY event_id LIMIT 5",
     "null_percentages": f"WITH {EVENTS} " + " UNION ALL ".join(f"SELECT '{c}' AS column_name, round(avg(({c} IS NULL)::INT) * 100, 6) AS null_pct FROM ev" for c in ("event_id", "ts", "visitorid", "event", "itemid")),
@@ -96,7 +104,8 @@ ORACLE_SQL = {
     "tree_root_depths": f"WITH RECURSIVE {TREE}, {DEPTHS} SELECT root, CAST(depth AS INTEGER) AS depth FROM dp",
     "tree_children_counts": f"WITH {TREE} SELECT parentid, count(*) AS n FROM tr WHERE parentid IS NOT NULL GROUP BY 1 ORDER BY n DESC, parentid LIMIT 10",
     "graph_degrees": f"WITH {TREE}, {DEGREES} SELECT *, greatest(8.0::DOUBLE, least(25.0::DOUBLE, 8 + 0.5::DOUBLE * out_degree)) AS size, out_degree >= 5 AS labelled FROM dg",
-    "graph_trimmed_edges": f"WITH {TREE}, {DEGREES}, core AS (SELECT node FROM dg ORDER BY degree DESC, node LIMIT 20), ed AS (SELECT parentid AS src, categoryid AS dst FROM tr WHERE parentid IS NOT NULL), kept AS (SELECT node FROM core UNION SELECT dst FROM ed WHERE src IN (SELECT node FROM core) UNION SELECT src FROM ed WHERE dst IN (SELECT node FROM core)) SELECT DISTINCT src, dst FROM ed WHERE (SELECT count(*) FROM dg) <= 50 OR (src IN (SELECT node FROM kept) AND dst IN (SELECT node FROM kept))",
+    "graph_trimmed_edges": f"WITH {TREE}, {DEGREES}, core AS (SELECT node FROM dg ORDER BY degree DESC, node LIMIT 150), ed AS (SELECT parentid AS src, categoryid AS dst FROM tr WHERE parentid IS NOT NULL), kept AS (SELECT node FROM core UNION SELECT dst FROM ed WHERE src IN (SELECT node FROM core) UNION SELECT src FROM ed WHERE dst IN (SELECT node FROM core)) SELECT DISTINCT src, dst FROM ed WHERE (SELECT count(*) FROM dg) <= 200 OR (src IN (SELECT node FROM kept) AND dst IN (SELECT node FROM kept))",
+    "graph_trimmed_edges_50_20": f"WITH {TREE}, {DEGREES}, core AS (SELECT node FROM dg ORDER BY degree DESC, node LIMIT 20), ed AS (SELECT parentid AS src, categoryid AS dst FROM tr WHERE parentid IS NOT NULL), kept AS (SELECT node FROM core UNION SELECT dst FROM ed WHERE src IN (SELECT node FROM core) UNION SELECT src FROM ed WHERE dst IN (SELECT node FROM core)) SELECT DISTINCT src, dst FROM ed WHERE (SELECT count(*) FROM dg) <= 50 OR (src IN (SELECT node FROM kept) AND dst IN (SELECT node FROM kept))",
     "user_event_pivot": f"WITH {EVENTS}, {pivot('visitorid')} SELECT *, {TYPES} AS user_type FROM pv",
     "user_type_distribution": f"WITH {EVENTS}, {pivot('visitorid')} {SHARES}",
     "user_day_type_distribution": f"WITH {EVENTS}, {pivot('visitorid, CAST(ts AS DATE) AS date')} {SHARES}",
@@ -108,13 +117,16 @@ ORACLE_SQL = {
     "top_items_by_popularity": f"WITH {EVENTS}, {PROPERTIES}, {FEATURES} SELECT itemid, popularity_score, conversion_rate, categoryid FROM ft ORDER BY popularity_score DESC, itemid, categoryid LIMIT 20",
     "category_item_stats": f"WITH {EVENTS}, {PROPERTIES}, {FEATURES} {STATS}",
     "top_category_item_stats": f"WITH {EVENTS}, {PROPERTIES}, {FEATURES} {STATS} ORDER BY avg_popularity DESC, categoryid LIMIT 10",
-    "sessions": f"WITH {EVENTS}, {marks(120)} SELECT * FROM ss",
+    "sessions": f"WITH {EVENTS}, {marks(30)} SELECT * FROM ss",
+    "sessions_120": f"WITH {EVENTS}, {marks(120)} SELECT * FROM ss",
     "session_summary": f"WITH {EVENTS}, {marks(30)} SELECT count(*) AS total_sessions, round(avg(event_count), 6) AS avg_session_length, round(avg(date_diff('microsecond', session_start, session_end) / 60000000.0::DOUBLE), 6) AS avg_session_duration, round(avg(unique_items), 6) AS avg_unique_items FROM ss",
     "session_pattern_distribution": f"WITH {EVENTS}, {marks(30)} SELECT session_pattern, n, round(n * 100.0::DOUBLE / sum(n) OVER (), 6) AS pct FROM (SELECT session_pattern, count(*) AS n FROM ss GROUP BY 1)",
     "session_length_distribution": f"WITH {EVENTS}, {marks(30)} SELECT event_count, count(*) AS n FROM ss GROUP BY 1",
     "session_length_distribution_720": f"WITH {EVENTS}, {marks(720)} SELECT event_count, count(*) AS n FROM ss GROUP BY 1",
-    "conversion_by_session_length": f"WITH {EVENTS}, {marks(720)} SELECT event_count AS session_length, round(avg((session_pattern = 'conversion')::INT) * 100, 6) AS conversion_rate FROM ss GROUP BY 1 ORDER BY 1 LIMIT 10",
-    "item_transitions": f"WITH {EVENTS}, {marks(720)} SELECT prev AS from_item, itemid AS to_item, count(*) AS n FROM mk WHERE NOT is_start GROUP BY 1, 2",
+    "conversion_by_session_length": f"WITH {EVENTS}, {marks(30)} SELECT event_count AS session_length, round(avg((session_pattern = 'conversion')::INT) * 100, 6) AS conversion_rate FROM ss GROUP BY 1 ORDER BY 1 LIMIT 10",
+    "conversion_by_session_length_720": f"WITH {EVENTS}, {marks(720)} SELECT event_count AS session_length, round(avg((session_pattern = 'conversion')::INT) * 100, 6) AS conversion_rate FROM ss GROUP BY 1 ORDER BY 1 LIMIT 10",
+    "item_transitions": f"WITH {EVENTS}, {marks(30)} SELECT prev AS from_item, itemid AS to_item, count(*) AS n FROM mk WHERE NOT is_start GROUP BY 1, 2",
+    "item_transitions_720": f"WITH {EVENTS}, {marks(720)} SELECT prev AS from_item, itemid AS to_item, count(*) AS n FROM mk WHERE NOT is_start GROUP BY 1, 2",
     "item_transitions_top": f"WITH {EVENTS}, {marks(30)} SELECT prev AS from_item, itemid AS to_item, count(*) AS n FROM mk WHERE NOT is_start GROUP BY 1, 2 ORDER BY n DESC, from_item, to_item LIMIT 20",
     "user_activity_stats": f"WITH {EVENTS}, {activity('ev')} SELECT visitorid, total_events, unique_items, first_activity, last_activity, round(activity_days, 6) AS activity_days, round(daily_avg_events, 6) AS daily_avg_events FROM us",
     "user_anomalies": ANOMALIES + "SELECT * FROM an",

@@ -6,8 +6,14 @@ category tree (categoryid, parentid). Times are zone-free timestamps in UTC, so
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
+
+from clickweave.shared import scratch
 
 EVENTS_CSV = "timestamp BIGINT, visitorid BIGINT, event STRING, itemid BIGINT"
 PROPERTIES_CSV = "itemid BIGINT, property STRING, value STRING"
@@ -24,19 +30,67 @@ def from_epoch_ms(ms: Column | str) -> Column:
     return F.expr(f"timestamp_ntz'1970-01-01 00:00:00' + make_dt_interval(0, 0, 0, CAST({name} / 1000BD AS DECIMAL(18, 6)))")
 
 
+def by_name(spark: SparkSession, path: str, wanted: str) -> DataFrame:
+    """The wanted columns (a DDL schema) of the CSV files at one path as strings, looked up by the header, whatever its order and further columns.
+
+    Files below one path must have the same header; Spark checks each. Rows keep `_metadata`.
+    """
+    read = spark.read.option("header", True).option("enforceSchema", False)
+    header = read.csv(path).columns
+    names = [f.name for f in StructType.fromDDL(wanted).fields]
+    missing = [n for n in names if n not in header]
+    if missing:
+        raise ValueError(f"{path} has no column {', '.join(missing)}; its header is {', '.join(header)}")
+    rows = read.schema(StructType([StructField(n, StringType()) for n in header])).csv(path)
+    return rows.select(*[f"`{n}`" for n in names], F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"))
+
+
+def typed(rows: DataFrame, wanted: str) -> list[Column]:
+    """The columns in their types; what doesn't parse is null (see `unparsed`)."""
+    return [F.col(f.name).try_cast(f.dataType).alias(f.name) for f in StructType.fromDDL(wanted).fields]
+
+
+def csv_table(spark: SparkSession, paths: Sequence[str], wanted: str) -> DataFrame:
+    parts = [by_name(spark, p, wanted) for p in paths]
+    return reduce(DataFrame.unionByName, [p.select(*typed(p, wanted)) for p in parts])
+
+
+def unparsed(spark: SparkSession, wanted: str, *paths: str) -> DataFrame:
+    """column_name and n of every wanted column: fields that aren't empty and don't parse, which the scans read as null."""
+    kinds = StructType.fromDDL(wanted).fields
+    rows = reduce(DataFrame.unionByName, [by_name(spark, p, wanted) for p in paths])
+    one = rows.agg(*[F.count_if(F.col(f.name).isNotNull() & F.col(f.name).try_cast(f.dataType).isNull()).alias(f.name) for f in kinds])
+    return one.select(F.explode(F.array(*[F.struct(F.lit(f.name).alias("column_name"), F.col(f.name).alias("n")) for f in kinds])).alias("x")).select("x.*")
+
+
 def csv_events(spark: SparkSession, *paths: str) -> DataFrame:
-    """Events of CSV files with a header and columns in order of `EVENTS_CSV`; further columns are ignored by name."""
-    raw = spark.read.option("header", True).option("enforceSchema", False).schema(EVENTS_CSV).csv(list(paths))
-    return raw.select(F.xxhash64("timestamp", "visitorid", "event", "itemid").alias("event_id"), from_epoch_ms("timestamp").alias("ts"), "visitorid", "event", "itemid")
+    """Events of CSV files with a header; columns are found by name and further ones are ignored.
 
+    event_id orders the rows as the files have them, files in the order of `paths`: it breaks ties of time as reading in order would.
+    """
+    parts = []
+    for i, path in enumerate(paths):
+        rows = by_name(spark, path, EVENTS_CSV)
+        event_id = F.struct(F.lit(i).alias("path"), F.col("_file").alias("file"), F.col("_start").alias("start"), F.monotonically_increasing_id().alias("row"))
+        parts.append(rows.select(event_id.alias("event_id"), *typed(rows, EVENTS_CSV)))
+    raw = reduce(DataFrame.unionByName, parts)
+    return raw.select("event_id", from_epoch_ms("timestamp").alias("ts"), "visitorid", "event", "itemid")
 
-def csv_item_properties(spark: SparkSession, *paths: str) -> DataFrame:
-    """The union of all property files."""
-    return spark.read.option("header", True).schema(PROPERTIES_CSV).csv(list(paths))
+
+def csv_item_properties(spark: SparkSession, *paths: str, timed: bool = False) -> DataFrame:
+    """The union of all property files; `timed` adds their `timestamp`, for mappings by the latest row."""
+    return csv_table(spark, paths, ("timestamp BIGINT, " if timed else "") + PROPERTIES_CSV)
 
 
 def csv_category_tree(spark: SparkSession, *paths: str) -> DataFrame:
-    return spark.read.option("header", True).schema(TREE_CSV).csv(list(paths))
+    return csv_table(spark, paths, TREE_CSV)
+
+
+def csv_copy(df: DataFrame) -> str:
+    """`df` written as CSV files with a header, below the shared folder; the path."""
+    path = scratch(df.sparkSession, "csv")
+    df.write.option("header", True).csv(path)
+    return path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
