@@ -15,7 +15,7 @@ def enrich(events: DataFrame) -> DataFrame:
 
 def footprint(df: DataFrame) -> float:
     """Megabytes, to two digits, that the optimizer takes the table to have; no job runs. It depends on format and session."""
-    return round(int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) / 1e6, 2)
+    return round(int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) / 1e6, 2)
 
 
 def dataset_shape(df: DataFrame, name: str) -> DataFrame:

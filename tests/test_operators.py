@@ -6,7 +6,10 @@ from datetime import datetime, timedelta
 
 import pytest
 
+from clickweave import report
 from clickweave.operators import items, overview, properties, sessions, tree, users
+from clickweave.operators.quantiles import exact_quantiles
+from clickweave.plans import analyses
 from clickweave.sources import tables
 from clickweave.streaming.sessions import stream_sessions
 
@@ -105,6 +108,66 @@ def test_csv_sources(spark, tmp_path):
     assert rows(tree.roots(tables.csv_category_tree(spark, str(tmp_path / "t.csv")))) == [{"root": 231}]
 
 
+def test_csv_columns_are_found_by_name(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("transactionid,itemid,event,timestamp,visitorid\n,7,view,1433221332117,1\n9,8,transaction,1433221332117,1\n")
+    (tmp_path / "b.csv").write_text("timestamp,visitorid,event,itemid\n1433221332117,1,view,9\n1433221332117,x,view,\n")
+    found = tables.csv_events(spark, str(tmp_path / "a.csv"), str(tmp_path / "b.csv"))
+    assert [(r.visitorid, r.event, r.itemid) for r in found.orderBy("event_id").collect()] == [(1, "view", 7), (1, "transaction", 8), (1, "view", 9), (None, "view", None)]
+    # ties of time go by the order of the files
+    assert [r.item_sequence for r in sessions.sessions(sessions.sessionized(found)).collect()] == [[7, 8, 9]]
+    assert {r.column_name: r.n for r in tables.unparsed(spark, tables.EVENTS_CSV, str(tmp_path / "b.csv")).collect()} == {"timestamp": 0, "visitorid": 1, "event": 0, "itemid": 0}
+    (tmp_path / "p.csv").write_text("timestamp,itemid,property,value\n1435460400000,460429,categoryid,1338\n1435460500000,460429,categoryid,12\n")
+    assert [r.value for r in tables.csv_item_properties(spark, str(tmp_path / "p.csv")).collect()] == ["1338", "12"]
+    latest = properties.category_mapping(tables.csv_item_properties(spark, str(tmp_path / "p.csv"), timed=True), "timestamp")
+    assert rows(latest) == [{"itemid": 460429, "categoryid": 12}]
+    with pytest.raises(ValueError, match="no column parentid"):
+        tables.by_name(spark, str(tmp_path / "b.csv"), "timestamp BIGINT, parentid BIGINT")
+
+
+def test_trees_of_any_depth_and_size(spark):
+    chain = spark.createDataFrame([(i, i - 1 if i else None) for i in range(1001)], "categoryid long, parentid long")
+    assert rows(tree.root_depths(chain)) == [{"root": 0, "depth": 1000}]
+    star = spark.range(1_200_001).selectExpr("id AS categoryid", "CASE WHEN id > 0 THEN 0 END AS parentid")
+    assert rows(tree.root_depths(star)) == [{"root": 0, "depth": 1}]
+    odd = [(1, None), (1, None), (2, 1), (3, 99), (10, 11), (11, 12), (12, 10), (None, 1)]  # a root twice, an orphan, a cycle that no root reaches
+    assert rows(tree.root_depths(spark.createDataFrame(odd, "categoryid long, parentid long"))) == [{"root": 1, "depth": 1}]
+    assert rows(tree.tree_summary(chain.limit(0)))[0]["max_depth"] == 0
+
+
+def test_quantiles_are_exact(spark):
+    import numpy as np
+
+    values = np.random.default_rng(1).lognormal(size=999).round(2)
+    df = spark.createDataFrame([(float(v), 5, None) for v in values], "a double, b long, c double")
+    found = exact_quantiles(df, ["a", "b", "c"], [0, 0.25, 0.75, 1]).first()
+    assert [found[f"a_{k}"] for k in range(4)] == pytest.approx(list(np.quantile(values, [0, 0.25, 0.75, 1])))
+    assert (found.b_1, found.c_1) == (5, None)
+
+
+def test_positions_and_blocks_of_a_long_session(spark):
+    ev = events(spark, [(20 * i, 1, "view", i) for i in range(200)] + [(20 * 200 + 40, 1, "view", 900), (20 * 200 + 50, 1, "view", 901)])
+    marked = sessions.sessionized(ev)
+    assert [r.position for r in marked.orderBy("ts").collect()] == [*range(1, 201), 1, 2]
+    found = {(r.session_id, r.block): r["items"] for r in sessions.sequence_blocks(marked, 64).collect()}
+    assert found == {**{(1, b): list(range(64 * b, min(200, 64 * b + 64))) for b in range(4)}, (2, 0): [900, 901]}
+
+
+def test_a_full_run_and_its_report(spark, tmp_path):
+    ev = events(spark, [(i, i % 7, ("view", "view", "addtocart", "transaction")[i % 4], i % 5) for i in range(60)])
+    pr = spark.createDataFrame([(i, "categoryid", str(10 + i % 2)) for i in range(5)] + [(0, "available", "1"), (1, "available", "<b>")], "itemid long, property string, value string")
+    tr = spark.createDataFrame([(10, 1), (11, 1), (1, None)], "categoryid long, parentid long")
+    found = report.collected(analyses.run(ev, pr, tr))
+    assert found["conversion_funnel"][0]["views"] == 30
+    assert found["tree_summary"][0]["max_depth"] == 1
+    assert found["unparsed_values"] != []
+    report.write(found, str(tmp_path))
+    page, text = (tmp_path / "report.html").read_text(), (tmp_path / "report.txt").read_text()
+    assert "<svg" in page and "view_to_cart_rate" in page and "50.00" in text
+    empty = report.collected(analyses.run(ev.limit(0), pr.limit(0), tr.limit(0)))
+    assert "no rows" in report.as_text(empty) and "no rows" in report.as_html(empty)
+    assert overview.footprint(ev) >= 0
+
+
 def test_a_stream_has_the_sessions_of_the_batch(spark, tmp_path):
     given = [(0, 1, "view", 1), (30, 1, "view", 2), (61, 1, "transaction", 3), (5, 2, "view", 1), (500, 3, "view", 1)]
     events(spark, given).selectExpr("visitorid", "CAST(ts AS timestamp) AS ts", "event").write.parquet(str(tmp_path / "in"))
