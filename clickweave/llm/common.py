@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -11,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clickweave.shared import discard, scratch, shared_folder, stored  # noqa: F401
+
 #: Rows that a kernel turns into one dense block; bounds a Python worker's memory.
 BLOCK = 128
 
@@ -20,44 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; only a session without that setting, as in local tests, gets its own."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, for a written table."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def checkpointed(df: DataFrame) -> DataFrame:
     """`df` cut from its lineage, in the shared folder."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """`df` as a table that is written to the shared folder and read again.
-
-    For tables that go on from round to round: unlike a checkpoint's, its plan has its true size and carries no constraints on, which
-    would grow with every round and slow the optimizer down.
-    """
-    folder = scratch(df.sparkSession, "table")
-    df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
-
-
-def discard(df: DataFrame) -> None:
-    """Deletes the files of a `stored` table that is no longer needed."""
-    jvm = df.sparkSession.sparkContext._jvm
-    for file in df.inputFiles()[:1]:
-        folder = jvm.org.apache.hadoop.fs.Path(file).getParent()
-        folder.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
-
-
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """`df` dealt over as many partitions as shuffles have, for rows that are few now and multiply next."""
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

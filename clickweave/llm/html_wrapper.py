@@ -197,6 +197,19 @@ def keys(nodes: list[list]) -> list[str]:
     return [n[KEY] for n in nodes]
 
 
+def matched(a: tuple, b: tuple) -> list[tuple[bool, int, int, int, int]]:
+    """Stretches (equal or not, from and to in a, from and to in b) of an alignment; what both begin and end with is equal."""
+    most = min(len(a), len(b))
+    start = next((i for i in range(most) if a[i] != b[i]), most)
+    end = next((i for i in range(most - start) if a[-1 - i] != b[-1 - i]), most - start)
+    inner = SequenceMatcher(None, a[start : len(a) - end], b[start : len(b) - end], autojunk=False).get_opcodes() if start + end < max(len(a), len(b)) else []
+    out = [(True, 0, start, 0, start)] + [(kind == "equal", i + start, j + start, k + start, l + start) for kind, i, j, k, l in inner]
+    return [*out, (True, len(a) - end, len(a), len(b) - end, len(b))]
+
+
+short_matched = lru_cache(1 << 13)(matched)
+
+
 def align(a: list[list], b: list[list]) -> list[list]:
     """The two streams as one: what both have, and the rest as optional."""
     ka, kb = keys(a), keys(b)
@@ -204,8 +217,9 @@ def align(a: list[list], b: list[list]) -> list[list]:
         return [merged(x, y) for x, y in zip(a, b, strict=True)]
     a, b = regrouped(a, b), regrouped(b, a)
     out: list[list] = []
-    for kind, i, j, k, l in SequenceMatcher(None, keys(a), keys(b), autojunk=False).get_opcodes():
-        if kind == "equal":
+    match = short_matched if len(a) + len(b) <= 256 else matched  # the same stretches come again and again
+    for equal, i, j, k, l in match(tuple(keys(a)), tuple(keys(b))):
+        if equal:
             out += [merged(x, y) for x, y in zip(a[i:j], b[k:l], strict=True)]
         else:
             out += [[n[KEY], True, n[BODY], n[TEXTS]] for n in a[i:j] + b[k:l]]
@@ -249,6 +263,8 @@ def regrouped(nodes: list[list], other: list[list]) -> list[list]:
     """`nodes` with single occurrences of groups that the other stream repeats made groups too."""
     mine = set(keys(nodes))
     bodies = {n[BODY][0][KEY]: n[BODY] for n in other if n[BODY] is not None and n[KEY] not in mine}
+    if not bodies:
+        return nodes
     out, i = [], 0
     while i < len(nodes):
         n = covers(bodies[nodes[i][KEY]], nodes, i) if nodes[i][KEY] in bodies else 0
