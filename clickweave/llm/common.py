@@ -125,13 +125,13 @@ BROADCAST_ROWS, BROADCAST_BYTES, SALTS = 200_000, 32 << 20, 16
 
 def broadcastable(small: DataFrame) -> bool:
     """Whether the rows and the texts of `small`, which is checkpointed, are within the bounds."""
-    texts = [F.coalesce(F.octet_length(c), F.lit(0)).cast("long") for c, kind in small.dtypes if kind == "string"]
+    texts = [F.coalesce(F.octet_length(c if kind == "string" else F.array_join(c, "")), F.lit(0)).cast("long") for c, kind in small.dtypes if kind in ("string", "array<string>")]
     rows, size = small.agg(F.count("*"), F.coalesce(F.sum(sum(texts, F.lit(0).cast("long"))), F.lit(0))).first()
     return rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES
 
 
 def join_small(rows: DataFrame, small: DataFrame, keys: list[str], spread: str) -> DataFrame:
-    """`rows` left joined with `small`, which has each key once and is checkpointed; `spread` is a column that salts hot keys."""
+    """`rows` left joined with `small`, which has few rows a key and is checkpointed; `spread` is a column that salts hot keys."""
     if broadcastable(small):
         return rows.join(F.broadcast(small), keys, "left")
     salted = small.withColumn("join_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, Rows, checkpointed, let, table
+from .common import BROADCAST_ROWS, Rows, checkpointed, join_small, let, table
 
 WORDS, THRESHOLD = 5, 0.8
 #: Sketch values up to which they are broadcast (16 bytes each); beyond, the join is left to Spark.
@@ -82,7 +82,7 @@ def verified(docs: DataFrame, key: str, text: str, pairs: DataFrame, sketches: D
     few = pairs.count() <= BROADCAST_ROWS
     items = sketches.select("item_id", "width", "shingles")
     full = docs.select(F.col(key).alias("_k"), F.col(text).alias("_t"))
-    near = full.join(F.broadcast(pairs) if few else pairs, F.col("_k") == F.col(key)).join(items, "item_id")
+    near = join_small(full.join(F.broadcast(pairs) if few else pairs, F.col("_k") == F.col(key)), items, ["item_id"], key).filter("shingles IS NOT NULL")
     near = near.select(key, "item_id", "shingles", F.array_intersect("shingles", runs(F.col("_t"), F.col("width"), width, spaced)).alias("both"))
     q = F.size("shingles")
     return near.select(key, "item_id", q.alias("n_shingles"), F.size("both").alias("n_shared"), (F.size("both") / q).alias("containment")).filter(F.col("n_shared") >= F.round(q * F.lit(threshold), 9)).distinct()
