@@ -176,3 +176,22 @@ def test_a_stream_has_the_sessions_of_the_batch(spark, tmp_path):
     query.awaitTermination(120)
     found = {(r.visitorid, r.event_count, r.session_pattern) for r in spark.table("found").collect()}
     assert found == {(1, 2, "view_only"), (1, 1, "conversion"), (2, 1, "view_only"), (3, 1, "view_only")}
+
+
+def test_late_events_of_a_stream_are_dropped_and_closed_sessions_appended(spark, tmp_path):
+    def batch(k, given):
+        events(spark, given).selectExpr("visitorid", "CAST(ts AS timestamp) AS ts", "event").coalesce(1).write.parquet(str(tmp_path / "in" / f"b{k}"))
+
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema("visitorid long, ts timestamp, event string").option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+
+    def step():
+        query = stream_sessions(stream, delay="5 minutes").writeStream.outputMode("append").format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        query.awaitTermination(120)
+        assert query.exception() is None
+        return {(r.visitorid, r.event_count, r.session_pattern) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+
+    batch(0, [(0, 1, "view", 1), (30, 1, "transaction", 2), (100, 2, "view", 1)])
+    assert step() == {(1, 2, "conversion")}  # 60 + 30 minutes lie before the watermark of 95
+    batch(1, [(10, 3, "view", 1), (125, 2, "addtocart", 1), (400, 4, "view", 1)])
+    assert step() == {(1, 2, "conversion"), (2, 2, "cart_only")}  # visitor 3 came too late; visitor 4 is still open
