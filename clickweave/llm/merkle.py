@@ -90,7 +90,7 @@ def fingerprint(text: Column) -> Column:
 
 
 #: Ranges for each shuffle partition.
-RANGES = 4
+RANGES = 2
 
 
 def range_of(at: Column, bounds: Column, most: int) -> Column:
