@@ -73,6 +73,23 @@ def test_repair_renders_and_keeps_what_has_no_place(spark):
     assert chat.repair(chats.limit(0)).count() == 0
 
 
+def test_crowded_and_long_conversations_cost_the_least(spark, monkeypatch):
+    monkeypatch.setattr(chat, "BLOCK", 4)  # turns of a block, blocks of a stretch
+    r = random.Random(7)
+    roles = ("user", "assistant", "system", "robot")
+    rows = [(1, t, r.choice(roles), f"{t}") for t in range(90)] + [(2, 5, r.choice(roles), f"x{i}") for i in range(60)] + [(2, t, r.choice(roles), "y") for t in (0, 1, 4, 6, 30, 31)] + [(3, 0, "user", "z")] * 50
+    found = chat.repair(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    for c in (1, 2, 3):
+        mine = sorted((x for x in found if x.conv_id == c), key=lambda x: (x.turn, x.turn_role, x.turn_mark, x.step))
+        given = [x.given_role for x in mine if x.action not in ("insert", "end")]
+        assert sorted(given) == sorted(x[2] for x in {x for x in rows if x[0] == c})
+        order = [chat.ROLES.index(x) + 1 if x in chat.ROLES else 0 for x in given]
+        assert sum(x.cost for x in mine) == chat.join_blocks([chat.matrix(order)])[0]
+        opened = [x.role for x in mine if x.role and not x.action.endswith("merge")]
+        assert opened[1 if opened[0] == "system" else 0 :] == ["user", "assistant"] * (len(opened) // 2)
+        assert mine[-1].action == "end"
+
+
 # decontamination
 
 
