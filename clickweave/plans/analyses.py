@@ -10,6 +10,7 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clickweave import report
 from clickweave.operators import items, overview, properties, sessions, tree, users
 from clickweave.sources import tables
 
@@ -69,11 +70,11 @@ def run(events: DataFrame, item_properties: DataFrame, category_tree: DataFrame,
 
 
 def main(events: str, category_tree: str, out: str, *item_properties: str) -> None:
-    from clickweave import report
-
     spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
     results = run(tables.csv_events(spark, events), tables.csv_item_properties(spark, *item_properties), tables.csv_category_tree(spark, category_tree))
-    report.write(report.collected(results), out)
+    found = report.collected(results)
+    report.write(found, out)
+    print(report.as_text(found))
 
 
 if __name__ == "__main__":

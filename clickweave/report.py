@@ -97,6 +97,8 @@ def as_html(found: Mapping[str, list[dict]], at: datetime | None = None) -> str:
             parts.append(f"<h3>{escape(name.replace('_', ' '))}</h3>")
             if name in CHARTS:
                 parts.append(chart(rows, *CHARTS[name]))
+            if name == "conversion_funnel" and rows:
+                parts.append(chart([{"step": k, "events": rows[0][k]} for k in ("views", "carts", "transactions")], "step", "events"))
             head = "".join(f"<th>{escape(k)}</th>" for k in rows[0]) if rows else ""
             body = "".join("<tr>" + "".join(f"<td>{escape(c)}</td>" for c in cells(r)) + "</tr>" for r in rows)
             parts.append(f"<table><tr>{head}</tr>{body}</table>" if rows else "<p>no rows</p>")
