@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from clickweave.shared import stored
+from clickweave.shared import discard, stored
 
 
 def roots(tree: DataFrame) -> DataFrame:
@@ -19,6 +19,11 @@ def root_depths(tree: DataFrame) -> DataFrame:
 
     A node that repeats on its own path counts with its level and isn't walked on. Neither the depth nor the number of nodes is limited.
     """
+    return node_depths(tree).groupBy("root").agg(F.max("depth").alias("depth"))
+
+
+def node_depths(tree: DataFrame) -> DataFrame:
+    """node, root and depth of every node that a root reaches; a node that is reached in several ways has a row for each depth."""
     rows = stored(tree.filter("categoryid IS NOT NULL").select("categoryid", "parentid").distinct())
     one_parent = rows.groupBy("categoryid").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
     return depths_by_doubling(rows) if one_parent else depths_by_levels(rows)
@@ -29,36 +34,33 @@ def depths_by_doubling(rows: DataFrame) -> DataFrame:
 
     The rounds are the logarithm of the depth. Nodes that no root reaches, below a missing node or around a cycle, drop out.
     """
-    found = rows.filter("parentid IS NULL").select(F.col("categoryid").alias("node"), F.col("categoryid").alias("root"), F.lit(0).alias("depth"))
+    reached = rows.filter("parentid IS NULL").select(F.col("categoryid").alias("node"), F.col("categoryid").alias("root"), F.lit(0).alias("depth"))
     below = stored(rows.filter("parentid IS NOT NULL").select(F.col("categoryid").alias("node"), F.col("parentid").alias("up"), F.lit(1).alias("steps")))
-    reached, waiting = [found], below.count()
-    done = found
+    waiting = below.count()
     while waiting:
-        above = done.select(F.col("node").alias("up"), "root", F.col("depth").alias("more"))
+        above = reached.select(F.col("node").alias("up"), "root", F.col("depth").alias("more"))
         done = stored(below.join(above, "up").select("node", "root", (F.col("steps") + F.col("more")).alias("depth")))
-        reached.append(done)
         leap = below.select(F.col("node").alias("up"), F.col("up").alias("next"), F.col("steps").alias("more"))
-        below = stored(below.join(leap, "up").select("node", F.col("next").alias("up"), (F.col("steps") + F.col("more")).alias("steps")))
-        left = below.count()
+        below, before = stored(below.join(leap, "up").select("node", F.col("next").alias("up"), (F.col("steps") + F.col("more")).alias("steps"))), below
+        reached, left = reached.unionByName(done), below.count()
+        discard(before)
         if left == waiting:  # only cycles don't get fewer
             break
         waiting = left
-        done = reduce(DataFrame.unionByName, reached)
-    return reduce(DataFrame.unionByName, reached).groupBy("root").agg(F.max("depth").alias("depth"))
+    return reached
 
 
 def depths_by_levels(rows: DataFrame) -> DataFrame:
     """For any graph: level by level, each way with the nodes on its path; a round for each level."""
     edges = rows.filter("parentid IS NOT NULL").select(F.col("parentid").alias("node"), F.col("categoryid").alias("child"))
     level = stored(rows.filter("parentid IS NULL").select(F.col("categoryid").alias("root"), F.col("categoryid").alias("node"), F.array("categoryid").alias("path")))
-    depths, depth = [], 0
+    depths, depth = [level.select("node", "root", F.lit(0).alias("depth"))], 0
     while not level.isEmpty():
-        depths.append(level.select("root", F.lit(depth).alias("depth")).distinct())
+        depths.append(level.select("node", "root", F.lit(depth).alias("depth")).distinct())
         again = F.array_contains("path", F.col("child"))
         path = F.when(~again, F.array_append("path", F.col("child")))
         level, depth = stored(level.filter("path IS NOT NULL").join(edges, "node").select("root", F.col("child").alias("node"), path.alias("path"))), depth + 1
-    found = reduce(DataFrame.unionByName, depths) if depths else rows.select(F.col("categoryid").alias("root"), F.lit(0).alias("depth")).limit(0)
-    return found.groupBy("root").agg(F.max("depth").alias("depth"))
+    return reduce(DataFrame.unionByName, depths[1:] or depths)
 
 
 def tree_summary(tree: DataFrame) -> DataFrame:
@@ -97,3 +99,16 @@ def trimmed_edges(tree: DataFrame, most: int = 200, kept: int = 150) -> DataFram
     nodes = core.union(near).distinct()
     induced = links.join(nodes.withColumnRenamed("node", "src"), "src", "left_semi").join(nodes.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst", F.lit(True).alias("trimmed"))
     return links.select("src", "dst", F.lit(False).alias("trimmed")).union(induced).join(F.broadcast(size), F.lit(True)).filter((F.col("n_nodes") > most) == F.col("trimmed")).select("src", "dst")
+
+
+def layout(tree: DataFrame, most: int = 200, kept: int = 150) -> DataFrame:
+    """A figure of the (trimmed) graph: node, x and y, size and whether it shows a label.
+
+    y is the least depth below a root of the figure, x the place in its row, in the order of roots and nodes. Made for the few thousand nodes that a figure can show.
+    """
+    links = trimmed_edges(tree, most, kept)
+    tops = links.select("src").distinct().join(links.select(F.col("dst").alias("src")).distinct(), "src", "left_anti").select(F.col("src").alias("categoryid"), F.lit(None).cast("bigint").alias("parentid"))
+    forest = stored(links.select(F.col("dst").alias("categoryid"), F.col("src").alias("parentid")).unionByName(tops))
+    placed = node_depths(forest).groupBy("node").agg(F.min("depth").alias("y"), F.min("root").alias("root"))
+    row = Window.partitionBy("y").orderBy("root", "node")
+    return placed.select("node", F.row_number().over(row).alias("x"), "y").join(degrees(forest).select("node", "size", "labelled"), "node")

@@ -28,8 +28,10 @@ def run(events: DataFrame, item_properties: DataFrame, category_tree: DataFrame,
     marked = sessions.sessionized(events, gap_minutes)
     found = sessions.sessions(marked, sequences=False)
     flagged = users.anomalies(users.activity(events))
-    shapes = [overview.dataset_shape(df, name) for df, name in ((events, "events"), (item_properties, "item_properties"), (category_tree, "category_tree"))]
+    named = (("events", events), ("item_properties", item_properties), ("category_tree", category_tree))
+    shapes = [overview.dataset_shape(df, name) for name, df in named]
     return {
+        "dataset_footprints": events.sparkSession.createDataFrame([(name, overview.footprint(df)) for name, df in named], "dataset string, megabytes double"),
         "dataset_shapes": shapes[0].unionByName(shapes[1]).unionByName(shapes[2]),
         "null_percentages": overview.null_percentages(events),
         "event_counts": overview.value_counts(events, "event").orderBy(F.desc("n"), "event"),
@@ -51,7 +53,7 @@ def run(events: DataFrame, item_properties: DataFrame, category_tree: DataFrame,
         "tree_summary": tree.tree_summary(category_tree),
         "top_parents": tree.children_counts(category_tree, 10),
         "graph_edges": tree.trimmed_edges(category_tree),
-        "graph_nodes": tree.degrees(tree.trimmed_edges(category_tree).select(F.col("dst").alias("categoryid"), F.col("src").alias("parentid"))),
+        "graph_nodes": tree.layout(category_tree),
         "user_types": users.with_type(pivot),
         "user_type_distribution": users.type_distribution(pivot).orderBy(F.desc("n"), "user_type"),
         "user_category_data": users.top_category(preference),

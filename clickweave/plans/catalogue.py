@@ -130,6 +130,7 @@ PLANS = {
     "graph_degrees": lambda s, d: tree.degrees(category_tree(s, d)),
     "graph_trimmed_edges": lambda s, d: tree.trimmed_edges(category_tree(s, d)),
     "graph_trimmed_edges_50_20": lambda s, d: tree.trimmed_edges(category_tree(s, d), 50, 20),
+    "graph_layout": lambda s, d: tree.layout(category_tree(s, d)),
     "user_event_pivot": lambda s, d: users.with_type(users.event_pivot(events(s, d))),
     "user_type_distribution": lambda s, d: users.type_distribution(users.event_pivot(events(s, d))),
     "user_day_type_distribution": lambda s, d: users.type_distribution(dated_pivot(s, d)),

@@ -105,6 +105,7 @@ ORACLE_SQL = {
     "tree_children_counts": f"WITH {TREE} SELECT parentid, count(*) AS n FROM tr WHERE parentid IS NOT NULL GROUP BY 1 ORDER BY n DESC, parentid LIMIT 10",
     "graph_degrees": f"WITH {TREE}, {DEGREES} SELECT *, greatest(8.0::DOUBLE, least(25.0::DOUBLE, 8 + 0.5::DOUBLE * out_degree)) AS size, out_degree >= 5 AS labelled FROM dg",
     "graph_trimmed_edges": f"WITH {TREE}, {DEGREES}, core AS (SELECT node FROM dg ORDER BY degree DESC, node LIMIT 150), ed AS (SELECT parentid AS src, categoryid AS dst FROM tr WHERE parentid IS NOT NULL), kept AS (SELECT node FROM core UNION SELECT dst FROM ed WHERE src IN (SELECT node FROM core) UNION SELECT src FROM ed WHERE dst IN (SELECT node FROM core)) SELECT DISTINCT src, dst FROM ed WHERE (SELECT count(*) FROM dg) <= 200 OR (src IN (SELECT node FROM kept) AND dst IN (SELECT node FROM kept))",
+    "graph_layout": f"WITH RECURSIVE {TREE}, {DEGREES}, core AS (SELECT node FROM dg ORDER BY degree DESC, node LIMIT 150), ed AS (SELECT parentid AS src, categoryid AS dst FROM tr WHERE parentid IS NOT NULL), kept AS (SELECT node FROM core UNION SELECT dst FROM ed WHERE src IN (SELECT node FROM core) UNION SELECT src FROM ed WHERE dst IN (SELECT node FROM core)), tm AS (SELECT DISTINCT src, dst FROM ed WHERE (SELECT count(*) FROM dg) <= 200 OR (src IN (SELECT node FROM kept) AND dst IN (SELECT node FROM kept))), lv(node, root, y) AS (SELECT DISTINCT src, src, 0 FROM tm WHERE src NOT IN (SELECT dst FROM tm) UNION ALL SELECT t.dst, l.root, l.y + 1 FROM lv l JOIN tm t ON t.src = l.node), en AS (SELECT src AS node, 1 AS o FROM tm UNION ALL SELECT dst, 0 FROM tm), sz AS (SELECT node, CAST(sum(o) AS BIGINT) AS o FROM en GROUP BY node) SELECT l.node, CAST(row_number() OVER (PARTITION BY y ORDER BY root, l.node) AS INTEGER) AS x, CAST(y AS INTEGER) AS y, greatest(8.0::DOUBLE, least(25.0::DOUBLE, 8 + 0.5::DOUBLE * o)) AS size, o >= 5 AS labelled FROM lv l JOIN sz ON sz.node = l.node",
     "graph_trimmed_edges_50_20": f"WITH {TREE}, {DEGREES}, core AS (SELECT node FROM dg ORDER BY degree DESC, node LIMIT 20), ed AS (SELECT parentid AS src, categoryid AS dst FROM tr WHERE parentid IS NOT NULL), kept AS (SELECT node FROM core UNION SELECT dst FROM ed WHERE src IN (SELECT node FROM core) UNION SELECT src FROM ed WHERE dst IN (SELECT node FROM core)) SELECT DISTINCT src, dst FROM ed WHERE (SELECT count(*) FROM dg) <= 50 OR (src IN (SELECT node FROM kept) AND dst IN (SELECT node FROM kept))",
     "user_event_pivot": f"WITH {EVENTS}, {pivot('visitorid')} SELECT *, {TYPES} AS user_type FROM pv",
     "user_type_distribution": f"WITH {EVENTS}, {pivot('visitorid')} {SHARES}",

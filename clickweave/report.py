@@ -13,16 +13,18 @@ from html import escape
 
 from pyspark.sql import DataFrame
 
-MOST = 200
+#: Rows of a result that are collected at most; of the graph's nodes and edges.
+MOST, MOST_OF_GRAPH = 200, 4000
 #: Title and results of each section, in order.
 SECTIONS = {
-    "Data": ["dataset_shapes", "null_percentages", "unparsed_values"],
+    "Data": ["dataset_shapes", "dataset_footprints", "null_percentages", "unparsed_values"],
     "Events": ["event_counts", "conversion_funnel", "time_span", "daily_average", "visitors_and_items", "top_items", "concentration", "events_per_hour", "events_per_weekday", "item_popularity_histogram"],
     "Items and categories": ["top_properties", "category_mapping", "availability", "top_item_categories", "top_event_categories", "item_features_summary", "top_items_by_popularity", "top_categories_by_popularity"],
-    "Category tree": ["tree_summary", "top_parents", "graph_nodes"],
+    "Category tree": ["tree_summary", "top_parents"],
     "Users": ["user_type_distribution", "users_with_category_preference", "anomaly_summary", "top_anomalies"],
     "Sessions": ["session_summary", "session_patterns", "conversion_by_length", "frequent_transitions"],
 }
+GRAPH = ("graph_nodes", "graph_edges")
 #: Results with a chart: the label's column and the value's.
 CHARTS = {
     "event_counts": ("event", "n"),
@@ -42,7 +44,8 @@ def records(df: DataFrame, most: int = MOST) -> list[dict]:
 
 def collected(results: Mapping[str, DataFrame], most: int = MOST) -> dict[str, list[dict]]:
     """Records of the results that the report shows."""
-    return {name: records(results[name], most) for names in SECTIONS.values() for name in names if name in results}
+    found = {name: records(results[name], most) for names in SECTIONS.values() for name in names if name in results}
+    return found | {name: records(results[name], MOST_OF_GRAPH) for name in GRAPH if name in results}
 
 
 def shown(value: object) -> str:
@@ -85,13 +88,27 @@ def chart(rows: list[dict], label: str, value: str) -> str:
     return f'<svg viewBox="0 0 700 {20 * len(rows) + 4}" width="700">{bars}</svg>'
 
 
-STYLE = "body{font:15px sans-serif;max-width:60em;margin:2em auto}table{border-collapse:collapse;margin:.5em 0}td,th{padding:.2em .8em;border-bottom:1px solid #ccc;text-align:left}svg{font:12px sans-serif}rect{fill:#4878a8}"
+def graph(nodes: list[dict], edges: list[dict]) -> str:
+    """The category graph as SVG, a row for each depth; edges whose ends are both shown."""
+    widest = max((n["x"] for n in nodes), default=1)
+    rows = {y: max(n["x"] for n in nodes if n["y"] == y) for y in {n["y"] for n in nodes}}
+    at = {n["node"]: (900 * (n["x"] - 0.5) / rows[n["y"]], 30 + 110 * n["y"]) for n in nodes}
+    lines = "".join(f'<line x1="{at[a][0]:.1f}" y1="{at[a][1]}" x2="{at[b][0]:.1f}" y2="{at[b][1]}"/>' for e in edges if (a := e["src"]) in at and (b := e["dst"]) in at)
+    dots = "".join(
+        f'<circle cx="{at[n["node"]][0]:.1f}" cy="{at[n["node"]][1]}" r="{n["size"] / (2 if widest < 60 else 5):.1f}"><title>{n["node"]}</title></circle>' + (f'<text x="{at[n["node"]][0]:.1f}" y="{at[n["node"]][1] - 12}" text-anchor="middle">{n["node"]}</text>' if n["labelled"] else "") for n in nodes
+    )
+    return f'<svg viewBox="0 0 900 {60 + 110 * max(rows, default=0)}" width="900">{lines}{dots}</svg>'
+
+
+STYLE = "body{font:15px sans-serif;max-width:60em;margin:2em auto}table{border-collapse:collapse;margin:.5em 0}td,th{padding:.2em .8em;border-bottom:1px solid #ccc;text-align:left}svg{font:12px sans-serif}rect,circle{fill:#4878a8}line{stroke:#bbb}"
 
 
 def as_html(found: Mapping[str, list[dict]], at: datetime | None = None) -> str:
     parts = [f"<h1>Clickstream report</h1><p>{at or datetime.now(UTC):%Y-%m-%d %H:%M:%S}</p>"]
     for title, names in SECTIONS.items():
         parts.append(f"<h2>{escape(title)}</h2>")
+        if title == "Category tree" and found.get("graph_nodes"):
+            parts.append(graph(found["graph_nodes"], found.get("graph_edges", [])))
         for name in (n for n in names if n in found):
             rows = found[name]
             parts.append(f"<h3>{escape(name.replace('_', ' '))}</h3>")

@@ -162,6 +162,7 @@ def test_a_full_run_and_its_report(spark, tmp_path):
     assert found["unparsed_values"] != []
     report.write(found, str(tmp_path))
     page, text = (tmp_path / "report.html").read_text(), (tmp_path / "report.txt").read_text()
+    assert page.count("<circle") == 3 and page.count("<line") == 2
     assert "<svg" in page and "view_to_cart_rate" in page and "50.00" in text
     empty = report.collected(analyses.run(ev.limit(0), pr.limit(0), tr.limit(0)))
     assert "no rows" in report.as_text(empty) and "no rows" in report.as_html(empty)
