@@ -92,7 +92,7 @@ class Kernel:
         if not found or not self.languages:
             return pd.DataFrame({"lang": [UNKNOWN] * len(found), "score": np.zeros(len(found))})
         rows = self.rows(found)
-        margins = rows @ self.weights
+        margins = np.round(rows @ self.weights, 6)  # so that ties are ties, whatever the block
         lettered = np.array([len(g) > 0 for g in found])
         best = margins.argmax(1)
         if reject:

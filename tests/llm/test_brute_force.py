@@ -57,6 +57,12 @@ def test_language_margins_are_those_of_the_kernel_and_the_ridge_by_hand():
     assert list(scored.lang) == [max(want, key=lambda k: want[k][i]) for i in range(len(new))]
 
 
+def test_ties_go_to_the_first_language():
+    rows = [(t, k) for t, _ in sample(5, 10) for k in ("bb", "aa")]  # both have all texts
+    model = language_id.fit(pd.DataFrame(rows, columns=["t", "l"]), "t", "l")
+    assert set(model.score([t for t, _ in rows]).lang) == {"aa"}
+
+
 def test_a_machine_sums_over_all_pairs_of_terms():
     r = np.random.default_rng(3)
     texts = ["awful people of that group", "a plain sentence", "", "awful words", "über group"]
