@@ -57,14 +57,17 @@ def sequence_blocks(marked: DataFrame, size: int = 1000) -> DataFrame:
 def sessions(marked: DataFrame, sequences: bool = True) -> DataFrame:
     """One row a session; `sequences` adds its items and events in order (whole; see `sequence_blocks` where sessions can be very long)."""
     lists = F.array_sort(F.collect_list(F.struct("ts", "event_id", "itemid", "event")))
+    # a distinct count would carry the lists through its extra phases; with the lists at hand, it is taken from them
     found = marked.groupBy("visitorid", "session_id").agg(
-        F.min("ts").alias("session_start"), F.max("ts").alias("session_end"), F.count("ts").alias("event_count"), F.count_distinct("itemid").alias("unique_items"),
-        session_pattern(F.col("event")).alias("session_pattern"), *([lists.alias("_all")] if sequences else []),
+        F.min("ts").alias("session_start"), F.max("ts").alias("session_end"), F.count("ts").alias("event_count"), (lists.alias("_all") if sequences else F.count_distinct("itemid").alias("unique_items")),
+        session_pattern(F.col("event")).alias("session_pattern"),
     )
     found = found.withColumn("session_duration_minutes", micros(F.col("session_start"), F.col("session_end")) / F.lit(float(MICROS_PER_MINUTE)))
     if not sequences:
         return found
-    return found.withColumns({"item_sequence": F.transform("_all", lambda x: x["itemid"]), "event_sequence": F.transform("_all", lambda x: x["event"])}).drop("_all")
+    items = F.transform("_all", lambda x: x["itemid"])
+    unique = F.size(F.array_distinct(F.filter(items, lambda x: x.isNotNull()))).cast("bigint")
+    return found.withColumns({"unique_items": unique, "item_sequence": items, "event_sequence": F.transform("_all", lambda x: x["event"])}).drop("_all")
 
 
 def summary(found: DataFrame) -> DataFrame:

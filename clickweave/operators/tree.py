@@ -106,7 +106,7 @@ def layout(tree: DataFrame, most: int = 200, kept: int = 150) -> DataFrame:
 
     y is the least depth below a root of the figure, x the place in its row, in the order of roots and nodes. Made for the few thousand nodes that a figure can show.
     """
-    links = trimmed_edges(tree, most, kept)
+    links = stored(trimmed_edges(tree, most, kept))
     tops = links.select("src").distinct().join(links.select(F.col("dst").alias("src")).distinct(), "src", "left_anti").select(F.col("src").alias("categoryid"), F.lit(None).cast("bigint").alias("parentid"))
     forest = stored(links.select(F.col("dst").alias("categoryid"), F.col("src").alias("parentid")).unionByName(tops))
     placed = node_depths(forest).groupBy("node").agg(F.min("depth").alias("y"), F.min("root").alias("root"))
