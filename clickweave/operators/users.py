@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clickweave.functions.columns import MICROS_PER_DAY, count_event, is_outlier, micros, user_type
+from clickweave.shared import stored
 
 from .quantiles import exact_quantiles
 
@@ -54,8 +55,9 @@ def activity(events: DataFrame) -> DataFrame:
 def anomalies(stats: DataFrame, k: float = 1.5) -> DataFrame:
     """`stats` with an outlier flag for each metric, and their number as anomaly_score.
 
-    Quartiles interpolate linearly over all users; they are one row.
+    Quartiles interpolate linearly over all users; they are one row. `stats` is written once, as it is read for the quartiles and for the flags.
     """
+    stats = stored(stats)
     quartiles = exact_quantiles(stats, METRICS, (0.25, 0.75))
     flagged = stats.join(F.broadcast(quartiles), F.lit(True)).withColumns({f"{m}_outlier": F.coalesce(is_outlier(F.col(m), F.col(f"{m}_0"), F.col(f"{m}_1"), k), F.lit(False)) for m in METRICS})
     score = sum((F.col(f"{m}_outlier").cast("int") for m in METRICS[1:]), F.col(f"{METRICS[0]}_outlier").cast("int"))
