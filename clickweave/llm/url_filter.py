@@ -44,34 +44,53 @@ def digest(key: str) -> int:
     return xxhash.xxh64_intdigest(key.encode("utf-8", "surrogatepass"), 42)
 
 
-class DigestArray:
-    """A file of sorted digests, verdicts and key strings, shared with the executors by ``addFile``."""
+def in_order(rules: DataFrame | Iterable[tuple[str, str, str]]) -> Iterator[tuple[int, str, bool, set[int], int]]:
+    """Digest, key, whether it blocks, path lengths and host labels of each rule, in the order of digests.
 
-    def __init__(self, spark: SparkSession, rules: DataFrame | Iterable[tuple[str, str, str]]):
-        given = rules if isinstance(rules, DataFrame) else spark.createDataFrame(list(rules), "verdict string, host string, path string")
+    A table is sorted by Spark and streams by; a list, which the caller holds anyway, is sorted as it is.
+    """
+    if isinstance(rules, DataFrame):
         host = F.translate(F.coalesce("host", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
         path = F.coalesce("path", F.lit(""))
-        keyed = given.select("verdict", F.concat(host, path).alias("key"), F.char_length(path).alias("length"), F.size(F.split(host, r"\.")).alias("labels"))
-        known = F.coalesce(F.col("verdict").isin("allow", "block"), F.lit(False))
-        self.labels, self.lengths, wrong = keyed.agg(F.coalesce(F.max("labels"), F.lit(0)), F.sort_array(F.collect_set("length")), F.min(F.when(~known, F.coalesce("verdict", F.lit("null"))))).first()
-        if wrong is not None:
-            raise ValueError(f"verdict must be allow or block, not {wrong!r}")
+        keyed = rules.select(F.coalesce("verdict", F.lit("null")).alias("verdict"), F.concat(host, path).alias("key"), F.char_length(path).alias("length"), F.size(F.split(host, r"\.")).alias("labels"))
+        one = keyed.groupBy("key").agg(F.collect_set("verdict").alias("verdicts"), F.collect_set("length").alias("lengths"), F.max("labels").alias("labels"))
         # Spark's xxhash64 of one string is the XXH64 of its UTF-8 bytes with seed 42; unsigned order is that of the number with its sign turned
-        rows = keyed.groupBy("key").agg(F.bool_or(F.col("verdict") == "block").alias("block")).withColumn("digest", F.xxhash64("key"))
+        rows = ((r.digest & (1 << 64) - 1, r.key, set(r.verdicts), set(r.lengths), r.labels) for r in one.withColumn("digest", F.xxhash64("key")).orderBy(F.col("digest").bitwiseXOR(F.lit(-(1 << 63))), "key").toLocalIterator())
+    else:
+        kept: dict[str, tuple[set, set, int]] = {}
+        for verdict, host, path in rules:
+            host = host.translate({c: c + 32 for c in range(65, 91)})
+            verdicts, lengths, labels = kept.get(host + path, (set(), set(), 0))
+            kept[host + path] = (verdicts | {str(verdict)}, lengths | {len(path)}, max(labels, host.count(".") + 1))
+        rows = sorted((digest(k), k, *x) for k, x in kept.items())
+    for number, key, verdicts, lengths, labels in rows:
+        if wrong := verdicts - {"allow", "block"}:
+            raise ValueError(f"verdict must be allow or block, not {wrong.pop()!r}")
+        yield number, key, "block" in verdicts, lengths, labels
+
+
+class DigestArray:
+    """A file of sorted digests, verdicts and key strings, shared with the executors by ``addFile``."""
+
+    def __init__(self, spark: SparkSession, rules: DataFrame | Iterable[tuple[str, str, str]]):
         folder = tempfile.mkdtemp(prefix="digest-array-")
         self.name = os.path.basename(folder)
+        seen: set[int] = set()
+        self.labels = n = end = 0
         parts = [os.path.join(folder, f"part-{x}") for x in ("digests", "ends", "blocks", "texts")]
         with ExitStack() as stack:
             digests, ends, blocks, texts = (stack.enter_context(open(p, "wb")) for p in parts)
-            n = end = 0
             ends.write(end.to_bytes(8, "little"))
-            for key, block, digest in rows.orderBy(F.col("digest").bitwiseXOR(F.lit(-(1 << 63))), "key").toLocalIterator():
-                text = key.encode()
+            for number, key, block, lengths, labels in in_order(rules):
+                text = key.encode("utf-8", "surrogatepass")
                 n, end = n + 1, end + len(text)
-                digests.write((digest & (1 << 64) - 1).to_bytes(8, "little"))
+                seen |= lengths
+                self.labels = max(self.labels, labels)
+                digests.write(number.to_bytes(8, "little"))
                 ends.write(end.to_bytes(8, "little"))
                 blocks.write(bytes([block]))
                 texts.write(text)
+        self.lengths = sorted(seen)
         with open(os.path.join(folder, self.name), "wb") as whole:
             whole.write(n.to_bytes(8, "little"))
             for p in parts:

@@ -362,5 +362,9 @@ def test_url_rules_by_brute_force(spark):
         fits = [(len(h + p), h + p, v) for v, h, p in url_filter.RULES if (host == h or host.endswith("." + h)) and tail.startswith(p)]
         assert (x.host, x.path) == (host, tail)
         assert (x.rule, x.verdict) == (max(fits)[1:] if fits else (None, "allow"))
+    table = spark.createDataFrame([*url_filter.RULES, ("allow", "Example.org", "/es/")], "verdict string, host string, path string")
+    assert sorted(map(str, url_filter.judge_urls(pages, table).collect())) == sorted(map(str, url_filter.judge_urls(pages, url_filter.RULES).collect()))
+    with pytest.raises(ValueError, match="verdict must be"):
+        url_filter.judge_urls(pages, table.withColumn("verdict", F.lit("maybe")))
     assert url_filter.judge_urls(pages.limit(0), url_filter.RULES).count() == 0
     assert {x.verdict for x in url_filter.judge_urls(pages, []).collect()} == {"allow"}
