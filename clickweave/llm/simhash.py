@@ -30,6 +30,8 @@ SHINGLE, TAU, SEED = 4, 4, 42
 SALTS = 16
 #: Representatives of each key; distinct fingerprints above which a component counts as big.
 STARS, BIG = 3, 64
+#: Fingerprints of a key above which the third segment is looked up too.
+CROWDED = 256
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -108,25 +110,43 @@ def cross_links(labelled: DataFrame, tau: int = TAU) -> DataFrame:
     """Pairs (a, b) of components that a link between fingerprints joins. `labelled`: id, fp, component, big.
 
     Fingerprints of one component never meet: a probe enters a key's big and small sides only if they hold other components, and
-    of two fingerprints in a small and a big component the small one's probes.
+    of two fingerprints in a small and a big component the small one's probes. A side with more than `CROWDED` fingerprints is looked up by the
+    third segment as well, with what the budget of three segments leaves for it, so that a crowded key isn't a square of pairs.
     """
     parts = segments(tau)
     span = max(w for _, w in parts)
-    fp, xor = F.col("fp"), F.col("fp").bitwiseXOR(F.col("fp_b"))
+    fp, xor, start = F.col("fp"), F.col("fp").bitwiseXOR(F.col("fp_b")), F.shiftright("key", 2 * span)
+
+    def segment(k: int) -> Column:
+        """The k-th segment after a key's start."""
+        cases = F
+        for i in range(tau + 1):
+            cases = cases.when(start == i, cut(fp, *parts[(i + k) % len(parts)]))
+        return cases
+
     index = indexed(labelled, tau)
     large, small = F.when(F.col("big"), F.col("component")), F.when(~F.col("big"), F.col("component"))
-    held = index.groupBy("key").agg(F.min(large).alias("l0"), F.max(large).alias("l1"), F.min(small).alias("s0"), F.max(small).alias("s1"))
+    most = F.lit(CROWDED if tau > 1 else 1 << 62)
+    held = index.groupBy("key").agg(F.min(large).alias("l0"), F.max(large).alias("l1"), F.min(small).alias("s0"), F.max(small).alias("s1"), (F.count(large) > most).alias("l_full"), (F.count(small) > most).alias("s_full"))
     flips = [ring_key(fp, i, tau) for i in range(tau + 1)]
     flips += [k.bitwiseXOR(F.lit(1 << b)) for i, k in enumerate(flips) for b in range(parts[(i + 1) % len(parts)][1])]
     mine = F.col("component")
     others = lambda low, high: low.isNotNull() & ((low != mine) | (high != mine))
     into_big, into_small = others(F.col("l0"), F.col("l1")), ~F.col("big") & others(F.col("s0"), F.col("s1"))
     probes = labelled.select("*", F.explode(F.array(*flips)).alias("key")).join(held, "key").filter(into_big | into_small)
-    probes = probes.select("key", "fp", "component", "big", F.explode(F.filter(F.array(F.when(into_big, F.lit(True)), F.when(into_small, F.lit(False))), lambda x: x.isNotNull())).alias("side"))
-    entries = index.select("key", F.col("big").alias("side"), F.col("fp").alias("fp_b"), F.col("component").alias("other"))
-    chain = first_start(xor, tau) == F.shiftright("key", 2 * span)
+    sides = F.array(F.when(into_big, F.struct(F.lit(True).alias("side"), F.col("l_full").alias("full"))), F.when(into_small, F.struct(F.lit(False).alias("side"), F.col("s_full").alias("full"))))
+    probes = probes.select("key", "fp", "component", "big", F.explode(F.filter(sides, lambda x: x.isNotNull())).alias("x")).select("key", "fp", "component", "big", "x.*")
+    # what a third segment may differ in: two bits, or one if the second differs in one already
+    masks = [0, *(1 << b for b in range(span)), *((1 << b) | (1 << c) for b in range(span) for c in range(b))]
+    near = lambda n: F.transform(F.array(*[F.lit(x).cast("long") for x in masks[:n]]), lambda m: segment(2).bitwiseXOR(m))
+    same = segment(1) == F.col("key").bitwiseAND(F.lit((1 << span) - 1))
+    looked = F.when(~F.col("full"), F.array(F.lit(-1).cast("long"))).when(same, near(len(masks))).otherwise(near(span + 1))
+    probes = probes.select("key", "fp", "component", "big", "side", F.explode(looked).alias("fine"))
+    full = F.when(F.col("big"), F.col("l_full")).otherwise(F.col("s_full"))
+    entries = index.join(held.select("key", "l_full", "s_full"), "key").select("key", F.col("big").alias("side"), F.when(full, segment(2)).otherwise(F.lit(-1).cast("long")).alias("fine"), F.col("fp").alias("fp_b"), F.col("component").alias("other"))
+    chain = first_start(xor, tau) == start
     once = (F.col("big") != F.col("side")) | (F.col("fp") < F.col("fp_b"))
-    found = probes.join(entries, ["key", "side"]).filter((mine != F.col("other")) & once & chain & (F.bit_count(xor) <= tau))
+    found = probes.join(entries, ["key", "side", "fine"]).filter((mine != F.col("other")) & once & chain & (F.bit_count(xor) <= tau))
     return found.select(F.least(mine, "other").alias("a"), F.greatest(mine, "other").alias("b")).distinct()
 
 

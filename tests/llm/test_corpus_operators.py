@@ -192,7 +192,9 @@ def test_fingerprint_follows_its_definition():
     assert simhash.fingerprint("a b") & (1 << 64) - 1 == xxhash.xxh64_intdigest("a b", 42)
 
 
-def test_components_are_those_of_all_pairs(spark):
+@pytest.mark.parametrize("crowded", [simhash.CROWDED, 0])
+def test_components_are_those_of_all_pairs(spark, monkeypatch, crowded):
+    monkeypatch.setattr(simhash, "CROWDED", crowded)
     r = random.Random(3)
     flip = lambda x, k: x ^ sum(1 << b for b in r.sample(range(64), k))
     fps = {0, 3}
