@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import os
 
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from clickweave.llm import chat, decontaminate, html_wrapper, language_id, merkle, mixing, quality, simhash, toxicity, url_filter
+from clickweave.llm import byte_bpe, chat, collocations, decontaminate, filter_audit, html_wrapper, language_id, merkle, mixing, quality, simhash, toxicity, url_filter
 
 DIR = "/root/testdata/sf0.001"
 LONG = "the thing of ention shen " * 60_000
@@ -61,6 +62,9 @@ OPERATORS = {
     "op8": (lambda s, df, m: mixing.decide(df, topics=m["topics"]), documents, 1),
     "op9": (lambda s, df, m: merkle.fingerprint_edits(df), documents, 1),
     "op10": (lambda s, df, m: url_filter.judge_urls(df, url_filter.RULES), pages, 1),
+    "op11": (lambda s, df, m: collocations.collocations(df, least=2), documents, None),
+    "op12": (lambda s, df, m: byte_bpe.tokenize(df, public_tokenizers.path("byte_bpe_50k.tiktoken")), documents, 1),
+    "op13": (lambda s, df, m: filter_audit.audit(df, s.createDataFrame([(4, 1, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")), documents, None),
     "keep_one": (lambda s, df, m: simhash.keep_one(df), documents, None),
     "decontaminate": (lambda s, df, m: decontaminate.decontaminate(df, items(s)), documents, None),
 }
@@ -82,7 +86,7 @@ def test_odd_rows_have_defined_results(spark, models, name):
     more = operator(spark, clashing(given), models)
     assert plain(more.select(*[f"`{c}`" for c in found.columns])) == plain(found)
     kept = {c.lower() for c in more.columns}
-    if name not in ("op1", "op2", "op4", "op9"):  # these have tables of their own
+    if name not in ("op1", "op2", "op4", "op9", "op11", "op13"):  # these have tables of their own
         assert {c.lower() for c in given.columns} <= kept and {n.lower() for n in CLASH} <= kept
     # an empty table gives an empty table with the same columns
     none = operator(spark, given.limit(0), models)
