@@ -29,8 +29,8 @@ from itertools import pairwise
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,13 +38,15 @@ from pyspark.sql import functions as F
 from .common import Rows, table
 
 #: Characters of a stretch that isn't halved, and bytes of a match that isn't.
-LEAF, LEAF_BYTES = 2048, 256
+LEAF, LEAF_BYTES = 4096, 256
 #: Bytes up to which merging keeps its pairs in a list; a rank that stands for none.
 SHORT, NONE = 64, 1 << 62
 #: Characters right of a seam that a join matches anew at first.
 WINDOW = 32
 #: Matches, of up to 64 characters, whose ids a worker remembers.
 REMEMBERED = 200_000
+#: Rows of a result that a worker holds at a time.
+ROWS = 128
 
 
 class Stretch(NamedTuple):
@@ -234,15 +236,27 @@ def codec(vocabulary: bytes, pattern: str) -> Codec:
     return Codec({base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}, pattern)
 
 
+def in_parts(column: pa.Array) -> Iterator[list]:
+    """The values of an Arrow array, `ROWS` at a time."""
+    for i in range(0, len(column), ROWS):
+        yield column.slice(i, ROWS).to_pylist()
+
+
+def lists(ids: list[np.ndarray]) -> pa.Array:
+    offsets = np.cumsum([0, *map(len, ids)])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([*ids, np.zeros(0, np.int32)]), pa.int32()))
+
+
 def encoded(spark: SparkSession, text: Column, path: str, pattern: str = public_tokenizers.PATTERN) -> Column:
     """The ids of a text column, as array<int>. The vocabulary goes to the workers by broadcast: its size is that of the file."""
     held = spark.sparkContext.broadcast(read_ranks(path))
 
-    @F.pandas_udf("array<int>")
-    def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<int>")
+    def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = codec(held.value, pattern)
-        for texts in batches:
-            yield pd.Series([own.encode(t).ids for t in texts], dtype=object)
+        for batch in batches:
+            for texts in in_parts(batch):
+                yield lists([own.encode(t).ids for t in texts])
 
     return ids(F.coalesce(text, F.lit("")))
 
@@ -251,15 +265,31 @@ def decoded(spark: SparkSession, ids: Column, path: str, pattern: str = public_t
     """The bytes of an array<int> column of ids."""
     held = spark.sparkContext.broadcast(read_ranks(path))
 
-    @F.pandas_udf("binary")
-    def data(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("binary")
+    def data(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = codec(held.value, pattern)
-        for rows in batches:
-            yield pd.Series([own.decode(x.tolist()) for x in rows], dtype=object)
+        for batch in batches:
+            for rows in in_parts(batch):
+                yield pa.array([own.decode(x) for x in rows], pa.binary())
 
     return data(F.coalesce(ids, F.array().cast("array<int>")))
 
 
+def round_trip(spark: SparkSession, text: Column, path: str, pattern: str = public_tokenizers.PATTERN) -> Column:
+    """A struct of a text's ids and of the bytes that these decode to, by one reading of the text."""
+    held = spark.sparkContext.broadcast(read_ranks(path))
+
+    @F.arrow_udf("ids array<int>, data binary")
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        own = codec(held.value, pattern)
+        for batch in batches:
+            for texts in in_parts(batch):
+                ids = [own.encode(t).ids for t in texts]
+                yield pa.StructArray.from_arrays([lists(ids), pa.array([own.decode(x.tolist()) for x in ids], pa.binary())], ["ids", "data"])
+
+    return both(F.coalesce(text, F.lit("")))
+
+
 def tokenize(docs: DataFrame, path: str, text: str = "text", pattern: str = public_tokenizers.PATTERN) -> DataFrame:
     """`docs` with `token_ids`."""
     given = Rows(docs)
@@ -268,6 +298,5 @@ def tokenize(docs: DataFrame, path: str, text: str = "text", pattern: str = publ
 
 def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    found = tokenize(table(spark, sf_dir, "documents"), path).select("doc_id", "token_ids")
-    found = found.select("*", decoded(spark, F.col("token_ids"), path).alias("data"))
-    return found.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("token_ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("data", 256).alias("decoded_sha256"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", round_trip(spark, F.col("text"), path).alias("x")).select("doc_id", "x.ids", "x.data")
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("data", 256).alias("decoded_sha256"))
