@@ -43,8 +43,8 @@ LEAF, LEAF_BYTES = 4096, 256
 SHORT, NONE = 64, 1 << 62
 #: Characters right of a seam that a join matches anew at first.
 WINDOW = 32
-#: Matches, of up to 64 characters, whose ids a worker remembers.
-REMEMBERED = 200_000
+#: Matches, of up to 64 characters, in each of the two generations that a worker remembers.
+REMEMBERED = 300_000
 #: Rows of a result that a worker holds at a time.
 ROWS = 128
 
@@ -60,16 +60,17 @@ class Stretch(NamedTuple):
 
 
 class Remembered(dict):
-    """Ids of matches, as bytes of int32; when full, it starts anew."""
+    """Ids of matches, as bytes of int32. When it is full, what it has becomes the older generation, of which only what is asked for again is kept."""
 
     def __init__(self, codec: Codec):
         super().__init__()
-        self.codec = codec
+        self.codec, self.older = codec, {}
 
     def __missing__(self, match: str) -> bytes:
-        ids = np.array(self.codec.of_match(match), np.int32).tobytes()
+        ids = self.older.get(match) or np.array(self.codec.of_match(match), np.int32).tobytes()
         if len(match) <= 64:
             if len(self) >= REMEMBERED:
+                self.older = dict(self)
                 self.clear()
             self[match] = ids
         return ids

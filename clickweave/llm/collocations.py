@@ -38,7 +38,7 @@ LEAST, LONGEST, TOP = 100, 5, 2000
 #: Buckets of a pass, and bits of the bitmap of frequent parts; powers of two.
 BUCKETS, PARTS = 1 << 22, 1 << 24
 #: Words, and distinct words, of a block; bytes of a slice of a text; rows of an Arrow batch.
-BLOCK_WORDS, BLOCK_DISTINCT, SLICE, BATCH = 2_000_000, 300_000, 1 << 20, 50_000
+BLOCK_WORDS, BLOCK_DISTINCT, SLICE, BATCH = 1_000_000, 200_000, 1 << 20, 50_000
 #: The bytes that part pieces, each as the byte that stands for them; a tabulator is a blank.
 END = b"\xff"
 PLAIN = bytes.maketrans(b".,;:!?\n\x0b\x0c\r\t", END * 10 + b" ")
@@ -140,20 +140,22 @@ def counted(k: int, longest: int, buckets: int, frequent: Callable[[], np.ndarra
     """The pass for phrases of k words. `frequent` and `filled` give the bitmaps of the frequent parts of k - 1 words and of the buckets of k."""
     names = ["lang", "phrase", "h", "bucket", "n"]
 
-    def rows(langs: list, phrases: list, hashes: np.ndarray | None, places: np.ndarray | None, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def rows(langs: list | None, phrases: list | None, hashes: np.ndarray | None, places: np.ndarray | None, n: np.ndarray) -> Iterator[pa.RecordBatch]:
         size = len(n)
         for i in range(0, size, BATCH):
             part = slice(i, i + BATCH)
             count = len(n[part])
             h = pa.nulls(count, pa.int64()) if hashes is None else pa.array(hashes[part].view(np.int64))
             b = pa.nulls(count, pa.int64()) if places is None else pa.array(places[part].astype(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(langs[part], pa.string()), pa.array(phrases[part], pa.binary()), h, b, pa.array(n[part].astype(np.int64))], names)
+            named = pa.nulls(count, pa.string()) if langs is None else pa.array(langs[part], pa.string())
+            said = pa.nulls(count, pa.binary()) if phrases is None else pa.array(phrases[part], pa.binary())
+            yield pa.RecordBatch.from_arrays([named, said, h, b, pa.array(n[part].astype(np.int64))], names)
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally = np.zeros(buckets if k < longest else 0, np.int64)
         for block in blocks(batches, longest):
-            w, own, word = np.concatenate(block.runs), np.concatenate(block.owns), block.hashes()
-            word = word[w]
+            w, own, of_known = np.concatenate(block.runs), np.concatenate(block.owns), block.hashes()
+            word = of_known[w]
             hashed, whole = word, w > 0
             for j in range(2, k + 1):
                 before, hashed = hashed, longer(hashed, word, j)
@@ -166,11 +168,11 @@ def counted(k: int, longest: int, buckets: int, frequent: Callable[[], np.ndarra
             if k == 1:
                 n = np.bincount(w[places], minlength=len(block.known))
                 kinds = np.flatnonzero(n)
-                yield from rows([block.known[i][0] for i in kinds], [block.known[i][1] for i in kinds], block.hashes()[kinds], None, n[kinds])
+                yield from rows([block.known[i][0] for i in kinds], [block.known[i][1] for i in kinds], of_known[kinds], None, n[kinds])
                 total: dict[str, int] = {}
                 for i in kinds:
                     total[block.known[i][0]] = total.get(block.known[i][0], 0) + int(n[i])
-                yield from rows([*total], [None] * len(total), None, None, np.array([*total.values()]))
+                yield from rows([*total], None, None, None, np.array([*total.values()]))
             else:
                 first, n = distinct(hashed, places, w, k)
                 yield from rows([block.known[w[i]][0] for i in first], [b" ".join(block.known[x][1] for x in w[i : i + k]) for i in first], hashed[first], None, n)
@@ -179,7 +181,7 @@ def counted(k: int, longest: int, buckets: int, frequent: Callable[[], np.ndarra
                 both = passing[: len(following)] & passing[1 : len(following) + 1] & own[: len(following)]
                 tally += np.bincount((following[both] & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets)
         filled_ones = np.flatnonzero(tally)
-        yield from rows([None] * len(filled_ones), [None] * len(filled_ones), None, filled_ones, tally[filled_ones])
+        yield from rows(None, None, None, filled_ones, tally[filled_ones])
 
     return made
 
