@@ -14,13 +14,21 @@ def item_stats(events: DataFrame) -> DataFrame:
         F.count_distinct("visitorid").alias("unique_users"), F.count("event").alias("total_events"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"),
         count_event("view").alias("view_count"), count_event("addtocart").alias("addtocart_count"), count_event("transaction").alias("transaction_count"),
     )
+    return with_scores(found)
+
+
+def with_scores(found: DataFrame) -> DataFrame:
     views, carts, sales = (F.col(f"{e}_count") for e in ("view", "addtocart", "transaction"))
     return found.withColumns({"popularity_score": popularity(views, carts, sales), "conversion_rate": conversion_rate(views, sales)})
 
 
 def item_features(events: DataFrame, mapping: DataFrame) -> DataFrame:
     """`item_stats` with categories; an item with several has a row for each."""
-    return item_stats(events).join(mapping, "itemid", "left")
+    return with_categories(item_stats(events), mapping)
+
+
+def with_categories(stats: DataFrame, mapping: DataFrame) -> DataFrame:
+    return stats.join(mapping, "itemid", "left")
 
 
 def features_summary(features: DataFrame) -> DataFrame:

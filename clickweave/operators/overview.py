@@ -36,14 +36,20 @@ def value_counts(df: DataFrame, column: str, top: int | None = None) -> DataFram
 
 
 def conversion_funnel(events: DataFrame) -> DataFrame:
+    return funnel_rates(events.agg(count_event("view").alias("views"), count_event("addtocart").alias("carts"), count_event("transaction").alias("transactions")))
+
+
+def funnel_rates(counted: DataFrame) -> DataFrame:
     views, carts, sales = F.col("views"), F.col("carts"), F.col("transactions")
-    counted = events.agg(count_event("view").alias("views"), count_event("addtocart").alias("carts"), count_event("transaction").alias("transactions"))
     return counted.select("*", percent_or_zero(carts, views).alias("view_to_cart_rate"), percent_or_zero(sales, carts).alias("cart_to_transaction_rate"), percent_or_zero(sales, views).alias("view_to_transaction_rate"))
 
 
 def time_span(events: DataFrame) -> DataFrame:
     """first_ts, last_ts and whole days between them."""
-    ends = events.agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+    return span_days(events.agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")))
+
+
+def span_days(ends: DataFrame) -> DataFrame:
     return ends.select("*", F.floor(micros(F.col("first_ts"), F.col("last_ts")) / F.lit(MICROS_PER_DAY)).cast("bigint").alias("n_days"))
 
 
@@ -69,7 +75,11 @@ def concentration(events: DataFrame, fraction: float = 0.01) -> DataFrame:
 
     Items are folded into a histogram of their view counts, so nothing is sorted as a whole: a count is a bin, and bins are few.
     """
-    items = events.filter("event = 'view' AND itemid IS NOT NULL").groupBy("itemid").agg(F.count("*").alias("c"))
+    return concentration_of(events.filter("event = 'view' AND itemid IS NOT NULL").groupBy("itemid").agg(F.count("*").alias("c")), fraction)
+
+
+def concentration_of(items: DataFrame, fraction: float = 0.01) -> DataFrame:
+    """`concentration` of a row with its count `c` for each item."""
     bins = items.groupBy("c").agg(F.count("*").alias("k"))
     # bins are few: with n events, no more than the root of 2n
     every = Window.partitionBy()
@@ -84,5 +94,9 @@ def concentration(events: DataFrame, fraction: float = 0.01) -> DataFrame:
 
 def popularity_histogram(events: DataFrame, width: float = 0.1) -> DataFrame:
     """Items by the logarithm (base 10) of their number of events, in bins of `width`."""
-    items = events.filter("itemid IS NOT NULL").groupBy("itemid").agg(F.count("*").alias("c"))
+    return histogram_of(events.filter("itemid IS NOT NULL").groupBy("itemid").agg(F.count("*").alias("c")), width)
+
+
+def histogram_of(items: DataFrame, width: float = 0.1) -> DataFrame:
+    """`popularity_histogram` of a row with its count `c` for each item."""
     return items.groupBy(F.floor(F.log10("c") / F.lit(width)).cast("bigint").alias("bin")).agg(F.count("*").alias("n_items"))

@@ -40,5 +40,9 @@ def with_category(events: DataFrame, mapping: DataFrame) -> DataFrame:
 
 def category_event_counts(events: DataFrame, mapping: DataFrame) -> DataFrame:
     """Events of each category. Events are counted by item first, so the join's rows are items, not events."""
-    items = events.filter("itemid IS NOT NULL").groupBy("itemid").agg(F.count("*").alias("c"))
+    return category_counts(events.filter("itemid IS NOT NULL").groupBy("itemid").agg(F.count("*").alias("c")), mapping)
+
+
+def category_counts(items: DataFrame, mapping: DataFrame) -> DataFrame:
+    """`category_event_counts` of a row with its count `c` for each item."""
     return items.join(mapping.filter("categoryid IS NOT NULL"), "itemid").groupBy("categoryid").agg(F.sum("c").alias("n"))

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from clickweave.shared import discard, stored
+from clickweave.shared import counted, discard, stored
+
+from .graphs import longest_ways, reached
 
 
 def roots(tree: DataFrame) -> DataFrame:
@@ -15,18 +15,17 @@ def roots(tree: DataFrame) -> DataFrame:
 
 
 def root_depths(tree: DataFrame) -> DataFrame:
-    """root and depth: the longest way down from each root; a leaf root has 0.
+    """root and depth: the longest way down from each root; a leaf root has 0. Runs at once and gives a stored table.
 
     A node that repeats on its own path counts with its level and isn't walked on. Neither the depth nor the number of nodes is limited.
     """
-    return node_depths(tree).groupBy("root").agg(F.max("depth").alias("depth"))
-
-
-def node_depths(tree: DataFrame) -> DataFrame:
-    """node, root and depth of every node that a root reaches; a node that is reached in several ways has a row for each depth."""
     rows = stored(tree.filter("categoryid IS NOT NULL").select("categoryid", "parentid").distinct())
-    one_parent = rows.groupBy("categoryid").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
-    return depths_by_doubling(rows) if one_parent else depths_by_levels(rows)
+    if rows.groupBy("categoryid").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+        found = stored(depths_by_doubling(rows).groupBy("root").agg(F.max("depth").alias("depth")))
+    else:
+        found = longest_ways(roots(rows), edges(rows))
+    discard(rows)
+    return found
 
 
 def depths_by_doubling(rows: DataFrame) -> DataFrame:
@@ -34,33 +33,20 @@ def depths_by_doubling(rows: DataFrame) -> DataFrame:
 
     The rounds are the logarithm of the depth. Nodes that no root reaches, below a missing node or around a cycle, drop out.
     """
-    reached = rows.filter("parentid IS NULL").select(F.col("categoryid").alias("node"), F.col("categoryid").alias("root"), F.lit(0).alias("depth"))
-    below = stored(rows.filter("parentid IS NOT NULL").select(F.col("categoryid").alias("node"), F.col("parentid").alias("up"), F.lit(1).alias("steps")))
-    waiting = below.count()
+    done_so_far = rows.filter("parentid IS NULL").select(F.col("categoryid").alias("node"), F.col("categoryid").alias("root"), F.lit(0).alias("depth"))
+    below, waiting = counted(rows.filter("parentid IS NOT NULL").select(F.col("categoryid").alias("node"), F.col("parentid").alias("up"), F.lit(1).alias("steps")))
     while waiting:
-        above = reached.select(F.col("node").alias("up"), "root", F.col("depth").alias("more"))
+        above = done_so_far.select(F.col("node").alias("up"), "root", F.col("depth").alias("more"))
         done = stored(below.join(above, "up").select("node", "root", (F.col("steps") + F.col("more")).alias("depth")))
         leap = below.select(F.col("node").alias("up"), F.col("up").alias("next"), F.col("steps").alias("more"))
-        below, before = stored(below.join(leap, "up").select("node", F.col("next").alias("up"), (F.col("steps") + F.col("more")).alias("steps"))), below
-        reached, left = reached.unionByName(done), below.count()
+        before = below
+        below, left = counted(below.join(leap, "up").select("node", F.col("next").alias("up"), (F.col("steps") + F.col("more")).alias("steps")))
         discard(before)
+        done_so_far = done_so_far.unionByName(done)
         if left == waiting:  # only cycles don't get fewer
             break
         waiting = left
-    return reached
-
-
-def depths_by_levels(rows: DataFrame) -> DataFrame:
-    """For any graph: level by level, each way with the nodes on its path; a round for each level."""
-    edges = rows.filter("parentid IS NOT NULL").select(F.col("parentid").alias("node"), F.col("categoryid").alias("child"))
-    level = stored(rows.filter("parentid IS NULL").select(F.col("categoryid").alias("root"), F.col("categoryid").alias("node"), F.array("categoryid").alias("path")))
-    depths, depth = [level.select("node", "root", F.lit(0).alias("depth"))], 0
-    while not level.isEmpty():
-        depths.append(level.select("node", "root", F.lit(depth).alias("depth")).distinct())
-        again = F.array_contains("path", F.col("child"))
-        path = F.when(~again, F.array_append("path", F.col("child")))
-        level, depth = stored(level.filter("path IS NOT NULL").join(edges, "node").select("root", F.col("child").alias("node"), path.alias("path"))), depth + 1
-    return reduce(DataFrame.unionByName, depths[1:] or depths)
+    return done_so_far
 
 
 def tree_summary(tree: DataFrame) -> DataFrame:
@@ -106,9 +92,13 @@ def layout(tree: DataFrame, most: int = 200, kept: int = 150) -> DataFrame:
 
     y is the least depth below a root of the figure, x the place in its row, in the order of roots and nodes. Made for the few thousand nodes that a figure can show.
     """
-    links = stored(trimmed_edges(tree, most, kept))
-    tops = links.select("src").distinct().join(links.select(F.col("dst").alias("src")).distinct(), "src", "left_anti").select(F.col("src").alias("categoryid"), F.lit(None).cast("bigint").alias("parentid"))
-    forest = stored(links.select(F.col("dst").alias("categoryid"), F.col("src").alias("parentid")).unionByName(tops))
-    placed = node_depths(forest).groupBy("node").agg(F.min("depth").alias("y"), F.min("root").alias("root"))
-    row = Window.partitionBy("y").orderBy("root", "node")
-    return placed.select("node", F.row_number().over(row).alias("x"), "y").join(degrees(forest).select("node", "size", "labelled"), "node")
+    return layout_of(stored(trimmed_edges(tree, most, kept)))
+
+
+def layout_of(links: DataFrame) -> DataFrame:
+    """`layout` of given edges (src, dst), which are read several times."""
+    tops = links.select("src").distinct().join(links.select(F.col("dst").alias("src")).distinct(), "src", "left_anti")
+    placed = reached(tops.select(F.col("src").alias("node")), links.select("src", "dst"))
+    row = Window.partitionBy("level").orderBy("root", "node")
+    ends = links.select(F.col("dst").alias("categoryid"), F.col("src").alias("parentid"))
+    return placed.select("node", F.row_number().over(row).alias("x"), F.col("level").alias("y")).join(degrees(ends).select("node", "size", "labelled"), "node")

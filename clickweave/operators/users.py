@@ -6,8 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clickweave.functions.columns import MICROS_PER_DAY, count_event, is_outlier, micros, user_type
-from clickweave.shared import stored
-
 from .quantiles import exact_quantiles
 
 METRICS = ("total_events", "unique_items", "daily_avg_events")
@@ -31,7 +29,11 @@ def type_distribution(pivot: DataFrame) -> DataFrame:
 
 def category_preference(events: DataFrame, mapping: DataFrame) -> DataFrame:
     """interaction_count of each visitor and category; events are counted by visitor and item before the join."""
-    pairs = events.filter("visitorid IS NOT NULL AND itemid IS NOT NULL").groupBy("visitorid", "itemid").agg(F.count("*").alias("c"))
+    return pair_preference(events.filter("visitorid IS NOT NULL AND itemid IS NOT NULL").groupBy("visitorid", "itemid").agg(F.count("*").alias("c")), mapping)
+
+
+def pair_preference(pairs: DataFrame, mapping: DataFrame) -> DataFrame:
+    """`category_preference` of a row with its count `c` for each visitor and item."""
     return pairs.join(mapping.filter("categoryid IS NOT NULL"), "itemid").groupBy("visitorid", "categoryid").agg(F.sum("c").alias("interaction_count"))
 
 
@@ -48,6 +50,10 @@ def users_with_preference(preference: DataFrame) -> DataFrame:
 def activity(events: DataFrame) -> DataFrame:
     """Events, items, first and last time, days between and smoothed events a day, by visitor."""
     found = events.filter("visitorid IS NOT NULL").groupBy("visitorid").agg(F.count("event").alias("total_events"), F.count_distinct("itemid").alias("unique_items"), F.min("ts").alias("first_activity"), F.max("ts").alias("last_activity"))
+    return with_daily(found)
+
+
+def with_daily(found: DataFrame) -> DataFrame:
     found = found.withColumn("activity_days", micros(F.col("first_activity"), F.col("last_activity")) / F.lit(float(MICROS_PER_DAY)))
     return found.withColumn("daily_avg_events", F.col("total_events") / (F.col("activity_days") + 1))
 
@@ -55,9 +61,8 @@ def activity(events: DataFrame) -> DataFrame:
 def anomalies(stats: DataFrame, k: float = 1.5) -> DataFrame:
     """`stats` with an outlier flag for each metric, and their number as anomaly_score.
 
-    Quartiles interpolate linearly over all users; they are one row. `stats` is written once, as it is read for the quartiles and for the flags.
+    Quartiles interpolate linearly over all users; they are one row. `stats` is read for the quartiles and for the flags, so give it stored.
     """
-    stats = stored(stats)
     quartiles = exact_quantiles(stats, METRICS, (0.25, 0.75))
     flagged = stats.join(F.broadcast(quartiles), F.lit(True)).withColumns({f"{m}_outlier": F.coalesce(is_outlier(F.col(m), F.col(f"{m}_0"), F.col(f"{m}_1"), k), F.lit(False)) for m in METRICS})
     score = sum((F.col(f"{m}_outlier").cast("int") for m in METRICS[1:]), F.col(f"{METRICS[0]}_outlier").cast("int"))

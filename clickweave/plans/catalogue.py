@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clickweave.operators import items, overview, properties, sessions, tree, users
+from clickweave.shared import stored
 from clickweave.sources import tables
 from clickweave.sources.tables import category_tree, events, item_properties, purchases
 
@@ -27,8 +28,8 @@ def marked(spark: SparkSession, d: str, gap: float = sessions.GAP_MINUTES) -> Da
     return sessions.sessionized(events(spark, d), gap)
 
 
-def session_rows(spark: SparkSession, d: str, sequences: bool = False, gap: float = sessions.GAP_MINUTES) -> DataFrame:
-    return sessions.sessions(marked(spark, d, gap), sequences)
+def session_rows(spark: SparkSession, d: str, gap: float = sessions.GAP_MINUTES) -> DataFrame:
+    return sessions.sessions(marked(spark, d, gap))
 
 
 def preference(spark: SparkSession, d: str) -> DataFrame:
@@ -44,7 +45,7 @@ def dated_pivot(spark: SparkSession, d: str) -> DataFrame:
 
 
 def flagged(spark: SparkSession, d: str) -> DataFrame:
-    return users.anomalies(users.activity(purchases(spark, d)))
+    return users.anomalies(stored(users.activity(purchases(spark, d))))
 
 
 def shapes(spark: SparkSession, d: str) -> DataFrame:
@@ -58,8 +59,8 @@ def line_views(spark: SparkSession, d: str) -> DataFrame:
 
 
 def event_sequences(spark: SparkSession, d: str, gap: float = sessions.GAP_MINUTES) -> DataFrame:
-    """Sessions with their sequences as text, which any engine prints alike."""
-    found = session_rows(spark, d, True, gap)
+    """Sessions with their sequences as text, which any engine prints alike; a session of over 1,000 events has a row for each block."""
+    found = sessions.session_sequences(marked(spark, d, gap))
     return found.withColumns({"item_sequence": F.array_join(F.transform("item_sequence", lambda x: x.cast("string")), ","), "event_sequence": F.array_join("event_sequence", ",")})
 
 
@@ -72,7 +73,7 @@ def csv_events(spark: SparkSession, d: str) -> DataFrame:
 def csv_sessions(spark: SparkSession, d: str) -> DataFrame:
     """Sessions of events by way of CSV files."""
     rows = events(spark, d).select((F.unix_micros(F.col("ts").cast("timestamp")) / 1000).cast("bigint").alias("timestamp"), "visitorid", "event", "itemid")
-    return sessions.length_distribution(sessions.sessions(sessions.sessionized(tables.csv_events(spark, tables.csv_copy(rows))), False))
+    return sessions.length_distribution(sessions.sessions(sessions.sessionized(tables.csv_events(spark, tables.csv_copy(rows)))))
 
 
 def csv_properties(spark: SparkSession, d: str) -> DataFrame:
@@ -147,9 +148,9 @@ PLANS = {
     "session_summary": lambda s, d: sessions.summary(session_rows(s, d)),
     "session_pattern_distribution": lambda s, d: sessions.pattern_distribution(session_rows(s, d)),
     "session_length_distribution": lambda s, d: sessions.length_distribution(session_rows(s, d)),
-    "session_length_distribution_720": lambda s, d: sessions.length_distribution(session_rows(s, d, False, 720)),
+    "session_length_distribution_720": lambda s, d: sessions.length_distribution(session_rows(s, d, 720)),
     "conversion_by_session_length": lambda s, d: sessions.conversion_by_length(session_rows(s, d)),
-    "conversion_by_session_length_720": lambda s, d: sessions.conversion_by_length(session_rows(s, d, False, 720)),
+    "conversion_by_session_length_720": lambda s, d: sessions.conversion_by_length(session_rows(s, d, 720)),
     "item_transitions": lambda s, d: sessions.transitions(marked(s, d), None),
     "item_transitions_720": lambda s, d: sessions.transitions(marked(s, d, 720), None),
     "item_transitions_top": lambda s, d: sessions.transitions(marked(s, d)),

@@ -39,9 +39,10 @@ mk AS (SELECT *, CAST(sum(is_start::INT) OVER (PARTITION BY visitorid ORDER BY t
 ss AS (
   SELECT visitorid, session_id, min(ts) AS session_start, max(ts) AS session_end, count(*) AS event_count, count(DISTINCT itemid) AS unique_items,
     CASE WHEN bool_or(contains(event, 'transaction')) THEN 'conversion' WHEN bool_or(contains(event, 'addtocart')) THEN 'cart_only' ELSE 'view_only' END AS session_pattern,
-    round(date_diff('microsecond', min(ts), max(ts)) / 60000000.0::DOUBLE, 6) AS session_duration_minutes,
-    string_agg(CAST(itemid AS VARCHAR), ',' ORDER BY ts, event_id) AS item_sequence, string_agg(event, ',' ORDER BY ts, event_id) AS event_sequence
-  FROM mk GROUP BY visitorid, session_id)"""
+    round(date_diff('microsecond', min(ts), max(ts)) / 60000000.0::DOUBLE, 6) AS session_duration_minutes
+  FROM mk GROUP BY visitorid, session_id),
+ps AS (SELECT *, (row_number() OVER (PARTITION BY visitorid, session_id ORDER BY ts, event_id) - 1) // 1000 AS block FROM mk),
+sq AS (SELECT visitorid, session_id, block, string_agg(CAST(itemid AS VARCHAR), ',' ORDER BY ts, event_id) AS item_sequence, string_agg(event, ',' ORDER BY ts, event_id) AS event_sequence FROM ps GROUP BY ALL)"""
 
 
 def activity(source: str) -> str:
@@ -78,7 +79,7 @@ ORACLE_SQL = {
     "csv_unparsed_fields": "SELECT 'itemid' AS column_name, count(*) FILTER (try_cast(CAST(p_partkey AS VARCHAR) AS BIGINT) IS NULL) AS n FROM part UNION ALL SELECT 'value', count(*) FILTER (try_cast(p_brand AS BIGINT) IS NULL) FROM part",
     "unparsed_values": f"WITH {PROPERTIES} SELECT property, count(*) FILTER (value IS NOT NULL AND try_cast(value AS BIGINT) IS NULL) AS n FROM pr WHERE property IN ('categoryid', 'available') GROUP BY 1",
     "latest_category_mapping": f"WITH {PROPERTIES} SELECT itemid, arg_max(CAST(value AS BIGINT), length(value) * 1000000 + CAST(value AS BIGINT)) AS categoryid FROM pr WHERE property = 'categoryid' GROUP BY 1",
-    "session_sequence_blocks": f"WITH {EVENTS}, {marks(720)}, ps AS (SELECT *, (row_number() OVER (PARTITION BY visitorid, session_id ORDER BY ts, event_id) - 1) // 4 AS block FROM mk) SELECT visitorid, session_id, block, string_agg(CAST(itemid AS VARCHAR), ',' ORDER BY ts, event_id) AS items, string_agg(event, ',' ORDER BY ts, event_id) AS events FROM ps GROUP BY 1, 2, 3",
+    "session_sequence_blocks": f"WITH {EVENTS}, {marks(720)}, p4 AS (SELECT *, (row_number() OVER (PARTITION BY visitorid, session_id ORDER BY ts, event_id) - 1) // 4 AS block FROM mk) SELECT visitorid, session_id, block, string_agg(CAST(itemid AS VARCHAR), ',' ORDER BY ts, event_id) AS items, string_agg(event, ',' ORDER BY ts, event_id) AS events FROM p4 GROUP BY 1, 2, 3",
     "dataset_shapes": f"WITH {EVENTS}, {PROPERTIES}, {TREE} SELECT 'events' AS dataset, count(*) AS n_rows, 5::INTEGER AS n_columns, 'event_id,ts,visitorid,event,itemid' AS column_names FROM ev UNION ALL SELECT 'item_properties', count(*), 3, 'itemid,property,value' FROM pr UNION ALL SELECT 'category_tree', count(*), 2, 'categoryid,parentid' FROM tr",
     "events_sample": f"WITH {EVENTS} SELECT * FROM ev ORDER BY event_id LIMIT 5",
     "null_percentages": f"WITH {EVENTS} " + " UNION ALL ".join(f"SELECT '{c}' AS column_name, round(avg(({c} IS NULL)::INT) * 100, 6) AS null_pct FROM ev" for c in ("event_id", "ts", "visitorid", "event", "itemid")),
@@ -118,8 +119,8 @@ ORACLE_SQL = {
     "top_items_by_popularity": f"WITH {EVENTS}, {PROPERTIES}, {FEATURES} SELECT itemid, popularity_score, conversion_rate, categoryid FROM ft ORDER BY popularity_score DESC, itemid, categoryid LIMIT 20",
     "category_item_stats": f"WITH {EVENTS}, {PROPERTIES}, {FEATURES} {STATS}",
     "top_category_item_stats": f"WITH {EVENTS}, {PROPERTIES}, {FEATURES} {STATS} ORDER BY avg_popularity DESC, categoryid LIMIT 10",
-    "sessions": f"WITH {EVENTS}, {marks(30)} SELECT * FROM ss",
-    "sessions_120": f"WITH {EVENTS}, {marks(120)} SELECT * FROM ss",
+    "sessions": f"WITH {EVENTS}, {marks(30)} SELECT * FROM ss JOIN sq USING (visitorid, session_id)",
+    "sessions_120": f"WITH {EVENTS}, {marks(120)} SELECT * FROM ss JOIN sq USING (visitorid, session_id)",
     "session_summary": f"WITH {EVENTS}, {marks(30)} SELECT count(*) AS total_sessions, round(avg(event_count), 6) AS avg_session_length, round(avg(date_diff('microsecond', session_start, session_end) / 60000000.0::DOUBLE), 6) AS avg_session_duration, round(avg(unique_items), 6) AS avg_unique_items FROM ss",
     "session_pattern_distribution": f"WITH {EVENTS}, {marks(30)} SELECT session_pattern, n, round(n * 100.0::DOUBLE / sum(n) OVER (), 6) AS pct FROM (SELECT session_pattern, count(*) AS n FROM ss GROUP BY 1)",
     "session_length_distribution": f"WITH {EVENTS}, {marks(30)} SELECT event_count, count(*) AS n FROM ss GROUP BY 1",

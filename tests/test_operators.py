@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import os
+import random
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from clickweave import report
 from clickweave.operators import items, overview, properties, sessions, tree, users
 from clickweave.operators.quantiles import exact_quantiles
 from clickweave.plans import analyses
+from clickweave.shared import stored
 from clickweave.sources import tables
 from clickweave.streaming.sessions import stream_sessions
 
@@ -36,13 +40,39 @@ def test_a_gap_of_thirty_minutes_stays_and_one_millisecond_more_splits(spark):
 def test_sessions_run_over_midnight_and_number_on(spark):
     late = 12 * 60 - 10
     marked = sessions.sessionized(events(spark, [(0, 1, "view", 1), (late, 1, "addtocart", 2), (late + 20, 1, "x-transaction", 3), (late + 3000, 1, "view", 4), (0, 2, "view", 9), (0, None, "view", 9)]))
-    found = {(r.visitorid, r.session_id): r for r in sessions.sessions(marked).collect()}
+    found = {(r.visitorid, r.session_id): r for r in sessions.session_sequences(marked).collect()}
     assert {k: (r.event_count, r.session_pattern, r.item_sequence) for k, r in found.items()} == {(1, 1): (1, "view_only", [1]), (1, 2): (2, "conversion", [2, 3]), (1, 3): (1, "view_only", [4]), (2, 1): (1, "view_only", [9])}
     assert found[1, 2].session_duration_minutes == 20
     assert found[2, 1].session_duration_minutes == 0
     assert rows(sessions.transitions(marked)) == [{"from_item": 2, "to_item": 3, "n": 1}]
 
 
+def test_cuts_inside_sessions_of_one_visitor_change_nothing(spark):
+    rng = random.Random(7)
+    minutes, at = [], 0.0
+    for _ in range(900):  # one visitor and one day, so every cut but the last lies in it
+        minutes.append(at)
+        at += rng.choice([0, 0, 0.1, 0.5, 1, 31])
+    given = [(m / 10, 1, rng.choice(["view", "addtocart", "transaction"]), i % 40) for i, m in enumerate(minutes)] + [(i, v, "view", i) for v in (0, 2, 3) for i in (0, 5, 90)]
+    ev = events(spark, given)
+    want, before = [], {}
+    for r in sorted(ev.collect(), key=lambda r: (r.visitorid, r.ts, r.event_id)):
+        last = before.get(r.visitorid)
+        new = last is None or r.ts - last[0] > timedelta(minutes=3)
+        session, position = (1 if last is None else last[2] + 1, 1) if new else (last[2], last[3] + 1)
+        want.append((r.event_id, session, new, None if new else last[1], position))
+        before[r.visitorid] = (r.ts, r.itemid, session, position)
+    for ranges in (1, 4, 37):
+        dealt = stored(sessions.in_ranges(ev, ranges))
+        sizes = [r.n for r in dealt.groupBy("_range").count().withColumnRenamed("count", "n").collect()]
+        assert len(sizes) == ranges and max(sizes) < 3 * 909 / ranges
+        marked = sessions.numbered(dealt, 3)
+        assert sorted((r.event_id, r.session_id, r.is_start, r.prev_item, r.position) for r in marked.collect()) == sorted(want)
+    assert max(x[4] for x in want) > 20
+    plan = sessions.session_sequences(marked)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("collect_list") == 1 and "block" in plan  # the only lists are blocks
+
+
 def test_no_events(spark):
     none = events(spark, [])
     assert rows(sessions.sessions(sessions.sessionized(none))) == []
@@ -114,7 +144,7 @@ def test_csv_columns_are_found_by_name(spark, tmp_path):
     found = tables.csv_events(spark, str(tmp_path / "a.csv"), str(tmp_path / "b.csv"))
     assert [(r.visitorid, r.event, r.itemid) for r in found.orderBy("event_id").collect()] == [(1, "view", 7), (1, "transaction", 8), (1, "view", 9), (None, "view", None)]
     # ties of time go by the order of the files
-    assert [r.item_sequence for r in sessions.sessions(sessions.sessionized(found)).collect()] == [[7, 8, 9]]
+    assert [r.item_sequence for r in sessions.session_sequences(sessions.sessionized(found)).collect()] == [[7, 8, 9]]
     assert {r.column_name: r.n for r in tables.unparsed(spark, tables.EVENTS_CSV, str(tmp_path / "b.csv")).collect()} == {"timestamp": 0, "visitorid": 1, "event": 0, "itemid": 0}
     (tmp_path / "p.csv").write_text("timestamp,itemid,property,value\n1435460400000,460429,categoryid,1338\n1435460500000,460429,categoryid,12\n")
     assert [r.value for r in tables.csv_item_properties(spark, str(tmp_path / "p.csv")).collect()] == ["1338", "12"]
@@ -152,12 +182,90 @@ def test_positions_and_blocks_of_a_long_session(spark):
     assert found == {**{(1, b): list(range(64 * b, min(200, 64 * b + 64))) for b in range(4)}, (2, 0): [900, 901]}
 
 
-def test_a_full_run_and_its_report(spark, tmp_path):
-    ev = events(spark, [(i, i % 7, ("view", "view", "addtocart", "transaction")[i % 4], i % 5) for i in range(60)])
-    pr = spark.createDataFrame([(i, "categoryid", str(10 + i % 2)) for i in range(5)] + [(0, "available", "1"), (1, "available", "<b>")], "itemid long, property string, value string")
+def deepest_by_hand(rows):
+    """The depth of each root by walking every way, where a repeated node counts and ends the way."""
+    children = {}
+    for c, p in set(rows):
+        children.setdefault(p, set()).add(c)
+
+    def depth(node, way):
+        return 0 if node in way else max((1 + depth(c, way | {node}) for c in children.get(node, ())), default=0)
+
+    return {c: depth(c, frozenset()) for c, p in rows if p is None and c is not None}
+
+
+def test_depths_with_several_parents_and_cycles(spark):
+    rng = random.Random(11)
+    ladder = [(0, None), *[(x, p) for k in range(0, 24, 3) for x, p in ((k + 1, k), (k + 2, k), (k + 3, k + 1), (k + 3, k + 2))]]
+    odd = [(1, None), (1, 5), (2, 1), (5, 2), (5, 1), (7, 7), (7, 1), (9, 8), (8, 9), (None, 1), (30, 99), (8, 5), (40, None)]
+    graphs = [ladder, odd, *[[(0, None), (1, None), *[(rng.randrange(n), rng.randrange(n)) for _ in range(m)]] for n, m in ((7, 9), (9, 14))]]
+    for given in graphs:
+        found = tree.root_depths(spark.createDataFrame(given, "categoryid long, parentid long"))
+        assert {r.root: r.depth for r in found.collect()} == deepest_by_hand(given)
+
+
+CANONICAL = "itemid long, property string, value string"
+
+
+def small_tables(spark):
+    ev = events(spark, [(37 * i, i % 7, ("view", "view", "addtocart", "transaction")[i % 4], i % 5) for i in range(60)] + [(5, None, "view", 3), (6, 3, None, 2), (7, 3, "view", None)])
+    pr = spark.createDataFrame([(i, "categoryid", str(10 + i % 2)) for i in range(5)] + [(0, "available", "1"), (1, "available", "<b>"), (2, "categoryid", "x")], CANONICAL)
     tr = spark.createDataFrame([(10, 1), (11, 1), (1, None)], "categoryid long, parentid long")
+    return ev, pr, tr
+
+
+def test_a_run_shares_its_tables_and_agrees_with_the_operators(spark):
+    ev, pr, tr = small_tables(spark)
+    mapping = properties.category_mapping(pr)
+    features = items.item_features(ev, mapping)
+    marked = sessions.sessionized(ev)
+    found, flagged = sessions.sessions(marked), users.anomalies(stored(users.activity(ev)))
+    want = {
+        "null_percentages": overview.null_percentages(ev), "event_counts": overview.value_counts(ev, "event"), "conversion_funnel": overview.conversion_funnel(ev), "time_span": overview.time_span(ev),
+        "daily_average": overview.daily_average(ev), "events_per_hour": overview.per_period(ev, "hour"), "events_per_weekday": overview.per_period(ev, "dayofweek", "day_name"),
+        "visitors_and_items": overview.visitor_item_summary(ev), "top_items": overview.value_counts(ev, "itemid", 20), "concentration": overview.concentration(ev), "item_popularity_histogram": overview.popularity_histogram(ev),
+        "top_event_categories": properties.category_event_counts(ev, mapping), "user_types": users.with_type(users.event_pivot(ev)), "user_category_data": users.top_category(users.category_preference(ev, mapping)),
+        "item_features": features, "top_categories_by_popularity": items.category_stats(features, 10), "session_summary": sessions.summary(found), "session_patterns": sessions.pattern_distribution(found),
+        "conversion_by_length": sessions.conversion_by_length(found), "frequent_transitions": sessions.transitions(marked), "anomaly_summary": users.anomaly_summary(flagged), "top_anomalies": users.top_anomalies(flagged),
+        "unparsed_values": properties.unparsed_values(pr), "tree_summary": tree.tree_summary(tr), "graph_edges": tree.trimmed_edges(tr), "graph_nodes": tree.layout(tr),
+    }
+    jobs = lambda: len(spark.sparkContext.statusTracker().getJobIdsForGroup("run"))
+    spark.sparkContext.setJobGroup("run", "a full run")
+    try:
+        with analyses.run(ev, pr, tr) as results:
+            assert jobs() == 0 and set(want) <= set(results)
+            plain = lambda df: rows(df.select(*[F.round(c, 9).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes]))
+            for name, df in want.items():
+                assert plain(results[name].select(*df.columns)) == plain(df), name
+            before = jobs()
+            results["conversion_funnel"], results["session_summary"], results["item_features"]
+            assert jobs() == before  # all tables are there
+            # events, items and mapping are in buckets of items: the join by item shuffles nothing
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+            plan = results.bases.features()._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" in plan and "Exchange" not in plan
+            kept = [df.stored_at[0] for df in results.bases.made.values()]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert kept and not any(os.path.exists(f.removeprefix("file:")) for f in kept)
+
+
+def test_a_run_reads_its_files_twice_at_most(spark, tmp_path):
+    (tmp_path / "e.csv").write_text("timestamp,visitorid,event,itemid\n" + "".join(f"{1433221332117 + 60000 * i},{i % 5},view,{i % 3}\n" for i in range(50)))
+    ev, pr, tr = small_tables(spark)
+    with analyses.run(tables.csv_events(spark, str(tmp_path / "e.csv")), pr, tr) as results:
+        found = report.collected(results)
+        made = [n for n, df in results.bases.made.items() if "csv" in df._jdf.queryExecution().executedPlan().toString().lower()]
+        shown = [n for n in results if "csv" in results[n]._jdf.queryExecution().executedPlan().toString().lower()]
+    assert made == shown == []  # everything but the first table reads Parquet; that one reads the file once, and once for its ranges
+    assert found["visitors_and_items"] == [{"unique_visitors": 5, "total_events": 50, "unique_items": 3, "avg_events_per_visitor": 10.0}]
+
+
+def test_a_full_run_and_its_report(spark, tmp_path):
+    ev, pr, tr = small_tables(spark)
     found = report.collected(analyses.run(ev, pr, tr))
-    assert found["conversion_funnel"][0]["views"] == 30
+    assert found["conversion_funnel"][0]["views"] == 32
     assert found["tree_summary"][0]["max_depth"] == 1
     assert found["unparsed_values"] != []
     report.write(found, str(tmp_path))
