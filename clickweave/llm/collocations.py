@@ -11,7 +11,7 @@ bit set by chance costs a count and changes no result, as the exact counts decid
 exact count with Apriori pruning.
 
 Within a task, words are numbered by language and phrases are counted by NumPy in blocks of bounded size; what leaves a task is one row a distinct phrase
-and block and one a bucket, summed by Spark with map-side combination. A text of any length is cut into slices that overlap by the words a phrase can
+and block and one a bucket, summed by Spark. A text of any length is cut into slices that overlap by the words a phrase can
 reach, so no phrase is lost or counted twice.
 
 Scores use decimals of 38 digits: exact up to 10^17 words. A phrase inside a longer one of the same count is dropped; it is enough to look at
@@ -38,7 +38,7 @@ LEAST, LONGEST, TOP = 100, 5, 2000
 #: Buckets of a pass, and bits of the bitmap of frequent parts; powers of two.
 BUCKETS, PARTS = 1 << 22, 1 << 24
 #: Words, and distinct words, of a block; bytes of a slice of a text; rows of an Arrow batch.
-BLOCK_WORDS, BLOCK_DISTINCT, SLICE, BATCH = 1_000_000, 200_000, 1 << 20, 50_000
+BLOCK_WORDS, BLOCK_DISTINCT, SLICE, BATCH = 1_000_000, 150_000, 1 << 20, 50_000
 #: The bytes that part pieces, each as the byte that stands for them; a tabulator is a blank.
 END = b"\xff"
 PLAIN = bytes.maketrans(b".,;:!?\n\x0b\x0c\r\t", END * 10 + b" ")
@@ -205,7 +205,9 @@ def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", le
     passes, totals = [], None
     for k in range(1, longest + 1):
         made = counted(k, longest, buckets, lambda b=frequent: b.value, lambda b=filled: b.value)
-        sums = texts.mapInArrow(made, "lang string, phrase binary, h long, bucket long, n long").withColumn("phrase", F.col("phrase").cast("string")).groupBy("lang", "phrase", "h", "bucket").agg(F.sum("n").alias("n"))
+        sums = texts.mapInArrow(made, "lang string, phrase binary, h long, bucket long, n long").withColumn("phrase", F.col("phrase").cast("string"))
+        # a task's rows are mostly distinct already: dealt as they are, they are summed once, without a hash table on the sending side
+        sums = sums.repartition("lang", "phrase", "h", "bucket").groupBy("lang", "phrase", "h", "bucket").agg(F.sum("n").alias("n"))
         kept = stored(sums.filter((F.col("n") >= least) | F.col("h").isNull() & F.col("bucket").isNull()))
         if k == 1:
             totals = stored(kept.filter("phrase IS NULL AND bucket IS NULL").select("lang", "n"))
