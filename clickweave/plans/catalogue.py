@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from clickweave.operators import items, overview, properties, sessions, tree, users
 from clickweave.shared import stored
+from clickweave.shipping import ship
 from clickweave.sources import tables
 from clickweave.sources.tables import category_tree, events, item_properties, purchases
+from clickweave.streaming.stateful import ROCKSDB, stream_numbered
 
 from .oracle import ORACLE_SQL as ORACLE_SQL  # noqa: PLC0414
 
@@ -89,18 +91,48 @@ def csv_unparsed(spark: SparkSession, d: str) -> DataFrame:
     return tables.unparsed(spark, "itemid BIGINT, value BIGINT", tables.csv_copy(rows))
 
 
+def csv_rejected(spark: SparkSession, d: str) -> DataFrame:
+    """Faults of a CSV file of events in which every 97th time is out of range, every 89th item no number and every 83rd row too long."""
+    ms = (F.unix_micros(F.col("ts").cast("timestamp")) / 1000).cast("bigint")
+    every = lambda n: F.col("event_id") % n == 0
+    line = F.concat_ws(",", F.when(every(97), F.lit(2**63 - 1)).otherwise(ms), "visitorid", "event", F.when(every(89), "item").otherwise(F.col("itemid").cast("string")), F.when(every(83), "more"))
+    path = tables.scratch(spark, "csv")
+    # one column that holds whole lines, so that rows can be ragged
+    events(spark, d).select(line.alias("timestamp,visitorid,event,itemid")).write.option("header", True).option("sep", "\u0001").option("quote", "").csv(path)
+    return tables.rejected(spark, tables.EVENTS_CSV, path).groupBy("column_name", "field", "reason").agg(F.count("*").alias("n"))
+
+
 def latest_mapping(spark: SparkSession, d: str) -> DataFrame:
     """Of each item's categories, that of its last row; here the larger id is the later row."""
     rows = item_properties(spark, d).withColumn("timestamp", F.length("value"))
     return properties.category_mapping(rows, "timestamp")
 
 
+def streamed(spark: SparkSession, d: str) -> DataFrame:
+    """The events as a stream, with their sessions numbered by state; those of the last millisecond still wait when the stream ends."""
+    ship(spark)
+    kind = "spark.sql.streaming.stateStore.providerClass"
+    before, out = spark.conf.get(kind), tables.scratch(spark, "stream")
+    # the stream's source is a folder of files
+    source = tables.scratch(spark, "events")
+    events(spark, d).withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(source)
+    stream = spark.readStream.schema(spark.read.parquet(source).schema).parquet(source)
+    spark.conf.set(kind, ROCKSDB)
+    try:
+        query = stream_numbered(stream, delay="0 seconds").writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", tables.scratch(spark, "state")).trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.set(kind, before)
+    return spark.read.parquet(out).drop("ts")
+
+
 PLANS = {
     "csv_events": csv_events,
     "csv_session_lengths": csv_sessions,
     "csv_item_properties": csv_properties,
     "csv_category_tree": lambda s, d: tables.csv_category_tree(s, tables.csv_copy(category_tree(s, d).select("parentid", "categoryid"))),
     "csv_unparsed_fields": csv_unparsed,
+    "csv_rejected_records": csv_rejected,
     "unparsed_values": lambda s, d: properties.unparsed_values(item_properties(s, d)),
     "latest_category_mapping": latest_mapping,
     "session_sequence_blocks": lambda s, d: sessions.sequence_blocks(marked(s, d, 720), 4).select("visitorid", "session_id", "block", F.array_join(F.transform("items", lambda x: x.cast("string")), ",").alias("items"), F.array_join("events", ",").alias("events")),
@@ -151,6 +183,7 @@ PLANS = {
     "session_length_distribution_720": lambda s, d: sessions.length_distribution(session_rows(s, d, 720)),
     "conversion_by_session_length": lambda s, d: sessions.conversion_by_length(session_rows(s, d)),
     "conversion_by_session_length_720": lambda s, d: sessions.conversion_by_length(session_rows(s, d, 720)),
+    "streamed_sessions": streamed,
     "item_transitions": lambda s, d: sessions.transitions(marked(s, d), None),
     "item_transitions_720": lambda s, d: sessions.transitions(marked(s, d, 720), None),
     "item_transitions_top": lambda s, d: sessions.transitions(marked(s, d)),

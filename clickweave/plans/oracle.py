@@ -77,6 +77,7 @@ ORACLE_SQL = {
     "csv_item_properties": f"WITH {PROPERTIES} SELECT itemid, property, value FROM pr",
     "csv_category_tree": f"WITH {TREE} SELECT categoryid, parentid FROM tr",
     "csv_unparsed_fields": "SELECT 'itemid' AS column_name, count(*) FILTER (try_cast(CAST(p_partkey AS VARCHAR) AS BIGINT) IS NULL) AS n FROM part UNION ALL SELECT 'value', count(*) FILTER (try_cast(p_brand AS BIGINT) IS NULL) FROM part",
+    "csv_rejected_records": "SELECT 'timestamp' AS column_name, '9223372036854775807' AS field, 'out of range' AS reason, count(*) AS n FROM events WHERE event_id % 97 = 0 HAVING count(*) > 0 UNION ALL SELECT 'itemid', 'item', 'not bigint', count(*) FROM events WHERE event_id % 89 = 0 HAVING count(*) > 0 UNION ALL SELECT NULL, NULL, 'ragged', count(*) FROM events WHERE event_id % 83 = 0 HAVING count(*) > 0",
     "unparsed_values": f"WITH {PROPERTIES} SELECT property, count(*) FILTER (value IS NOT NULL AND try_cast(value AS BIGINT) IS NULL) AS n FROM pr WHERE property IN ('categoryid', 'available') GROUP BY 1",
     "latest_category_mapping": f"WITH {PROPERTIES} SELECT itemid, arg_max(CAST(value AS BIGINT), length(value) * 1000000 + CAST(value AS BIGINT)) AS categoryid FROM pr WHERE property = 'categoryid' GROUP BY 1",
     "session_sequence_blocks": f"WITH {EVENTS}, {marks(720)}, p4 AS (SELECT *, (row_number() OVER (PARTITION BY visitorid, session_id ORDER BY ts, event_id) - 1) // 4 AS block FROM mk) SELECT visitorid, session_id, block, string_agg(CAST(itemid AS VARCHAR), ',' ORDER BY ts, event_id) AS items, string_agg(event, ',' ORDER BY ts, event_id) AS events FROM p4 GROUP BY 1, 2, 3",
@@ -127,6 +128,7 @@ ORACLE_SQL = {
     "session_length_distribution_720": f"WITH {EVENTS}, {marks(720)} SELECT event_count, count(*) AS n FROM ss GROUP BY 1",
     "conversion_by_session_length": f"WITH {EVENTS}, {marks(30)} SELECT event_count AS session_length, round(avg((session_pattern = 'conversion')::INT) * 100, 6) AS conversion_rate FROM ss GROUP BY 1 ORDER BY 1 LIMIT 10",
     "conversion_by_session_length_720": f"WITH {EVENTS}, {marks(720)} SELECT event_count AS session_length, round(avg((session_pattern = 'conversion')::INT) * 100, 6) AS conversion_rate FROM ss GROUP BY 1 ORDER BY 1 LIMIT 10",
+    "streamed_sessions": f"WITH {EVENTS}, {marks(30)} SELECT visitorid, event_id, event, itemid, session_id, is_start, CASE WHEN NOT is_start THEN prev END AS prev_item, row_number() OVER (PARTITION BY visitorid, session_id ORDER BY ts, event_id) AS position FROM mk WHERE ts < (SELECT date_trunc('millisecond', max(ts)) FROM ev)",
     "item_transitions": f"WITH {EVENTS}, {marks(30)} SELECT prev AS from_item, itemid AS to_item, count(*) AS n FROM mk WHERE NOT is_start GROUP BY 1, 2",
     "item_transitions_720": f"WITH {EVENTS}, {marks(720)} SELECT prev AS from_item, itemid AS to_item, count(*) AS n FROM mk WHERE NOT is_start GROUP BY 1, 2",
     "item_transitions_top": f"WITH {EVENTS}, {marks(30)} SELECT prev AS from_item, itemid AS to_item, count(*) AS n FROM mk WHERE NOT is_start GROUP BY 1, 2 ORDER BY n DESC, from_item, to_item LIMIT 20",

@@ -20,14 +20,16 @@ PROPERTIES_CSV = "itemid BIGINT, property STRING, value STRING"
 TREE_CSV = "categoryid BIGINT, parentid BIGINT"
 #: The three event types that the analyses name; others pass through.
 EVENT_TYPES = ("view", "addtocart", "transaction")
+#: Milliseconds since 1970 of the first and the last moment of the years 1 to 9999; a `timestamp` beyond is rejected.
+FIRST_MS, LAST_MS = -62_135_596_800_000, 253_402_300_799_999
 #: Id ranges of the tree that is made of regions, nations and suppliers.
 REGION_ID, NATION_ID, SUPPLIER_ID = 1_000_000_000, 2_000_000_000, 3_000_000_000
 
 
 def from_epoch_ms(ms: Column | str) -> Column:
-    """Milliseconds since 1970 as a zone-free UTC timestamp."""
+    """Milliseconds since 1970 as a zone-free UTC timestamp; null outside the years 1 to 9999."""
     name = ms if isinstance(ms, str) else ms._jc.toString()
-    return F.expr(f"timestamp_ntz'1970-01-01 00:00:00' + make_dt_interval(0, 0, 0, CAST({name} / 1000BD AS DECIMAL(18, 6)))")
+    return F.expr(f"CASE WHEN {name} BETWEEN {FIRST_MS} AND {LAST_MS} THEN timestamp_ntz'1970-01-01 00:00:00' + make_dt_interval(0, 0, 0, CAST({name} / 1000BD AS DECIMAL(18, 6))) END")
 
 
 def by_name(spark: SparkSession, path: str, wanted: str) -> DataFrame:
@@ -45,9 +47,14 @@ def by_name(spark: SparkSession, path: str, wanted: str) -> DataFrame:
     return rows.select(*[f"`{n}`" for n in names], F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"))
 
 
+def accepted(field: StructField) -> Column:
+    """A field in its type: null if it doesn't parse or, for a `timestamp`, is out of range (see `unparsed` and `rejected`)."""
+    value = F.col(field.name).try_cast(field.dataType)
+    return F.when(value.between(FIRST_MS, LAST_MS), value) if field.name == "timestamp" else value
+
+
 def typed(rows: DataFrame, wanted: str) -> list[Column]:
-    """The columns in their types; what doesn't parse is null (see `unparsed`)."""
-    return [F.col(f.name).try_cast(f.dataType).alias(f.name) for f in StructType.fromDDL(wanted).fields]
+    return [accepted(f).alias(f.name) for f in StructType.fromDDL(wanted).fields]
 
 
 def csv_table(spark: SparkSession, paths: Sequence[str], wanted: str) -> DataFrame:
@@ -56,13 +63,35 @@ def csv_table(spark: SparkSession, paths: Sequence[str], wanted: str) -> DataFra
 
 
 def unparsed(spark: SparkSession, wanted: str, *paths: str) -> DataFrame:
-    """column_name and n of every wanted column: fields that aren't empty and don't parse, which the scans read as null."""
+    """column_name and n of every wanted column: fields that aren't empty and don't parse or are out of range, which the scans read as null."""
     kinds = StructType.fromDDL(wanted).fields
     rows = reduce(DataFrame.unionByName, [by_name(spark, p, wanted) for p in paths])
-    one = rows.agg(*[F.count_if(F.col(f.name).isNotNull() & F.col(f.name).try_cast(f.dataType).isNull()).alias(f.name) for f in kinds])
+    one = rows.agg(*[F.count_if(F.col(f.name).isNotNull() & accepted(f).isNull()).alias(f.name) for f in kinds])
     return one.select(F.explode(F.array(*[F.struct(F.lit(f.name).alias("column_name"), F.col(f.name).alias("n")) for f in kinds])).alias("x")).select("x.*")
 
 
+def rejected(spark: SparkSession, wanted: str, *paths: str) -> DataFrame:
+    """A row for each fault of the files: file, record (of a ragged row), column_name, field and reason.
+
+    Reasons: `not <type>` and `out of range`, for a field that the scans read as null; `ragged`, for a row with fewer or more fields than the
+    header, of which the scans take the fields that it has. One pass over the files; meant to be written beside the accepted rows.
+    """
+    kinds = StructType.fromDDL(wanted).fields
+    found = []
+    for path in paths:
+        read = spark.read.option("header", True).option("enforceSchema", False)
+        header = read.csv(path).columns
+        rows = read.option("columnNameOfCorruptRecord", "_bad").schema(StructType([StructField(n, StringType()) for n in (*header, "_bad")])).csv(path)
+        faults = [F.when(F.col("_bad").isNotNull(), F.struct(F.lit(None).cast("string").alias("column_name"), F.lit(None).cast("string").alias("field"), F.lit("ragged").alias("reason")))]
+        for f in kinds:
+            parsed = F.col(f.name).try_cast(f.dataType)
+            reason = F.when(parsed.isNull(), f"not {f.dataType.simpleString()}").otherwise("out of range")
+            faults.append(F.when(F.col(f.name).isNotNull() & accepted(f).isNull(), F.struct(F.lit(f.name).alias("column_name"), F.col(f.name).alias("field"), reason.alias("reason"))))
+        each = F.explode(F.filter(F.array(*faults), lambda x: x.isNotNull()))
+        found.append(rows.select(F.col("_metadata.file_path").alias("file"), F.col("_bad").alias("record"), each.alias("x")).select("file", "record", "x.*"))
+    return reduce(DataFrame.unionByName, found)
+
+
 def csv_events(spark: SparkSession, *paths: str) -> DataFrame:
     """Events of CSV files with a header; columns are found by name and further ones are ignored.
 

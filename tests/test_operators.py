@@ -304,3 +304,49 @@ def test_late_events_of_a_stream_are_dropped_and_closed_sessions_appended(spark,
     assert step() == {(1, 2, "conversion")}  # 60 + 30 minutes lie before the watermark of 95
     batch(1, [(10, 3, "view", 1), (125, 2, "addtocart", 1), (400, 4, "view", 1)])
     assert step() == {(1, 2, "conversion"), (2, 2, "cart_only")}  # visitor 3 came too late; visitor 4 is still open
+
+
+def test_a_stream_numbers_sessions_as_the_batch_over_batches_and_a_restart(spark, tmp_path):
+    from clickweave.streaming.stateful import ROCKSDB, stream_numbered
+
+    rng = random.Random(9)
+    given = sorted((round(rng.random() * 600, 2), rng.randrange(3), rng.choice(["view", "addtocart"]), rng.choice([None, 1, 2, 3])) for _ in range(90))
+    given += [(5000, 9, "view", 1)]  # takes the watermark past all others
+    ev = events(spark, given)
+    # of disorder up to the delay: rows come by time and up to nine minutes
+    arrival = sorted(ev.collect(), key=lambda r: (r.ts + timedelta(minutes=rng.random() * 9)))
+    (tmp_path / "in").mkdir()
+
+    def batch(k, rows_):
+        spark.createDataFrame([tuple(r) for r in rows_], EVENT).selectExpr("event_id", "CAST(ts AS timestamp) AS ts", "visitorid", "event", "itemid").coalesce(1).write.parquet(str(tmp_path / "in" / f"b{k}"))
+
+    def step():
+        stream = spark.readStream.schema("event_id long, ts timestamp, visitorid long, event string, itemid long").option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+        query = stream_numbered(stream, delay="10 minutes").writeStream.outputMode("append").format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        query.awaitTermination(240)
+        assert query.exception() is None
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    try:
+        for k in range(3):  # each start is a restart from the checkpoint
+            batch(k, arrival[31 * k : 31 * (k + 1)])
+            step()
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    found = {(r.event_id, r.visitorid, r.session_id, r.is_start, r.prev_item, r.position) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    want = {(r.event_id, r.visitorid, r.session_id, r.is_start, r.prev_item, r.position) for r in sessions.sessionized(ev).filter("visitorid < 9").collect()}
+    assert found == want and len(want) == 90
+
+
+def test_times_out_of_range_and_ragged_rows_are_rejected(spark, tmp_path):
+    (tmp_path / "e.csv").write_text("timestamp,visitorid,event,itemid\n1433221332117,1,view,7\n9223372036854775807,1,view,8\n253402300800000,2,view,9\n1433221332118,x,view,8,more\n1433221332119,3\n,4,view,1\n")
+    found = tables.csv_events(spark, str(tmp_path / "e.csv"))
+    assert [(r.ts is None, r.visitorid, r.itemid) for r in found.orderBy("event_id").collect()] == [(False, 1, 7), (True, 1, 8), (True, 2, 9), (False, None, 8), (False, 3, None), (True, 4, 1)]
+    assert sessions.sessions(sessions.sessionized(found)).count() == 2
+    faults = tables.rejected(spark, tables.EVENTS_CSV, str(tmp_path / "e.csv"))
+    assert sorted((r.record or "", r.column_name or "", r.field or "", r.reason) for r in faults.collect()) == sorted([
+        ("", "timestamp", "9223372036854775807", "out of range"), ("", "timestamp", "253402300800000", "out of range"), ("1433221332118,x,view,8,more", "visitorid", "x", "not bigint"),
+        ("1433221332118,x,view,8,more", "", "", "ragged"), ("1433221332119,3", "", "", "ragged"),
+    ])
+    assert {r.column_name: r.n for r in tables.unparsed(spark, tables.EVENTS_CSV, str(tmp_path / "e.csv")).collect()} == {"timestamp": 2, "visitorid": 1, "event": 0, "itemid": 0}
+    assert all(r.file.endswith("e.csv") for r in faults.collect())
