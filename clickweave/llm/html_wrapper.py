@@ -429,7 +429,8 @@ def main_text(html: str | None, wrapper: str | None) -> str:
     if wrapper:
         for known, mine in zip(wrapper_of(wrapper), blocks_of(fold(stream(found, own))), strict=False):
             decided(align(known, mine), template, outside)
-    wanted, left_out = (2, template) if any_main else (1, template | outside)
+    # what articles share, as headings that all of them have, is text of theirs: inside an article only the tags' and names' labels decide
+    wanted, left_out = (2, set()) if any_main else (1, template | outside)
     blocks: list[list[str]] = [[]]
     varied = [False]  # whether a block has a text of its own
     for i, (kind, x, _) in enumerate(found):

@@ -370,3 +370,10 @@ def test_url_rules_by_brute_force(spark):
         url_filter.judge_urls(pages, table.withColumn("verdict", F.lit("maybe")))
     assert url_filter.judge_urls(pages.limit(0), url_filter.RULES).count() == 0
     assert {x.verdict for x in url_filter.judge_urls(pages, []).collect()} == {"allow"}
+
+
+def test_headings_that_all_articles_of_a_host_share_stay(spark):
+    page = "<html><body><nav><a href='/'>Home</a></nav><article><h1>Dish {i}</h1><h2>Ingredients</h2><p>{i} eggs and flour {i}</p><h2>Method</h2><p>Stir it {i} times.</p></article><footer>Imprint</footer></body></html>"
+    df = spark.createDataFrame([(i, f"http://h.org/{i}", page.format(i=i)) for i in range(10)], "page_id long, url string, html string")
+    found = {r.page_id: r.text for r in html_wrapper.extract(df).collect()}
+    assert found == {i: f"Dish {i}\nIngredients\n{i} eggs and flour {i}\nMethod\nStir it {i} times." for i in range(10)}
