@@ -174,8 +174,8 @@ RESULTS: dict[str, Callable[[Bases], DataFrame]] = {
     "top_event_categories": lambda b: properties.category_counts(b.item_counts(), b.table("mapping")).orderBy(F.desc("n"), "categoryid").limit(20),
     "tree_summary": lambda b: tree.tree_summary(b.table("tree")),
     "top_parents": lambda b: tree.children_counts(b.table("tree"), 10),
-    "graph_edges": lambda b: b.table("graph"),
-    "graph_nodes": lambda b: b.table("layout"),
+    "graph_edges": lambda b: b.table("graph").orderBy("src", "dst"),
+    "graph_nodes": lambda b: b.table("layout").orderBy("y", "x"),
     "user_types": lambda b: users.with_type(b.pivot()),
     "user_type_distribution": lambda b: users.type_distribution(b.pivot()).orderBy(F.desc("n"), "user_type"),
     "user_category_data": lambda b: users.top_category(b.preference()),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickweave.operators import items, overview, properties, sessions, tree, users
+from clickweave.operators import increments, items, overview, properties, sessions, tree, users
 from clickweave.shared import stored
 from clickweave.shipping import ship
 from clickweave.sources import tables
@@ -126,6 +126,13 @@ def streamed(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(out).drop("ts")
 
 
+def item_visitors_of_days(spark: SparkSession, d: str) -> DataFrame:
+    """Visitors and events of each item from the states of days, written by day and read again."""
+    folder = tables.scratch(spark, "days")
+    increments.day_states(events(spark, d)).write.partitionBy("day").parquet(folder)
+    return increments.merged(spark.read.parquet(folder))
+
+
 PLANS = {
     "csv_events": csv_events,
     "csv_session_lengths": csv_sessions,
@@ -171,6 +178,7 @@ PLANS = {
     "user_top_category": lambda s, d: users.top_category(preference(s, d)),
     "users_with_category_preference": lambda s, d: users.users_with_preference(preference(s, d)),
     "item_features": features,
+    "item_visitors_of_days": item_visitors_of_days,
     "item_features_summary": lambda s, d: items.features_summary(features(s, d)),
     "top_items_by_popularity": lambda s, d: items.top_by_popularity(features(s, d)),
     "category_item_stats": lambda s, d: items.category_stats(features(s, d)),

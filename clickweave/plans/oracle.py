@@ -116,6 +116,7 @@ ORACLE_SQL = {
     "user_top_category": f"WITH {EVENTS}, {PROPERTIES}, {PAIRS} SELECT visitorid, categoryid, interaction_count FROM (SELECT *, row_number() OVER (PARTITION BY visitorid ORDER BY interaction_count DESC, categoryid) AS i FROM pf) WHERE i = 1",
     "users_with_category_preference": f"WITH {EVENTS}, {PROPERTIES}, {PAIRS} SELECT count(DISTINCT visitorid) AS n_users FROM pf",
     "item_features": f"WITH {EVENTS}, {PROPERTIES}, {FEATURES} SELECT * FROM ft",
+    "item_visitors_of_days": f"WITH {EVENTS} SELECT itemid, count(*) AS n_events, count(DISTINCT visitorid) AS n_distinct FROM ev WHERE itemid IS NOT NULL AND visitorid IS NOT NULL AND ts IS NOT NULL GROUP BY itemid",
     "item_features_summary": f"WITH {EVENTS}, {PROPERTIES}, {FEATURES} SELECT count(*) AS total_items_analyzed, count(categoryid) AS items_with_category FROM ft",
     "top_items_by_popularity": f"WITH {EVENTS}, {PROPERTIES}, {FEATURES} SELECT itemid, popularity_score, conversion_rate, categoryid FROM ft ORDER BY popularity_score DESC, itemid, categoryid LIMIT 20",
     "category_item_stats": f"WITH {EVENTS}, {PROPERTIES}, {FEATURES} {STATS}",

@@ -25,6 +25,8 @@ SECTIONS = {
     "Sessions": ["session_summary", "session_patterns", "conversion_by_length", "frequent_transitions"],
 }
 GRAPH = ("graph_nodes", "graph_edges")
+#: Under this name, `collected` lists the results that it cut.
+CUT = "left out"
 #: Results with a chart: the label's column and the value's.
 CHARTS = {
     "event_counts": ("event", "n"),
@@ -44,8 +46,15 @@ def records(df: DataFrame, most: int = MOST) -> list[dict]:
 
 def collected(results: Mapping[str, DataFrame], most: int = MOST) -> dict[str, list[dict]]:
     """Records of the results that the report shows."""
-    found = {name: records(results[name], most) for names in SECTIONS.values() for name in names if name in results}
-    return found | {name: records(results[name], MOST_OF_GRAPH) for name in GRAPH if name in results}
+    wanted = [*[(name, most) for names in SECTIONS.values() for name in names], *[(name, MOST_OF_GRAPH) for name in GRAPH]]
+    found = {name: records(results[name], n + 1) for name, n in wanted if name in results}
+    cut = [{"name": name, "rows": n} for name, n in wanted if len(found.get(name, ())) > n]
+    return {name: rows[: dict(wanted)[name]] for name, rows in found.items()} | {CUT: cut}
+
+
+def left_out(found: Mapping[str, list[dict]], name: str) -> str:
+    """What the report says where it doesn't show all rows of a result."""
+    return next((f"the first {x['rows']:,} rows; more aren't shown" for x in found.get(CUT, ()) if x["name"] == name), "")
 
 
 def shown(value: object) -> str:
@@ -72,6 +81,8 @@ def as_text(found: Mapping[str, list[dict]]) -> str:
             lines.append(f"\n{name.replace('_', ' ')}")
             rows = [list(found[name][0]), *map(cells, found[name])] if found[name] else [["no rows"]]
             widths = [max(len(r[i]) for r in rows) for i in range(len(rows[0]))]
+            if note := left_out(found, name):
+                lines.append(f"  ({note})")
             lines += ["  " + "  ".join(x.ljust(w) for x, w in zip(r, widths, strict=True)).rstrip() for r in rows]
         lines.append("")
     return "\n".join(lines)
@@ -109,9 +120,12 @@ def as_html(found: Mapping[str, list[dict]], at: datetime | None = None) -> str:
         parts.append(f"<h2>{escape(title)}</h2>")
         if title == "Category tree" and found.get("graph_nodes"):
             parts.append(graph(found["graph_nodes"], found.get("graph_edges", [])))
+            parts += [f"<p>{name.replace('_', ' ')}: {note}</p>" for name in GRAPH if (note := left_out(found, name))]
         for name in (n for n in names if n in found):
             rows = found[name]
             parts.append(f"<h3>{escape(name.replace('_', ' '))}</h3>")
+            if note := left_out(found, name):
+                parts.append(f"<p>{note}</p>")
             if name in CHARTS:
                 parts.append(chart(rows, *CHARTS[name]))
             if name == "conversion_funnel" and rows:

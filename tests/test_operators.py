@@ -4,16 +4,19 @@ from __future__ import annotations
 
 import os
 import random
+import subprocess
+import sys
 from datetime import datetime, timedelta
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
 from clickweave import report
-from clickweave.operators import items, overview, properties, sessions, tree, users
+from clickweave.operators import increments, items, overview, properties, sessions, tree, users
 from clickweave.operators.quantiles import exact_quantiles
 from clickweave.plans import analyses
-from clickweave.shared import stored
+from clickweave.shared import shared_folder, stored
 from clickweave.sources import tables
 from clickweave.streaming.sessions import stream_sessions
 
@@ -182,6 +185,24 @@ def test_positions_and_blocks_of_a_long_session(spark):
     assert found == {**{(1, b): list(range(64 * b, min(200, 64 * b + 64))) for b in range(4)}, (2, 0): [900, 901]}
 
 
+def test_states_of_days_merge_to_the_full_count(spark, tmp_path):
+    rng = random.Random(3)
+    ev = events(spark, [(rng.randrange(5 * 1440), rng.choice([0, 1, 32768, 32769, 70000, -5, None]), "view", rng.choice([1, 2, None])) for _ in range(300)])
+    want = {r.itemid: (r.n, r.d) for r in ev.filter("itemid IS NOT NULL AND visitorid IS NOT NULL").groupBy("itemid").agg(F.count("*").alias("n"), F.count_distinct("visitorid").alias("d")).collect()}
+    days = increments.day_states(ev)
+    for k in range(6):  # each day is written by itself, the first one twice
+        for mode in ("overwrite", "overwrite")[: 2 - (k > 0)]:
+            days.filter(F.col("day") == (T0 + timedelta(days=k)).date()).write.mode(mode).parquet(str(tmp_path / f"day={k}"))
+    read = spark.read.schema(days.drop("day").schema).parquet(*[str(tmp_path / f"day={k}") for k in range(6)])
+    assert {r.itemid: (r.n_events, r.n_distinct) for r in increments.merged(read).collect()} == want
+
+
+def test_the_report_says_what_it_leaves_out(spark):
+    found = report.collected({"event_counts": spark.range(30).selectExpr("id AS event", "id AS n"), "top_items": spark.range(3)}, most=20)
+    assert len(found["event_counts"]) == 20
+    assert report.as_text(found).count("the first 20 rows") == report.as_html(found).count("the first 20 rows") == 1
+
+
 def deepest_by_hand(rows):
     """The depth of each root by walking every way, where a repeated node counts and ends the way."""
     children = {}
@@ -350,3 +371,18 @@ def test_times_out_of_range_and_ragged_rows_are_rejected(spark, tmp_path):
     ])
     assert {r.column_name: r.n for r in tables.unparsed(spark, tables.EVENTS_CSV, str(tmp_path / "e.csv")).collect()} == {"timestamp": 2, "visitorid": 1, "event": 0, "itemid": 0}
     assert all(r.file.endswith("e.csv") for r in faults.collect())
+
+
+def test_a_cluster_needs_a_shared_folder():
+    def session(master):
+        none = SimpleNamespace(isEmpty=lambda: True)
+        return SimpleNamespace(sparkContext=SimpleNamespace(_jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: none)), getConf=lambda: {}, master=master))
+
+    for master in ("spark://host:7077", "yarn", "local-cluster[3,2,1024]"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            shared_folder(session(master))
+
+
+def test_the_entry_works_without_a_library_of_the_corpus_part():
+    code = "import sys; sys.modules['xxhash'] = None; import __spark_entry__ as e; assert 'sessions' in e.queries() and not [n for n in e.queries() if n.startswith('op')]; assert set(e.oracle_sql()) <= set(e.queries())"
+    assert subprocess.run([sys.executable, "-c", code], cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__)))).returncode == 0
