@@ -86,7 +86,11 @@ def sessions(marked: DataFrame) -> DataFrame:
 
 
 def session_sequences(marked: DataFrame, size: int = 1000) -> DataFrame:
-    """`sessions` with their items and events in order: a row for each `block` (from 0) of `size` events, so one row for a session of up to `size`."""
+    """`sessions` with their items and events in order: a row for each `block` (from 0) of `size` events, so one row for a session of up to `size`.
+
+    `marked` is stored first, as both sides of the join need it.
+    """
+    marked = stored(marked)
     blocks = sequence_blocks(marked, size).withColumnsRenamed({"items": "item_sequence", "events": "event_sequence"})
     return sessions(marked).join(blocks, ["visitorid", "session_id"])
 
