@@ -4,8 +4,8 @@ A page is a stream of tags and texts. Repeated stretches of the stream are folde
 pages are aligned one after the other, and what only some of them have becomes optional. The result is a union-free
 regular expression of tags, text slots, optional nodes and repeated groups: the host's wrapper. The wrapper decides in two ways:
 
-- A slot that has one and the same text on `LEAST_PAGES` different pages or more, and no other text on any page, is template, in an article
-  or not: a block of a page is left out if all its texts align with such slots. Near copies of one page don't make its text template:
+- A slot that has one and the same text on `LEAST_PAGES` different pages or more, and no other text on any page, is template: on a page without
+  article or main element, a block is left out if all its texts align with such slots. Inside an article it stays, as headings that all articles share do. Near copies of one page don't make its text template:
   pages count as different for a text only if their two longest other texts outside noise differ.
 - Slots gather the characters outside links that they have on all pages, template apart. The innermost container of the wrapper, outside
   repeated groups, that holds `SHARE` of these is the host's main part. On a page without article or main element, texts that align with slots outside
