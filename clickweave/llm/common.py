@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from clickweave.shared import discard, scratch, shared_folder, stored  # noqa: F401
 
-#: Rows that a kernel turns into one dense block; bounds a Python worker's memory.
-BLOCK = 128
+#: Rows, and code points unless one text alone has more, that a kernel turns into one dense block; bound a Python worker's memory.
+BLOCK, BLOCK_POINTS = 128, 1 << 22
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,22 +81,30 @@ def sampled(df: DataFrame, stratum: str, key: str, each: int, most: int = 1000)
     return df.filter(draw(F.col(key), "sample") < F.coalesce(F.try_element_at(share, F.col(stratum)), F.lit(0.0))), counts
 
 
-def within_bytes(sample: DataFrame, text: str, key: str, most: int = SAMPLE_BYTES) -> DataFrame:
-    """`sample`, thinned by a hash of `key` to about `most` bytes of text; texts longer than a 64th of that are left out."""
-    fitting = sample.filter(F.octet_length(text) <= most // 64)
-    size = fitting.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    return fitting if size <= most else fitting.filter(draw(F.col(key), "bytes") < most / size)
+def lines_of(text: str) -> Column:
+    return F.length(text) - F.length(F.replace(F.col(text), F.lit("\n"), F.lit(""))) + 1
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, text: str, label: str, key: str, each: int) -> tuple[pd.DataFrame, np.ndarray]:
+def within_bytes(sample: DataFrame, text: str, key: str, most: int = SAMPLE_BYTES, lines: int | None = None) -> DataFrame:
+    """`sample`, thinned by a hash of `key` to about `most` bytes of text and about `lines` lines; texts of over a 64th of either are left out."""
+    bounds = [(F.octet_length(text), most)] + ([(lines_of(text), lines)] if lines else [])
+    fitting = sample
+    for measure, bound in bounds:
+        fitting = fitting.filter(measure <= bound // 64)
+    sizes = fitting.agg(*[F.sum(measure) for measure, _ in bounds]).first()
+    share = min(bound / max(1, size or 0) for size, (_, bound) in zip(sizes, bounds, strict=True))
+    return fitting if share >= 1 else fitting.filter(draw(F.col(key), "bytes") < share)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, text: str, label: str, key: str, each: int, lines: int | None = None) -> tuple[pd.DataFrame, np.ndarray]:
     """Texts and 0/1 labels of about `each` rows of each label, and weights that stand for all labelled rows.
 
-    Labels are drawn first; what is broadcast to find their texts is as bounded as the sample, in rows and in bytes.
+    Labels are drawn first; what is broadcast to find their texts is as bounded as the sample, in rows, in bytes and, if given, in `lines`.
     """
     rows = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label")).filter("label IN (0, 1)")
     drawn, counts = sampled(rows, "label", "key", each)
     found = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(drawn), "key")
-    sample = within_bytes(found, "text", "key").select("text", "label").toPandas()
+    sample = within_bytes(found, "text", "key", lines=lines).select("text", "label").toPandas()
     weight = np.array([counts[k] / max(1, (sample["label"] == k).sum()) for k in sample["label"]])
     return sample, weight / weight.mean() if len(weight) else weight
 
@@ -107,11 +115,18 @@ def code_points(text: str) -> np.ndarray:
 
 
 def in_blocks(score: Callable[[list], pd.DataFrame], batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    """`score` over every Arrow batch, at most BLOCK texts at a time."""
+    """`score` over every Arrow batch, at most BLOCK texts and, but for a longer text alone, BLOCK_POINTS code points at a time."""
     for s in batches:
-        values = s.tolist()
-        parts = [score(values[i : i + BLOCK]) for i in range(0, len(values), BLOCK)]
-        yield pd.concat(parts, ignore_index=True) if parts else score([])
+        parts, block, held = [], [], 0
+        for text in s.tolist():
+            n = len(text or "")
+            if block and (len(block) == BLOCK or held + n > BLOCK_POINTS):
+                parts.append(score(block))
+                block, held = [], 0
+            block.append(text)
+            held += n
+        parts += [score(block)] if block or not parts else []
+        yield pd.concat(parts, ignore_index=True)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

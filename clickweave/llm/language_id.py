@@ -3,7 +3,9 @@
 The kernel of two texts is the number of distinct character n-grams (n = 1 to 3, of lower-cased letters and single
 blanks) that both have, over the geometric mean of their own numbers. Landmarks are training texts; a text's
 Nyström features are its kernel row to the landmarks times the landmarks' own kernel to the power -1/2. One ridge
-regression for each language is solved in closed form. Executors score a block of texts by two matrix products.
+regression for each language is solved in closed form. Executors score a block of texts by two matrix products. The kernel counts the
+`WIDTH` n-grams that most landmarks have (of fewer, all), while a text's own number is that of all its n-grams; so a model has at most
+`LANDMARKS` x `WIDTH` flags, whatever scripts its texts are in.
 
 A text of a language that wasn't learned has no margin near -1 or 1 by right, only by its few common n-grams: its best two margins lie
 close together, or its Nyström features are short. `identify` can reject such texts: a language claims a text if the lead of
@@ -34,6 +36,8 @@ from .common import Rows, code_points, in_blocks, sampled, table, within_bytes
 #: Bounds of the fit: training rows of each language, and landmarks of all.
 PER_LANGUAGE, LANDMARKS = 700, 192
 RIDGE, SPECTRUM = 1e-3, 3
+#: n-grams that the kernel counts, n-grams whose landmarks are counted at once, columns that are multiplied at once, and code points that are cut into n-grams at once.
+WIDTH, COUNTED, COLUMNS, CUT = 1 << 17, 1 << 22, 1 << 15, 1 << 20
 #: Share of a language's training rows that its least lead and length leave out, and what part of these a text must have.
 LOST, SLACK = 0.002, 0.75
 UNKNOWN = "und"
@@ -51,19 +55,44 @@ def grams(text: str | None) -> np.ndarray:
     if not letters("L")[points].any():
         return np.zeros(0, np.int64)
     is_letter = letters()[points]
-    points = np.concatenate([[32], np.where(is_letter, points, 32), [32]]).astype(np.int64)
+    edge = np.full(1, 32, np.uint32)
+    points = np.concatenate([edge, np.where(is_letter, points, edge), edge])
     blank = points == 32
     points = points[np.concatenate([[True], ~(blank[1:] & blank[:-1])])]
-    found, grown = [np.unique(points)], points
-    for n in range(1, SPECTRUM):
-        grown = (grown[:-1] << 21) | points[n:]
-        found.append(np.unique(grown))
-    return np.concatenate(found)  # longer n-grams are larger numbers, so this is sorted
+    found: list[list[np.ndarray]] = [[] for _ in range(SPECTRUM)]
+    for i in range(0, len(points), CUT):
+        piece = points[i : i + CUT + SPECTRUM - 1].astype(np.int64)  # n-grams over the cut are in the piece before it
+        grown = piece
+        found[0].append(np.unique(grown))
+        for n in range(1, SPECTRUM):
+            grown = (grown[:-1] << 21) | piece[n:]
+            found[n].append(np.unique(grown))
+    return np.concatenate([x[0] if len(x) == 1 else np.unique(np.concatenate(x)) for x in found])  # longer n-grams are larger numbers, so this is sorted
+
+
+def commonest(marks: list[np.ndarray], width: int) -> np.ndarray:
+    """The `width` n-grams that most landmarks have, ties to the smaller number, in order; counted by slices of them."""
+    slices = 1 + sum(map(len, marks)) // COUNTED
+    kept, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for k in range(slices):
+        some, n = np.unique(np.concatenate([g[g % slices == k] for g in marks]), return_counts=True)
+        kept, counts = np.concatenate([kept, some]), np.concatenate([counts, n])
+        if len(kept) > width:
+            best = np.lexsort((kept, -counts))[:width]
+            kept, counts = kept[best], counts[best]
+    return np.sort(kept)
+
+
+def places(vocabulary: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    """Where in the vocabulary those of the n-grams are that it has."""
+    at = np.searchsorted(vocabulary, grams)
+    at[at == len(vocabulary)] = 0
+    return at[vocabulary[at] == grams]
 
 
 @dataclass
 class Kernel:
-    """Landmark n-grams, landmark presence rows, their norms, and the matrix from kernel rows to language margins.
+    """The kernel's n-grams, landmarks' presence rows, their norms, and the matrix from kernel rows to language margins.
 
     `whiten` leads from kernel rows to Nyström features; `leads` and `lengths` are the least of each language's own texts.
     """
@@ -79,13 +108,16 @@ class Kernel:
 
     def rows(self, texts: list[np.ndarray]) -> np.ndarray:
         """Kernel of each text to each landmark."""
-        phi = np.zeros((len(texts), len(self.vocabulary)), np.float32)
-        for row, g in zip(phi, texts, strict=True):
-            at = np.searchsorted(self.vocabulary, g)
-            at[at == len(self.vocabulary)] = 0
-            row[at[self.vocabulary[at] == g]] = 1
+        at = [places(self.vocabulary, g) for g in texts]
+        common = np.zeros((len(texts), len(self.presence)), np.float32)  # whole numbers, so exact in any order
+        for start in range(0, len(self.vocabulary), COLUMNS):
+            marks = self.presence[:, start : start + COLUMNS].astype(np.float32)
+            phi = np.zeros((len(texts), marks.shape[1]), np.float32)
+            for row, p in zip(phi, at, strict=True):
+                row[p[np.searchsorted(p, start) : np.searchsorted(p, start + COLUMNS)] - start] = 1
+            common += phi @ marks.T
         sizes = np.array([max(1, len(g)) for g in texts])
-        return (phi @ self.presence.T) / np.sqrt(np.outer(sizes, self.norms))
+        return common / np.sqrt(np.outer(sizes, self.norms))
 
     def score(self, texts: list, reject: bool = False) -> pd.DataFrame:
         found = [grams(t) for t in texts]
@@ -109,27 +141,28 @@ def lead(margins: np.ndarray) -> np.ndarray:
     return two[:, -1] - two[:, -2]
 
 
-def fit(sample: pd.DataFrame, text: str, label: str, landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Kernel:
-    """The classifier of a bounded sample; repeated texts count once."""
+def fit(sample: pd.DataFrame, text: str, label: str, landmarks: int = LANDMARKS, ridge: float = RIDGE, width: int = WIDTH) -> Kernel:
+    """The classifier of a bounded sample; repeated texts count once. Only the landmarks' n-grams are held together."""
     sample = sample.dropna(subset=[label]).drop_duplicates([text, label])
-    sample = sample.assign(_grams=[grams(t) for t in sample[text]])
-    sample = sample[sample._grams.map(len) > 0].sort_values([label, text], kind="stable").reset_index(drop=True)
+    sample = sample.assign(n=[len(grams(t)) for t in sample[text]])
+    sample = sample[sample.n > 0].sort_values([label, text], kind="stable").reset_index(drop=True)
     languages = sorted(sample[label].unique())
     if not languages:
-        return Kernel(np.zeros(1, np.int64), np.zeros((1, 1), np.float32), np.ones(1), np.zeros((1, 0)), [])
+        return Kernel(np.zeros(1, np.int64), np.zeros((1, 1), bool), np.ones(1), np.zeros((1, 0)), [])
     each = max(1, landmarks // len(languages))
     # spread over the text lengths, so that short texts have landmarks of their kind
-    chosen = pd.concat([part.assign(n=part._grams.map(len)).sort_values("n", kind="stable")._grams.iloc[np.unique(np.linspace(0, len(part) - 1, each).astype(int))] for _, part in sample.groupby(label, sort=True)])
-    marks = chosen.tolist()
-    vocabulary = np.unique(np.concatenate(marks))
-    presence = np.zeros((len(marks), len(vocabulary)), np.float32)
+    chosen = pd.concat([part.sort_values("n", kind="stable")[text].iloc[np.unique(np.linspace(0, len(part) - 1, each).astype(int))] for _, part in sample.groupby(label, sort=True)])
+    marks = [grams(t) for t in chosen]
+    vocabulary = commonest(marks, width)
+    presence = np.zeros((len(marks), len(vocabulary)), bool)
     for row, g in zip(presence, marks, strict=True):
-        row[np.searchsorted(vocabulary, g)] = 1
+        row[places(vocabulary, g)] = True
     kernel = Kernel(vocabulary, presence, np.array([len(g) for g in marks], float), np.zeros((len(marks), 0)), languages)
     values, vectors = np.linalg.eigh(kernel.rows(marks).astype(float))
     kept = values > 1e-6 * values.max()
     whiten = vectors[:, kept] / np.sqrt(values[kept])
-    rows = np.concatenate([kernel.rows(list(sample._grams.iloc[i : i + 256])) for i in range(0, len(sample), 256)])
+    del marks
+    rows = np.concatenate([kernel.rows([grams(t) for t in sample[text].iloc[i : i + 32]]) for i in range(0, len(sample), 32)])
     z = rows @ whiten
     given = sample[label].to_numpy()
     sides = np.stack([np.where(given == x, 1.0, -1.0) for x in languages], 1)

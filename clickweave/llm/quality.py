@@ -7,9 +7,12 @@ Labels are known for whole documents only, so the fit starts with the document's
 the lines of bad documents that look good to the first model be good and fits again; last, a logistic curve maps quality to the label's
 probability.
 
+Chains are worked through in blocks: products of 2 x 2 matrices of each block, then a pass over the blocks, then all blocks side by side, so a
+text of a million lines takes as many Python steps as the root of that. Features are made for `LINES` lines at a time.
+
 Defined results: a document without text is one empty line; every text gets a score, of 0 to 1; repeated rows give repeated rows; an
-empty table gives an empty table; columns of any other names pass. Fitting takes about `PER_CLASS` rows of each label and `SAMPLE_BYTES`
-of text; scoring takes every row and whole texts. Without both labels, all get the smoothed rate of the label.
+empty table gives an empty table; columns of any other names pass. Fitting takes about `PER_CLASS` rows of each label, `SAMPLE_BYTES`
+of text and `FIT_LINES` lines; scoring takes every row and whole texts. Without both labels, all get the smoothed rate of the label.
 """
 
 from __future__ import annotations
@@ -28,8 +31,10 @@ from .common import Rows, code_points, in_blocks, labelled_sample, table
 from .language_id import letters
 from .toxicity import sigmoid
 
-#: Bound of the fit: rows of each label.
-PER_CLASS = 1500
+#: Bounds of the fit: rows of each label, and lines.
+PER_CLASS, FIT_LINES = 1500, 1 << 18
+#: Lines whose features are made at once.
+LINES = 1 << 15
 #: A line's own features; with those of its two neighbours and their absence, a row has OWN * 3 + 3 columns.
 OWN = 13
 
@@ -44,30 +49,36 @@ def kinds() -> np.ndarray:
     return out
 
 
-def line_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Features of each line, and the lines' lengths (at least 1)."""
-    points = code_points(text or "")
+def own_features(text: str | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Features of the lines themselves, and the lines' lengths, for `LINES` lines at a time."""
+    lines = (text or "").split("\n")
+    seen: set[str] = set()
+    for at in range(0, len(lines), LINES):
+        some = lines[at : at + LINES]
+        again = np.array([(x in seen or seen.add(x) or False) and bool(x) for x in some], float)
+        yield features_of(some, again)
+
+
+def features_of(lines: list[str], again: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    points = code_points("\n".join(lines) + "\n")
     kind = kinds()[np.minimum(points, 0x2FFF)]
     kind[points > 0x2FFF] = 1
-    cut = np.flatnonzero(points == 10)
-    starts, ends = np.concatenate([[0], cut + 1]), np.concatenate([cut, [len(points)]])
+    ends = np.flatnonzero(points == 10)
+    starts = np.concatenate([[0], ends[:-1] + 1])
     length = (ends - starts).astype(float)
 
     def count(flags: np.ndarray) -> np.ndarray:
-        total = np.concatenate([[0], np.cumsum(flags, dtype=np.int64)])
-        return (total[ends] - total[starts]).astype(float)
+        # each line with its break, which has none of the flags
+        return np.add.reduceat(flags, starts, dtype=np.int64).astype(float)
 
     blank = (kind & 8) > 0
-    first = ~blank & np.concatenate([[True], blank[:-1]])[: len(blank)]
-    last = ~blank & np.concatenate([blank[1:], [True]])[: len(blank)]
+    first = ~blank & np.concatenate([[True], blank[:-1]])
+    last = ~blank & np.concatenate([blank[1:], [True]])
     words, some = np.maximum(1, count(first)), np.maximum(1, length)
-    is_letter = np.maximum(1, count(kind & 1))
-    lines = (text or "").split("\n")
-    seen: set[str] = set()
-    again = np.array([(x in seen or seen.add(x) or False) and bool(x) for x in lines], float)
-    split = [x.split() for x in lines]
-    echo = np.array([sum(map(operator.eq, w, w[1:])) for w in split], float)
-    x = np.stack([
+    is_letter = np.maximum(1, count((kind & 1) > 0))
+    # words that follow themselves; none where all are different
+    echo = np.array([0 if len(set(w)) == len(w) else sum(map(operator.eq, w, w[1:])) for w in map(str.split, lines)], float)
+    return np.stack([
         count((kind & 1) > 0) / some,
         count((kind & 2) > 0) / is_letter,
         count((kind & 4) > 0) / some,
@@ -81,12 +92,30 @@ def line_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
         again,
         echo / words * 3,
         np.abs(np.minimum(2, length / words / 8) - 0.75),
-    ], 1)
+    ], 1), some
+
+
+def line_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """All columns of each line, as the fit takes them, and the lines' lengths (at least 1)."""
+    parts = list(own_features(text))
+    x, length = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
     edge = np.zeros((1, OWN))
     before, after = np.concatenate([edge, x[:-1]]), np.concatenate([x[1:], edge])
     ends_of = np.zeros((len(x), 2))
     ends_of[0, 0], ends_of[-1, 1] = 1, 1
-    return np.concatenate([np.ones((len(x), 1)), ends_of, x, before, after], 1), np.maximum(1, length)
+    return np.concatenate([np.ones((len(x), 1)), ends_of, x, before, after], 1), length
+
+
+def line_scores(text: str | None, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``line_features(text)[0] @ weights`` and the lengths, without the columns of all lines at once."""
+    parts = [(x @ weights[3:].reshape(3, OWN).T, length) for x, length in own_features(text)]
+    own, length = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    scores = weights[0] + own[:, 0]
+    scores[0] += weights[1]
+    scores[-1] += weights[2]
+    scores[1:] += own[:-1, 1]
+    scores[:-1] += own[1:, 2]
+    return scores, length
 
 
 @dataclass
@@ -100,47 +129,64 @@ class Chain:
     def score(self, texts: list) -> pd.DataFrame:
         if not texts:
             return pd.DataFrame({"score": np.zeros(0), "quality": np.zeros(0)})
-        docs = [line_features(t) for t in texts]
-        good, _, _ = marginals([d[0] @ self.weights for d in docs], self.links)
-        quality = np.array([np.average(g, weights=d[1]) for g, d in zip(good, docs, strict=True)])
+        docs = [line_scores(t, self.weights) for t in texts]
+        good, _, _ = marginals([d[0] for d in docs], self.links)
+        quality = np.round([np.average(g, weights=d[1]) for g, d in zip(good, docs, strict=True)], 9)  # alike in every block of texts
         return pd.DataFrame({"score": sigmoid(self.curve[0] * quality + self.curve[1]), "quality": quality})
 
 
 def marginals(scores: list[np.ndarray], links: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, float]:
     """P(good) of each line, expected transition counts, and the sum of log partition functions.
 
-    Chains are worked through together, longest first, so that at each step those that still run are a prefix.
+    All chains are one: the first line of each has a transition of zeros, which forgets what is before it. A step is a 2 x 2 matrix of
+    positive numbers, scaled to a largest of 1; `step[i, j]` holds an entry of all of them, blocks as columns.
     """
-    order = sorted(range(len(scores)), key=lambda i: -len(scores[i]))
-    sizes = np.array([len(scores[i]) for i in order])
-    offset = np.concatenate([[0], np.cumsum(sizes)])
-    u = np.zeros((offset[-1], 2))
-    u[:, 1] = np.concatenate([scores[i] for i in order])
-    at = lambda t, n: offset[:n] + t
-    running = [int((sizes > t).sum()) for t in range(sizes[0])]
-    alpha, beta = np.zeros_like(u), np.zeros_like(u)
-    alpha[at(0, running[0])] = u[at(0, running[0])]
-    for t in range(1, sizes[0]):
-        n = running[t]
-        a = alpha[at(t - 1, n)]
-        alpha[at(t, n)] = np.logaddexp(a[:, :1] + links[0], a[:, 1:] + links[1]) + u[at(t, n)]
-    for t in range(sizes[0] - 2, -1, -1):
-        n = running[t + 1]
-        b = beta[at(t + 1, n)] + u[at(t + 1, n)]
-        beta[at(t, n)] = np.logaddexp(b[:, :1] + links[:, 0], b[:, 1:] + links[:, 1])
-    ends = alpha[offset[1:] - 1]
-    log_z = np.logaddexp(ends[:, 0], ends[:, 1])
-    owner = np.repeat(np.arange(len(order)), sizes)
-    good = np.exp(np.minimum(0, alpha[:, 1] + beta[:, 1] - log_z[owner]))
-    inner = np.ones(len(u), bool)
-    inner[offset[:-1]] = False
+    sizes = np.array([len(s) for s in scores])
+    firsts = np.concatenate([[0], np.cumsum(sizes)])
+    u, n = np.concatenate(scores), int(firsts[-1])
+    width = max(1, int(np.sqrt(n)))  # lines of a block
+    blocks = -(-n // width)
+    log = np.zeros((2, 2, blocks * width))
+    log[:, :, :n] = links[:, :, None]
+    log[:, :, firsts[:-1]] = 0
+    log[:, 1, :n] += u
+    top = log.max((0, 1))
+    step = np.exp(log - top)
+    step[:, :, n:] = np.eye(2)[:, :, None]
+    step = np.ascontiguousarray(step.reshape(2, 2, blocks, width).transpose(3, 0, 1, 2))  # line of the block, from, to, block
+
+    whole = np.repeat(np.eye(2)[:, :, None], blocks, 2)
+    for s in step:
+        whole = whole[:, :1] * s[0] + whole[:, 1:] * s[1]
+        whole /= whole.max((0, 1))
+    ahead, behind = np.full((2, blocks), 0.5), np.ones((2, blocks))
+    for k in range(1, blocks):
+        v = ahead[:, k - 1] @ whole[:, :, k - 1]
+        ahead[:, k] = v / v.sum()
+    for k in range(blocks - 2, -1, -1):
+        v = whole[:, :, k + 1] @ behind[:, k + 1]
+        behind[:, k] = v / v.max()
+
+    alpha, beta, scale = np.empty((width, 2, blocks)), np.empty((width, 2, blocks)), np.empty((width, blocks))
+    for t, s in enumerate(step):
+        ahead = ahead[0] * s[0] + ahead[1] * s[1]
+        scale[t] = ahead.sum(0)
+        ahead /= scale[t]
+        alpha[t] = ahead
+    for t in range(width - 1, -1, -1):
+        beta[t] = behind
+        behind = step[t][:, 0] * behind[0] + step[t][:, 1] * behind[1]
+        behind /= behind.max(0)
+
+    flat = lambda x: x.transpose(1, 2, 0).reshape(2, -1)[:, :n]
+    alpha, beta = flat(alpha), flat(beta)
+    both = alpha * beta
+    good = both[1] / both.sum(0)
+    inner = np.ones(n, bool)
+    inner[firsts[:-1]] = False
     here = np.flatnonzero(inner)
-    b = beta[here] + u[here]
-    pairs = np.array([[np.exp(alpha[here - 1, i] + links[i, j] + b[:, j] - log_z[owner[here]]).sum() for j in (0, 1)] for i in (0, 1)]) if len(here) else np.zeros((2, 2))
-    out: list = [None] * len(order)
-    for k, i in enumerate(order):
-        out[i] = good[offset[k] : offset[k + 1]]
-    return out, pairs, float(log_z.sum())
+    pair = alpha[:, None, here - 1] * np.exp(log[:, :, here] - top[here]) * beta[None, :, here]
+    return np.split(good, firsts[1:-1]), (pair / pair.sum((0, 1))).sum(2), float(np.log(scale.T.reshape(-1)[:n]).sum() + top[:n].sum())
 
 
 def fit_lines(docs: list[np.ndarray], lines: list[np.ndarray], steps: int = 60, decay: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
@@ -189,7 +235,7 @@ def fit(texts: list, labels: np.ndarray, weight: np.ndarray) -> Chain:
 
 
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "quality", key: str = "doc_id", each: int = PER_CLASS) -> Chain:
-    sample, weight = labelled_sample(docs, labels, text, label, key, each)
+    sample, weight = labelled_sample(docs, labels, text, label, key, each, FIT_LINES)
     return fit(sample["text"].tolist(), sample["label"].to_numpy(float), weight)
 
 

@@ -6,6 +6,7 @@ import itertools
 import os
 import random
 import re
+import time
 import unicodedata
 from html import unescape
 
@@ -90,6 +91,42 @@ def test_a_document_has_the_length_weighted_mean_of_its_lines():
         assert chain.score([text]).score[0] == pytest.approx(1 / (1 + np.exp(-(2.0 * mean - 0.5))))
 
 
+def test_a_million_lines_are_scored_in_blocks(monkeypatch):
+    r = np.random.default_rng(5)
+    chain = quality.Chain(r.normal(size=3 + 3 * quality.OWN) / 3, r.normal(size=(2, 2)), (2.0, -0.5))
+    texts = ["a || b\n" * 70 + "12 | 13\n\nHello World World.", "", None, "\n", "漢字 x\x85y z\n" * 9]
+    whole = chain.score(texts)
+    for text in texts:
+        features, lengths = quality.line_features(text)
+        scores, again = quality.line_scores(text, chain.weights)
+        assert np.allclose(features @ chain.weights, scores) and list(lengths) == list(again)
+    monkeypatch.setattr(quality, "LINES", 4)
+    assert np.allclose(chain.score(texts).score, whole.score) and np.allclose([chain.score([t]).score[0] for t in texts], whole.score)
+    monkeypatch.undo()
+    began = time.process_time()
+    assert 0 < chain.score(["".join(f"line {i % 1000} here\n" for i in range(1_000_000))]).score[0] < 1
+    assert time.process_time() - began < 20
+
+
+def test_the_language_fit_has_a_bound_for_any_script():
+    r = np.random.default_rng(6)
+    texts = ["".join(map(chr, r.integers(0x4E00, 0x9F00, 4000))) for _ in range(24)]
+    pdf = pd.DataFrame({"t": texts, "l": ["a", "b"] * 12})
+    model = language_id.fit(pdf, "t", "l", width=5000)
+    assert model.presence.shape == (24, 5000) and list(model.score(texts).lang) == list(pdf.l)
+    marks = [language_id.grams(t) for t in texts]
+    found, n = np.unique(np.concatenate(marks), return_counts=True)
+    assert list(model.vocabulary) == sorted(found[np.lexsort((found, -n))[:5000]])
+
+
+def test_n_grams_of_pieces_are_those_of_the_whole(monkeypatch):
+    text = "Der schnelle  Fuchs, 12 日本語の本 springt über den Hund. " * 5
+    whole = language_id.grams(text)
+    for cut in (1, 2, 3, 7):
+        monkeypatch.setattr(language_id, "CUT", cut)
+        assert np.array_equal(language_id.grams(text), whole)
+
+
 def article_of(html):
     """The text of the one article of a page, for pages whose articles hold no other things."""
     inner = re.search(r"<article>(.*?)</article>", html or "", re.S)
