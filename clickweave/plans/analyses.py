@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from clickweave import report
 from clickweave.functions.columns import count_event
-from clickweave.operators import items, overview, properties, sessions, tree, users
+from clickweave.operators import figure, items, overview, properties, sessions, tree, users
 from clickweave.shared import bucketed, discard, stored
 from clickweave.sources import tables
 
@@ -91,6 +91,12 @@ class Bases:
     def make_layout(self) -> DataFrame:
         return stored(tree.layout_of(self.table("graph")))
 
+    def make_drawn(self) -> DataFrame:
+        return stored(figure.bounded(self.table("graph")))
+
+    def make_figure(self) -> DataFrame:
+        return figure.figure_of(self.table("graph"), self.table("drawn"))
+
     def make_sessions(self) -> DataFrame:
         return stored(sessions.sessions(self.marked()))
 
@@ -176,6 +182,8 @@ RESULTS: dict[str, Callable[[Bases], DataFrame]] = {
     "top_parents": lambda b: tree.children_counts(b.table("tree"), 10),
     "graph_edges": lambda b: b.table("graph").orderBy("src", "dst"),
     "graph_nodes": lambda b: b.table("layout").orderBy("y", "x"),
+    "figure_edges": lambda b: b.table("drawn").orderBy("src", "dst"),
+    "figure_nodes": lambda b: b.table("figure").orderBy("y", "x"),
     "user_types": lambda b: users.with_type(b.pivot()),
     "user_type_distribution": lambda b: users.type_distribution(b.pivot()).orderBy(F.desc("n"), "user_type"),
     "user_category_data": lambda b: users.top_category(b.preference()),

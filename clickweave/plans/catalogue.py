@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickweave.operators import increments, items, overview, properties, sessions, tree, users
+from clickweave.operators import figure, increments, items, overview, properties, sessions, tree, users
 from clickweave.shared import stored
 from clickweave.shipping import ship
 from clickweave.sources import tables
@@ -171,6 +171,9 @@ PLANS = {
     "graph_trimmed_edges": lambda s, d: tree.trimmed_edges(category_tree(s, d)),
     "graph_trimmed_edges_50_20": lambda s, d: tree.trimmed_edges(category_tree(s, d), 50, 20),
     "graph_layout": lambda s, d: tree.layout(category_tree(s, d)),
+    "graph_figure": lambda s, d: figure.figure(category_tree(s, d)),
+    "graph_figure_3": lambda s, d: figure.figure(category_tree(s, d), shown=3),
+    "graph_crossings": lambda s, d: figure.crossings_by_id_and_in_figure(category_tree(s, d)),
     "user_event_pivot": lambda s, d: users.with_type(users.event_pivot(events(s, d))),
     "user_type_distribution": lambda s, d: users.type_distribution(users.event_pivot(events(s, d))),
     "user_day_type_distribution": lambda s, d: users.type_distribution(dated_pivot(s, d)),

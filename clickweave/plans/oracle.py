@@ -138,3 +138,32 @@ ORACLE_SQL = {
     "anomaly_summary": ANOMALIES + "SELECT count(*) AS total_users, count(*) FILTER (anomaly_score >= 2) AS anomaly_users, round(count(*) FILTER (anomaly_score >= 2) * 100.0::DOUBLE / count(*), 6) AS anomaly_ratio FROM an",
     "top_anomalies": ANOMALIES + "SELECT * FROM an WHERE anomaly_score >= 2 ORDER BY total_events DESC, visitorid LIMIT 10",
 }
+
+
+def figure(shown: int) -> str:
+    """The tree's three layers, each in the order of the mean place of its nodes' parents: a forest arranged so has no crossings to sweep away."""
+    return ORACLE_SQL["graph_layout"].split(", lv(")[0] + f""", bl AS (SELECT src AS node, count(*) AS c FROM tm GROUP BY src),
+rk AS (SELECT tm.src, tm.dst, row_number() OVER (PARTITION BY tm.src ORDER BY coalesce(d.c, 0) DESC, tm.dst) AS r1, row_number() OVER (PARTITION BY tm.dst ORDER BY s.c DESC, tm.src) AS r2 FROM tm JOIN bl s ON s.node = tm.src LEFT JOIN bl d ON d.node = tm.dst),
+fe AS (
+  SELECT CAST(src AS VARCHAR) AS src, CAST(dst AS VARCHAR) AS dst, 1 AS n FROM rk WHERE r1 <= {shown} AND r2 <= {shown}
+  UNION ALL SELECT CAST(node AS VARCHAR), 'children of ' || node, c - {shown} FROM bl WHERE c > {shown}),
+l0 AS (SELECT CAST(src AS VARCHAR) AS node, row_number() OVER (ORDER BY src) AS x FROM (SELECT DISTINCT src FROM tm WHERE src NOT IN (SELECT dst FROM tm))),
+l1 AS (SELECT dst AS node, row_number() OVER (ORDER BY avg(x), dst) AS x FROM fe JOIN l0 ON node = src GROUP BY dst),
+l2 AS (SELECT dst AS node, row_number() OVER (ORDER BY avg(x), dst) AS x FROM fe JOIN l1 ON node = src GROUP BY dst),
+pl AS (SELECT node, x, 0 AS y FROM l0 UNION ALL SELECT node, x, 1 FROM l1 UNION ALL SELECT node, x, 2 FROM l2)"""
+
+
+def figure_nodes(shown: int) -> str:
+    return figure(shown) + f""" SELECT pl.node, CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y, CAST(coalesce(r.n, 1) AS BIGINT) AS n, greatest(8.0::DOUBLE, least(25.0::DOUBLE, 8 + 0.5::DOUBLE * coalesce(o.c, 0))) AS size,
+  coalesce(o.c, 0) >= 5 OR r.n IS NOT NULL AS labelled, CAST(greatest(0, coalesce(i.c, 0) - {shown}) AS BIGINT) AS parents_left_out
+FROM pl LEFT JOIN (SELECT CAST(node AS VARCHAR) AS node, c FROM bl) o USING (node) LEFT JOIN (SELECT CAST(dst AS VARCHAR) AS node, count(*) AS c FROM tm GROUP BY dst) i USING (node)
+LEFT JOIN (SELECT dst AS node, n FROM fe WHERE dst LIKE 'children of %') r USING (node)"""
+
+
+ORACLE_SQL |= {
+    "graph_figure": figure_nodes(12),
+    "graph_figure_3": figure_nodes(3),
+    "graph_crossings": figure(12) + """, ps AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY node) AS i FROM pl),
+ee AS (SELECT s.y, s.x AS sx, s.i AS si, d.x AS dx, d.i AS di FROM fe JOIN ps s ON s.node = fe.src JOIN ps d ON d.node = fe.dst AND d.y = s.y + 1)
+SELECT (SELECT count(*) FROM ee a JOIN ee b ON a.y = b.y AND a.si < b.si AND a.di > b.di) AS by_id, (SELECT count(*) FROM ee a JOIN ee b ON a.y = b.y AND a.sx < b.sx AND a.dx > b.dx) AS in_figure""",
+}

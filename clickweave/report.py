@@ -24,7 +24,7 @@ SECTIONS = {
     "Users": ["user_type_distribution", "users_with_category_preference", "anomaly_summary", "top_anomalies"],
     "Sessions": ["session_summary", "session_patterns", "conversion_by_length", "frequent_transitions"],
 }
-GRAPH = ("graph_nodes", "graph_edges")
+GRAPH = ("figure_nodes", "figure_edges")
 #: Under this name, `collected` lists the results that it cut.
 CUT = "left out"
 #: Results with a chart: the label's column and the value's.
@@ -100,13 +100,17 @@ def chart(rows: list[dict], label: str, value: str) -> str:
 
 
 def graph(nodes: list[dict], edges: list[dict]) -> str:
-    """The category graph as SVG, a row for each depth; edges whose ends are both shown."""
+    """The category graph as SVG, a row for each depth; edges whose ends are both shown. What a node stands for, or hides, is in its title."""
+
+    def title(n: dict) -> str:
+        return n["node"] + (f": {n['n']:,} more" if n["n"] > 1 or n["node"].startswith("children") else "") + (f"; {n['parents_left_out']:,} parents aren't drawn" if n["parents_left_out"] else "")
+
     widest = max((n["x"] for n in nodes), default=1)
     rows = {y: max(n["x"] for n in nodes if n["y"] == y) for y in {n["y"] for n in nodes}}
     at = {n["node"]: (900 * (n["x"] - 0.5) / rows[n["y"]], 30 + 110 * n["y"]) for n in nodes}
     lines = "".join(f'<line x1="{at[a][0]:.1f}" y1="{at[a][1]}" x2="{at[b][0]:.1f}" y2="{at[b][1]}"/>' for e in edges if (a := e["src"]) in at and (b := e["dst"]) in at)
     dots = "".join(
-        f'<circle cx="{at[n["node"]][0]:.1f}" cy="{at[n["node"]][1]}" r="{n["size"] / (2 if widest < 60 else 5):.1f}"><title>{n["node"]}</title></circle>' + (f'<text x="{at[n["node"]][0]:.1f}" y="{at[n["node"]][1] - 12}" text-anchor="middle">{n["node"]}</text>' if n["labelled"] else "") for n in nodes
+        f'<circle cx="{at[n["node"]][0]:.1f}" cy="{at[n["node"]][1]}" r="{n["size"] / (2 if widest < 60 else 5):.1f}"><title>{escape(title(n))}</title></circle>' + (f'<text x="{at[n["node"]][0]:.1f}" y="{at[n["node"]][1] - 12}" text-anchor="middle">{escape(title(n))}</text>' if n["labelled"] else "") for n in nodes
     )
     return f'<svg viewBox="0 0 900 {60 + 110 * max(rows, default=0)}" width="900">{lines}{dots}</svg>'
 
@@ -118,8 +122,8 @@ def as_html(found: Mapping[str, list[dict]], at: datetime | None = None) -> str:
     parts = [f"<h1>Clickstream report</h1><p>{at or datetime.now(UTC):%Y-%m-%d %H:%M:%S}</p>"]
     for title, names in SECTIONS.items():
         parts.append(f"<h2>{escape(title)}</h2>")
-        if title == "Category tree" and found.get("graph_nodes"):
-            parts.append(graph(found["graph_nodes"], found.get("graph_edges", [])))
+        if title == "Category tree" and found.get("figure_nodes"):
+            parts.append(graph(found["figure_nodes"], found.get("figure_edges", [])))
             parts += [f"<p>{name.replace('_', ' ')}: {note}</p>" for name in GRAPH if (note := left_out(found, name))]
         for name in (n for n in names if n in found):
             rows = found[name]

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from clickweave import report
-from clickweave.operators import increments, items, overview, properties, sessions, tree, users
+from clickweave.operators import figure, increments, items, overview, properties, sessions, tree, users
 from clickweave.operators.quantiles import exact_quantiles
 from clickweave.plans import analyses
 from clickweave.shared import shared_folder, stored
@@ -386,3 +386,41 @@ def test_a_cluster_needs_a_shared_folder():
 def test_the_entry_works_without_a_library_of_the_corpus_part():
     code = "import sys; sys.modules['xxhash'] = None; import __spark_entry__ as e; assert 'sessions' in e.queries() and not [n for n in e.queries() if n.startswith('op')]; assert set(e.oracle_sql()) <= set(e.queries())"
     assert subprocess.run([sys.executable, "-c", code], cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__)))).returncode == 0
+
+
+def crossing_pairs(links, at):
+    ends = [(at[a][1], at[a][0], at[b][0]) for a, b in links if a in at and b in at and at[b][1] == at[a][1] + 1]
+    return sum(y == z and a < c and b > d for y, a, b in ends for z, c, d in ends)
+
+
+def test_crossings_are_those_of_all_pairs_of_edges(spark):
+    rng = random.Random(3)
+    at = {f"{y}-{i}": (i + 1, y) for y in range(3) for i in range(9)}
+    links = [(f"{y}-{rng.randrange(9)}", f"{min(2, y + rng.choice((1, 1, 2)))}-{rng.randrange(9)}") for y in range(2) for _ in range(25)]
+    edges, placed = spark.createDataFrame(links, "src string, dst string"), spark.createDataFrame([(n, y, x) for n, (x, y) in at.items()], "node string, y int, x int")
+    assert figure.crossings(edges, placed).first()[0] == crossing_pairs(links, at) > 0
+    assert figure.crossings(edges.limit(0), placed).first()[0] == 0
+
+
+def test_sweeps_lower_the_crossings_of_graphs_with_several_parents(spark):
+    rng = random.Random(8)
+    tree_rows = [(i, None) for i in range(4)] + [(10 + i, rng.randrange(4)) for i in range(12) for _ in (0, 1)] + [(30 + i, 10 + rng.randrange(12)) for i in range(14) for _ in (0, 1)]
+    tr = spark.createDataFrame(tree_rows, "categoryid bigint, parentid bigint")
+    at = {r.node: (r.x, r.y) for r in figure.figure(tr).collect()}
+    links = {(str(p), str(c)) for c, p in tree_rows if p is not None}
+    assert set(at) == {x for e in links for x in e} and len({(x, y) for x, y in at.values()}) == len(at)
+    found = figure.crossings_by_id_and_in_figure(tr).first()
+    assert found.in_figure == crossing_pairs(links, at) < found.by_id
+
+
+def test_a_star_is_drawn_with_a_node_for_the_rest(spark):
+    tr = spark.range(6000).selectExpr("id + 1 AS categoryid", "CAST(0 AS BIGINT) AS parentid").union(spark.sql("SELECT 0L, CAST(NULL AS BIGINT)")).union(spark.sql("SELECT 7000L, 6000L"))
+    found = {r.node: r for r in figure.figure(tr).collect()}
+    assert set(found) == {"0", "6000", "7000", *map(str, range(1, figure.SHOWN)), "children of 0"}  # 6000 has a child, so it comes first
+    assert found["children of 0"].n == 6000 - figure.SHOWN and found["0"].size == 25 and not found["0"].parents_left_out
+    many = spark.range(30).selectExpr("CAST(100 AS BIGINT) AS categoryid", "id AS parentid")
+    top = {r.node: r for r in figure.figure(many).collect()}
+    assert top["100"].parents_left_out == 30 - figure.SHOWN
+    assert figure.figure(many.limit(0)).count() == 0
+    page = report.graph([r.asDict() for r in found.values()], [{"src": "0", "dst": "children of 0"}])
+    assert "children of 0: 5,988 more" in page
