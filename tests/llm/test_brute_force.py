@@ -234,3 +234,52 @@ def test_the_pipeline_by_brute_force(spark):
     of = [chance[k] for k in zip(cells.source, cells.lang, cells.topic, strict=True)]
     assert set(cells.doc_id[cells.u < np.array(of) - 1e-4]) <= (found := {x.doc_id for x in stored(corpus_pipeline.run(spark, SMALL)).collect()}) <= set(cells.doc_id[cells.u < np.array(of) + 1e-4])
     assert found
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<article>x<div class='comments-open'>c</div><section class='ad-open'>a</section><p class='advert'>b</p></article>", "x"),
+        ("<article><p class='related'>a</p><h2 class='banner'>b</h2><p class='social'>c</p><p class='alert'><a href='/'>link</a></p></article>", "a\nb\nc"),
+        ("<article class='post comments-open'><h1>t</h1><p>x</p></article>", "t\nx"),
+        ("<div class='widget'><h1>t</h1><article>x</article></div><div class='widget'>w</div>", "x"),
+        ("<div class='widget'><h1>t</h1><p>x</p></div><div class='widget'>w</div>", "t\nx"),
+        ("<header class='banner'><h1>site</h1></header><div class='comment'>c</div><p>x", "x"),
+    ],
+)
+def test_names_give_way_to_other_evidence(html, text):
+    assert html_wrapper.main_text(html, None) == text
+
+
+def test_doubtful_texts_go_where_the_host_repeats_them(spark, monkeypatch):
+    monkeypatch.setattr(html_wrapper, "FAN", 2)  # several rounds of merging
+    page = "<article><h1>Dish {i}</h1><p class='notice'>We use small files</p><p>{i} eggs</p><p class='alert'>Mind the {i}th step</p><h2>Method</h2></article>"
+    df = spark.createDataFrame([(i, f"http://h.org/{i}", page.format(i=i)) for i in range(40)], "page_id long, url string, html string").repartition(13)
+    found = {x.page_id: x.text for x in html_wrapper.extract(df).collect()}
+    assert found == {i: f"Dish {i}\n{i} eggs\nMind the {i}th step\nMethod" for i in range(40)}
+
+
+def test_wrappers_of_pages_that_are_all_different_are_bounded(monkeypatch):
+    monkeypatch.setattr(html_wrapper, "LONGEST", 256)
+    r = random.Random(1)
+    block = lambda i, k: f"<div class='{''.join(r.choice('abcdefghij') for _ in range(6))}'>text {i} {k}</div>"
+    page = lambda i: f"<html><body><div class=top>menu</div>{''.join(block(i, k) for k in range(30))}<div class=end>imprint</div></body></html>"
+    pages = [page(i) for i in range(120)]
+    (made,) = html_wrapper.induce(iter([html_wrapper.pd.DataFrame({"host": "h", "html": pages})]))
+    blocks = html_wrapper.json.loads(made.wrapper[0])
+    assert sum(map(html_wrapper.size, blocks)) <= 256 + 100
+    for i, html in enumerate(pages):
+        assert html_wrapper.main_text(html, made.wrapper[0]) == "\n".join(f"text {i} {k}" for k in range(30))
+
+
+def test_long_streams_are_compared_as_wholes():
+    r = random.Random(3)
+    for most in (5, 400, 5000):
+        a = tuple(str(r.randrange(most)) for _ in range(2000))
+        b = tuple(x for x in a if r.random() < 0.9) + a[:300]
+        i = k = same = 0
+        for equal, i0, j, k0, l in html_wrapper.matched(a, b):
+            assert (i0, k0) == (i, k) and (not equal or a[i0:j] == b[k0:l])
+            i, k, same = j, l, same + equal * (j - i0)
+        assert (i, k) == (len(a), len(b))
+        assert same > (1000 if most > 5 else 500)
