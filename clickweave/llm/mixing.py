@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BLOCK, Rows, join_small, let, sampled, stored, table, within_bytes
+from .common import BLOCK, Rows, discard, join_small, let, sampled, stored, table, within_bytes
 
 DIMENSIONS = ("source", "lang", "topic")
 #: Without given targets a value's target is its tokens to this power, over the sum of these.
@@ -131,7 +131,7 @@ def sums(dimension: str, value: str) -> Column:
 
 
 def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, temper: float = TEMPER, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
-    """`cells` (source, lang, topic, n_tokens) with a weight, want_* and error; the weights' margins are the targets' shares of 1."""
+    """`cells` (source, lang, topic, n_tokens) with a weight, want_* and error, stored; the weights' margins are the targets' shares of 1."""
     targets = targets or {}
     cells = cells.withColumn("weight", F.col("n_tokens").cast("double"))
     alive = F.col("n_tokens") > 0
@@ -141,7 +141,7 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, t
         # a margin's want stands in each of its cells and counts once
         here = F.count_if(alive).over(Window.partitionBy(d))
         cells = cells.withColumns({f"named_{d}": named, f"free_{d}": F.pow(sums(d, "n_tokens").cast("double"), temper), f"cells_{d}": here})
-    cells = stored(cells)
+    before = cells = stored(cells)
     totals = cells.filter(alive).agg(*[F.coalesce(F.sum(F.col(f"{kind}_{d}") / F.col(f"cells_{d}")), F.lit(0.0)).alias(f"{kind}_{d}") for kind in ("named", "free") for d in DIMENSIONS]).first()
     for d in DIMENSIONS:
         kind = "named" if totals[f"named_{d}"] > 0 else "free"
@@ -153,6 +153,8 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, t
         if done % 4 == 3 or done == rounds - 1:
             off = [F.when(F.col(f"want_{d}") > 0, F.abs(sums(d, "weight") / F.col(f"want_{d}") - 1)).otherwise(0.0) for d in DIMENSIONS]
             cells = stored(cells.withColumn("error", F.greatest(*off)))
+            discard(before)
+            before = cells
             if (cells.filter(alive).agg(F.max("error")).first()[0] or 0.0) <= tolerance:
                 break
     return cells
@@ -161,13 +163,13 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, t
 def calibrate(cells: DataFrame, share: float = SHARE) -> DataFrame:
     """`cells` with a probability, so that the expected tokens are `share` of all (or as many as weights above 0 allow)."""
     cells = cells.withColumn("rate", F.when(F.col("n_tokens") > 0, F.col("weight") / F.col("n_tokens")).otherwise(0.0))
-    factor = 0.0
-    for _ in range(60):  # Newton's method on a concave, piecewise linear function, from below: it ends at the first step that caps no more cells
+    factor, capped = 0.0, -1
+    while True:  # the expected tokens are concave and piecewise linear in the factor: each step from below caps more cells, or is the exact one
         low = F.col("rate") * F.lit(factor) < 1
-        have, slope, total = cells.agg(F.sum(F.when(low, F.col("rate") * F.lit(factor)).otherwise(1.0) * F.col("n_tokens")), F.sum(F.when(low, F.col("rate") * F.col("n_tokens"))), F.sum("n_tokens")).first()
-        if not total or not slope or share * total - have <= 1e-9 * total:
+        now, fixed, slope, total = cells.agg(F.count_if(~low), F.sum(F.when(low, 0).otherwise(F.col("n_tokens"))), F.sum(F.when(low, F.col("rate") * F.col("n_tokens"))), F.sum("n_tokens")).first()
+        if not total or not slope or now <= capped:
             break
-        factor += (share * total - have) / slope
+        factor, capped = max(factor, (share * total - fixed) / slope), now
     return cells.withColumn("probability", F.when(F.col("n_tokens") > 0, F.least(F.lit(1.0), F.col("rate") * F.lit(factor))).otherwise(F.lit(share))).drop("rate")
 
 
@@ -206,7 +208,10 @@ def decide(
     gone = {n.lower() for n in leave_out}
     given = stored(given.drop(*[f"c{i}" for i, n in enumerate(rows.names) if n.lower() in gone]))
     cells = stored(given.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("n_tokens"), F.count("*").alias("n_docs")))
-    fitted = stored(calibrate(rake(cells, targets), share).select(*DIMENSIONS, "weight", "probability", "error"))
+    raked = rake(cells, targets)
+    fitted = stored(calibrate(raked, share).select(*DIMENSIONS, "weight", "probability", "error"))
+    discard(raked)
+    discard(cells)
     found = join_small(given, fitted, list(DIMENSIONS), "u")
     return rows.restored(found, leave_out, topic=F.col("topic"), n_tokens=F.col("n_tokens"), weight=F.col("weight"), probability=F.col("probability"), target_error=F.col("error"), sampled=F.col("u") < F.col("probability"))
 

@@ -377,3 +377,18 @@ def test_headings_that_all_articles_of_a_host_share_stay(spark):
     df = spark.createDataFrame([(i, f"http://h.org/{i}", page.format(i=i)) for i in range(10)], "page_id long, url string, html string")
     found = {r.page_id: r.text for r in html_wrapper.extract(df).collect()}
     assert found == {i: f"Dish {i}\nIngredients\n{i} eggs and flour {i}\nMethod\nStir it {i} times." for i in range(10)}
+
+
+def test_the_budget_is_met_whatever_the_spread_of_rates(spark):
+    # each step caps few cells of rates that double from one to the next: far more steps than a fixed number would allow for
+    cells = [("s", "l", str(k), 1 if k < 150 else 1 << (k // 8), 2.0**-k) for k in range(200)]
+    df = spark.createDataFrame(cells, "source string, lang string, topic string, n_tokens long, weight double")
+    for share in (0.001, 0.5, 0.999):
+        found = mixing.calibrate(df, share).toPandas()
+        tokens, rate = found.n_tokens.astype(float), found.weight / found.n_tokens
+        assert (found.probability * tokens).sum() == pytest.approx(share * tokens.sum(), rel=1e-9)
+        free = found.probability < 1
+        factor = found.probability[free] / rate[free]
+        assert factor.min() == pytest.approx(factor.max()) and (rate[~free] * factor.max() >= 1 - 1e-9).all()
+    none = df.withColumn("weight", F.lit(0.0))
+    assert set(mixing.calibrate(none).toPandas().probability) == {0.0} and mixing.calibrate(df.limit(0)).count() == 0
