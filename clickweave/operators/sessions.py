@@ -95,6 +95,18 @@ def session_sequences(marked: DataFrame, size: int = 1000) -> DataFrame:
     return sessions(marked).join(blocks, ["visitorid", "session_id"])
 
 
+def session_texts(marked: DataFrame, size: int = 1000) -> DataFrame:
+    """`sessions` with their whole items and events in order, as text parted by commas: one row a session, however long it is.
+
+    A text is put together from those of the session's blocks; as in SQL, nulls are left out, and nothing but nulls is null.
+    """
+    marked = stored(marked)
+    text = lambda c: F.when(F.exists(c, lambda x: x.isNotNull()), F.array_join(F.transform(c, lambda x: x.cast("string")), ","))
+    blocks = sequence_blocks(marked, size).select("visitorid", "session_id", F.struct("block", text("items").alias("items"), text("events").alias("events")).alias("b"))
+    whole = blocks.groupBy("visitorid", "session_id").agg(F.array_sort(F.collect_list("b")).alias("b"))
+    return sessions(marked).join(whole.select("visitorid", "session_id", text("b.items").alias("item_sequence"), text("b.events").alias("event_sequence")), ["visitorid", "session_id"])
+
+
 def summary(found: DataFrame) -> DataFrame:
     return found.agg(F.count("*").alias("total_sessions"), F.avg("event_count").alias("avg_session_length"), F.avg("session_duration_minutes").alias("avg_session_duration"), F.avg("unique_items").alias("avg_unique_items"))
 

@@ -61,9 +61,10 @@ def line_views(spark: SparkSession, d: str) -> DataFrame:
 
 
 def event_sequences(spark: SparkSession, d: str, gap: float = sessions.GAP_MINUTES) -> DataFrame:
-    """Sessions with their sequences as text, which any engine prints alike; a session of over 1,000 events has a row for each block."""
-    found = sessions.session_sequences(marked(spark, d, gap))
-    return found.withColumns({"item_sequence": F.array_join(F.transform("item_sequence", lambda x: x.cast("string")), ","), "event_sequence": F.array_join("event_sequence", ",")})
+    """A row for each session, with its whole sequences as text, which any engine prints alike; events without a visitor are those of one more."""
+    # a struct is no null, so that the null visitor is a key like others
+    found = events(spark, d).withColumn("visitorid", F.struct("visitorid"))
+    return sessions.session_texts(sessions.sessionized(found, gap)).withColumn("visitorid", F.col("visitorid.visitorid"))
 
 
 def csv_events(spark: SparkSession, d: str) -> DataFrame:

@@ -45,6 +45,13 @@ ps AS (SELECT *, (row_number() OVER (PARTITION BY visitorid, session_id ORDER BY
 sq AS (SELECT visitorid, session_id, block, string_agg(CAST(itemid AS VARCHAR), ',' ORDER BY ts, event_id) AS item_sequence, string_agg(event, ',' ORDER BY ts, event_id) AS event_sequence FROM ps GROUP BY ALL)"""
 
 
+def marks_with_sequences(minutes: int) -> str:
+    """`marks` whose sessions have their whole sequences."""
+    minutes_of = " AS session_duration_minutes\n"
+    lists = "    string_agg(CAST(itemid AS VARCHAR), ',' ORDER BY ts, event_id) AS item_sequence, string_agg(event, ',' ORDER BY ts, event_id) AS event_sequence\n"
+    return marks(minutes).replace(minutes_of, minutes_of.replace("\n", ",\n") + lists)
+
+
 def activity(source: str) -> str:
     return f"""ac AS (
   SELECT visitorid, count(event) AS total_events, count(DISTINCT itemid) AS unique_items, min(ts) AS first_activity, max(ts) AS last_activity,
@@ -121,8 +128,8 @@ ORACLE_SQL = {
     "top_items_by_popularity": f"WITH {EVENTS}, {PROPERTIES}, {FEATURES} SELECT itemid, popularity_score, conversion_rate, categoryid FROM ft ORDER BY popularity_score DESC, itemid, categoryid LIMIT 20",
     "category_item_stats": f"WITH {EVENTS}, {PROPERTIES}, {FEATURES} {STATS}",
     "top_category_item_stats": f"WITH {EVENTS}, {PROPERTIES}, {FEATURES} {STATS} ORDER BY avg_popularity DESC, categoryid LIMIT 10",
-    "sessions": f"WITH {EVENTS}, {marks(30)} SELECT * FROM ss JOIN sq USING (visitorid, session_id)",
-    "sessions_120": f"WITH {EVENTS}, {marks(120)} SELECT * FROM ss JOIN sq USING (visitorid, session_id)",
+    "sessions": f"WITH {EVENTS}, {marks_with_sequences(30)} SELECT * FROM ss",
+    "sessions_120": f"WITH {EVENTS}, {marks_with_sequences(120)} SELECT * FROM ss",
     "session_summary": f"WITH {EVENTS}, {marks(30)} SELECT count(*) AS total_sessions, round(avg(event_count), 6) AS avg_session_length, round(avg(date_diff('microsecond', session_start, session_end) / 60000000.0::DOUBLE), 6) AS avg_session_duration, round(avg(unique_items), 6) AS avg_unique_items FROM ss",
     "session_pattern_distribution": f"WITH {EVENTS}, {marks(30)} SELECT session_pattern, n, round(n * 100.0::DOUBLE / sum(n) OVER (), 6) AS pct FROM (SELECT session_pattern, count(*) AS n FROM ss GROUP BY 1)",
     "session_length_distribution": f"WITH {EVENTS}, {marks(30)} SELECT event_count, count(*) AS n FROM ss GROUP BY 1",

@@ -76,6 +76,30 @@ def test_cuts_inside_sessions_of_one_visitor_change_nothing(spark):
     assert plan.count("collect_list") == 1 and "block" in plan  # the only lists are blocks
 
 
+def test_the_query_of_sessions_has_one_row_for_a_long_session_and_keeps_the_null_visitor(spark, tmp_path):
+    import duckdb
+
+    from clickweave.plans import catalogue
+
+    start = datetime(2024, 1, 1)
+    given = [(i, start + timedelta(seconds=i // 2), 1, ("view", "click", "purchase")[i % 3], None if i % 7 == 0 else f'{{"k": {i % 50}}}') for i in range(2500)]
+    given += [(3000 + i, start + timedelta(minutes=m), user, "view", '{"k": 4}') for i, (m, user) in enumerate([(0, None), (5, None), (100, None), (0, 2)])]
+    given += [(4000 + i, start + timedelta(days=1, minutes=i), 2, "view", None) for i in range(2)]  # no items at all
+    spark.createDataFrame(given, "event_id long, ts timestamp, user_id long, event_type string, props string").write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.execute(f"SET TimeZone = 'UTC'; CREATE VIEW events AS SELECT * REPLACE (CAST(ts AS TIMESTAMP) AS ts) FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    for name in ("sessions", "sessions_120"):
+        sql = con.execute(catalogue.ORACLE_SQL[name])
+        names = [c[0] for c in sql.description]
+        df = catalogue.QUERIES[name](spark, str(tmp_path))
+        assert sorted(df.columns) == sorted(names) and "block" not in names
+        got, want = (sorted((tuple(r) for r in x), key=str) for x in (df.select(*names).collect(), sql.fetchall()))
+        assert got == want
+        long = {r.visitorid: r for r in df.collect() if r.session_id == 1}
+        assert long[1].event_count == 2500 and len(long[1].event_sequence.split(",")) == 2500
+        assert long[None].event_count == (2 if name == "sessions" else 3)
+
+
 def test_no_events(spark):
     none = events(spark, [])
     assert rows(sessions.sessions(sessions.sessionized(none))) == []
