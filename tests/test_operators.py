@@ -383,6 +383,31 @@ def test_a_stream_numbers_sessions_as_the_batch_over_batches_and_a_restart(spark
     assert found == want and len(want) == 90
 
 
+def test_a_stream_keeps_state_by_bucket_and_numbers_all_visitors_of_one(spark, tmp_path):
+    from clickweave.streaming.stateful import ROCKSDB, stream_numbered
+
+    rng = random.Random(11)
+    given = [(round(rng.random() * 900, 2), v, rng.choice(["view", "addtocart", None]), rng.choice([None, 1, 2])) for v in range(300) for _ in range(rng.randrange(1, 6))]
+    ev = events(spark, [*given, (9000, 1000, "view", 1)])
+    ev.selectExpr("event_id", "CAST(ts AS timestamp) AS ts", "visitorid", "event", "itemid").write.parquet(str(tmp_path / "in"))
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    try:
+        want = {(r.event_id, r.event, r.itemid, r.session_id, r.is_start, r.prev_item, r.position) for r in sessions.sessionized(ev).filter("visitorid < 1000").collect()}
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        stream = spark.readStream.schema("event_id long, ts timestamp, visitorid long, event string, itemid long").parquet(str(tmp_path / "in"))
+        query = stream_numbered(stream, buckets=2).writeStream.outputMode("append").format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        query.awaitTermination(240)
+        assert query.exception() is None
+        keys = max(sum(x.numRowsTotal for x in p.stateOperators) for p in query.recentProgress)
+        found = {(r.event_id, r.event, r.itemid, r.session_id, r.is_start, r.prev_item, r.position) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    assert found == want and len(want) == len(given)
+    assert keys < 50  # by visitor there would be over 300
+
+
 def test_times_out_of_range_and_ragged_rows_are_rejected(spark, tmp_path):
     (tmp_path / "e.csv").write_text("timestamp,visitorid,event,itemid\n1433221332117,1,view,7\n9223372036854775807,1,view,8\n253402300800000,2,view,9\n1433221332118,x,view,8,more\n1433221332119,3\n,4,view,1\n")
     found = tables.csv_events(spark, str(tmp_path / "e.csv"))
