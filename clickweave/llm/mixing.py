@@ -6,8 +6,8 @@ probability is its weight over its tokens, times one factor that makes the expec
 what the cap takes from a cell goes to the others through that factor. A document stays if a hash of its id is below its cell's probability.
 
 A topic is a column that the caller gives, or learned (`Topics`): spherical k-means over hashed words, weighted by their rarity, after
-the mean of the document's language is taken off, so that topics aren't the languages again. The fit takes about `PER_LANGUAGE` documents of
-each language, `SAMPLE_BYTES` of text at most; every whole text is then given a topic.
+the mean of the document's language is taken off, so that topics aren't the languages again. Rarity, means and centres are learned from every whole
+text: words are counted once, into a table of slots, and each round is one pass over it that adds whole numbers up. Every whole text is then given a topic.
 
 The texts are read once: cell, tokens and draw are written beside the rows, and both the cells and the decisions are made from that table.
 The weights are a DataFrame of cells, not of documents, and stay one: a round is three windows over it, and rounds are written by fours.
@@ -23,15 +23,16 @@ without targets.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BLOCK, Rows, discard, join_small, let, sampled, stored, table, within_bytes
+from .common import BLOCK, Rows, discard, join_small, let, stored, table
 
 DIMENSIONS = ("source", "lang", "topic")
 #: Without given targets a value's target is its tokens to this power, over the sum of these.
@@ -39,8 +40,10 @@ TEMPER = 0.5
 #: Expected share of all tokens that stays; rounds of fitting; largest relative error of a margin that ends the fitting.
 SHARE, ROUNDS, TOLERANCE = 0.5, 40, 1e-6
 DRAW = 1 << 52
-#: Topics, hash slots of words, and bounds of the fit: documents of each language, and languages.
-TOPICS, SLOTS, PER_LANGUAGE, LANGUAGES = 12, 4096, 300, 20
+#: Topics, hash slots of words, and languages with a mean of their own (the commonest; the others have that of all documents).
+TOPICS, SLOTS, LANGUAGES = 12, 4096, 1000
+#: The rounds of the topics end when no centre turns by more than this (1 less the cosine).
+SETTLED = 1e-4
 EMPTY = "empty"
 
 
@@ -88,38 +91,156 @@ class Topics:
         return named(slots, lang)
 
 
-def fit_topics(slots: list, langs: list, topics: int = TOPICS, width: int = SLOTS, rounds: int = 25) -> Topics:
-    """Spherical k-means of a bounded sample; the same for the same sample in any order."""
-    order = sorted((i for i in range(len(slots)) if len(slots[i])), key=lambda i: (langs[i], len(slots[i]), list(slots[i])))
-    slots, langs = [slots[i] for i in order], [langs[i] for i in order]
-    found = np.zeros(width)
-    for s in slots:
-        found[np.unique(s)] += 1
-    model = Topics(np.log((1 + len(slots)) / (1 + found)).astype(np.float32), {"": np.zeros(width, np.float32)}, np.zeros((1, width), np.float32))
-    if not slots:
-        return model
-    plain = model.vectors(slots, [""] * len(slots))
-    model.means = {x: plain[[k == x for k in langs]].mean(0) for x in sorted(set(langs))} | {"": plain.mean(0)}
-    x = model.vectors(slots, langs)
-    centres = [x[0]]
-    near = x @ centres[0]
-    while len(centres) < min(topics, len(x)):  # each next centre is the document that is least like those before
-        centres.append(x[near.argmin()])
-        near = np.maximum(near, x @ centres[-1])
-    model.centres = np.stack(centres)
-    for _ in range(rounds):
-        owner = (x @ model.centres.T).argmax(1)
-        sums = np.stack([x[owner == k].sum(0) if (owner == k).any() else c for k, c in enumerate(model.centres)])
-        model.centres = (sums / np.maximum(1e-9, np.linalg.norm(sums, axis=1, keepdims=True))).astype(np.float32)
-    return model
-
-
-def learn_topics(docs: DataFrame, text: str = "text", key: str = "doc_id", lang: str = "lang", topics: int = TOPICS, each: int = PER_LANGUAGE) -> Topics:
-    """Fits on about `each` documents of each of the commonest languages; `key` only draws the sample."""
-    given = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), language(F.col(lang)).alias("lang")).filter("text IS NOT NULL")
-    drawn, _ = sampled(given, "lang", "key", each, LANGUAGES)
-    sample = within_bytes(drawn, "text", "key").select(counted(F.col("text"))["slots"].alias("slots"), "lang").toPandas()
-    return fit_topics(sample["slots"].tolist(), sample["lang"].tolist(), topics)
+def features(docs: DataFrame, text: str, lang: str) -> DataFrame:
+    """lang, slots (uint16) and the logarithms of 1 + their counts (float32) of every text with words; a stored table, as the fit reads it many times."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("slots")
+            ends = lists.offsets.to_numpy()
+            flat = lists.values.to_numpy()
+            for i in range(0, len(lists), BLOCK):
+                n = min(BLOCK, len(lists) - i)
+                row = np.repeat(np.arange(n), np.diff(ends[i : i + n + 1]))
+                counts = np.bincount(row * SLOTS + flat[ends[i] : ends[i + n]], minlength=n * SLOTS)
+                at = np.flatnonzero(counts)
+                slots, logs = (at % SLOTS).astype(np.uint16).tobytes(), np.log1p(counts[at]).astype(np.float32).tobytes()
+                cut = np.searchsorted(at, np.arange(n + 1) * SLOTS)
+                pairs = list(zip(cut[:-1], cut[1:], strict=True))
+                yield pa.RecordBatch.from_arrays([batch.column("lang").slice(i, n), pa.array([slots[2 * j : 2 * k] for j, k in pairs], pa.binary()), pa.array([logs[4 * j : 4 * k] for j, k in pairs], pa.binary())], ["lang", "slots", "logs"])
+
+    given = docs.select(language(F.col(lang)).alias("lang"), counted(F.col(text))["slots"].alias("slots")).filter(F.size("slots") > 0)
+    return stored(given.mapInArrow(made, "lang string, slots binary, logs binary"))
+
+
+def numbers_of(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers that a column of bytes holds, and where each row's begin and end."""
+    column = column.cast(pa.large_binary())
+    ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    size = np.dtype(kind).itemsize
+    return np.frombuffer(column.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]].view(kind), (ends - ends[0]) // size
+
+
+#: Parts of 1 in which the fit adds up, so that its sums are exact and the same in any order; documents nearer to their language's mean than this have no direction.
+UNIT, NEAR = 1 << 24, 1e-3
+
+
+@dataclass
+class Fit:
+    """What a pass of the fit knows so far: rarity of the slots, means by number of the language (the last: all others'), and centres."""
+
+    langs: dict[str, int]
+    rarity: np.ndarray
+    means: np.ndarray
+    centres: np.ndarray
+
+    def documents(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        """Of up to BLOCK documents at a time: number of the language, first place, sizes, slots, unit vectors' values, and distance from the mean."""
+        size, squares = self.means.shape[1], (self.means**2).sum(1)
+        for batch in batches:
+            slots, ends = numbers_of(batch.column("slots"), np.uint16)
+            logs, _ = numbers_of(batch.column("logs"), np.float32)
+            lang = np.array([self.langs.get(x, len(self.langs)) for x in batch.column("lang").to_pylist()])
+            for i in range(0, len(lang), BLOCK):
+                own = lang[i : i + BLOCK]
+                cut = ends[i : i + len(own) + 1]
+                s, first, sizes = slots[cut[0] : cut[-1]].astype(np.int64), cut[:-1] - cut[0], np.diff(cut)
+                v = logs[cut[0] : cut[-1]] * self.rarity[s]
+                v = v / np.repeat(np.maximum(1e-9, np.sqrt(np.add.reduceat(v * v, first))), sizes)
+                off = np.add.reduceat(v * v, first) - 2 * np.add.reduceat(v * self.means.ravel()[np.repeat(own * size, sizes) + s], first) + squares[own]
+                yield own, first, sizes, s, v, np.sqrt(np.maximum(0, off)), batch, i
+
+    def likeness(self, own: np.ndarray, first: np.ndarray, s: np.ndarray, v: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """Cosines of documents, their language's mean taken off, with the centres; a row for each centre."""
+        return np.stack([np.where(off > NEAR, (np.add.reduceat(v * c[s], first) - (self.means @ c)[own]) / np.maximum(NEAR, off), 0.0) for c in self.centres])
+
+    def vector(self, lang: str, slots: bytes, logs: bytes) -> np.ndarray:
+        x, s = np.zeros(len(self.rarity)), np.frombuffer(slots, np.uint16)
+        x[s] = np.frombuffer(logs, np.float32) * self.rarity[s]
+        x = x / max(1e-9, np.linalg.norm(x)) - self.means[self.langs.get(lang, len(self.langs))]
+        norm = np.linalg.norm(x)
+        return x / norm if norm > NEAR else 0 * x
+
+    # the passes: each gives keys and whole numbers that Spark adds up, or one document a task
+
+    def holding(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Documents that hold a slot."""
+        found = np.zeros(len(self.rarity), np.int64)
+        for batch in batches:
+            found += np.bincount(numbers_of(batch.column("slots"), np.uint16)[0], minlength=len(found))
+        yield keyed(found)
+
+    def by_language(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sums of unit vectors by language."""
+        size = len(self.rarity)
+        found = np.zeros(self.means.size, np.int64)
+        for own, _, sizes, s, v, *_ in self.documents(batches):
+            np.add.at(found, np.repeat(own * size, sizes) + s, np.rint(v * UNIT).astype(np.int64))
+        yield keyed(found)
+
+    def by_centre(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sums of documents by their nearest centre: by slot, and what of each language's mean they are without."""
+        size, k, langs = len(self.rarity), len(self.centres), len(self.means)
+        found, without = np.zeros(k * size, np.int64), np.zeros(k * langs, np.int64)
+        for own, first, sizes, s, v, off, *_ in self.documents(batches):
+            owner = self.likeness(own, first, s, v, off).argmax(0)
+            share = np.where(off > NEAR, 1 / np.maximum(NEAR, off), 0.0)
+            found += np.bincount(np.repeat(owner * size, sizes) + s, np.rint(v * np.repeat(share, sizes) * UNIT), k * size).astype(np.int64)
+            without += np.bincount(owner * langs + own, np.rint(share * UNIT), k * langs).astype(np.int64)
+        yield keyed(np.concatenate([found, without]))
+
+    def farthest(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The task's document that is least like any centre; of equal ones the first by its bytes."""
+        best = None
+        for own, first, _, s, v, off, batch, i in self.documents(batches):
+            near = np.rint(self.likeness(own, first, s, v, off).max(0) * UNIT).astype(np.int64)
+            for j in np.flatnonzero(near == near.min()):
+                if best is None or near[j] <= best[0]:
+                    this = (int(near[j]), *(batch.column(c)[i + int(j)].as_py() for c in ("slots", "logs", "lang")))
+                    best = this if best is None else min(best, this)
+        if best:
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(best, (pa.int64(), pa.binary(), pa.binary(), pa.string()), strict=True)], ["near", "slots", "logs", "lang"])
+
+
+def keyed(sums: np.ndarray) -> pa.RecordBatch:
+    at = np.flatnonzero(sums)
+    return pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[at])], ["key", "n"])
+
+
+def added(table: DataFrame, made: Callable, size: int) -> np.ndarray:
+    """The sums by key of what the tasks of a pass give."""
+    found = table.mapInArrow(made, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toPandas()
+    sums = np.zeros(size, np.int64)
+    sums[found["key"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
+    return sums
+
+
+def learn_topics(docs: DataFrame, text: str = "text", lang: str = "lang", topics: int = TOPICS, rounds: int = 25) -> Topics:
+    """Spherical k-means of all documents: counts, means, first centres and every round are sums over the whole table; the same for the same rows in any order."""
+    table = features(docs, text, lang)
+    rows = {r["lang"]: r["n"] for r in table.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
+    total = table.count()
+    fit = Fit({x: i for i, x in enumerate(rows)}, np.zeros(SLOTS), np.zeros((len(rows) + 1, SLOTS)), np.zeros((1, SLOTS)))
+    fit.rarity = np.log((1 + total) / (1 + added(table, fit.holding, SLOTS)))
+    if total:
+        sums = added(table, fit.by_language, fit.means.size).reshape(fit.means.shape) / UNIT
+        fit.means = np.stack([*(sums[i] / n for i, n in enumerate(rows.values())), sums.sum(0) / total])
+        seed = table.orderBy(F.xxhash64("lang", "slots", "logs"), "slots", "logs").first()
+        fit.centres = np.stack([fit.vector(seed["lang"], seed["slots"], seed["logs"])])
+        while len(fit.centres) < min(topics, total):  # each next centre is the document that is least like those before
+            seed = table.mapInArrow(fit.farthest, "near long, slots binary, logs binary, lang string").agg(F.min(F.struct("near", "slots", "logs", "lang")).alias("x")).first()["x"]
+            fit.centres = np.vstack([fit.centres, fit.vector(seed["lang"], seed["slots"], seed["logs"])])
+        k = len(fit.centres)
+        for _ in range(rounds):
+            sums = added(table, fit.by_centre, k * (SLOTS + len(fit.means))) / UNIT
+            moved = sums[: k * SLOTS].reshape(k, SLOTS) - sums[k * SLOTS :].reshape(k, len(fit.means)) @ fit.means
+            norm = np.linalg.norm(moved, axis=1, keepdims=True)
+            before, fit.centres = fit.centres, np.where(norm > 0, moved / np.maximum(1e-9, norm), fit.centres)
+            if (1 - (before * fit.centres).sum(1))[norm[:, 0] > 0].max(initial=0.0) < SETTLED:
+                break
+    discard(table)
+    means = {x: m.astype(np.float32) for x, m in zip([*fit.langs, ""], fit.means, strict=True)}
+    return Topics(fit.rarity.astype(np.float32), means, fit.centres.astype(np.float32))
 
 
 def language(lang: Column) -> Column:
@@ -200,7 +321,7 @@ def decide(
     own = Rows(docs)
     given = rows.df.withColumns({"source": F.coalesce(own.col(source).cast("string"), F.lit("")), "lang": language(own.col(lang)), "u": drawn(own.col(key), own.col(text), seed)})
     if topic_of is None:
-        model = topics or learn_topics(own.df, own.name(text), own.name(key), own.name(lang))
+        model = topics or learn_topics(own.df, own.name(text), own.name(lang))
         given = given.withColumn("counted", counted(own.col(text)))
         given = given.withColumns({"n_tokens": F.col("counted.n"), "topic": model.column(docs.sparkSession, F.col("counted.slots"), F.col("lang"))}).drop("counted")
     else:

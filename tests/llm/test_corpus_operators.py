@@ -312,6 +312,30 @@ def test_weights_meet_their_targets_and_samples_their_budget(spark):
     assert np.allclose(cell.pivot(index="source", columns="lang", values="weight").to_numpy(), w, atol=1e-5)
 
 
+def test_topics_are_learned_from_every_document_in_any_order(spark):
+    rng = random.Random(3)
+    vocabulary = [[f"{t}{i}" for i in range(30)] for t in "abc"]
+    rows = [(i, " ".join(rng.choices(vocabulary[i % 3], k=12) + rng.choices(["the", "of", "and"], k=5)), ("en", "fr")[i % 2]) for i in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found, again = (mixing.learn_topics(x, topics=3) for x in (df.repartition(3), df.orderBy(F.desc("doc_id")).coalesce(1)))
+    assert (found.centres == again.centres).all() and (found.rarity == again.rarity).all()
+    slots = [np.array(r[0]) for r in df.select(mixing.counted(F.col("text"))["slots"]).collect()]
+    holding = np.zeros(mixing.SLOTS)
+    for x in slots:
+        holding[np.unique(x)] += 1
+    assert np.allclose(found.rarity, np.log(1501 / (1 + holding)), atol=1e-5)  # of all 1,500, not of some
+    plain = mixing.Topics(found.rarity, {"": np.zeros(mixing.SLOTS, np.float32)}, found.centres)
+    u, langs = plain.vectors(slots, [""] * 1500), [r[2] for r in rows]
+    for x in ("en", "fr"):
+        assert np.allclose(found.means[x], u[[k == x for k in langs]].mean(0), atol=1e-5)
+    x = found.vectors(slots, langs)
+    owner = (x @ found.centres.T).argmax(1)
+    sums = np.stack([x[owner == k].sum(0) for k in range(3)])
+    assert np.allclose(sums / np.linalg.norm(sums, axis=1, keepdims=True), found.centres, atol=1e-2)  # a fixed point over all documents
+    names = found.names(slots, langs)
+    assert len({(n, i % 3) for i, n in enumerate(names)}) == 3
+
+
 def test_mixing_edge_cases(spark):
     odd = docs(spark).withColumns({"topic": F.lit("x"), "Weight": F.lit(1)})
     assert mixing.decide(odd).count() == 6
