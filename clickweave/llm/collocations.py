@@ -10,7 +10,8 @@ and adds to a bucket of the next length only if both of its own parts passed the
 bit set by chance costs a count and changes no result, as the exact counts decide. On a corpus so large that all buckets fill, the pass becomes an
 exact count with Apriori pruning.
 
-Within a task, words are numbered by language and phrases are counted by NumPy in blocks of bounded size; what leaves a task is one row a distinct phrase
+Within a task, the first pass numbers words by language; the later ones hash all words of a block's bytes at once and number only those of phrases that pass,
+after comparing them byte by byte. Phrases are counted by NumPy in blocks of bounded size; what leaves a task is one row a distinct phrase
 and block and one a bucket, summed by Spark. A text of any length is cut into slices that overlap by the words a phrase can
 reach, so no phrase is lost or counted twice.
 
@@ -63,6 +64,114 @@ def words(text: bytes, reach: int) -> Iterator[tuple[list[bytes], int]]:
         carried, at = found[own:], stop
 
 
+def slices(text: bytes, reach: int) -> Iterator[tuple[bytes, int]]:
+    """`words` without splitting: the bytes of a slice, with at least `reach` words after it, and how many of them are its own."""
+    text, at = text.lower().translate(PLAIN), 0
+    while True:
+        ends = [i for i in (text.find(b" ", at + SLICE), text.find(END, at + SLICE)) if i >= 0]
+        if not ends:
+            yield text[at:], len(text) - at
+            return
+        stop, more = min(ends), 64
+        while stop + more < len(text) and len(text[stop : stop + more].replace(END, b" ").split()) <= reach:
+            more *= 2
+        yield text[at : stop + more], stop - at
+        at = stop
+
+
+#: A number for each byte, and what a byte's number is multiplied by from place to place of a word; both odd.
+BYTE = np.random.default_rng(11).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+STEP = np.uint64(0xD6E8FEB86659FD93)
+
+
+def seed(lang: str) -> np.uint64:
+    return np.uint64(xxhash.xxh64_intdigest(lang.encode("utf-8", "replace")))
+
+
+def hashed_words(data: np.ndarray, sizes: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """Hashes of words of one byte or more, which stand in `data` without anything between them."""
+    if not len(sizes):
+        return np.zeros(0, np.uint64)
+    first = np.cumsum(sizes) - sizes
+    steps = np.multiply.accumulate(np.full(sizes.max(), STEP))
+    x = np.add.reduceat(BYTE[data] * steps[np.arange(len(data)) - np.repeat(first, sizes)], first) ^ seeds
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return x ^ (x >> np.uint64(29))
+
+
+class Hashed:
+    """Words of many texts by their hashes alone: nothing is done word by word in Python. A word gets a number only where a phrase passes."""
+
+    def __init__(self) -> None:
+        self.langs: list[str] = []
+        self.held: list[bytes] = []
+        self.parts: list[tuple[np.ndarray, ...]] = []
+        self.waiting: list[tuple[str, bytes, int]] = []
+        self.bytes = self.at = self.pieces = self.size = 0
+
+    def add(self, lang: str, text: bytes, own: int) -> None:
+        self.waiting.append((lang, text, own))
+        self.bytes += len(text)
+        if self.bytes >= SLICE:
+            self.hash()
+
+    def hash(self) -> None:
+        """The words of the slices that wait, about `SLICE` bytes at a time."""
+        text = END.join([*(t for _, t, _ in self.waiting), b""])
+        data = np.frombuffer(text, np.uint8)
+        end = data == 0xFF
+        inside = ~(end | (data == 0x20))
+        edges = np.diff(np.concatenate([[0], inside.view(np.int8)]))  # the last byte is END
+        start, stop = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+        begin = np.cumsum([0, *(len(t) + 1 for _, t, _ in self.waiting)])
+        of = np.searchsorted(begin, start, "right") - 1
+        own = start - begin[of] < np.array([o for *_, o in self.waiting])[of]
+        seeds = {lang: seed(lang) for lang, *_ in self.waiting}
+        word = hashed_words(data[inside], stop - start, np.array([seeds[lang] for lang, *_ in self.waiting], np.uint64)[of])
+        piece = np.searchsorted(np.flatnonzero(end), start) + self.pieces
+        self.parts.append((start + self.at, stop + self.at, piece, own, of + len(self.langs), word))
+        self.langs += [lang for lang, *_ in self.waiting]
+        self.held.append(text)
+        self.at, self.pieces, self.size = self.at + len(text), self.pieces + int(end.sum()), self.size + len(start)
+        self.waiting, self.bytes = [], 0
+
+    def full(self) -> bool:
+        return self.size >= BLOCK_WORDS
+
+    def close(self) -> None:
+        if self.waiting:
+            self.hash()
+        self.start, self.stop, self.piece, self.own, self.of, self.word = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        self.text = b"".join(self.held)
+        self.held = self.parts = []
+
+    def numbers(self, places: np.ndarray, k: int) -> np.ndarray:
+        """A number for each word of the phrases at `places`, the same for the same language and bytes alone; others have 0."""
+        used = np.zeros(len(self.word), bool)
+        for j in range(k):
+            used[places + j] = True
+        at = np.flatnonzero(used)
+        w = np.zeros(len(self.word), np.int64)
+        _, first, inverse = np.unique(self.word[at], return_index=True, return_inverse=True)
+        like, sizes = at[first][inverse], self.stop[at] - self.start[at]
+        data, names = np.frombuffer(self.text, np.uint8), {lang: i for i, lang in enumerate(dict.fromkeys(self.langs))}
+        lang = np.array([names[x] for x in self.langs])
+        same = (self.stop[like] - self.start[like] == sizes).all() and (lang[self.of[at]] == lang[self.of[like]]).all()
+        for i in range(0, len(at) if same else 0, BATCH):  # hashes that are alike are compared byte by byte
+            n = sizes[i : i + BATCH]
+            inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            same = same and (data[np.repeat(self.start[at[i : i + BATCH]], n) + inner] == data[np.repeat(self.start[like[i : i + BATCH]], n) + inner]).all()
+        if same:
+            w[at] = inverse + 1
+        else:
+            known: dict[Kind, int] = {}
+            w[at] = [known.setdefault((self.langs[self.of[i]], self.text[self.start[i] : self.stop[i]]), len(known) + 1) for i in at]
+        return w
+
+    def phrase(self, i: int, k: int) -> bytes:
+        return b" ".join([self.text[self.start[j] : self.stop[j]] for j in range(i, i + k)])
+
+
 class Numbers(dict):
     """Numbers of one language's words in a block; `known` has the words of all languages."""
 
@@ -96,8 +205,13 @@ class Block:
         return self.size >= BLOCK_WORDS or len(self.known) >= BLOCK_DISTINCT
 
     def hashes(self) -> np.ndarray:
-        seeds = {lang: xxhash.xxh64_intdigest(lang.encode("utf-8", "replace")) for lang in self.numbers}
-        return np.array([0, *[xxhash.xxh64_intdigest(w, seeds[lang]) for lang, w in self.known[1:]]], np.uint64)
+        seeds = {lang: seed(lang) for lang in self.numbers}
+        found = np.zeros(len(self.known), np.uint64)
+        for i in range(1, len(self.known), BATCH):
+            part = self.known[i : i + BATCH]
+            sizes = np.array([len(w) for _, w in part])
+            found[i : i + len(part)] = hashed_words(np.frombuffer(b"".join(w for _, w in part), np.uint8), sizes, np.array([seeds[lang] for lang, _ in part], np.uint64))
+        return found
 
 
 def blocks(batches: Iterator[pa.RecordBatch], reach: int) -> Iterator[Block]:
@@ -113,6 +227,21 @@ def blocks(batches: Iterator[pa.RecordBatch], reach: int) -> Iterator[Block]:
         yield block
 
 
+def hashed_blocks(batches: Iterator[pa.RecordBatch], reach: int) -> Iterator[Hashed]:
+    block = Hashed()
+    for batch in batches:
+        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text"), strict=True):
+            for part, own in slices(text.as_py(), reach):
+                block.add(lang, part, own)
+                if block.full():
+                    block.close()
+                    yield block
+                    block = Hashed()
+    if block.size or block.waiting:
+        block.close()
+        yield block
+
+
 def longer(hashed: np.ndarray, word: np.ndarray, k: int) -> np.ndarray:
     """Hashes of the phrases of k words from those of k - 1 at the same place; as many as there are places for them."""
     n = max(0, len(word) - k + 1)
@@ -153,20 +282,12 @@ def counted(k: int, longest: int, buckets: int, frequent: Callable[[], np.ndarra
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally = np.zeros(buckets if k < longest else 0, np.int64)
-        for block in blocks(batches, longest):
-            w, own, of_known = np.concatenate(block.runs), np.concatenate(block.owns), block.hashes()
-            word = of_known[w]
-            hashed, whole = word, w > 0
-            for j in range(2, k + 1):
-                before, hashed = hashed, longer(hashed, word, j)
-                whole = whole[: len(hashed)] & (w[j - 1 :] > 0)
-            passing = whole
-            if k > 1 and len(hashed):
-                part = held(frequent(), before & np.uint64(PARTS - 1))
-                passing = whole & part[: len(whole)] & part[1 : len(whole) + 1] & held(filled(), hashed & np.uint64(buckets - 1))
-            places = np.flatnonzero(passing & own[: len(passing)])
+        for block in blocks(batches, longest) if k == 1 else hashed_blocks(batches, longest):
             if k == 1:
-                n = np.bincount(w[places], minlength=len(block.known))
+                w, own, of_known = np.concatenate(block.runs), np.concatenate(block.owns), block.hashes()
+                word = hashed = of_known[w]
+                passing = w > 0
+                n = np.bincount(w[passing & own], minlength=len(block.known))
                 kinds = np.flatnonzero(n)
                 yield from rows([block.known[i][0] for i in kinds], [block.known[i][1] for i in kinds], of_known[kinds], None, n[kinds])
                 total: dict[str, int] = {}
@@ -174,8 +295,16 @@ def counted(k: int, longest: int, buckets: int, frequent: Callable[[], np.ndarra
                     total[block.known[i][0]] = total.get(block.known[i][0], 0) + int(n[i])
                 yield from rows([*total], None, None, None, np.array([*total.values()]))
             else:
-                first, n = distinct(hashed, places, w, k)
-                yield from rows([block.known[w[i]][0] for i in first], [b" ".join(block.known[x][1] for x in w[i : i + k]) for i in first], hashed[first], None, n)
+                own = block.own
+                word = hashed = block.word
+                for j in range(2, k + 1):
+                    before, hashed = hashed, longer(hashed, word, j)
+                whole = block.piece[: len(hashed)] == block.piece[k - 1 : k - 1 + len(hashed)]
+                part = held(frequent(), before & np.uint64(PARTS - 1))
+                passing = whole & part[: len(whole)] & part[1 : len(whole) + 1] & held(filled(), hashed & np.uint64(buckets - 1))
+                places = np.flatnonzero(passing & own[: len(passing)])
+                first, n = distinct(hashed, places, block.numbers(places, k), k)
+                yield from rows([block.langs[i] for i in block.of[first]], [block.phrase(i, k) for i in first.tolist()], hashed[first], None, n)
             if k < longest:
                 following = longer(hashed, word, k + 1)
                 both = passing[: len(following)] & passing[1 : len(following) + 1] & own[: len(following)]

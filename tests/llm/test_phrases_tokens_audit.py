@@ -68,6 +68,32 @@ def test_collocations_are_those_of_a_full_count(spark, monkeypatch, buckets):
     assert sorted(tuple(r) for r in more.collect()) == found
 
 
+def test_words_hashed_at_once_are_those_split_one_by_one(monkeypatch):
+    monkeypatch.setattr(collocations, "SLICE", 5)
+    texts = [b"Ab  cd,ef\tgh. ab cd\xc3\xa9 ef " * 7, b"", b" ,, ", b"one", b"x" * 40 + b" y z. q", b"a b c d e f g h i j k l m"]
+    block, want = collocations.Hashed(), []
+    for i, text in enumerate(texts):
+        lang = ("en", "fr")[i % 2]
+        for part, own in collocations.slices(text, 3):
+            block.add(lang, part, own)
+        for piece in text.lower().translate(collocations.PLAIN).split(collocations.END):
+            w = piece.split()
+            want += [(lang, b" ".join(w[j : j + 3])) for j in range(len(w) - 2)]
+    block.close()
+    whole = np.flatnonzero((block.piece[:-2] == block.piece[2:]) & block.own[:-2])
+    assert sorted((block.langs[block.of[i]], block.phrase(i, 3)) for i in whole) == sorted(want)
+    # the first pass has the same hashes; words of one hash are told apart
+    known = collocations.Block()
+    known.known += [(block.langs[block.of[i]], block.text[block.start[i] : block.stop[i]]) for i in range(len(block.word))]
+    known.numbers = {"en": {}, "fr": {}}
+    assert (known.hashes()[1:] == block.word).all()
+    kinds = len(set(known.known[1:]))
+    every = np.arange(len(block.word))
+    assert len(set(block.numbers(every, 1).tolist())) == kinds
+    block.word = np.zeros_like(block.word)
+    assert len(set(block.numbers(every, 1).tolist())) == kinds
+
+
 def test_slices_lose_and_double_nothing(monkeypatch):
     monkeypatch.setattr(collocations, "SLICE", 5)
     rng = random.Random(2)
