@@ -7,11 +7,12 @@ what the cap takes from a cell goes to the others through that factor. A documen
 
 A topic is a column that the caller gives, or learned (`Topics`): spherical k-means over hashed words, weighted by their rarity, after
 the mean of the document's language is taken off, so that topics aren't the languages again. Rarity, means and centres are learned from every whole
-text: words are counted once, into a table of slots, and each round is one pass over it that adds whole numbers up. Every whole text is then given a topic.
+text: words are counted once, into a table of slots with a row a block of documents, and each round is one pass over it that adds whole numbers up. Every
+whole text is then given a topic. The words of a block are hashed together (`xxh64`), and a block meets the centres in one product.
 
 The texts are read once: cell, tokens and draw are written beside the rows, and both the cells and the decisions are made from that table.
-The weights are a DataFrame of cells, not of documents, and stay one: a round is three windows over it, and rounds are written by fours.
-Only sums come to the driver. `target_error` in the result is the largest relative error of the cell's three margins after the last
+The weights are a DataFrame of cells, not of documents: of more than `CELLS` cells a round is three windows over it, and rounds are written by fours;
+fewer are fitted as arrays. Only sums come to the driver. `target_error` in the result is the largest relative error of the cell's three margins after the last
 round: below `TOLERANCE` if the targets could be met together, else what the compromise misses. `margins` lists them.
 
 Defined results: null sources, languages and texts form cells of their own (empty string, `und`, topic `empty`); documents without
@@ -27,8 +28,8 @@ from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -40,8 +41,12 @@ TEMPER = 0.5
 #: Expected share of all tokens that stays; rounds of fitting; largest relative error of a margin that ends the fitting.
 SHARE, ROUNDS, TOLERANCE = 0.5, 40, 1e-6
 DRAW = 1 << 52
+#: Cells up to which the rounds of fitting run over arrays of their sums; more stay a DataFrame.
+CELLS = 100_000
 #: Topics, hash slots of words, and languages with a mean of their own (the commonest; the others have that of all documents).
 TOPICS, SLOTS, LANGUAGES = 12, 4096, 1000
+#: Words that are hashed at once.
+WORDS = 1 << 17
 #: The rounds of the topics end when no centre turns by more than this (1 less the cosine).
 SETTLED = 1e-4
 EMPTY = "empty"
@@ -56,6 +61,99 @@ def counted(text: Column) -> Column:
     return let(words(text), lambda w: F.struct(F.size(w).cast("long").alias("n"), F.transform(w, lambda x: F.pmod(F.xxhash64(F.lower(x)), F.lit(SLOTS)).cast("int")).alias("slots")))
 
 
+#: What parts words, the primes of XXH64, and the seed of Spark's `xxhash64`.
+BLANK = np.isin(np.arange(256), list(b" \t\n\x0b\f\r"))
+P1, P2, P3, P4, P5 = (np.uint64(x) for x in (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261))
+SEED = 42
+
+
+def turned(x: np.ndarray, by: int) -> np.ndarray:
+    return (x << np.uint64(by)) | (x >> np.uint64(64 - by))
+
+
+def xxh64(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """XXH64 of the words at `start` in `data`, which has 8 bytes or more after the last; all words of up to 31 bytes at once."""
+    eight = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))  # the 8 bytes from each place on
+    h = size.astype(np.uint64) + (P5 + np.uint64(SEED))
+    for j in range(3):
+        at = np.flatnonzero(size >= 8 * j + 8)
+        h[at] = turned(h[at] ^ (turned(eight[start[at] + 8 * j] * P2, 31) * P1), 27) * P1 + P4
+    at = np.flatnonzero(size & 4)
+    h[at] = turned(h[at] ^ ((eight[start[at] + (size[at] & ~7)] & np.uint64(0xFFFFFFFF)) * P1), 23) * P2 + P3
+    for j in range(3):
+        at = np.flatnonzero((size & 3) > j)
+        h[at] = turned(h[at] ^ (data[start[at] + (size[at] & ~3) + j] * P5), 11) * P1
+    h = (h ^ (h >> np.uint64(33))) * P2
+    h = (h ^ (h >> np.uint64(29))) * P3
+    h ^= h >> np.uint64(32)
+    at = np.flatnonzero(size > 31)
+    h[at] = [xxhash.xxh64_intdigest(data[i : i + n].tobytes(), SEED) for i, n in zip(start[at].tolist(), size[at].tolist(), strict=True)]
+    return h
+
+
+def slotted(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Slots of the words of lower-cased texts, which stand in `data` one after the other (8 bytes more at its end), as `counted` gives them, and each text's number of words."""
+    inside = np.concatenate([[False], ~BLANK[data[ends[0] : ends[-1]]], [False]])
+    cut = ends - ends[0]
+    last, first = inside[:-1].copy(), inside[1:].copy()
+    last[cut], first[cut] = False, False  # a text's first byte has none before it, its last none after it
+    start, stop = np.flatnonzero(inside[1:] & ~last), np.flatnonzero(inside[:-1] & ~first)
+    slots = np.empty(len(start), np.uint16)
+    for i in range(0, len(start), WORDS):
+        part = slice(i, i + WORDS)
+        slots[part] = xxh64(data, start[part] + ends[0], stop[part] - start[part]) & np.uint64(SLOTS - 1)
+    return slots, np.diff(np.searchsorted(start, cut))
+
+
+def tallied(slots: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of documents with `words` slots each: number of distinct slots, these in order, and the logarithms of 1 + their counts."""
+    n = len(words)
+    counts = np.bincount(np.repeat(np.arange(n) * SLOTS, words) + slots, minlength=n * SLOTS)
+    at = np.flatnonzero(counts)
+    return np.diff(np.searchsorted(at, np.arange(n + 1) * SLOTS)), (at % SLOTS).astype(np.uint16), np.log1p(counts[at]).astype(np.float32)
+
+
+def texts_in_blocks(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Of up to BLOCK lower-cased texts at a time: the first one's row, slots of all words, and each text's number of words."""
+    data, ends = numbers_of(column, np.uint8)
+    data = np.concatenate([data, np.zeros(8, np.uint8)])
+    for i in range(0, len(column), BLOCK):
+        yield i, *slotted(data, ends[i : i + BLOCK + 1])
+
+
+def lowered(text: Column) -> Column:
+    return F.lower(F.coalesce(text, F.lit(""))).cast("binary")
+
+
+class Likeness:
+    """Cosines of documents, their language's mean taken off, with the centres: a dense block of one size, whatever the documents, so that a row's result is the same in any block."""
+
+    def __init__(self, means: np.ndarray, centres: np.ndarray):
+        self.turned = np.ascontiguousarray(centres.T, np.float32)
+        self.mean = means @ centres.T
+        self.x = np.zeros((BLOCK, means.shape[1]), np.float32)
+
+    def __call__(self, own: np.ndarray, sizes: np.ndarray, slots: np.ndarray, values: np.ndarray, off: np.ndarray) -> np.ndarray:
+        at, flat = np.repeat(np.arange(len(sizes)) * self.x.shape[1], sizes) + slots, self.x.reshape(-1)
+        flat[at] = values
+        cosines = (self.x @ self.turned)[: len(sizes)]
+        flat[at] = 0
+        off = off[:, None]
+        return np.where(off > NEAR, (cosines - self.mean[own]) / np.maximum(NEAR, off), 0.0)
+
+
+def unit(sizes: np.ndarray, slots: np.ndarray, logs: np.ndarray, rarity: np.ndarray) -> np.ndarray:
+    """Values of the unit vectors of documents of one word or more."""
+    v = logs * rarity[slots]
+    return (v / np.repeat(np.maximum(1e-9, np.sqrt(np.add.reduceat(v * v, np.cumsum(sizes) - sizes))), sizes)).astype(np.float32)
+
+
+def distance(own: np.ndarray, sizes: np.ndarray, slots: np.ndarray, v: np.ndarray, means: np.ndarray, squares: np.ndarray) -> np.ndarray:
+    """Of documents from their language's mean."""
+    first, v = np.cumsum(sizes) - sizes, v.astype(float)
+    return np.sqrt(np.maximum(0, np.add.reduceat(v * v, first) - 2 * np.add.reduceat(v * means.ravel()[np.repeat(own * means.shape[1], sizes) + slots], first) + squares[own]))
+
+
 @dataclass
 class Topics:
     """Rarity of each slot, mean vector of each language, and unit centres of the topics."""
@@ -75,42 +173,78 @@ class Topics:
                 row /= max(1e-9, np.linalg.norm(row))
         return x
 
-    def names(self, slots: list, langs: list) -> list[str]:
-        best = (self.vectors(slots, langs) @ self.centres.T).argmax(1) if slots else []
-        return [f"topic-{k}" if len(s) else EMPTY for k, s in zip(best, slots, strict=True)]
+    def namer(self) -> Callable[[np.ndarray, np.ndarray, list], np.ndarray]:
+        """Gives the topics of up to BLOCK documents: from all their words' slots, their numbers of words, and their languages."""
+        numbers = {x: i for i, x in enumerate(self.means)}
+        means, rarity = np.stack([*self.means.values()]).astype(float), self.rarity.astype(float)
+        squares, likeness, others = (means**2).sum(1), Likeness(means, self.centres), numbers[""]
+
+        def names(slots: np.ndarray, words: np.ndarray, langs: list) -> np.ndarray:
+            found, some = np.full(len(words), EMPTY, object), np.flatnonzero(words)
+            if len(some):
+                sizes, s, logs = tallied(slots, words[some])
+                own, v = np.array([numbers.get(langs[i], others) for i in some]), unit(sizes, s, logs, rarity)
+                best = likeness(own, sizes, s, v, distance(own, sizes, s, v, means, squares)).argmax(1)
+                found[some] = [f"topic-{k}" for k in best]
+            return found
 
-    def column(self, spark: SparkSession, slots: Column, lang: Column) -> Column:
+        return names
+
+    def names(self, slots: list, langs: list) -> list[str]:
+        named, found = self.namer(), []
+        for i in range(0, len(slots), BLOCK):
+            part = slots[i : i + BLOCK]
+            found += [*named(np.concatenate([np.zeros(0, np.int64), *part]).astype(np.int64), np.array([len(s) for s in part]), langs[i : i + BLOCK])]
+        return found
+
+    def column(self, spark: SparkSession, text: Column, lang: Column) -> Column:
+        """Struct of a text's number of words and its topic."""
         shared = spark.sparkContext.broadcast(self)
 
-        @F.pandas_udf("string")
-        def named(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-            for s, k in batches:
-                s, k = s.tolist(), k.tolist()
-                yield pd.Series([x for i in range(0, len(s), BLOCK) for x in shared.value.names(s[i : i + BLOCK], k[i : i + BLOCK])], dtype=object)
+        @F.arrow_udf("n long, topic string")
+        def named(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+            names = shared.value.namer()
+            for texts, langs in batches:
+                langs, sizes, found = langs.to_pylist(), [np.zeros(0, np.int64)], [np.zeros(0, object)]
+                for i, slots, words in texts_in_blocks(texts):
+                    sizes.append(words)
+                    found.append(names(slots, words, langs[i : i + BLOCK]))
+                yield pa.StructArray.from_arrays([pa.array(np.concatenate(sizes).astype(np.int64)), pa.array(np.concatenate(found), pa.string())], ["n", "topic"])
+
+        return named(lowered(text), lang)
 
-        return named(slots, lang)
+
+def packed(**columns: np.ndarray | list) -> pa.RecordBatch:
+    """A row of a block of documents: numbers as bytes, and their languages."""
+    return pa.RecordBatch.from_arrays([pa.array([x], pa.list_(pa.string())) if isinstance(x, list) else pa.array([x.tobytes()], pa.binary()) for x in columns.values()], [*columns])
+
+
+def unpacked(batches: Iterator[pa.RecordBatch], **kinds: type) -> Iterator[tuple]:
+    """The columns of `kinds` of each block, as numbers of these types or as a list."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield tuple(batch.column(name)[i].as_py() if kind is list else np.frombuffer(batch.column(name)[i].as_buffer(), kind) for name, kind in kinds.items())
+
+
+#: Columns of the fit's two tables, a row for up to BLOCK documents: languages, numbers of distinct slots, these, the logarithms of 1 + their counts; and
+#: numbers of the languages, numbers of distinct slots, distances from the mean, slots, and unit vectors' values.
+COUNTS = {"langs": list, "sizes": np.int64, "slots": np.uint16, "logs": np.float32}
+VECTORS = {"own": np.int64, "sizes": np.int64, "off": np.float64, "slots": np.uint16, "values": np.float32}
 
 
 def features(docs: DataFrame, text: str, lang: str) -> DataFrame:
-    """lang, slots (uint16) and the logarithms of 1 + their counts (float32) of every text with words; a stored table, as the fit reads it many times."""
+    """COUNTS of every text with words; a stored table, as the fit reads it several times."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column("slots")
-            ends = lists.offsets.to_numpy()
-            flat = lists.values.to_numpy()
-            for i in range(0, len(lists), BLOCK):
-                n = min(BLOCK, len(lists) - i)
-                row = np.repeat(np.arange(n), np.diff(ends[i : i + n + 1]))
-                counts = np.bincount(row * SLOTS + flat[ends[i] : ends[i + n]], minlength=n * SLOTS)
-                at = np.flatnonzero(counts)
-                slots, logs = (at % SLOTS).astype(np.uint16).tobytes(), np.log1p(counts[at]).astype(np.float32).tobytes()
-                cut = np.searchsorted(at, np.arange(n + 1) * SLOTS)
-                pairs = list(zip(cut[:-1], cut[1:], strict=True))
-                yield pa.RecordBatch.from_arrays([batch.column("lang").slice(i, n), pa.array([slots[2 * j : 2 * k] for j, k in pairs], pa.binary()), pa.array([logs[4 * j : 4 * k] for j, k in pairs], pa.binary())], ["lang", "slots", "logs"])
-
-    given = docs.select(language(F.col(lang)).alias("lang"), counted(F.col(text))["slots"].alias("slots")).filter(F.size("slots") > 0)
-    return stored(given.mapInArrow(made, "lang string, slots binary, logs binary"))
+            langs = batch.column("lang").to_pylist()
+            for i, slots, words in texts_in_blocks(batch.column("text")):
+                some = np.flatnonzero(words)
+                if len(some):
+                    yield packed(**dict(zip(COUNTS, ([langs[i + j] for j in some], *tallied(slots, words[some])), strict=True)))
+
+    given = docs.select(language(F.col(lang)).alias("lang"), lowered(F.col(text)).alias("text"))
+    return stored(given.mapInArrow(made, "langs array<string>, sizes binary, slots binary, logs binary"))
 
 
 def numbers_of(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
@@ -134,111 +268,135 @@ class Fit:
     means: np.ndarray
     centres: np.ndarray
 
-    def documents(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        """Of up to BLOCK documents at a time: number of the language, first place, sizes, slots, unit vectors' values, and distance from the mean."""
-        size, squares = self.means.shape[1], (self.means**2).sum(1)
-        for batch in batches:
-            slots, ends = numbers_of(batch.column("slots"), np.uint16)
-            logs, _ = numbers_of(batch.column("logs"), np.float32)
-            lang = np.array([self.langs.get(x, len(self.langs)) for x in batch.column("lang").to_pylist()])
-            for i in range(0, len(lang), BLOCK):
-                own = lang[i : i + BLOCK]
-                cut = ends[i : i + len(own) + 1]
-                s, first, sizes = slots[cut[0] : cut[-1]].astype(np.int64), cut[:-1] - cut[0], np.diff(cut)
-                v = logs[cut[0] : cut[-1]] * self.rarity[s]
-                v = v / np.repeat(np.maximum(1e-9, np.sqrt(np.add.reduceat(v * v, first))), sizes)
-                off = np.add.reduceat(v * v, first) - 2 * np.add.reduceat(v * self.means.ravel()[np.repeat(own * size, sizes) + s], first) + squares[own]
-                yield own, first, sizes, s, v, np.sqrt(np.maximum(0, off)), batch, i
-
-    def likeness(self, own: np.ndarray, first: np.ndarray, s: np.ndarray, v: np.ndarray, off: np.ndarray) -> np.ndarray:
-        """Cosines of documents, their language's mean taken off, with the centres; a row for each centre."""
-        return np.stack([np.where(off > NEAR, (np.add.reduceat(v * c[s], first) - (self.means @ c)[own]) / np.maximum(NEAR, off), 0.0) for c in self.centres])
-
-    def vector(self, lang: str, slots: bytes, logs: bytes) -> np.ndarray:
-        x, s = np.zeros(len(self.rarity)), np.frombuffer(slots, np.uint16)
-        x[s] = np.frombuffer(logs, np.float32) * self.rarity[s]
-        x = x / max(1e-9, np.linalg.norm(x)) - self.means[self.langs.get(lang, len(self.langs))]
+    def counts(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        """Of a block: numbers of the languages, sizes, slots, and unit vectors' values."""
+        for langs, sizes, slots, logs in unpacked(batches, **COUNTS):
+            yield np.array([self.langs.get(x, len(self.langs)) for x in langs]), sizes, slots, unit(sizes, slots, logs, self.rarity)
+
+    def vector(self, own: int, slots: np.ndarray, values: np.ndarray) -> np.ndarray:
+        x = -self.means[own]
+        x[slots] += values
         norm = np.linalg.norm(x)
         return x / norm if norm > NEAR else 0 * x
 
-    # the passes: each gives keys and whole numbers that Spark adds up, or one document a task
+    # the passes over COUNTS and then over VECTORS: each gives keys and whole numbers that Spark adds up, or one document a task
 
     def holding(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Documents that hold a slot."""
-        found = np.zeros(len(self.rarity), np.int64)
-        for batch in batches:
-            found += np.bincount(numbers_of(batch.column("slots"), np.uint16)[0], minlength=len(found))
+        found = np.zeros((len(self.rarity), 1), np.int64)
+        for (slots,) in unpacked(batches, slots=np.uint16):
+            found[:, 0] += np.bincount(slots, minlength=len(found))
         yield keyed(found)
 
     def by_language(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sums of unit vectors by language."""
         size = len(self.rarity)
-        found = np.zeros(self.means.size, np.int64)
-        for own, _, sizes, s, v, *_ in self.documents(batches):
-            np.add.at(found, np.repeat(own * size, sizes) + s, np.rint(v * UNIT).astype(np.int64))
+        found = np.zeros((self.means.size, 1), np.int64)
+        for own, sizes, slots, v in self.counts(batches):
+            np.add.at(found[:, 0], np.repeat(own * size, sizes) + slots, np.rint(v * UNIT).astype(np.int64))
         yield keyed(found)
 
+    def first(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The task's document whose language, slots and logarithms have the least hash, as Spark's `xxhash64`."""
+        best = None
+        for langs, sizes, slots, logs in unpacked(batches, **COUNTS):
+            ends = np.cumsum([0, *sizes]).tolist()
+            for lang, i, j in zip(langs, ends, ends[1:]):
+                s, n = slots[i:j].tobytes(), logs[i:j].tobytes()
+                h = xxhash.xxh64_intdigest(n, xxhash.xxh64_intdigest(s, xxhash.xxh64_intdigest(lang.encode("utf-8", "replace"), SEED)))
+                this = ((h ^ 1 << 63) - (1 << 63), s, n, lang)
+                best = this if best is None else min(best, this)
+        if best:
+            h, s, n, lang = best
+            s, n = np.frombuffer(s, np.uint16), np.frombuffer(n, np.float32)
+            yield document(h, s, unit(np.array([len(s)]), s, n, self.rarity), self.langs.get(lang, len(self.langs)))
+
+    def vectors(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squares = (self.means**2).sum(1)
+        for own, sizes, slots, v in self.counts(batches):
+            yield packed(**dict(zip(VECTORS, (own, sizes, distance(own, sizes, slots, v, self.means, squares), slots, v), strict=True)))
+
     def by_centre(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sums of documents by their nearest centre: by slot, and what of each language's mean they are without."""
         size, k, langs = len(self.rarity), len(self.centres), len(self.means)
-        found, without = np.zeros(k * size, np.int64), np.zeros(k * langs, np.int64)
-        for own, first, sizes, s, v, off, *_ in self.documents(batches):
-            owner = self.likeness(own, first, s, v, off).argmax(0)
-            share = np.where(off > NEAR, 1 / np.maximum(NEAR, off), 0.0)
-            found += np.bincount(np.repeat(owner * size, sizes) + s, np.rint(v * np.repeat(share, sizes) * UNIT), k * size).astype(np.int64)
-            without += np.bincount(owner * langs + own, np.rint(share * UNIT), k * langs).astype(np.int64)
-        yield keyed(np.concatenate([found, without]))
+        found, without, likeness = np.zeros(size * k), np.zeros(langs * k), Likeness(self.means, self.centres)
+        for own, sizes, off, slots, v in unpacked_vectors(batches):
+            owner = likeness(own, sizes, slots, v, off).argmax(1)
+            share = np.where(off > NEAR, UNIT / np.maximum(NEAR, off), 0.0)
+            found += np.bincount(np.repeat(owner * size, sizes) + slots, np.rint(v * np.repeat(share, sizes)), size * k)  # whole numbers below 2^53: exact
+            without += np.bincount(owner * langs + own, np.rint(share), langs * k)
+        yield keyed(np.concatenate([found.reshape(k, size), without.reshape(k, langs)], 1).T.astype(np.int64))
 
     def farthest(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The task's document that is least like any centre; of equal ones the first by its bytes."""
-        best = None
-        for own, first, _, s, v, off, batch, i in self.documents(batches):
-            near = np.rint(self.likeness(own, first, s, v, off).max(0) * UNIT).astype(np.int64)
+        best, likeness = None, Likeness(self.means, self.centres)
+        for own, sizes, off, slots, v in unpacked_vectors(batches):
+            near = np.rint(likeness(own, sizes, slots, v, off).max(1) * UNIT).astype(np.int64)
+            ends = np.cumsum([0, *sizes])
             for j in np.flatnonzero(near == near.min()):
                 if best is None or near[j] <= best[0]:
-                    this = (int(near[j]), *(batch.column(c)[i + int(j)].as_py() for c in ("slots", "logs", "lang")))
+                    here = slice(ends[j], ends[j + 1])
+                    this = (int(near[j]), slots[here].tobytes(), v[here].tobytes(), int(own[j]))
                     best = this if best is None else min(best, this)
         if best:
-            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(best, (pa.int64(), pa.binary(), pa.binary(), pa.string()), strict=True)], ["near", "slots", "logs", "lang"])
+            yield document(best[0], np.frombuffer(best[1], np.uint16), np.frombuffer(best[2], np.float32), best[3])
 
 
-def keyed(sums: np.ndarray) -> pa.RecordBatch:
-    at = np.flatnonzero(sums)
-    return pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[at])], ["key", "n"])
+def unpacked_vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    return unpacked(batches, **VECTORS)
+
+
+def document(rank: int, slots: np.ndarray, values: np.ndarray, own: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([rank], pa.int64()), pa.array([slots.tobytes()], pa.binary()), pa.array([values.tobytes()], pa.binary()), pa.array([own], pa.int64())], ["rank", "slots", "values", "own"])
 
 
-def added(table: DataFrame, made: Callable, size: int) -> np.ndarray:
-    """The sums by key of what the tasks of a pass give."""
-    found = table.mapInArrow(made, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toPandas()
-    sums = np.zeros(size, np.int64)
-    sums[found["key"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
+def least(table: DataFrame, made: Callable) -> tuple[int, np.ndarray, np.ndarray]:
+    """Number of the language, slots and values of the document of least rank."""
+    found = table.mapInArrow(made, "rank long, slots binary, values binary, own long").agg(F.min(F.struct("rank", "slots", "values", "own")).alias("x")).first()["x"]
+    return found["own"], np.frombuffer(found["slots"], np.uint16), np.frombuffer(found["values"], np.float32)
+
+
+def keyed(sums: np.ndarray) -> pa.RecordBatch:
+    """The rows of `sums` that have anything, by number."""
+    at = np.flatnonzero(sums.any(1))
+    return pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(np.ascontiguousarray(x)) for x in sums[at].T)], ["key", *(f"n{i}" for i in range(sums.shape[1]))])
+
+
+def added(table: DataFrame, made: Callable, size: int, width: int = 1) -> np.ndarray:
+    """The sums by key of what the tasks of a pass give: `size` rows of `width` numbers."""
+    names = [f"n{i}" for i in range(width)]
+    found = table.mapInArrow(made, ", ".join(f"{x} long" for x in ("key", *names))).groupBy("key").agg(*[F.sum(x).alias(x) for x in names]).toArrow()
+    sums = np.zeros((size, width), np.int64)
+    if found.num_rows:
+        sums[found["key"].to_numpy()] = np.stack([found[x].to_numpy() for x in names], 1)
     return sums
 
 
 def learn_topics(docs: DataFrame, text: str = "text", lang: str = "lang", topics: int = TOPICS, rounds: int = 25) -> Topics:
     """Spherical k-means of all documents: counts, means, first centres and every round are sums over the whole table; the same for the same rows in any order."""
-    table = features(docs, text, lang)
-    rows = {r["lang"]: r["n"] for r in table.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
-    total = table.count()
+    counts = features(docs, text, lang)
+    each = counts.select(F.explode("langs").alias("lang")).groupBy("lang").agg(F.count("*").alias("n"))
+    rows = {r["lang"]: r["n"] for r in each.orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
+    total = counts.agg(F.sum(F.size("langs"))).first()[0] or 0
     fit = Fit({x: i for i, x in enumerate(rows)}, np.zeros(SLOTS), np.zeros((len(rows) + 1, SLOTS)), np.zeros((1, SLOTS)))
-    fit.rarity = np.log((1 + total) / (1 + added(table, fit.holding, SLOTS)))
+    fit.rarity = np.log((1 + total) / (1 + added(counts, fit.holding, SLOTS)[:, 0]))
     if total:
-        sums = added(table, fit.by_language, fit.means.size).reshape(fit.means.shape) / UNIT
+        sums = added(counts, fit.by_language, fit.means.size).reshape(fit.means.shape) / UNIT
         fit.means = np.stack([*(sums[i] / n for i, n in enumerate(rows.values())), sums.sum(0) / total])
-        seed = table.orderBy(F.xxhash64("lang", "slots", "logs"), "slots", "logs").first()
-        fit.centres = np.stack([fit.vector(seed["lang"], seed["slots"], seed["logs"])])
+        fit.centres = np.stack([fit.vector(*least(counts, fit.first))])
+        vectors = stored(counts.mapInArrow(fit.vectors, "own binary, sizes binary, off binary, slots binary, values binary"))
         while len(fit.centres) < min(topics, total):  # each next centre is the document that is least like those before
-            seed = table.mapInArrow(fit.farthest, "near long, slots binary, logs binary, lang string").agg(F.min(F.struct("near", "slots", "logs", "lang")).alias("x")).first()["x"]
-            fit.centres = np.vstack([fit.centres, fit.vector(seed["lang"], seed["slots"], seed["logs"])])
+            fit.centres = np.vstack([fit.centres, fit.vector(*least(vectors, fit.farthest))])
         k = len(fit.centres)
         for _ in range(rounds):
-            sums = added(table, fit.by_centre, k * (SLOTS + len(fit.means))) / UNIT
-            moved = sums[: k * SLOTS].reshape(k, SLOTS) - sums[k * SLOTS :].reshape(k, len(fit.means)) @ fit.means
+            sums = added(vectors, fit.by_centre, SLOTS + len(fit.means), k).T / UNIT
+            moved = sums[:, :SLOTS] - sums[:, SLOTS:] @ fit.means
             norm = np.linalg.norm(moved, axis=1, keepdims=True)
             before, fit.centres = fit.centres, np.where(norm > 0, moved / np.maximum(1e-9, norm), fit.centres)
             if (1 - (before * fit.centres).sum(1))[norm[:, 0] > 0].max(initial=0.0) < SETTLED:
                 break
-    discard(table)
+        discard(vectors)
+    discard(counts)
     means = {x: m.astype(np.float32) for x, m in zip([*fit.langs, ""], fit.means, strict=True)}
     return Topics(fit.rarity.astype(np.float32), means, fit.centres.astype(np.float32))
 
@@ -268,6 +426,10 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, t
         kind = "named" if totals[f"named_{d}"] > 0 else "free"
         cells = cells.withColumn(f"want_{d}", F.when(alive | (F.col(f"cells_{d}") > 0), F.col(f"{kind}_{d}") / F.lit(totals[f"{kind}_{d}"] or 1.0)).otherwise(0.0))
     cells = cells.drop(*[f"{kind}_{d}" for kind in ("named", "free", "cells") for d in DIMENSIONS])
+    if before.count() <= CELLS:
+        found = stored(raked(cells, rounds, tolerance))
+        discard(before)
+        return found
     for done in range(rounds):
         for d in DIMENSIONS:
             cells = cells.withColumn("weight", F.coalesce(F.try_divide(F.col("weight") * F.col(f"want_{d}"), sums(d, "weight")), F.lit(0.0)))
@@ -281,6 +443,25 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, t
     return cells
 
 
+def raked(cells: DataFrame, rounds: int, tolerance: float) -> DataFrame:
+    """The rounds of `rake` over at most CELLS cells, which are sums already: three sums of arrays instead of three shuffles a round."""
+    table = cells.toArrow()
+    weight, alive = table["weight"].to_numpy().copy(), table["n_tokens"].to_numpy() > 0
+    codes = {d: table[d].combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False) for d in DIMENSIONS}
+    want, error = {d: table[f"want_{d}"].to_numpy() for d in DIMENSIONS}, np.zeros(len(weight))
+    of = lambda d: np.bincount(codes[d], weight)[codes[d]] if len(weight) else weight
+    for done in range(rounds):
+        for d in DIMENSIONS:
+            sums = of(d)
+            weight = np.divide(weight * want[d], sums, out=np.zeros(len(weight)), where=sums != 0)
+        if done % 4 == 3 or done == rounds - 1:
+            error = np.max([np.where(want[d] > 0, np.abs(np.divide(of(d), want[d], out=np.zeros(len(weight)), where=want[d] > 0) - 1), 0.0) for d in DIMENSIONS], 0)
+            if error[alive].max(initial=0.0) <= tolerance:
+                break
+    table = table.set_column(table.column_names.index("weight"), "weight", pa.array(weight)).append_column("error", pa.array(error))
+    return cells.sparkSession.createDataFrame(table, schema=cells.withColumn("error", F.lit(0.0)).schema)
+
+
 def calibrate(cells: DataFrame, share: float = SHARE) -> DataFrame:
     """`cells` with a probability, so that the expected tokens are `share` of all (or as many as weights above 0 allow)."""
     cells = cells.withColumn("rate", F.when(F.col("n_tokens") > 0, F.col("weight") / F.col("n_tokens")).otherwise(0.0))
@@ -322,8 +503,8 @@ def decide(
     given = rows.df.withColumns({"source": F.coalesce(own.col(source).cast("string"), F.lit("")), "lang": language(own.col(lang)), "u": drawn(own.col(key), own.col(text), seed)})
     if topic_of is None:
         model = topics or learn_topics(own.df, own.name(text), own.name(lang))
-        given = given.withColumn("counted", counted(own.col(text)))
-        given = given.withColumns({"n_tokens": F.col("counted.n"), "topic": model.column(docs.sparkSession, F.col("counted.slots"), F.col("lang"))}).drop("counted")
+        given = given.withColumn("named", model.column(docs.sparkSession, own.col(text), F.col("lang")))
+        given = given.withColumns({"n_tokens": F.col("named.n"), "topic": F.col("named.topic")}).drop("named")
     else:
         given = given.withColumns({"n_tokens": F.size(words(own.col(text))).cast("long"), "topic": F.coalesce(f"c{len(docs.columns)}", F.lit(""))})
     gone = {n.lower() for n in leave_out}

@@ -336,6 +336,43 @@ def test_topics_are_learned_from_every_document_in_any_order(spark):
     assert len({(n, i % 3) for i, n in enumerate(names)}) == 3
 
 
+def test_words_of_a_block_have_the_slots_of_the_expression(spark):
+    texts = ["", None, " \t a  B\u00a0c\n\x0b\x0c\rD ", "ΣΑΣ ΟΔΟΣ. İstanbul Straße", "x" * 31 + " " + "y" * 32 + " " + "Z" * 1000, "a", " ", "ab abc abcd abcde abcdefg abcdefgh abcdefghijk abcdefghijklmnop", "no end"] * 40
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").coalesce(1)
+    want = [(r[0]["n"], r[0]["slots"]) for r in df.orderBy("i").select(mixing.counted(F.col("text"))).collect()]
+    column = df.orderBy("i").select(mixing.lowered(F.col("text")).alias("t")).toArrow()["t"].combine_chunks()
+    found = []
+    for _, slots, words in mixing.texts_in_blocks(column):
+        found += [(int(n), part.tolist()) for n, part in zip(words, np.split(slots, np.cumsum(words)[:-1]), strict=True)]
+    assert found == want
+
+
+def test_a_pass_of_the_topics_gives_one_row_a_slot_and_task(spark):
+    df = spark.createDataFrame([(i, " ".join(f"w{(i * j) % 500}" for j in range(40)), "en") for i in range(600)], "doc_id long, text string, lang string")
+    table = mixing.features(df.coalesce(1), "text", "lang")
+    assert table.count() == 5  # a row a block
+    rng = np.random.default_rng(1)
+    fit = mixing.Fit({"en": 0}, np.ones(mixing.SLOTS), np.zeros((2, mixing.SLOTS)), rng.normal(size=(12, mixing.SLOTS)))
+    vectors = mixing.stored(table.mapInArrow(fit.vectors, "own binary, sizes binary, off binary, slots binary, values binary"))
+    rows = vectors.coalesce(1).mapInArrow(fit.by_centre, "key long, " + ", ".join(f"n{i} long" for i in range(12)))
+    assert rows.count() <= 500 + 2
+
+
+def test_cells_fitted_as_arrays_and_as_a_table_agree(spark, monkeypatch):
+    r = random.Random(9)
+    cells = spark.createDataFrame([(s, x, t, r.choice([0, 1, 10, 500])) for s in "abcd" for x in ("en", "de", "fr") for t in ("t1", "t2")], "source string, lang string, topic string, n_tokens long")
+    targets = {"source": {"a": 1, "b": 2, "z": 5}, "lang": {"en": 3, "fr": 1}}
+    few = mixing.rake(cells, targets).toPandas().sort_values(["source", "lang", "topic"])
+    monkeypatch.setattr(mixing, "CELLS", 0)
+    many = mixing.rake(cells, targets).toPandas().sort_values(["source", "lang", "topic"])
+    assert list(few.columns) == list(many.columns) and len(few) == len(many) == 24
+    for c in ("weight", "error", "want_source", "want_lang", "want_topic"):
+        assert np.allclose(few[c], many[c], rtol=1e-9, atol=1e-12), c
+    assert mixing.rake(cells.limit(0)).count() == 0
+    monkeypatch.undo()
+    assert mixing.rake(cells.limit(0)).count() == 0
+
+
 def test_mixing_edge_cases(spark):
     odd = docs(spark).withColumns({"topic": F.lit("x"), "Weight": F.lit(1)})
     assert mixing.decide(odd).count() == 6
