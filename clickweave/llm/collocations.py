@@ -10,9 +10,9 @@ and adds to a bucket of the next length only if both of its own parts passed the
 bit set by chance costs a count and changes no result, as the exact counts decide. On a corpus so large that all buckets fill, the pass becomes an
 exact count with Apriori pruning.
 
-Within a task, the first pass numbers words by language; the later ones hash all words of a block's bytes at once and number only those of phrases that pass,
+Within a task, a pass hashes all words of a block's bytes at once and numbers only those of phrases that pass,
 after comparing them byte by byte. Phrases are counted by NumPy in blocks of bounded size; what leaves a task is one row a distinct phrase
-and block and one a bucket, summed by Spark. A text of any length is cut into slices that overlap by the words a phrase can
+and block and one for 16 buckets, summed by Spark. A text of any length is cut into slices that overlap by the words a phrase can
 reach, so no phrase is lost or counted twice.
 
 Scores use decimals of 38 digits: exact up to 10^17 words. A phrase inside a longer one of the same count is dropped; it is enough to look at
@@ -38,6 +38,8 @@ from .common import Rows, discard, join_small, stored, table
 LEAST, LONGEST, TOP = 100, 5, 2000
 #: Buckets of a pass, and bits of the bitmap of frequent parts; powers of two.
 BUCKETS, PARTS = 1 << 22, 1 << 24
+#: Columns of a row of 16 buckets, each with the counts of two, 31 bits apart; exact up to 2^31 / LEAST tasks.
+LANES = [f"lane{i}" for i in range(8)]
 #: Words, and distinct words, of a block; bytes of a slice of a text; rows of an Arrow batch.
 BLOCK_WORDS, BLOCK_DISTINCT, SLICE, BATCH = 1_000_000, 150_000, 1 << 20, 50_000
 #: The bytes that part pieces, each as the byte that stands for them; a tabulator is a blank.
@@ -171,6 +173,18 @@ class Hashed:
     def phrase(self, i: int, k: int) -> bytes:
         return b" ".join([self.text[self.start[j] : self.stop[j]] for j in range(i, i + k)])
 
+    def phrases(self, places: np.ndarray, k: int) -> pa.Array:
+        """The phrases of k words at `places`; single words, of which a block has many, are copied all at once."""
+        if k > 1:
+            return pa.array([self.phrase(i, k) for i in places.tolist()], pa.binary())
+        start, sizes = self.start[places], self.stop[places] - self.start[places]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        data = np.frombuffer(self.text, np.uint8)[np.arange(ends[-1]) + np.repeat(start - ends[:-1], sizes)]
+        return pa.Array.from_buffers(pa.binary(), len(places), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])
+
+    def languages(self, places: np.ndarray) -> pa.Array:
+        return pa.array(self.langs, pa.string()).take(pa.array(self.of[places]))
+
 
 class Numbers(dict):
     """Numbers of one language's words in a block; `known` has the words of all languages."""
@@ -214,19 +228,6 @@ class Block:
         return found
 
 
-def blocks(batches: Iterator[pa.RecordBatch], reach: int) -> Iterator[Block]:
-    block = Block()
-    for batch in batches:
-        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text"), strict=True):
-            for found, own in words(text.as_py(), reach):
-                block.add(lang, found, own)
-                if block.full():
-                    yield block
-                    block = Block()
-    if block.size:
-        yield block
-
-
 def hashed_blocks(batches: Iterator[pa.RecordBatch], reach: int) -> Iterator[Hashed]:
     block = Hashed()
     for batch in batches:
@@ -265,38 +266,41 @@ def distinct(hashed: np.ndarray, places: np.ndarray, w: np.ndarray, k: int) -> t
     return places[first], count
 
 
-def counted(k: int, longest: int, buckets: int, frequent: Callable[[], np.ndarray], filled: Callable[[], np.ndarray]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def counted(k: int, longest: int, buckets: int, least: int, frequent: Callable[[], np.ndarray], filled: Callable[[], np.ndarray]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """The pass for phrases of k words. `frequent` and `filled` give the bitmaps of the frequent parts of k - 1 words and of the buckets of k."""
-    names = ["lang", "phrase", "h", "bucket", "n"]
+    names = ["lang", "phrase", "h", "bucket", "n", *LANES]
 
-    def rows(langs: list | None, phrases: list | None, hashes: np.ndarray | None, places: np.ndarray | None, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-        size = len(n)
-        for i in range(0, size, BATCH):
+    def rows(langs: pa.Array | None, phrases: pa.Array | None, hashes: np.ndarray | None, places: np.ndarray | None, n: np.ndarray | None, lanes: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(places if n is None else n), BATCH):
             part = slice(i, i + BATCH)
-            count = len(n[part])
+            count = len((places if n is None else n)[part])
             h = pa.nulls(count, pa.int64()) if hashes is None else pa.array(hashes[part].view(np.int64))
             b = pa.nulls(count, pa.int64()) if places is None else pa.array(places[part].astype(np.int64))
-            named = pa.nulls(count, pa.string()) if langs is None else pa.array(langs[part], pa.string())
-            said = pa.nulls(count, pa.binary()) if phrases is None else pa.array(phrases[part], pa.binary())
-            yield pa.RecordBatch.from_arrays([named, said, h, b, pa.array(n[part].astype(np.int64))], names)
+            named = pa.nulls(count, pa.string()) if langs is None else langs.slice(i, count)
+            said = pa.nulls(count, pa.binary()) if phrases is None else phrases.slice(i, count)
+            times = pa.nulls(count, pa.int64()) if n is None else pa.array(n[part].astype(np.int64))
+            held = [pa.nulls(count, pa.int64()) for _ in LANES] if lanes is None else [pa.array(np.ascontiguousarray(x)) for x in lanes[part].T]
+            yield pa.RecordBatch.from_arrays([named, said, h, b, times, *held], names)
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally = np.zeros(buckets if k < longest else 0, np.int64)
-        for block in blocks(batches, longest) if k == 1 else hashed_blocks(batches, longest):
+        for block in hashed_blocks(batches, longest):
+            own = block.own
+            word = hashed = block.word
             if k == 1:
-                w, own, of_known = np.concatenate(block.runs), np.concatenate(block.owns), block.hashes()
-                word = hashed = of_known[w]
-                passing = w > 0
-                n = np.bincount(w[passing & own], minlength=len(block.known))
-                kinds = np.flatnonzero(n)
-                yield from rows([block.known[i][0] for i in kinds], [block.known[i][1] for i in kinds], of_known[kinds], None, n[kinds])
+                passing = np.ones(len(word), bool)
+                places = np.flatnonzero(own)
+                number = block.numbers(places, 1)[places]
+                n, first = np.bincount(number), np.zeros(number.max(initial=0) + 1, np.int64)
+                first[number[::-1]] = places[::-1]
+                seen = np.flatnonzero(n)
+                first, n = first[seen], n[seen]
                 total: dict[str, int] = {}
-                for i in kinds:
-                    total[block.known[i][0]] = total.get(block.known[i][0], 0) + int(n[i])
-                yield from rows([*total], None, None, None, np.array([*total.values()]))
+                for lang, count in zip(block.langs, np.bincount(block.of[places], minlength=len(block.langs)).tolist(), strict=True):
+                    total[lang] = total.get(lang, 0) + count
+                total = {lang: count for lang, count in total.items() if count}
+                yield from rows(pa.array([*total], pa.string()), None, None, None, np.array([*total.values()], np.int64))
             else:
-                own = block.own
-                word = hashed = block.word
                 for j in range(2, k + 1):
                     before, hashed = hashed, longer(hashed, word, j)
                 whole = block.piece[: len(hashed)] == block.piece[k - 1 : k - 1 + len(hashed)]
@@ -304,17 +308,32 @@ def counted(k: int, longest: int, buckets: int, frequent: Callable[[], np.ndarra
                 passing = whole & part[: len(whole)] & part[1 : len(whole) + 1] & held(filled(), hashed & np.uint64(buckets - 1))
                 places = np.flatnonzero(passing & own[: len(passing)])
                 first, n = distinct(hashed, places, block.numbers(places, k), k)
-                yield from rows([block.langs[i] for i in block.of[first]], [block.phrase(i, k) for i in first.tolist()], hashed[first], None, n)
+            yield from rows(block.languages(first), block.phrases(first, k), hashed[first], None, n)
             if k < longest:
                 following = longer(hashed, word, k + 1)
                 both = passing[: len(following)] & passing[1 : len(following) + 1] & own[: len(following)]
+                if k == 1:  # longer ones overlap
+                    both &= block.piece[: len(following)] == block.piece[1 : len(following) + 1]
                 tally += np.bincount((following[both] & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets)
-        filled_ones = np.flatnonzero(tally)
-        yield from rows(None, None, None, filled_ones, tally[filled_ones])
+        if k < longest:  # a bucket that is full in one task is full in all, so no more than `least` goes on; two buckets a number
+            pairs = np.minimum(tally, least).reshape(-1, len(LANES), 2)
+            lanes = pairs[:, :, 0] | pairs[:, :, 1] << 31
+            some = np.flatnonzero(lanes.any(1))
+            yield from rows(None, None, None, some, None, lanes[some])
 
     return made
 
 
+def filled_buckets(kept: DataFrame, least: int, buckets: int) -> np.ndarray:
+    """The buckets with `least` or more, as bits; what comes to the driver is a few bytes for 16 buckets."""
+    full = lambda n, i: F.when(n >= least, 1 << i).otherwise(0)
+    bits = sum((full(F.col(x).bitwiseAND(F.lit((1 << 31) - 1)), 2 * i) + full(F.shiftright(x, 31), 2 * i + 1) for i, x in enumerate(LANES)), F.lit(0))
+    found = kept.filter("bucket IS NOT NULL").select(F.col("bucket"), bits.cast("long").alias("bits")).filter("bits > 0").toArrow()
+    words = np.zeros(buckets // 16, "<u2")
+    words[found["bucket"].to_numpy()] = found["bits"].to_numpy()
+    return words.view(np.uint8)
+
+
 def bitmap(places: DataFrame, place: Column, size: int) -> np.ndarray:
     """The distinct places (0 to `size`) as bits; what comes to the driver is the bitmap, in pieces that Spark has packed."""
     piece = 1 << 15
@@ -333,18 +352,18 @@ def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", le
     frequent = filled = sc.broadcast(none)
     passes, totals = [], None
     for k in range(1, longest + 1):
-        made = counted(k, longest, buckets, lambda b=frequent: b.value, lambda b=filled: b.value)
-        sums = texts.mapInArrow(made, "lang string, phrase binary, h long, bucket long, n long").withColumn("phrase", F.col("phrase").cast("string"))
+        made = counted(k, longest, buckets, least, lambda b=frequent: b.value, lambda b=filled: b.value)
+        sums = texts.mapInArrow(made, "lang string, phrase binary, h long, bucket long, n long, " + ", ".join(f"{x} long" for x in LANES)).withColumn("phrase", F.col("phrase").cast("string"))
         # a task's rows are mostly distinct already: dealt as they are, they are summed once, without a hash table on the sending side
-        sums = sums.repartition("lang", "phrase", "h", "bucket").groupBy("lang", "phrase", "h", "bucket").agg(F.sum("n").alias("n"))
-        kept = stored(sums.filter((F.col("n") >= least) | F.col("h").isNull() & F.col("bucket").isNull()))
+        sums = sums.repartition("lang", "phrase", "h", "bucket").groupBy("lang", "phrase", "h", "bucket").agg(*[F.sum(x).alias(x) for x in ("n", *LANES)])
+        kept = stored(sums.filter((F.col("n") >= least) | F.col("h").isNull()))
         if k == 1:
             totals = stored(kept.filter("phrase IS NULL AND bucket IS NULL").select("lang", "n"))
         found = stored(kept.filter("phrase IS NOT NULL").select("lang", "phrase", F.lit(k).alias("k"), F.col("n").alias("a"), "h"))
         passes.append(found)
         if k < longest:
             frequent = sc.broadcast(bitmap(found, F.col("h").bitwiseAND(F.lit(PARTS - 1)), PARTS))
-            filled = sc.broadcast(bitmap(kept.filter("bucket IS NOT NULL"), F.col("bucket"), buckets))
+            filled = sc.broadcast(filled_buckets(kept, least, buckets))
         discard(kept)
     every = passes[0]
     for p in passes[1:]:

@@ -12,6 +12,8 @@ from itertools import pairwise, permutations
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -248,3 +250,23 @@ def test_digests_of_ids_and_bytes(spark, both):
         assert found.loc[i].n_tokens == len(ids)
         assert found.loc[i].ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         assert found.loc[i].decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
+
+
+def test_a_task_gives_one_row_for_sixteen_buckets():
+    texts = [" ".join(f"w{(i * j) % 5000}" for j in range(300)).encode() + b". End" for i in range(200)]
+    batch = pa.RecordBatch.from_arrays([pa.array(["en"] * 200), pa.array(texts, pa.binary())], ["lang", "text"])
+    none = np.zeros(0, np.uint8)
+    out = pa.Table.from_batches(collocations.counted(1, 5, 1 << 10, 3, lambda: none, lambda: none)(iter([batch])))
+    buckets = out.filter(pc.is_valid(out["bucket"]))
+    assert buckets.num_rows == 64  # of 1,024 buckets
+    words = Counter(w for t in texts for w in t.lower().replace(b".", b"").split())
+    named = out.filter(pc.is_valid(out["h"]))
+    assert dict(zip(named["phrase"].to_pylist(), named["n"].to_pylist(), strict=True)) == words and set(named["lang"].to_pylist()) == {"en"}
+    lanes = np.stack([buckets[x].to_numpy() for x in collocations.LANES], 1)[np.argsort(buckets["bucket"].to_numpy())]
+    tally = np.stack([lanes & (1 << 31) - 1, lanes >> 31], 2).ravel()
+    block = collocations.Hashed()
+    for t in texts:
+        block.add("en", t.lower().translate(collocations.PLAIN), len(t))
+    block.close()
+    pairs = collocations.longer(block.word, block.word, 2)[block.piece[:-1] == block.piece[1:]]
+    assert (tally == np.minimum(np.bincount((pairs & np.uint64(1023)).astype(int), minlength=1024), 3)).all()
