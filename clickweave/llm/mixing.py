@@ -7,8 +7,8 @@ what the cap takes from a cell goes to the others through that factor. A documen
 
 A topic is a column that the caller gives, or learned (`Topics`): spherical k-means over hashed words, weighted by their rarity, after
 the mean of the document's language is taken off, so that topics aren't the languages again. Rarity, means and centres are learned from every whole
-text: words are counted once, into a table of slots with a row a block of documents, and each round is one pass over it that adds whole numbers up. Every
-whole text is then given a topic. The words of a block are hashed together (`xxh64`), and a block meets the centres in one product.
+text: words are counted once, into a table of slots with a row a block of documents, and each round is one pass over it that adds whole numbers up; a pass
+for the first centres gives several of them. Every whole text is then given a topic. The words of a block are hashed together (`xxh64`), and a block meets the centres in one product.
 
 The texts are read once: cell, tokens and draw are written beside the rows, and both the cells and the decisions are made from that table.
 The weights are a DataFrame of cells, not of documents: of more than `CELLS` cells a round is three windows over it, and rounds are written by fours;
@@ -106,11 +106,29 @@ def slotted(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def tallied(slots: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of documents with `words` slots each: number of distinct slots, these in order, and the logarithms of 1 + their counts."""
+    """Of documents with `words` slots each: number of distinct slots, these in order, and their counts."""
     n = len(words)
     counts = np.bincount(np.repeat(np.arange(n) * SLOTS, words) + slots, minlength=n * SLOTS)
     at = np.flatnonzero(counts)
-    return np.diff(np.searchsorted(at, np.arange(n + 1) * SLOTS)), (at % SLOTS).astype(np.uint16), np.log1p(counts[at]).astype(np.float32)
+    return np.diff(np.searchsorted(at, np.arange(n + 1) * SLOTS)), (at % SLOTS).astype(np.uint16), counts[at]
+
+
+#: Counts from this one on stand after the bytes of all, in four bytes each; logarithms of 1 + the others.
+MANY = 255
+LOGS = np.log1p(np.arange(MANY + 1)).astype(np.float32)
+
+
+def in_bytes(counts: np.ndarray) -> np.ndarray:
+    """Most counts of words are small: a byte each, and four more for those that don't fit."""
+    return np.concatenate([np.minimum(counts, MANY).astype(np.uint8), counts[counts >= MANY].astype("<u4").view(np.uint8)])
+
+
+def logs_of(given: np.ndarray, n: int) -> np.ndarray:
+    """Logarithms of 1 + the `n` counts that `in_bytes` gave."""
+    logs = LOGS.take(given[:n], mode="clip")
+    if len(given) > n:
+        logs[given[:n] == MANY] = np.log1p(given[n:].view("<u4"))
+    return logs
 
 
 def texts_in_blocks(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -125,27 +143,36 @@ def lowered(text: Column) -> Column:
     return F.lower(F.coalesce(text, F.lit(""))).cast("binary")
 
 
+#: Centres that a block meets at once.
+ABREAST = 16
+
+
 class Likeness:
-    """Cosines of documents, their language's mean taken off, with the centres: a dense block of one size, whatever the documents, so that a row's result is the same in any block."""
+    """Cosines of documents, their language's mean taken off, with the centres: dense blocks of one size, whatever the documents and however many
+    centres, so that a row's result is the same in any block and beside any other centres.
+    """
 
     def __init__(self, means: np.ndarray, centres: np.ndarray):
-        self.turned = np.ascontiguousarray(centres.T, np.float32)
-        self.mean = means @ centres.T
+        groups = [np.vstack([x, np.zeros((ABREAST - len(x), x.shape[1]))]) for x in (centres[i : i + ABREAST] for i in range(0, len(centres), ABREAST))]
+        self.turned = [np.ascontiguousarray(x.T, np.float32) for x in groups]
+        self.mean = np.concatenate([means @ x.T for x in groups], 1)[:, : len(centres)]
         self.x = np.zeros((BLOCK, means.shape[1]), np.float32)
 
     def __call__(self, own: np.ndarray, sizes: np.ndarray, slots: np.ndarray, values: np.ndarray, off: np.ndarray) -> np.ndarray:
         at, flat = np.repeat(np.arange(len(sizes)) * self.x.shape[1], sizes) + slots, self.x.reshape(-1)
         flat[at] = values
-        cosines = (self.x @ self.turned)[: len(sizes)]
+        cosines = np.concatenate([(self.x @ x)[: len(sizes)] for x in self.turned], 1)[:, : self.mean.shape[1]]
         flat[at] = 0
         off = off[:, None]
         return np.where(off > NEAR, (cosines - self.mean[own]) / np.maximum(NEAR, off), 0.0)
 
 
-def unit(sizes: np.ndarray, slots: np.ndarray, logs: np.ndarray, rarity: np.ndarray) -> np.ndarray:
-    """Values of the unit vectors of documents of one word or more."""
-    v = logs * rarity[slots]
-    return (v / np.repeat(np.maximum(1e-9, np.sqrt(np.add.reduceat(v * v, np.cumsum(sizes) - sizes))), sizes)).astype(np.float32)
+def unit(sizes: np.ndarray, slots: np.ndarray, logs: np.ndarray, rarity: np.ndarray, norms: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Values of the unit vectors of documents of one word or more, and the norms that they were divided by, if these aren't known."""
+    v = logs * rarity.take(slots, mode="clip")
+    if norms is None:
+        norms = np.maximum(1e-9, np.sqrt(np.add.reduceat(v * v, np.cumsum(sizes) - sizes)))
+    return (v / np.repeat(norms, sizes)).astype(np.float32), norms
 
 
 def distance(own: np.ndarray, sizes: np.ndarray, slots: np.ndarray, v: np.ndarray, means: np.ndarray, squares: np.ndarray) -> np.ndarray:
@@ -182,8 +209,8 @@ class Topics:
         def names(slots: np.ndarray, words: np.ndarray, langs: list) -> np.ndarray:
             found, some = np.full(len(words), EMPTY, object), np.flatnonzero(words)
             if len(some):
-                sizes, s, logs = tallied(slots, words[some])
-                own, v = np.array([numbers.get(langs[i], others) for i in some]), unit(sizes, s, logs, rarity)
+                sizes, s, counts = tallied(slots, words[some])
+                own, (v, _) = np.array([numbers.get(langs[i], others) for i in some]), unit(sizes, s, logs_of(in_bytes(counts), len(s)), rarity)
                 best = likeness(own, sizes, s, v, distance(own, sizes, s, v, means, squares)).argmax(1)
                 found[some] = [f"topic-{k}" for k in best]
             return found
@@ -222,14 +249,16 @@ def packed(**columns: np.ndarray | list) -> pa.RecordBatch:
 def unpacked(batches: Iterator[pa.RecordBatch], **kinds: type) -> Iterator[tuple]:
     """The columns of `kinds` of each block, as numbers of these types or as a list."""
     for batch in batches:
+        columns = [(batch.column(name), kind) for name, kind in kinds.items()]
         for i in range(batch.num_rows):
-            yield tuple(batch.column(name)[i].as_py() if kind is list else np.frombuffer(batch.column(name)[i].as_buffer(), kind) for name, kind in kinds.items())
+            yield tuple(x[i].as_py() if kind is list else np.frombuffer(x[i].as_buffer(), kind) for x, kind in columns)
 
 
-#: Columns of the fit's two tables, a row for up to BLOCK documents: languages, numbers of distinct slots, these, the logarithms of 1 + their counts; and
-#: numbers of the languages, numbers of distinct slots, distances from the mean, slots, and unit vectors' values.
-COUNTS = {"langs": list, "sizes": np.int64, "slots": np.uint16, "logs": np.float32}
-VECTORS = {"own": np.int64, "sizes": np.int64, "off": np.float64, "slots": np.uint16, "values": np.float32}
+#: Columns of the fit's two tables, a row for up to BLOCK documents: languages, numbers of distinct slots, these, their counts (`in_bytes`); and numbers of the
+#: languages, numbers of distinct slots, distances from the mean and then norms, slots, and counts again: every pass makes the unit vectors' values from them,
+#: as reading these would take a pass more time than that.
+COUNTS = {"langs": list, "sizes": np.int64, "slots": np.uint16, "counts": np.uint8}
+VECTORS = {"own": np.int64, "sizes": np.int64, "off": np.float64, "slots": np.uint16, "values": np.uint8}
 
 
 def features(docs: DataFrame, text: str, lang: str) -> DataFrame:
@@ -241,10 +270,11 @@ def features(docs: DataFrame, text: str, lang: str) -> DataFrame:
             for i, slots, words in texts_in_blocks(batch.column("text")):
                 some = np.flatnonzero(words)
                 if len(some):
-                    yield packed(**dict(zip(COUNTS, ([langs[i + j] for j in some], *tallied(slots, words[some])), strict=True)))
+                    sizes, s, counts = tallied(slots, words[some])
+                    yield packed(langs=[langs[i + j] for j in some], sizes=sizes, slots=s, counts=in_bytes(counts))
 
     given = docs.select(language(F.col(lang)).alias("lang"), lowered(F.col(text)).alias("text"))
-    return stored(given.mapInArrow(made, "langs array<string>, sizes binary, slots binary, logs binary"))
+    return stored(given.mapInArrow(made, "langs array<string>, sizes binary, slots binary, counts binary"))
 
 
 def numbers_of(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
@@ -269,9 +299,15 @@ class Fit:
     centres: np.ndarray
 
     def counts(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        """Of a block: numbers of the languages, sizes, slots, and unit vectors' values."""
-        for langs, sizes, slots, logs in unpacked(batches, **COUNTS):
-            yield np.array([self.langs.get(x, len(self.langs)) for x in langs]), sizes, slots, unit(sizes, slots, logs, self.rarity)
+        """Of a block: numbers of the languages, sizes, slots, counts, unit vectors' values, and norms."""
+        for langs, sizes, slots, counts in unpacked(batches, **COUNTS):
+            yield np.array([self.langs.get(x, len(self.langs)) for x in langs]), sizes, slots, counts, *unit(sizes, slots, logs_of(counts, len(slots)), self.rarity)
+
+    def known(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        """Of a block of VECTORS: numbers of the languages, sizes, distances from the mean, slots, and unit vectors' values."""
+        for own, sizes, off, slots, counts in unpacked(batches, **VECTORS):
+            off, norms, slots = *off.reshape(2, -1), slots.astype(np.intp)  # numpy's indices: converted once
+            yield own, sizes, off, slots, unit(sizes, slots, logs_of(counts, len(slots)), self.rarity, norms)[0]
 
     def vector(self, own: int, slots: np.ndarray, values: np.ndarray) -> np.ndarray:
         x = -self.means[own]
@@ -279,7 +315,7 @@ class Fit:
         norm = np.linalg.norm(x)
         return x / norm if norm > NEAR else 0 * x
 
-    # the passes over COUNTS and then over VECTORS: each gives keys and whole numbers that Spark adds up, or one document a task
+    # the passes over COUNTS and then over VECTORS: each gives keys and whole numbers that Spark adds up, or a few documents a task
 
     def holding(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Documents that hold a slot."""
@@ -292,15 +328,15 @@ class Fit:
         """Sums of unit vectors by language."""
         size = len(self.rarity)
         found = np.zeros((self.means.size, 1), np.int64)
-        for own, sizes, slots, v in self.counts(batches):
+        for own, sizes, slots, _, v, _ in self.counts(batches):
             np.add.at(found[:, 0], np.repeat(own * size, sizes) + slots, np.rint(v * UNIT).astype(np.int64))
         yield keyed(found)
 
     def first(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The task's document whose language, slots and logarithms have the least hash, as Spark's `xxhash64`."""
         best = None
-        for langs, sizes, slots, logs in unpacked(batches, **COUNTS):
-            ends = np.cumsum([0, *sizes]).tolist()
+        for langs, sizes, slots, counts in unpacked(batches, **COUNTS):
+            ends, logs = np.cumsum([0, *sizes]).tolist(), logs_of(counts, len(slots))
             for lang, i, j in zip(langs, ends, ends[1:]):
                 s, n = slots[i:j].tobytes(), logs[i:j].tobytes()
                 h = xxhash.xxh64_intdigest(n, xxhash.xxh64_intdigest(s, xxhash.xxh64_intdigest(lang.encode("utf-8", "replace"), SEED)))
@@ -309,18 +345,18 @@ class Fit:
         if best:
             h, s, n, lang = best
             s, n = np.frombuffer(s, np.uint16), np.frombuffer(n, np.float32)
-            yield document(h, s, unit(np.array([len(s)]), s, n, self.rarity), self.langs.get(lang, len(self.langs)))
+            yield documents([(h, s.tobytes(), unit(np.array([len(s)]), s, n, self.rarity)[0].tobytes(), self.langs.get(lang, len(self.langs)))])
 
     def vectors(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squares = (self.means**2).sum(1)
-        for own, sizes, slots, v in self.counts(batches):
-            yield packed(**dict(zip(VECTORS, (own, sizes, distance(own, sizes, slots, v, self.means, squares), slots, v), strict=True)))
+        for own, sizes, slots, counts, v, norms in self.counts(batches):
+            yield packed(own=own, sizes=sizes, off=np.concatenate([distance(own, sizes, slots, v, self.means, squares), norms]), slots=slots, values=counts)
 
     def by_centre(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sums of documents by their nearest centre: by slot, and what of each language's mean they are without."""
         size, k, langs = len(self.rarity), len(self.centres), len(self.means)
         found, without, likeness = np.zeros(size * k), np.zeros(langs * k), Likeness(self.means, self.centres)
-        for own, sizes, off, slots, v in unpacked_vectors(batches):
+        for own, sizes, off, slots, v in self.known(batches):
             owner = likeness(own, sizes, slots, v, off).argmax(1)
             share = np.where(off > NEAR, UNIT / np.maximum(NEAR, off), 0.0)
             found += np.bincount(np.repeat(owner * size, sizes) + slots, np.rint(v * np.repeat(share, sizes)), size * k)  # whole numbers below 2^53: exact
@@ -328,32 +364,54 @@ class Fit:
         yield keyed(np.concatenate([found.reshape(k, size), without.reshape(k, langs)], 1).T.astype(np.int64))
 
     def farthest(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The task's document that is least like any centre; of equal ones the first by its bytes."""
-        best, likeness = None, Likeness(self.means, self.centres)
-        for own, sizes, off, slots, v in unpacked_vectors(batches):
+        """The task's AHEAD documents that are least like any centre, copies once; of equal ones the first by their bytes."""
+        best, likeness = [], Likeness(self.means, self.centres)
+        for own, sizes, off, slots, v in self.known(batches):
             near = np.rint(likeness(own, sizes, slots, v, off).max(1) * UNIT).astype(np.int64)
             ends = np.cumsum([0, *sizes])
-            for j in np.flatnonzero(near == near.min()):
-                if best is None or near[j] <= best[0]:
-                    here = slice(ends[j], ends[j + 1])
-                    this = (int(near[j]), slots[here].tobytes(), v[here].tobytes(), int(own[j]))
-                    best = this if best is None else min(best, this)
-        if best:
-            yield document(best[0], np.frombuffer(best[1], np.uint16), np.frombuffer(best[2], np.float32), best[3])
+            few = np.flatnonzero(near <= (best[-1][0] if len(best) == AHEAD else 2 * UNIT))
+            found = {(int(near[j]), slots[ends[j] : ends[j + 1]].astype(np.uint16).tobytes(), v[ends[j] : ends[j + 1]].tobytes(), int(own[j])) for j in few}
+            best = sorted(found.union(best))[:AHEAD] if found else best
+        yield documents(best)
+
+    def nearer(self, ahead: list[tuple], last: int) -> list[tuple]:
+        """The documents of `farthest`, with the centres after the first `last` ones as well."""
+        likeness, squares = Likeness(self.means, self.centres), (self.means**2).sum(1)
+        sizes, own = np.array([len(x[1]) // 2 for x in ahead]), np.array([x[3] for x in ahead])
+        slots, v = np.frombuffer(b"".join(x[1] for x in ahead), np.uint16), np.frombuffer(b"".join(x[2] for x in ahead), np.float32)
+        near = np.rint(likeness(own, sizes, slots, v, distance(own, sizes, slots, v, self.means, squares))[:, last:].max(1) * UNIT).astype(np.int64)
+        return sorted((max(x[0], int(k)), *x[1:]) for x, k in zip(ahead, near, strict=True))
+
+    def first_centres(self, vectors: DataFrame, most: int) -> None:
+        """Each next centre is the document that is least like those before. A pass gives AHEAD documents, and all others come after the last of them. More
+        centres only make a document more like them: while one of those given comes before that bound, it is the next, and no pass is needed.
+        """
+        while len(self.centres) < most:
+            ahead = least(vectors, self.farthest, AHEAD)
+            bound = ahead[-1] if len(ahead) == AHEAD else None
+            while len(self.centres) < most and (bound is None or ahead[0] <= bound):
+                self.centres = np.vstack([self.centres, self.vector(*numbers_in(ahead[0]))])
+                ahead = self.nearer(ahead, len(self.centres) - 1)
+
+
+#: Documents that a pass for the first centres gives; the driver holds so many.
+AHEAD = 64
 
 
-def unpacked_vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    return unpacked(batches, **VECTORS)
+def documents(found: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], kind) for i, kind in enumerate((pa.int64(), pa.binary(), pa.binary(), pa.int64()))], ["rank", "slots", "values", "own"])
 
 
-def document(rank: int, slots: np.ndarray, values: np.ndarray, own: int) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([rank], pa.int64()), pa.array([slots.tobytes()], pa.binary()), pa.array([values.tobytes()], pa.binary()), pa.array([own], pa.int64())], ["rank", "slots", "values", "own"])
+def numbers_in(found: tuple) -> tuple[int, np.ndarray, np.ndarray]:
+    """Number of the language, slots and values of a document."""
+    return found[3], np.frombuffer(found[1], np.uint16), np.frombuffer(found[2], np.float32)
 
 
-def least(table: DataFrame, made: Callable) -> tuple[int, np.ndarray, np.ndarray]:
-    """Number of the language, slots and values of the document of least rank."""
-    found = table.mapInArrow(made, "rank long, slots binary, values binary, own long").agg(F.min(F.struct("rank", "slots", "values", "own")).alias("x")).first()["x"]
-    return found["own"], np.frombuffer(found["slots"], np.uint16), np.frombuffer(found["values"], np.float32)
+def least(table: DataFrame, made: Callable, most: int = 1) -> list[tuple]:
+    """Rank, slots, values and number of the language of the documents of least rank, in order."""
+    names = ["rank", "slots", "values", "own"]
+    found = table.mapInArrow(made, "rank long, slots binary, values binary, own long").orderBy(*names).limit(most).toArrow()
+    return sorted(zip(*(found[x].to_pylist() for x in names), strict=True))
 
 
 def keyed(sums: np.ndarray) -> pa.RecordBatch:
@@ -379,14 +437,13 @@ def learn_topics(docs: DataFrame, text: str = "text", lang: str = "lang", topics
     rows = {r["lang"]: r["n"] for r in each.orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
     total = counts.agg(F.sum(F.size("langs"))).first()[0] or 0
     fit = Fit({x: i for i, x in enumerate(rows)}, np.zeros(SLOTS), np.zeros((len(rows) + 1, SLOTS)), np.zeros((1, SLOTS)))
-    fit.rarity = np.log((1 + total) / (1 + added(counts, fit.holding, SLOTS)[:, 0]))
+    fit.rarity = np.log((1 + total) / (1 + added(counts.select("slots"), fit.holding, SLOTS)[:, 0]))
     if total:
         sums = added(counts, fit.by_language, fit.means.size).reshape(fit.means.shape) / UNIT
         fit.means = np.stack([*(sums[i] / n for i, n in enumerate(rows.values())), sums.sum(0) / total])
-        fit.centres = np.stack([fit.vector(*least(counts, fit.first))])
+        fit.centres = np.stack([fit.vector(*numbers_in(least(counts, fit.first)[0]))])
         vectors = stored(counts.mapInArrow(fit.vectors, "own binary, sizes binary, off binary, slots binary, values binary"))
-        while len(fit.centres) < min(topics, total):  # each next centre is the document that is least like those before
-            fit.centres = np.vstack([fit.centres, fit.vector(*least(vectors, fit.farthest))])
+        fit.first_centres(vectors, min(topics, total))
         k = len(fit.centres)
         for _ in range(rounds):
             sums = added(vectors, fit.by_centre, SLOTS + len(fit.means), k).T / UNIT

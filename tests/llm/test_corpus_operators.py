@@ -6,6 +6,7 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -358,6 +359,32 @@ def test_a_pass_of_the_topics_gives_one_row_a_slot_and_task(spark):
     assert rows.count() <= 500 + 2
 
 
+def test_first_centres_take_few_passes_and_are_those_of_a_pass_each(spark, monkeypatch):
+    r = random.Random(6)
+    rows = [(i, " ".join(r.choices([f"{r.choice('abc')}{j}" for j in range(40 * (i % 12), 40 * (i % 12) + 60)], k=r.randint(1, 30))), r.choice(["en", "fr"])) for i in range(900)]
+    df = spark.createDataFrame(rows + [(i + 900, *x) for i, *x in rows[:300]], "doc_id long, text string, lang string").repartition(5)
+    passes, least = [], mixing.least
+    monkeypatch.setattr(mixing, "least", lambda *a: passes.append(a[1].__name__) or least(*a))
+    few = mixing.learn_topics(df, rounds=0)
+    assert (n := passes.count("farthest")) < 8
+    monkeypatch.setattr(mixing, "AHEAD", 1)
+    each = mixing.learn_topics(df, rounds=0)
+    assert passes.count("farthest") - n == 11
+    assert len(few.centres) == 12 and (few.centres == each.centres).all()
+
+
+def test_the_tables_of_the_fit_take_a_byte_a_count(spark):
+    counts = np.array([1, 2, 254, 255, 256, 70_000, 1])
+    assert (mixing.logs_of(mixing.in_bytes(counts), len(counts)) == np.log1p(counts).astype(np.float32)).all()
+    table = mixing.features(docs(spark, [(i, "a b b c " * (1 + 200 * (i == 5))) for i in range(50)]).coalesce(1), "text", "lang")
+    fit = mixing.Fit({"en": 0}, np.ones(mixing.SLOTS), np.zeros((2, mixing.SLOTS)), np.zeros((1, mixing.SLOTS)))
+    row = table.mapInArrow(fit.vectors, "own binary, sizes binary, off binary, slots binary, values binary").first()
+    assert len(row["slots"]) == 2 * 150 and len(row["values"]) == 150 + 4  # one of 402 words b
+    whole = next(fit.known(iter([pa.RecordBatch.from_arrays([pa.array([bytes(row[x])]) for x in mixing.VECTORS], [*mixing.VECTORS])])))
+    own = np.split(whole[4], 50)
+    assert all(np.linalg.norm(x) == pytest.approx(1, abs=1e-6) for x in own) and sorted(own[5] / own[5].min())[-1] == pytest.approx(np.log(403) / np.log(202), rel=1e-5)
+
+
 def test_cells_fitted_as_arrays_and_as_a_table_agree(spark, monkeypatch):
     r = random.Random(9)
     cells = spark.createDataFrame([(s, x, t, r.choice([0, 1, 10, 500])) for s in "abcd" for x in ("en", "de", "fr") for t in ("t1", "t2")], "source string, lang string, topic string, n_tokens long")
